@@ -4,9 +4,10 @@ Two lines are near when one edit (insertion, deletion or substitution of a code
 emits the hashes of all its variants with one code point deleted, and of itself; lines that share a variant are joined, the edit distance
 is verified, and a line goes when an earlier one (by doc_id, then line number) is within the bound.
 
-How the variants stay few. Lines are first made distinct by hash. Two distinct lines one edit apart share their first or their last
-half, so only lines that share a half with another line emit variants, and only with deletions in the other half. This loses
-nothing: with m the shorter length, common prefix + common suffix >= m - 1, and halves are 4 * (m // 8) long.
+How the variants stay few. Cut a line of n code points into k blocks, the blocks before one of them counted from the line's start and those behind it
+from its end. Two lines one edit apart agree in all but one block: with m the shorter length and w = m // k, common prefix + common
+suffix >= m - 1, so the block that holds the end of the common prefix has all of the difference. So lines are narrowed down twice, first by
+halves (k = 2), then by short blocks, and only a block whose surroundings another distinct line has too emits its variants. This loses nothing.
 
 Why no group is emitted pair by pair. A variant is keyed with its position when it stands for a substitution: all lines under
 such a key are one edit apart from each other, so each is compared with the earliest alone. A variant keyed by its content alone meets the
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberlens.llm.sieve import sieve, sift
 from emberlens.shared import materialize
 
 #: Shorter lines (in code points, without white space at the ends) are never removed: an edit in "Of it." says nothing.
 MIN_CHARS = 30
-#: Rows of the broadcast that thins lines out before the exact join on their hashes: at most so many, whatever the input.
-SIEVE = 1 << 16
+#: Code points in a short block at least, and blocks in a line at most: a block of a very long line is longer.
+BLOCK, MOST_BLOCKS = 16, 1024
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:
@@ -37,16 +39,16 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return split.select("doc_id", "line_no", "line", _order(F.col("doc_id"), F.col("line_no")).alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
-def _halves(lines: DataFrame) -> DataFrame:
-    """Each line with the keys of its halves: side, half (hash), cut (code points in the half)."""
+def _half_keys() -> Column:
+    """Hashes of a line's first and last half. Halves are of 4 * (m // 8) code points, m the shorter length of a pair: two sizes where m may be n - 1."""
     n = F.length("line")
-    bins = F.array_compact(F.array((n / 8).cast("int"), F.when(n % 8 == 0, (n / 8).cast("int") - 1)))
-    binned = lines.withColumn("bin", F.explode(bins)).withColumn("cut", F.col("bin") * 4)
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.xxhash64("bin", F.lit(0), F.substr("line", F.lit(1), F.col("cut"))).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.xxhash64("bin", F.lit(1), F.expr("substr(line, length(line) - cut + 1)")).alias("half")),
-    )
-    return binned.withColumn("s", F.explode(sides)).select(*lines.columns, "cut", "s.side", "s.half")
+
+    def pair(eighth: Column) -> list[Column]:
+        cut = eighth * 4
+        return [F.xxhash64(eighth, F.lit(0), F.substr("line", F.lit(1), cut)), F.xxhash64(eighth, F.lit(1), F.substr("line", n - cut + 1, cut))]
+
+    eighth = F.floor(n / 8).cast("int")
+    return F.when(n % 8 == 0, F.array(*pair(eighth), *pair(eighth - 1))).otherwise(F.array(*pair(eighth)))
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
@@ -56,48 +58,63 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1: with more, lines under one key needn't be near each other")
-    docs = docs.select("doc_id", "text")
-    lines = _lines(docs, min_chars)
-    places = materialize(lines.select("doc_id", "line_no", "at", "h1", "h2"), "line-places")
-    first = materialize(places.groupBy("h1", "h2").agg(F.min("at").alias("first")), "line-first")
-    exact = places.join(first, ["h1", "h2"]).where(F.col("at") > F.col("first")).select("doc_id", "line_no")
-    if max_edits == 0:
-        return exact
-
-    # lines that share a half with another distinct line
-    halves = _halves(lines).select("half", "h1").repartition("half")
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
-    asked = materialize(halves.join(shared, "half", "left_semi").select("h1").distinct(), "line-asked")
-    sieve = asked.select(F.pmod("h1", F.lit(SIEVE)).alias("slot")).distinct()
-    near = lines.withColumn("slot", F.pmod("h1", F.lit(SIEVE))).join(F.broadcast(sieve), "slot", "left_semi").join(asked, "h1", "left_semi")
-    near = near.join(first.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("at") == F.col("first")))
-    near = materialize(near.select("line", "at", "h1", "h2"), "line-near")
-    found = near_pairs(near).select("at", "h1", "h2")
-
-    # a removed text goes wherever it stands: all its places come after a line that is near
-    gone = found.select("h1", "h2").distinct()
-    everywhere = places.join(gone, ["h1", "h2"], "left_semi").select("doc_id", "line_no")
-    return exact.union(everywhere).distinct()
+    lines = _lines(docs.select("doc_id", "text"), min_chars)
+    places = materialize(lines.select("doc_id", "line_no", "h1", "h2", _half_keys().alias("halves")), "line-places")
+    at = _order(F.col("doc_id"), F.col("line_no"))
+    copies = places.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    if max_edits:
+        # lines that share a half with another distinct line
+        halves = places.select(F.explode("halves").alias("half"), "h1")
+        shared = materialize(halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"), "line-halves")
+        asked = materialize(sift(halves, "half", sieve(shared, "half")).join(shared, "half", "left_semi").select("h1").distinct(), "line-asked")
+        through = sieve(asked, "h1")
+        first = sift(places.select("h1", "h2", at.alias("at")), "h1", through).join(asked, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("at").alias("at"))
+        near = sift(lines.select("line", "at", "h1", "h2"), "h1", through).join(first, ["h1", "h2", "at"])
+        near = materialize(near.select("line", "at", "h1", "h2").dropDuplicates(["h1", "h2"]), "line-near")
+        gone = near_pairs(near).select("h1", "h2", F.lit(None).cast("decimal(31,0)").alias("first")).distinct()
+        copies = copies.select("h1", "h2", F.col("first").cast("decimal(31,0)").alias("first")).union(gone)
+        # a removed text goes wherever it stands: all its places come after a line that is near
+        copies = copies.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bool_or(F.col("first").isNull()).alias("all"))
+    else:
+        copies = copies.withColumn("all", F.lit(False))
+    found = places.select("doc_id", "line_no", "h1", "h2").join(copies, ["h1", "h2"]).where(F.col("all") | (at > F.col("first")))
+    return found.select("doc_id", "line_no").distinct()
+
+
+def _blocks(near: DataFrame) -> DataFrame:
+    """at, key (hash of all of the line but the block), start, size: a row for each block of each line."""
+    n = F.length("line")
+
+    def cut(m: Column) -> Column:
+        width = F.greatest(F.lit(BLOCK), F.ceil(m / MOST_BLOCKS)).cast("int")
+        return F.struct(width.alias("width"), F.greatest(F.lit(1), F.floor(m / width)).cast("int").alias("count"))
+
+    cuts = near.select("at", "line", F.explode(F.array_distinct(F.array(cut(n), cut(n - 1)))).alias("c"))
+    cuts = cuts.select("at", "line", n.alias("n"), F.col("c.width").alias("width"), F.col("c.count").alias("count"))
+    each = cuts.select("at", "line", "n", "width", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
+    before, behind = F.col("k") * F.col("width"), (F.col("count") - 1 - F.col("k")) * F.col("width")
+    key = F.xxhash64("width", "count", "k", F.substr("line", F.lit(1), before), F.substr("line", F.col("n") - behind + 1, behind))
+    return each.select("at", key.alias("key"), before.alias("start"), (F.col("n") - before - behind).alias("size"))
 
 
 def near_pairs(near: DataFrame) -> DataFrame:
     """Distinct lines (line, at, h1, h2) -> those with an earlier line one edit away: at, h1, h2, keeper (the earlier line's at)."""
-    halves = _halves(near).repartition("half")
-    shared = halves.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("half")
-    emit = halves.join(shared, "half", "left_semi").select("line", "at", "side", "cut").distinct()
-    n = F.length("line")
-    at = F.when(F.col("side") == 0, F.sequence(F.col("cut") + 1, n)).otherwise(F.sequence(F.lit(1), n - F.col("cut")))
-    cut_out = lambda i: F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1, n))
-    keys = F.transform(at, lambda i: F.struct(F.xxhash64(cut_out(i)).alias("content"), i.alias("i")))
-    emitted = emit.select("at", "line", F.length("line").alias("n"), F.explode(keys).alias("k")).select("at", "n", F.col("k.content").alias("content"), F.col("k.i").alias("i"))
-    substituted = emitted.select("at", F.xxhash64("content", "n", "i").alias("key"), F.lit(1).alias("role"))
-    shortened = emitted.select("at", F.col("content").alias("key"), F.lit(2).alias("role"))
-    whole = near.select("at", F.xxhash64("line").alias("key"), F.lit(3).alias("role"))
-    variants = substituted.union(shortened).union(whole).repartition("key")
-    groups = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (1, 2, 3)], F.max(F.when(F.col("role") == 1, F.col("at"))).alias("last1"))
-    groups = groups.where("first1 < last1 OR (first2 IS NOT NULL AND first3 IS NOT NULL)")
+    blocks = materialize(_blocks(near), "line-blocks")
+    shared = materialize(blocks.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("key"), "line-shared")
+    live = sift(blocks, "key", sieve(shared, "key")).join(shared, "key", "left_semi")
+    emit = live.join(near, "at").select("at", "key", "size", F.substr("line", F.col("start") + 1, F.col("size")).alias("block"))
+    cut_out = lambda i: F.concat(F.substr("block", F.lit(1), i - 1), F.substr("block", i + 1, F.col("size")))
+    deleted = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(F.xxhash64("key", cut_out(i)).alias("content"), i.alias("i")))
+    whole = F.array(F.struct(F.xxhash64("key", "block").alias("content"), F.lit(0).alias("i")))
+    variants = emit.select("at", "size", F.explode(F.concat(whole, deleted)).alias("v")).select("at", "size", F.col("v.content").alias("content"), F.col("v.i").alias("i"))
+    variants = materialize(variants, "line-variants")
+    substituted = variants.where("i > 0").select("at", F.xxhash64("content", "size", "i").alias("key"), F.lit(1).alias("role"))
+    inserted = variants.select("at", F.col("content").alias("key"), F.when(F.col("i") > 0, 2).otherwise(3).alias("role"))
+    members = substituted.union(inserted)
+    groups = members.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (1, 2, 3)], F.max(F.when(F.col("role") == 1, F.col("at"))).alias("last1"))
+    groups = materialize(groups.where("first1 < last1 OR (first2 IS NOT NULL AND first3 IS NOT NULL)"), "line-groups")
     keeper = F.when(F.col("role") == 1, F.col("first1")).when(F.col("role") == 2, F.col("first3")).otherwise(F.col("first2"))
-    pairs = variants.join(groups, "key").select("at", keeper.alias("keeper")).where("keeper < at").distinct()
+    pairs = sift(members, "key", sieve(groups, "key")).join(groups, "key").select("at", keeper.alias("keeper")).where("keeper < at").distinct()
     earlier = near.select(F.col("at").alias("keeper"), F.col("line").alias("kept"))
     checked = pairs.join(near, "at").join(earlier, "keeper").where(F.levenshtein("line", "kept", 1).between(0, 1))
     return checked.select("at", "h1", "h2", "keeper")
