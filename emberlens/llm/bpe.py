@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import duckdb
@@ -21,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces whose ids a task keeps; when there are more, it starts over. A bound on memory alone.
-CACHED_PIECES = 400_000
+#: Distinct pieces whose ids a Python worker keeps over its tasks; when there are more, it starts over. A bound on memory alone.
+CACHED_PIECES = 800_000
 #: Bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
-QUERY_BYTES, DECODE_TOKENS = 4_000_000, 2_000_000
+QUERY_BYTES, DECODE_TOKENS = 1_000_000, 2_000_000
 
 #: Pieces of more bytes are contracted at all places of their lowest pair in one step.
 SHORT_PIECE = 64
@@ -85,7 +86,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 class Coder:
-    """One task's DuckDB with the merge table and the vocabulary."""
+    """A Python worker's DuckDB with the merge table and the vocabulary."""
 
     def __init__(self, ranks_file: str, pattern: str):
         self.ranks, self.split = read_ranks(ranks_file), regex.compile(pattern)
@@ -170,6 +171,12 @@ class Coder:
         return out
 
 
+@lru_cache(maxsize=1)
+def coder_of(ranks_file: str, pattern: str) -> Coder:
+    """The worker's coder: tasks that Spark gives to one worker share its tables and what it has learnt."""
+    return Coder(ranks_file, pattern)
+
+
 def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text (column 1) each."""
     sizes = np.array([len(t or "") for t in batch.column(1).to_pylist()])
@@ -191,7 +198,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str) -> DataFram
         coder = None
         for big in batches:
             for batch in _slices(big):
-                coder = coder or Coder(ranks_file, pattern)
+                coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
 
@@ -209,7 +216,7 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or Coder(ranks_file, pattern)
+            coder = coder or coder_of(ranks_file, pattern)
             ids = [np.array(x or [], "<u4") for x in batch.column(1).to_pylist()]
             if any(len(x) and int(x.max()) >= len(coder.ranks) for x in ids):
                 raise ValueError("an id is not in the vocabulary")
@@ -225,7 +232,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         coder = None
         for big in batches:
             for batch in _slices(big):
-                coder = coder or Coder(ranks_file, pattern)
+                coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 back = coder.decode(ids)
                 yield pa.RecordBatch.from_arrays(
