@@ -87,7 +87,7 @@ def cluster(points: DataFrame, max_km: float = LINK_KM) -> DataFrame:
 
 def satellites(lists: Column) -> Column:
     """An array of comma lists as one sorted comma list without repeats."""
-    parts = F.filter(F.transform(F.flatten(F.transform(lists, lambda x: F.split(F.coalesce(x, F.lit("")), ","))), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.flatten(F.transform(lists, lambda x: F.split(F.coalesce(x, F.lit("")), ","))), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_sort(F.array_distinct(parts)), ",")
 
 

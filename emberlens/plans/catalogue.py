@@ -1,4 +1,6 @@
 """All queries of the engine by name, with SQL for DuckDB that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from emberlens.plans import incident_queries, views
+
+__all__ = ["ORACLES", "QUERIES", "incident_queries"]
+QUERIES, ORACLES = views.QUERIES, views.ORACLES
