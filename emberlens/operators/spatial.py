@@ -178,10 +178,11 @@ def scan_rows(edges: DataFrame, step: float, names: list[str]) -> DataFrame:
     Holes need no care: crossings of all rings of one polygon in order of longitude alternate between in and out.
     """
     rows = F.sequence(N.row_of(F.least("y1", "y2"), step), N.row_of(F.greatest("y1", "y2"), step))
-    hit = edges.select(*names, "polygon", "x1", "y1", "x2", "y2", F.explode(rows).alias("row")).withColumn("lat", (F.col("row") + 0.5) * step)
+    own = list(dict.fromkeys([*names, "region", "polygon"]))
+    hit = edges.select(*own, "x1", "y1", "x2", "y2", F.explode(rows).alias("row")).withColumn("lat", (F.col("row") + 0.5) * step)
     hit = hit.where((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat")))
     x = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    order = W.partitionBy(*names, "polygon", "row").orderBy("x")
+    order = W.partitionBy(*own, "row").orderBy("x")
     spans = hit.withColumn("x", x).withColumn("high", F.lead("x").over(order)).withColumn("n", F.row_number().over(order))
     return spans.where("n % 2 = 1 AND high IS NOT NULL").select(*names, "row", F.col("x").alias("low"), "high")
 

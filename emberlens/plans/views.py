@@ -117,7 +117,7 @@ def areas(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("region"))
 
 
-RUNS_SQL = "runs AS (SELECT event_id AS run_id, 's' || (user_id % 8) AS source, ts AS at, event_id % 4 <> 0 AS ok FROM events)"
+RUNS_SQL = "runs AS (SELECT event_id AS run_id, 's' || (user_id % 8) AS source, ts AS seen, event_id % 4 <> 0 AS ok FROM events)"
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

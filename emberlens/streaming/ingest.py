@@ -22,9 +22,9 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def once(stream: DataFrame, key: list[str], time: str = "acquired_at") -> DataFrame:
+def once(stream: DataFrame, key: list[str], time: str = "acquired_at", within: str = WATERMARK) -> DataFrame:
     """Each key once within the watermark, however often its file comes again."""
-    return stream.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(key)
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(key)
 
 
 def daily_counts(stream: DataFrame, time: str = "acquired_at") -> DataFrame:
@@ -81,6 +81,6 @@ def incident_schema(points: DataFrame) -> StructType:
     return StructType.fromDDL(", ".join(f"{c} {kinds.get(c, 'double' if c in doubles else 'long')}" for c in incidents.STATE))
 
 
-def run_available(stream: DataFrame, job, checkpoint: str) -> None:
+def run_available(stream: DataFrame, job, checkpoint: str, mode: str = "append") -> None:
     """Processes all that has arrived, batch by batch, then stops."""
-    stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
