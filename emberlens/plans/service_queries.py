@@ -72,7 +72,7 @@ def region_index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PIXELS_SQL}, {SCL_SQL}, sc AS (SELECT o_orderkey % 40 AS scene, o_orderkey AS scene_id, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey * 31) % 100 END AS cloud, o_orderdate AS seen FROM orders WHERE o_orderkey % 10 = 0),
-rk AS (SELECT sc.*, coalesce({USABLE}, false) AS usable, row_number() OVER (PARTITION BY year ORDER BY coalesce(cloud, 100), seen, scene_id) AS rank FROM sc LEFT JOIN scl USING (scene) QUALIFY rank <= 6)
+rk AS (SELECT sc.*, coalesce({USABLE}, false) AS usable, row_number() OVER (PARTITION BY year ORDER BY coalesce(sc.cloud, 100), seen, scene_id) AS rank FROM sc LEFT JOIN scl USING (scene) QUALIFY rank <= 6)
 SELECT year, arg_min(scene_id, rank) FILTER (usable) AS scene_id, coalesce(min(rank) FILTER (usable), count(*))::BIGINT AS checked FROM rk GROUP BY year""")
 def best_scene_per_year(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -109,7 +109,7 @@ def static_cells_json(spark: SparkSession, path: str) -> DataFrame:
     """A published list of static cells -> version, row, col; a list on another grid is refused."""
     raw = spark.read.schema("version int, gridDeg double, cells array<array<long>>").option("multiLine", True).json(path)
     checked = raw.withColumn("cells", F.when(F.col("gridDeg") == 0.004, F.col("cells")).otherwise(F.raise_error(F.lit("the list has another grid"))))
-    return checked.select("version", F.explode("cells").alias("c")).select("version", F.col("c")[0].alias("row"), F.col("c")[1].alias("col")).where("row IS NOT NULL AND col IS NOT NULL")
+    return checked.select("version", F.explode("cells").alias("c")).select("version", F.get("c", F.lit(0)).alias("row"), F.get("c", F.lit(1)).alias("col")).where("row IS NOT NULL AND col IS NOT NULL")
 
 
 SCENE_SCHEMA = "id string, bbox array<double>, properties struct<datetime: string, platform: string, `eo:cloud_cover`: double, `proj:epsg`: int, `proj:code`: string>, assets map<string, struct<href: string, `raster:bands`: array<struct<scale: double, offset: double>>>>"
@@ -121,8 +121,8 @@ def scenes(json_rows: DataFrame, column: str = "value") -> DataFrame:
     p = F.col("properties")
     epsg = F.coalesce(p["proj:epsg"], F.regexp_extract(F.coalesce(p["proj:code"], F.lit("")), r"EPSG:(\d+)", 1).try_cast("int"))
     out = i.select(
-        F.col("id").alias("scene_id"), *[F.col("bbox")[k].alias(n) for k, n in enumerate("wsen")], F.try_to_timestamp(p["datetime"]).alias("acquired_at"), p["platform"].alias("platform"),
-        p["eo:cloud_cover"].alias("cloud_cover"), epsg.alias("epsg"), F.transform_values("assets", lambda _, a: F.struct(a["href"].alias("href"), a["raster:bands"][0]["scale"].alias("scale"), a["raster:bands"][0]["offset"].alias("offset"))).alias("assets"),
+        F.col("id").alias("scene_id"), *[F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate("wsen")], F.try_to_timestamp(p["datetime"]).alias("acquired_at"), p["platform"].alias("platform"),
+        p["eo:cloud_cover"].alias("cloud_cover"), epsg.alias("epsg"), F.transform_values("assets", lambda _, a: F.struct(a["href"].alias("href"), F.get(a["raster:bands"], F.lit(0))["scale"].alias("scale"), F.get(a["raster:bands"], F.lit(0))["offset"].alias("offset"))).alias("assets"),
     )
     return out.where("scene_id IS NOT NULL AND n IS NOT NULL AND acquired_at IS NOT NULL")
 

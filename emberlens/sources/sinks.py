@@ -95,7 +95,7 @@ class Snapshots:
 
 def write_csv(df: DataFrame, path: str, columns: list[tuple[str, bool]]) -> None:
     """Lines with CRLF under a header; each part file is a whole table. columns: (name, whether it is text)."""
-    df.select(*[T.csv_cell(c, is_text).alias(c) for c, is_text in columns]).write.option("header", True).option("lineSep", "\r\n").option("quote", "").csv(path)
+    df.select(*[T.csv_cell(c, is_text).alias(c) for c, is_text in columns]).write.options(header=True, lineSep="\r\n", quote="", emptyValue="", nullValue="").csv(path)
 
 
 def write_features(features: DataFrame, path: str, column: str = "feature") -> None:
