@@ -19,13 +19,14 @@ from itertools import islice
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces whose ids a Python worker keeps over its tasks; when there are more, it starts over. A bound on memory alone.
-CACHED_PIECES = 800_000
+CACHED_PIECES = 600_000
 #: Bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
-QUERY_BYTES, DECODE_TOKENS = 1_000_000, 2_000_000
+QUERY_BYTES, DECODE_TOKENS = 250_000, 500_000
 
 #: Pieces of more bytes are contracted at all places of their lowest pair in one step.
 SHORT_PIECE = 64
@@ -94,7 +95,7 @@ class Coder:
         self.token_bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = len(token)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], made) for t, made in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         head, tail, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._table("merges", pa.table({"head": head, "tail": tail, "made": made}))
@@ -179,7 +180,7 @@ def coder_of(ranks_file: str, pattern: str) -> Coder:
 
 def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text (column 1) each."""
-    sizes = np.array([len(t or "") for t in batch.column(1).to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(sizes):
         stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
