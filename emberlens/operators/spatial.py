@@ -82,8 +82,9 @@ def distance_pairs(points: DataFrame, max_km: float) -> DataFrame:
 def single_linkage(points: DataFrame, max_km: float) -> DataFrame:
     """(id, lat, lon) -> (id, cluster): connected by hops of at most ``max_km``; a cluster is named by its smallest id.
 
-    A dense place yields no quadratic pairs: points of one small cell (its diagonal is below ``max_km``) are linked through the
-    cell's smallest id, and only places in different cells are compared, each pair of coordinates once.
+    Points of one small cell (its diagonal is below ``max_km``) are linked through the cell's smallest id, so a dense place adds few edges
+    to the graph; equal coordinates are one spot. Spots are still compared within the cells of the distance grid: that cost grows with the
+    square of the distinct coordinates in a cell of ``max_km``.
     """
     side = max_km / 111.2 / 1.5
     row = N.row_of("lat", side)
