@@ -4,6 +4,9 @@ A text is cut into pieces by the vocabulary's pattern. A task's distinct pieces
 query joins neighbouring rows with the merge table and contracts, in every piece at once, the pair of lowest rank, leftmost first, until no
 piece has a pair left. Decoding joins ids with the vocabulary and aggregates the tokens' bytes in order.
 
+A long piece is first cut between neighbouring bytes that no token has side by side: no merge can cross such a place, so its parts contract
+on their own.
+
 The merge table holds every way to cut a vocabulary token into two; a pair's rank is the rank of what it makes. In long pieces all
 non-overlapping places of the lowest pair are contracted in one step: later merges have higher ranks, so they would be next anyway.
 """
@@ -46,9 +49,9 @@ WITH RECURSIVE steps(k, tok, step) AS (
 )
 SELECT s.tok FROM steps s JOIN (SELECT k >> 22 AS w, max(step) AS last FROM steps GROUP BY 1) f ON f.w = s.k >> 22 AND f.last = s.step ORDER BY s.k
 """
-#: The same, with all non-overlapping places of the lowest pair at once: few steps, dearer ones.
+#: The same, with all non-overlapping places of the lowest pair at once: few steps, dearer ones. k = piece * 2^40 + position.
 ENCODE_LONG = """
-WITH RECURSIVE bytes_in AS (SELECT k >> 22 AS w, k & 4194303 AS pos, tok FROM bytes_of), steps(w, pos, tok, step) AS (
+WITH RECURSIVE bytes_in AS (SELECT k >> 40 AS w, k & 1099511627775 AS pos, tok FROM bytes_of), steps(w, pos, tok, step) AS (
     SELECT w, pos, tok, 0 FROM bytes_in
   UNION ALL
     SELECT w, pos, CASE WHEN merged THEN made ELSE tok END, step + 1 FROM (
@@ -86,6 +89,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def pairs_of(data: np.ndarray) -> np.ndarray:
+    """A number for each pair of neighbouring bytes."""
+    return data[:-1].astype(np.int32) * 256 + data[1:]
+
+
 class Coder:
     """A Python worker's DuckDB with the merge table and the vocabulary."""
 
@@ -93,8 +101,10 @@ class Coder:
         self.ranks, self.split = read_ranks(ranks_file), regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.token_bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.adjoin = np.zeros(65536, bool)  # pairs of bytes that some token has side by side
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = len(token)
+            self.adjoin[pairs_of(np.frombuffer(token, np.uint8))] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], made) for t, made in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         head, tail, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
@@ -116,11 +126,12 @@ class Coder:
         """Ids of the pieces, one after the other, and how many each has."""
         flat, counts, at = [], [], 0
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        shift = 40 if query is ENCODE_LONG else 22
         while at < len(pieces):
             stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), QUERY_BYTES, "right")))
             n = sizes[at:stop]
             joined = np.frombuffer(b"".join(pieces[at:stop]), np.uint8)
-            k = np.repeat((np.arange(len(n)) << 22) - (np.cumsum(n) - n), n) + np.arange(len(joined))
+            k = np.repeat((np.arange(len(n)) << shift) - (np.cumsum(n) - n), n) + np.arange(len(joined))
             self._table("bytes_of", pa.table({"k": k, "tok": self.byte_ids[joined]}))
             ids = self.db.sql(query).to_arrow_table().column("tok").to_numpy().astype("<u4")
             ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(n)) + 1  # a piece ends where its bytes do
@@ -129,13 +140,32 @@ class Coder:
             at = stop
         return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *counts])
 
+    def _contract_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long pieces, by their parts; parts that repeat are contracted once."""
+        number, owners = Numbering(), []
+        for piece in pieces:
+            cuts = np.flatnonzero(~self.adjoin[pairs_of(np.frombuffer(piece, np.uint8))]) + 1
+            owners.append(np.fromiter((number[piece[a:b]] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)), np.int64, len(cuts) + 1))
+        parts, starts, sizes, flats, base = list(number), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
+        long = np.fromiter((len(p) > SHORT_PIECE for p in parts), bool, len(parts))
+        for at, query in ((np.flatnonzero(~long), ENCODE), (np.flatnonzero(long), ENCODE_LONG)):
+            ids, counts = self._contract([parts[i] for i in at], query)
+            starts[at], sizes[at] = base + np.cumsum(counts) - counts, counts
+            base += len(ids)
+            flats.append(ids)
+        whole = [np.zeros(0, np.int64), *owners]
+        return gather(np.concatenate(flats), starts[np.concatenate(whole)], sizes[np.concatenate(whole)]), np.array([sizes[o].sum() for o in owners], np.int64)
+
     def _learn(self, pieces: list[bytes]) -> None:
         """Ids of new pieces: a piece that is a token is that token, as in the tiktoken library."""
         whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
         long = np.fromiter((len(p) > SHORT_PIECE for p in pieces), bool, len(pieces))
         starts, sizes, base, flats = np.zeros(len(pieces), np.int64), np.ones(len(pieces), np.int64), len(self.flat), [self.flat]
-        for at, query in ((np.flatnonzero(whole >= 0), None), (np.flatnonzero((whole < 0) & ~long), ENCODE), (np.flatnonzero((whole < 0) & long), ENCODE_LONG)):
-            ids, counts = self._contract([pieces[i] for i in at], query) if query else (whole[at].astype("<u4"), sizes[at])
+        known = lambda at: (whole[at].astype("<u4"), sizes[at])
+        short = lambda at: self._contract([pieces[i] for i in at], ENCODE)
+        by_parts = lambda at: self._contract_long([pieces[i] for i in at])
+        for at, work in ((np.flatnonzero(whole >= 0), known), (np.flatnonzero((whole < 0) & ~long), short), (np.flatnonzero((whole < 0) & long), by_parts)):
+            ids, counts = work(at)
             starts[at], sizes[at] = base + np.cumsum(counts) - counts, counts
             base += len(ids)
             flats.append(ids)

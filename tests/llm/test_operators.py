@@ -238,6 +238,19 @@ def test_bpe(spark):
     assert bpe.round_trip(df.where("false"), queries.ranks_file(), P.PATTERN).count() == 0
 
 
+def test_bpe_long_pieces():
+    """Unbroken runs of letters, marks and wide characters, and one beyond 4 MiB, against the tiktoken library."""
+    rng = np.random.default_rng(5)
+    coder = bpe.Coder(queries.ranks_file(), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    texts = ["".join(rng.choice(list(letters), n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "qzjx", "中文字符測試語言", "абвгдежз", "!@#$%^&*()=", "😀😁🎉") for n in (65, 300, 20_000)]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(text)
+    long = "ab" * 2_200_000
+    ids = coder.encode([long])
+    assert coder.decode(ids) == [long.encode()] and ids[0][:1000].tolist() == enc.encode_ordinary(long[:8000])[:1000]
+
+
 # ---- 9 Jaccard
 def slow_shingles(text):
     import re
