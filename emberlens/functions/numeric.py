@@ -168,14 +168,31 @@ def bboxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["w"] <= b["e"]) & (b["w"] <= a["e"]) & (a["s"] <= b["n"]) & (b["s"] <= a["n"])
 
 
+def _around(lon, lat, wide_km, high_km) -> tuple[Column, Column, Column, Column]:
+    dx, dy = wide_km / 2.0 / (F.cos(radians(lat)) * KM_PER_DEG), high_km / 2.0 / KM_PER_DEG_LAT_AOI
+    return tuple(js_round(x, 5) for x in (lon - dx, lat - dy, lon + dx, lat + dy))
+
+
 def expand_aoi(west, south, east, north, factor: float = 1.2, least_km: float = 3.0, most_km: float = 20.0) -> tuple[Column, Column, Column, Column]:
-    """A box around the same centre, each side ``factor`` times as long, but from ``least_km`` to ``most_km``."""
+    """A box around the same centre to five decimals: each side ``factor`` times as long, ``least_km`` at least. Where one is over ``most_km``, a square of that."""
     w, s, e, n = map(num, (west, south, east, north))
     lat, lon = (s + n) / 2.0, (w + e) / 2.0
-    per_lon = F.cos(radians(lat)) * KM_PER_DEG
-    wide = F.least(F.lit(most_km), F.greatest(F.lit(least_km), (e - w) * per_lon * factor))
-    high = F.least(F.lit(most_km), F.greatest(F.lit(least_km), (n - s) * KM_PER_DEG_LAT_AOI * factor))
-    return lon - wide / 2.0 / per_lon, lat - high / 2.0 / KM_PER_DEG_LAT_AOI, lon + wide / 2.0 / per_lon, lat + high / 2.0 / KM_PER_DEG_LAT_AOI
+    wide = F.greatest(F.lit(least_km), (e - w) * (F.cos(radians(lat)) * KM_PER_DEG) * factor)
+    high = F.greatest(F.lit(least_km), (n - s) * KM_PER_DEG_LAT_AOI * factor)
+    over = F.greatest(wide, high) > most_km
+    return _around(lon, lat, F.when(over, most_km).otherwise(wide), F.when(over, most_km).otherwise(high))
+
+
+def pad_bbox(west, south, east, north, km: float) -> tuple[Column, Column, Column, Column]:
+    """The box grown by ``km`` on each side, measured at its middle latitude, to five decimals."""
+    w, s, e, n = map(num, (west, south, east, north))
+    dx, dy = F.lit(float(km)) / (F.cos(radians((s + n) / 2.0)) * KM_PER_DEG), km / KM_PER_DEG_LAT_AOI
+    return tuple(js_round(x, 5) for x in (w - dx, s - dy, e + dx, n + dy))
+
+
+def clip_bbox(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """What two boxes that meet have in common."""
+    return {"w": F.greatest(a["w"], b["w"]), "s": F.greatest(a["s"], b["s"]), "e": F.least(a["e"], b["e"]), "n": F.least(a["n"], b["n"])}
 
 
 def cell_area_km2(lat0, step_deg, width_deg) -> Column:

@@ -126,6 +126,35 @@ def ndvi_color(value) -> Column:
     return F.array(*[js_round(stop(i, c) + (stop(i + 1, c) - stop(i, c)) * (t - i)).cast("int") for c in range(3)])
 
 
+# The brightest reflectance of a short-wave picture and its gamma.
+SWIR_BRIGHTEST, SWIR_GAMMA = 0.4, 1.4
+
+
+def stretch_swir(dn, scale: float = 0.0001, offset: float = -0.1) -> Column:
+    """A band's number as a byte of a short-wave picture."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (num(dn) * scale + offset) / SWIR_BRIGHTEST))
+    return js_round(F.pow(t, F.lit(1 / SWIR_GAMMA)) * 255.0).cast("int")
+
+
+def rgba(numbers: list[Column], channels: list[Column], empty: str = "any") -> Column:
+    """[r, g, b, 255], or four zeros where ``empty`` ('any' or 'all') of the bands' numbers are 0 or null."""
+    none = [F.coalesce(num(x) == 0, F.lit(True)) for x in numbers]
+    out = none[0]
+    for x in none[1:]:
+        out = (out | x) if empty == "any" else (out & x)
+    return F.when(out, F.array(*[F.lit(0)] * 4)).otherwise(F.array(*[c.cast("int") for c in channels], F.lit(255)))
+
+
+def swir_rgba(b12, b8a, b04, scale: float = 0.0001, offset: float = -0.1) -> Column:
+    return rgba([b12, b8a, b04], [stretch_swir(b, scale, offset) for b in (b12, b8a, b04)])
+
+
+def ndvi_rgba(red, nir, scl, scale: float = 0.0001, offset: float = -0.1) -> Column:
+    """The palette's colour of a pixel; four zeros where it isn't clear or has no index."""
+    v = normalized_difference(reflectance(nir, scale, offset), reflectance(red, scale, offset))
+    return F.when(is_clear(scl) & v.isNotNull(), F.concat(ndvi_color(v), F.array(F.lit(255)))).otherwise(F.array(*[F.lit(0)] * 4))
+
+
 def decode_disturbance(red, green, blue) -> Column:
     """Days since the first day and the confidence that an alert tile's pixel encodes."""
     r, g, b = (num(x).cast("int") for x in (red, green, blue))

@@ -1,13 +1,15 @@
-"""Rasters as rows of pixels: statistics of a scene's mask, index means of a region, the best scenes."""
+"""Rasters as rows of pixels: statistics of a scene's mask, index means of a region, the best scenes, projected boxes, resampling."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from emberlens.functions import numeric as N, spectral as S
+from emberlens.functions import numeric as N, projection as P, spectral as S
 
 CLEAR_LEAST, NODATA_MOST, VALID_LEAST = 0.8, 0.05, 0.5
 CANDIDATES = 6
+#: Samples of a box's edge, less one.
+EDGE_STEPS = 8
 
 
 def scl_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,3 +77,52 @@ def search_scenes(scenes: DataFrame, box: dict[str, float], start, end, cloud_be
     own = {k: F.col(k) for k in ("w", "s", "e", "n")}
     hit = scenes.where(N.bboxes_meet(own, {k: F.lit(float(v)) for k, v in box.items()})).where(F.col("acquired_at").between(start, end)).where(F.coalesce("cloud_cover", F.lit(0.0)) < cloud_below)
     return hit.orderBy(F.to_date("acquired_at"), F.coalesce("cloud_cover", F.lit(100.0)), "scene_id").limit(limit)
+
+
+def project_boxes(boxes: DataFrame, keys: list[str], epsg, steps: int = EDGE_STEPS) -> DataFrame:
+    """(keys, w, s, e, n in degrees) -> keys, box (struct in metres): the envelope in a zone, each edge sampled ``steps`` times as it curves there.
+
+    Samples become rows, so that each is projected once; they combine before the shuffle. Null boxes and codes that are no zone give a null box.
+    """
+    w, s, e, n = map(F.col, "wsen")
+    points = []
+    for i in range(steps + 1):
+        lon, lat = w + (e - w) * (i / steps), s + (n - s) * (i / steps)
+        points += [F.struct(x.alias("lon"), y.alias("lat")) for x, y in ((lon, s), (lon, n), (w, lat), (e, lat))]
+    p = boxes.select(*keys, N.num(epsg).alias("_epsg"), F.explode(F.array(*points)).alias("_p")).select(*keys, P.utm("_p.lat", "_p.lon", "_epsg").alias("_m"))
+    out = p.groupBy(*keys).agg(*[f(f"_m.{c}").alias(f"_{k}") for k, f, c in (("w", F.min, "x"), ("s", F.min, "y"), ("e", F.max, "x"), ("n", F.max, "y"))])
+    return out.select(*keys, F.when(F.col("_w").isNotNull(), F.struct(*[F.col(f"_{k}").alias(k) for k in "wsen"])).alias("box"))
+
+
+def resample(pixels: DataFrame, plans: DataFrame, bilinear: bool = False) -> DataFrame:
+    """Pixels of images onto output grids: (image, col, row, value), a row for each grid pixel, 0 where there is no data.
+
+    ``pixels``: (image, col, row, value), absent and 0 meaning no data. ``plans``: (image, grid, x0, y0, resolution, window) as made by ``functions.projection``.
+    Nearest, or bilinear between the window's pixels; next to one without data bilinear takes the nearest. Grid pixels meet image pixels in an
+    equi-join, each with the one or four that it needs.
+    """
+    g, w = F.col("grid"), F.col("window")
+    cells = plans.select("image", "grid", "x0", "y0", "resolution", "window", F.explode(F.sequence(F.lit(0), g["height"] - 1)).alias("row"))
+    cells = cells.withColumn("col", F.explode(F.sequence(F.lit(0), g["width"] - 1)))
+    x, y = g["w"] + (F.col("col") + 0.5) * g["pixel"], g["n"] - (F.col("row") + 0.5) * g["pixel"]
+    fx, fy = (x - F.col("x0")) / F.col("resolution") - w["x0"] - 0.5, (F.col("y0") - y) / F.col("resolution") - w["y0"] - 0.5
+    cells = cells.select("image", "col", "row", fx.alias("fx"), fy.alias("fy"), (w["x1"] - w["x0"]).alias("wide"), (w["y1"] - w["y0"]).alias("high"), w["x0"].alias("left"), w["y0"].alias("top"))
+    near_x, near_y = F.floor(F.col("fx") + 0.5), F.floor(F.col("fy") + 0.5)
+    inside = (near_x >= 0) & (near_y >= 0) & (near_x < F.col("wide")) & (near_y < F.col("high"))
+    clip = lambda v, most: F.greatest(F.lit(0), F.least(most - 1, v))
+    one = lambda c, r, weight, role: F.struct((c + F.col("left")).cast("long").alias("c"), (r + F.col("top")).cast("long").alias("r"), weight.alias("weight"), F.lit(role).alias("role"))
+    asked = [one(near_x, near_y, F.lit(0.0), "nearest")]
+    if bilinear:
+        left, top = clip(F.floor("fx"), F.col("wide")), clip(F.floor("fy"), F.col("high"))
+        right, bottom = F.least(F.col("wide") - 1, left + 1), F.least(F.col("high") - 1, top + 1)
+        tx, ty = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f) - at)) for f, at in (("fx", left), ("fy", top)))
+        asked += [one(c, r, a * b, "corner") for c, a in ((left, 1 - tx), (right, tx)) for r, b in ((top, 1 - ty), (bottom, ty))]
+    wanted = cells.withColumn("p", F.explode(F.when(inside, F.array(*asked)).otherwise(F.array(one(F.lit(-1), F.lit(-1), F.lit(0.0), "nearest")))))
+    source = pixels.select(F.col("image").alias("_i"), F.col("col").alias("_c"), F.col("row").alias("_r"), F.col("value").cast("double").alias("value"))
+    met = wanted.join(source, (F.col("image") == F.col("_i")) & (F.col("p.c") == F.col("_c")) & (F.col("p.r") == F.col("_r")), "left")
+    value = F.coalesce("value", F.lit(0.0))
+    corner = F.col("p.role") == "corner"
+    out = met.groupBy("image", "col", "row").agg(
+        F.max(F.when(~corner, value)).alias("nearest"), F.sum(F.when(corner, value * F.col("p.weight"))).alias("mean"), F.coalesce(F.bool_or(F.when(corner, value == 0)), F.lit(True)).alias("gap")
+    )
+    return out.select("image", "col", "row", F.when(F.col("gap") | (F.col("nearest") == 0), F.col("nearest")).otherwise(F.col("mean")).alias("value"))

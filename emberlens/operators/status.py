@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import text as T
@@ -31,11 +34,28 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def throttled(access: DataFrame, seconds: int = 600) -> DataFrame:
-    """Access records worth writing: the first of a source, a change of outcome, or ``seconds`` after the one before."""
+    """Access records worth writing: the first of a source, a change of outcome, or ``seconds`` or more after the last one written.
+
+    A change and a pause of that length are written in any case, so each begins a chain that nothing before it has a say in. Chains are spread over
+    the tasks and walked through in time; a task holds one batch of rows.
+    """
     order = W.partitionBy("source").orderBy("at", "run_id")
-    flip = F.lag("ok").over(order).isNull() | (F.lag("ok").over(order) != F.col("ok"))
-    pause = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(order)) >= seconds
-    return access.withColumn("write", flip | F.coalesce(pause, F.lit(False)))
+    before = F.lag("ok").over(order)
+    pause = F.unix_millis("at") - F.unix_millis(F.lag("at").over(order))
+    begins = before.isNull() | (before != F.col("ok")) | (pause >= seconds * 1000)
+    chained = access.withColumn("_begins", begins.cast("int")).withColumn("_chain", F.sum("_begins").over(order)).withColumn("_ms", F.unix_millis("at"))
+    sorted_ = chained.repartition("source", "_chain").sortWithinPartitions("source", "_chain", "at", "run_id")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for rows in batches:
+            write = []
+            for begin, ms in zip(rows["_begins"], rows["_ms"], strict=True):
+                write.append(bool(begin) or ms - last >= seconds * 1000)
+                last = ms if write[-1] else last
+            yield rows.drop(columns=["_begins", "_chain", "_ms"]).assign(write=write)
+
+    return sorted_.mapInPandas(walk, access.withColumn("write", F.lit(True)).schema)
 
 
 # ---- freshness

@@ -118,8 +118,12 @@ def freshness_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "age_seconds", "data_state", "access_state", "state")
 
 
-@query(f"""WITH {RUNS_SQL}, x AS (SELECT *, lag(ok) OVER w AS before, lag(seen) OVER w AS t FROM runs WINDOW w AS (PARTITION BY source ORDER BY seen, run_id))
-SELECT run_id FROM x WHERE before IS NULL OR before <> ok OR date_diff('second', date_trunc('second', t), date_trunc('second', seen)) >= 600""")
+@query(f"""WITH RECURSIVE {RUNS_SQL}, x AS (SELECT *, lag(ok) OVER w AS before, epoch_ms(seen) - lag(epoch_ms(seen)) OVER w AS pause FROM runs WINDOW w AS (PARTITION BY source ORDER BY seen, run_id)),
+c AS (SELECT run_id, source, epoch_ms(seen) AS ms, before IS NULL OR before <> ok OR pause >= 600000 AS begins, sum((before IS NULL OR before <> ok OR pause >= 600000)::INT) OVER (PARTITION BY source ORDER BY seen, run_id) AS chain FROM x),
+t AS (SELECT run_id, source, chain, ms FROM c WHERE begins
+  UNION ALL SELECT n.run_id, n.source, n.chain, n.ms FROM (SELECT c.source, c.chain, min((c.ms, c.run_id)) AS at FROM t JOIN c ON c.source = t.source AND c.chain = t.chain AND c.ms >= t.ms + 600000 GROUP BY 1, 2) m
+  JOIN c n ON n.source = m.source AND n.chain = m.chain AND (n.ms, n.run_id) = m.at)
+SELECT run_id FROM t""")
 def access_throttle(spark: SparkSession, d: str) -> DataFrame:
     return status.throttled(V.runs(spark, d)).where("write").select("run_id")
 
