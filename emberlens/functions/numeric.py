@@ -168,19 +168,17 @@ def bboxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["w"] <= b["e"]) & (b["w"] <= a["e"]) & (a["s"] <= b["n"]) & (b["s"] <= a["n"])
 
 
-def _around(lon, lat, wide_km, high_km) -> tuple[Column, Column, Column, Column]:
-    dx, dy = wide_km / 2.0 / (F.cos(radians(lat)) * KM_PER_DEG), high_km / 2.0 / KM_PER_DEG_LAT_AOI
-    return tuple(js_round(x, 5) for x in (lon - dx, lat - dy, lon + dx, lat + dy))
-
-
 def expand_aoi(west, south, east, north, factor: float = 1.2, least_km: float = 3.0, most_km: float = 20.0) -> tuple[Column, Column, Column, Column]:
-    """A box around the same centre to five decimals: each side ``factor`` times as long, ``least_km`` at least. Where one is over ``most_km``, a square of that."""
+    """A box around the same centre, each side ``factor`` times as long, ``least_km`` at least; where one is over ``most_km``, a square of that. Not rounded."""
     w, s, e, n = map(num, (west, south, east, north))
     lat, lon = (s + n) / 2.0, (w + e) / 2.0
-    wide = F.greatest(F.lit(least_km), (e - w) * (F.cos(radians(lat)) * KM_PER_DEG) * factor)
+    per_lon = F.cos(radians(lat)) * KM_PER_DEG
+    wide = F.greatest(F.lit(least_km), (e - w) * per_lon * factor)
     high = F.greatest(F.lit(least_km), (n - s) * KM_PER_DEG_LAT_AOI * factor)
     over = F.greatest(wide, high) > most_km
-    return _around(lon, lat, F.when(over, most_km).otherwise(wide), F.when(over, most_km).otherwise(high))
+    dx = F.when(over, most_km).otherwise(wide) / 2.0 / per_lon
+    dy = F.when(over, most_km).otherwise(high) / 2.0 / KM_PER_DEG_LAT_AOI
+    return lon - dx, lat - dy, lon + dx, lat + dy
 
 
 def pad_bbox(west, south, east, north, km: float) -> tuple[Column, Column, Column, Column]:

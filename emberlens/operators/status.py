@@ -34,17 +34,27 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def throttled(access: DataFrame, seconds: int = 600) -> DataFrame:
-    """Access records worth writing: the first of a source, a change of outcome, or ``seconds`` or more after the last one written.
+    """Access records worth writing: the first of a source, a change of outcome, or ``seconds`` after the one before."""
+    order = W.partitionBy("source").orderBy("at", "run_id")
+    flip = F.lag("ok").over(order).isNull() | (F.lag("ok").over(order) != F.col("ok"))
+    pause = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(order)) >= seconds
+    return access.withColumn("write", flip | F.coalesce(pause, F.lit(False)))
+
+
+def spaced(records: DataFrame, keys: list[str], seconds: int = 600, change: str | None = None) -> DataFrame:
+    """Records (keys, at, run_id, ...) plus ``write``: the first of its keys, or ``seconds`` or more after the last one written; with ``change``, also
+    each one in which that column differs from the record before.
 
     A change and a pause of that length are written in any case, so each begins a chain that nothing before it has a say in. Chains are spread over
     the tasks and walked through in time; a task holds one batch of rows.
     """
-    order = W.partitionBy("source").orderBy("at", "run_id")
-    before = F.lag("ok").over(order)
+    order = W.partitionBy(*keys).orderBy("at", "run_id")
     pause = F.unix_millis("at") - F.unix_millis(F.lag("at").over(order))
-    begins = before.isNull() | (before != F.col("ok")) | (pause >= seconds * 1000)
-    chained = access.withColumn("_begins", begins.cast("int")).withColumn("_chain", F.sum("_begins").over(order)).withColumn("_ms", F.unix_millis("at"))
-    sorted_ = chained.repartition("source", "_chain").sortWithinPartitions("source", "_chain", "at", "run_id")
+    begins = pause.isNull() | (pause >= seconds * 1000)
+    if change:
+        begins = begins | ~F.lag(change).over(order).eqNullSafe(F.col(change))
+    chained = records.withColumn("_begins", begins.cast("int")).withColumn("_chain", F.sum("_begins").over(order)).withColumn("_ms", F.unix_millis("at"))
+    in_time = chained.repartition(*keys, "_chain").sortWithinPartitions(*keys, "_chain", "at", "run_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -55,7 +65,7 @@ def throttled(access: DataFrame, seconds: int = 600) -> DataFrame:
                 last = ms if write[-1] else last
             yield rows.drop(columns=["_begins", "_chain", "_ms"]).assign(write=write)
 
-    return sorted_.mapInPandas(walk, access.withColumn("write", F.lit(True)).schema)
+    return in_time.mapInPandas(walk, records.withColumn("write", F.lit(True)).schema)
 
 
 # ---- freshness

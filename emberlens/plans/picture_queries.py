@@ -58,7 +58,7 @@ def picture_grids(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     w, s = (k % 40) * 0.1 + 104.0, (k % 23) * 0.3 + 50.0
     box = dict(zip("wsen", N.expand_aoi(w, s, w + F.col("p_size") * 0.008, s + (k % 11) * 0.02), strict=True))
-    a = table(spark, d, "part").select(k.alias("id"), *[c.alias(n) for n, c in box.items()])
+    a = table(spark, d, "part").select(k.alias("id"), *[N.js_round(c, 5).alias(n) for n, c in box.items()])
     g = raster.project_boxes(a, ["id"], F.lit(32648)).select("id", P.plan_grid(F.col("box")).alias("grid"))
     g = g.withColumn("level", P.pick_level(F.array(*[F.lit(r) for r in LEVELS[:3]]), F.col("grid.pixel")))
     factor = F.pow(F.lit(2.0), F.col("level"))

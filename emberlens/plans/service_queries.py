@@ -118,16 +118,34 @@ def freshness_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "age_seconds", "data_state", "access_state", "state")
 
 
-@query(f"""WITH RECURSIVE {RUNS_SQL}, x AS (SELECT *, lag(ok) OVER w AS before, epoch_ms(seen) - lag(epoch_ms(seen)) OVER w AS pause FROM runs WINDOW w AS (PARTITION BY source ORDER BY seen, run_id)),
-c AS (SELECT run_id, source, epoch_ms(seen) AS ms, before IS NULL OR before <> ok OR pause >= 600000 AS begins, sum((before IS NULL OR before <> ok OR pause >= 600000)::INT) OVER (PARTITION BY source ORDER BY seen, run_id) AS chain FROM x),
-t AS (SELECT run_id, source, chain, ms FROM c WHERE begins
-  UNION ALL SELECT n.run_id, n.source, n.chain, n.ms FROM (SELECT c.source, c.chain, min((c.ms, c.run_id)) AS at FROM t JOIN c ON c.source = t.source AND c.chain = t.chain AND c.ms >= t.ms + 600000 GROUP BY 1, 2) m
-  JOIN c n ON n.source = m.source AND n.chain = m.chain AND (n.ms, n.run_id) = m.at)
-SELECT run_id FROM t""")
+@query(f"""WITH {RUNS_SQL}, x AS (SELECT *, lag(ok) OVER w AS before, lag(seen) OVER w AS t FROM runs WINDOW w AS (PARTITION BY source ORDER BY seen, run_id))
+SELECT run_id FROM x WHERE before IS NULL OR before <> ok OR date_diff('second', date_trunc('second', t), date_trunc('second', seen)) >= 600""")
 def access_throttle(spark: SparkSession, d: str) -> DataFrame:
     return status.throttled(V.runs(spark, d)).where("write").select("run_id")
 
 
+def _spaced_sql(keys: str, change: str) -> str:
+    begins = f"pause IS NULL OR pause >= 600000{change}"
+    return f"""WITH RECURSIVE {RUNS_SQL}, x AS (SELECT *, lag(ok) OVER w AS before, epoch_ms(seen) - lag(epoch_ms(seen)) OVER w AS pause FROM runs WINDOW w AS (PARTITION BY {keys} ORDER BY seen, run_id)),
+c AS (SELECT run_id, hash({keys}) AS k, epoch_ms(seen) AS ms, {begins} AS begins, sum(({begins})::INT) OVER (PARTITION BY {keys} ORDER BY seen, run_id) AS chain FROM x),
+t AS (SELECT run_id, k, chain, ms FROM c WHERE begins
+  UNION ALL SELECT n.run_id, n.k, n.chain, n.ms FROM (SELECT c.k, c.chain, min((c.ms, c.run_id)) AS at FROM t JOIN c ON c.k = t.k AND c.chain = t.chain AND c.ms >= t.ms + 600000 GROUP BY 1, 2) m
+  JOIN c n ON n.k = m.k AND n.chain = m.chain AND (n.ms, n.run_id) = m.at)
+SELECT run_id FROM t"""
+
+
+@query(_spaced_sql("source, ok", ""))
+def access_log_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Once in ten minutes for each source and outcome."""
+    return status.spaced(V.runs(spark, d), ["source", "ok"]).where("write").select("run_id")
+
+
+@query(_spaced_sql("source", " OR before <> ok"))
+def quality_log_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Once in ten minutes for each source, and at each change of outcome."""
+    return status.spaced(V.runs(spark, d), ["source"], change="ok").where("write").select("run_id")
+
+
 RAW_SQL = """raw AS (SELECT event_id, 'f' || (user_id % 20) AS file, CASE WHEN event_id % 31 = 0 THEN 'x' WHEN event_id % 37 = 0 THEN '95' ELSE '52.5' END AS latitude, CASE WHEN event_id % 41 = 0 THEN '' ELSE '104' END AS longitude,
   CASE WHEN event_id % 43 = 0 THEN '2024/01/01' ELSE '2024-01-01' END AS acq_date, CASE WHEN event_id % 47 = 0 THEN ' ' WHEN user_id % 20 = 3 AND event_id % 5 = 0 THEN NULL ELSE '0512' END AS acq_time FROM events),
 checked AS (SELECT *, CASE WHEN try_cast(latitude AS DOUBLE) IS NULL OR abs(try_cast(latitude AS DOUBLE)) > 90 THEN 'latitude' WHEN try_cast(longitude AS DOUBLE) IS NULL OR abs(try_cast(longitude AS DOUBLE)) > 180 THEN 'longitude'

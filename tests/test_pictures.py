@@ -104,9 +104,20 @@ def test_territory(spark):
     assert one(spark, *[territory.tagged_area_ha(s(x)) for x in ("12.5 ha", " 7", "-1", "0", "x", None, "1e2")]) == (12.5, 7.0, None, None, None, None, 100.0)
 
 
-def test_throttle_counts_from_the_last_write(spark):
+def test_spaced_records(spark):
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
-    rows = [(i, "a", at(5 * i), True) for i in range(7)] + [(10, "a", at(31), False), (11, "a", at(36), False), (12, "a", at(41), False), (13, "b", at(1), True)]
-    out = status.throttled(spark.createDataFrame(rows, "run_id long, source string, at timestamp, ok boolean"))
-    assert sorted(r.run_id for r in out.where("write").collect()) == [0, 2, 4, 6, 10, 12, 13]
-    assert out.count() == len(rows) and status.throttled(out.drop("write").where("false")).count() == 0
+    rows = [(i, "a", at(5 * i), True) for i in range(7)] + [(10, "a", at(31), False), (11, "a", at(36), False), (12, "a", at(41), False), (14, "a", at(42), True), (13, "b", at(1), True)]
+    log = spark.createDataFrame(rows, "run_id long, source string, at timestamp, ok boolean")
+    written = lambda df: sorted(r.run_id for r in df.where("write").collect())
+    assert written(status.spaced(log, ["source"], change="ok")) == [0, 2, 4, 6, 10, 12, 13, 14]
+    assert written(status.spaced(log, ["source", "ok"])) == [0, 2, 4, 6, 10, 12, 13, 14]
+    near = spark.createDataFrame([(1, "a", at(0), True), (2, "a", at(1), False), (3, "a", at(2), True), (4, "a", at(3), False)], log.schema)
+    assert written(status.spaced(near, ["source"], change="ok")) == [1, 2, 3, 4] and written(status.spaced(near, ["source", "ok"])) == [1, 2]
+    assert status.spaced(log, ["source"]).count() == len(rows) and status.spaced(log.where("false"), ["source"]).count() == 0
+
+
+def test_area_of_interest(spark):
+    from emberlens.functions import numeric as N
+
+    w, s, e, n = one(spark, *N.expand_aoi(F.lit(104.0), F.lit(52.0), F.lit(104.5), F.lit(52.001)))
+    assert (n - s) * N.KM_PER_DEG_LAT_AOI == pytest.approx(20) and (e - w) * N.KM_PER_DEG * np.cos(np.radians(52.0005)) == pytest.approx(20)
