@@ -9,6 +9,8 @@ from emberlens.llm.queries import pattern, ranks_file
 from emberlens.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share 80 percent or more of their runs of five words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents the one with the smallest id."""
-    gone = materialize(jaccard.near_classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    gone = materialize(jaccard.near_classes(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -48,3 +48,13 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+def test_near_copies_from_eighty_percent(spark):
+    """Two of a hundred words differ: 0.81 on runs of five words, 0.848 on runs of four."""
+    words = [f"w{i}" for i in range(100)]
+    copy = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]
+    other = [f"v{i}" for i in range(100)]
+    rows = [(i, " ".join(w), "en", "web", 0) for i, w in enumerate((words, copy, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == [0, 2]
