@@ -58,3 +58,12 @@ def test_near_copies_from_eighty_percent(spark):
     rows = [(i, " ".join(w), "en", "web", 0) for i, w in enumerate((words, copy, other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == [0, 2]
+
+
+def test_short_clean_text_stays(spark):
+    """A short clean text beside a shared line stays; what was nothing but shared lines goes."""
+    shared = "This whole line is shared by several documents of the table."
+    texts = [shared + "\nfirst", shared + "\nA clean short line.", shared, shared + "\n\n ", ""]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {0: texts[0], 1: "A clean short line.", 4: ""}
