@@ -42,6 +42,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = [int(i) for i in np.random.default_rng(6).permutation(3000)]
+    edges = list(zip(ids, ids[1:])) + [(5001, 5000)]
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == dict.fromkeys(ids, 0) | {5000: 5000, 5001: 5000}
+
+
 def test_distance_pairs(spark):
     rng = np.random.default_rng(1)
     spots = [(float(rng.choice([0, 52, 85, -89.9])) + float(rng.normal(0, 0.02)), float(rng.choice([0, 104, 179.999, -179.999])) + float(rng.normal(0, 0.03))) for _ in range(150)]
