@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document or line has. A document that lost lines and has none left that isn't empty goes."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """Texts without lines that an earlier document or line has, short ones included where they are the same. A document that lost lines and has none left that isn't empty goes."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), exact_chars=1)
     lines = F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x)))
     out = out.where((F.col("dedup_removed") == 0) | (F.array_max(lines) > 0))
     return out.withColumn("n_chars", F.when(F.col("dedup_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)

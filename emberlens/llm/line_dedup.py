@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberlens.llm.sieve import sieve, sift
 from emberlens.shared import materialize
 
-#: Shorter lines (in code points, without white space at the ends) are never removed: an edit in "Of it." says nothing.
+#: Shorter lines (in code points, without white space at the ends) are never near others: an edit in "Of it." says nothing.
 MIN_CHARS = 30
 #: Code points in a short block at least, and blocks in a line at most: a block of a very long line is longer.
 BLOCK, MOST_BLOCKS = 16, 1024
@@ -33,7 +33,7 @@ def _order(doc_id: Column, line_no: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, line_no, line (trimmed), at (its order), h1, h2 (128 bits of hash) for the lines that can be removed."""
+    """doc_id, line_no, line (trimmed), at (its order), h1, h2 (128 bits of hash) for the lines that can be removed: those of ``min_chars`` or more."""
     split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     split = split.select("doc_id", "line_no", F.trim("line").alias("line")).where(F.length("line") >= min_chars)
     return split.select("doc_id", "line_no", "line", _order(F.col("doc_id"), F.col("line_no")).alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
@@ -51,15 +51,17 @@ def _half_keys() -> Column:
     return F.when(n % 8 == 0, F.array(*pair(eighth), *pair(eighth - 1))).otherwise(F.array(*pair(eighth)))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, line_no) of each line that repeats an earlier one within ``max_edits`` (0 or 1).
 
-    Line numbers count from 0. Lines are compared without white space at their ends.
+    Line numbers count from 0. Lines are compared without white space at their ends. Lines of ``min_chars`` or more can go; with ``exact_chars``,
+    exact repeats of lines from that length on go too (1: of every line that isn't empty).
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1: with more, lines under one key needn't be near each other")
-    lines = _lines(docs.select("doc_id", "text"), min_chars)
-    places = materialize(lines.select("doc_id", "line_no", "h1", "h2", _half_keys().alias("halves")), "line-places")
+    lines = _lines(docs.select("doc_id", "text"), min_chars if exact_chars is None else min(exact_chars, min_chars))
+    halves = F.when(F.length("line") >= min_chars, _half_keys())  # null, so without a row below, for lines that only go as exact repeats
+    places = materialize(lines.select("doc_id", "line_no", "h1", "h2", halves.alias("halves")), "line-places")
     at = _order(F.col("doc_id"), F.col("line_no"))
     copies = places.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     if max_edits:
@@ -120,14 +122,14 @@ def near_pairs(near: DataFrame) -> DataFrame:
     return checked.select("at", "h1", "h2", "keeper")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """Documents -> the same rows and columns with removed lines taken out of ``text``, and dedup_lines, dedup_removed (counts).
 
     Null texts stay null and count as one empty line. Rows of one doc_id share their line numbers: a line that goes from one goes from all.
     Rows with a null doc_id are one document, after all others. Documents stay even when nothing is left of them, with an empty text.
     """
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    gone = removed_lines(docs, min_chars, max_edits).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    gone = removed_lines(docs, min_chars, max_edits, exact_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()]).withColumn("lines", F.split(F.coalesce(own["text"], F.lit("")), "\n"))
     out = kept.join(gone, F.col(own["doc_id"]).eqNullSafe(F.col("gone_id")), "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

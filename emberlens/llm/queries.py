@@ -134,6 +134,30 @@ FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP B
 """
 
 
+def line_dedup_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_line_dedup, and exact repeats of every non-empty line go, however short."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
+    return out.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_removed").alias("n_removed"), "text")
+
+
+ALL_LENGTHS_SQL = """
+WITH l AS (
+  SELECT doc_id, i AS line_no, trim(a[i], ' ') AS line, a[i] AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), unnest(range(1, len(a) + 1)) u(i)),
+e AS (SELECT line, min((doc_id, line_no)) AS place FROM l WHERE line <> '' GROUP BY line),
+d AS (SELECT line, place FROM e WHERE length(line) >= 30),
+v AS (SELECT line, place, i, md5(left(line, i - 1) || substr(line, i + 1)) AS cut, length(line) AS n FROM d, unnest(range(1, length(line) + 1)) u(i)),
+near AS (
+  SELECT v.line FROM v JOIN (SELECT n, i, cut, min(place) AS first FROM v GROUP BY ALL HAVING count(*) > 1) g ON v.n = g.n AND v.i = g.i AND v.cut = g.cut WHERE v.place > g.first
+  UNION SELECT v.line FROM v JOIN d ON v.cut = md5(d.line) WHERE d.place < v.place
+  UNION SELECT d.line FROM v JOIN d ON v.cut = md5(d.line) WHERE v.place < d.place),
+gone AS (
+  SELECT l.doc_id, l.line_no FROM l JOIN e ON l.line = e.line WHERE (l.doc_id, l.line_no) > e.place
+  UNION SELECT l.doc_id, l.line_no FROM l JOIN near ON l.line = near.line)
+SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(g.line_no)::BIGINT AS n_removed, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (g.line_no IS NULL), '') AS text
+FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id
+"""
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = media.store_payloads(table(spark, sf_dir, "documents"))
     return media.add_contents(index).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("member"))
@@ -180,6 +204,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, pipeline)
+    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, pipeline, line_dedup_all_lengths)
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "line_dedup_all_lengths": ALL_LENGTHS_SQL}

@@ -67,3 +67,24 @@ def test_short_clean_text_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
     assert got == {0: texts[0], 1: "A clean short line.", 4: ""}
+
+
+def test_short_repeats_go(spark):
+    """Against brute force: exact repeats of short lines go too, and only documents with nothing left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    texts = [t for _, t in rows]
+    gone, seen = slow_dedup(texts, 30), set()
+    for k, t in enumerate(texts):
+        for j, x in enumerate(t.split("\n")):
+            if (x := x.strip(" ")) in seen:
+                gone.add((k, j))
+            elif x:
+                seen.add(x)
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        left = [x for j, x in enumerate(t.split("\n")) if (k, j) not in gone]
+        if len(left) == len(t.split("\n")) or any(x.strip(" ") for x in left):
+            want[i] = "\n".join(left)
+    assert any(len(x.strip(" ")) < 30 for k, j in gone for x in [texts[k].split("\n")[j]])
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()} == want
