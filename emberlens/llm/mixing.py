@@ -102,3 +102,14 @@ def lay_out(plan: DataFrame) -> DataFrame:
     """A plan -> a row for each copy with mix_position, range-sorted by it: the order of the run."""
     laid = plan.withColumn("mix_position", F.explode("mix_positions")).drop("mix_positions")
     return laid.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+
+
+def placed(plan: DataFrame) -> DataFrame:
+    """A plan -> its rows with mix_copies and mix_taken counted from the run as it is laid out, and mix_first and mix_last (times of the first and last copy,
+    null without one) instead of mix_positions. The run is written to the shared folder; repeated rows stay separate."""
+    numbered = materialize(plan.withColumn("mix_row", F.monotonically_increasing_id()), "mix-plan")
+    run = materialize(lay_out(numbered.select("mix_row", "doc_id", "mix_positions")), "mix-run")
+    counts = run.groupBy("mix_row").agg(F.count(F.lit(1)).alias("mix_copies"), F.min("mix_position").alias("mix_first"), F.max("mix_position").alias("mix_last"))
+    out = numbered.drop("mix_copies", "mix_taken", "mix_positions").join(counts, "mix_row", "left").drop("mix_row")
+    copies = F.coalesce("mix_copies", F.lit(0))
+    return out.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))

@@ -160,7 +160,8 @@ FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP B
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = media.store_payloads(table(spark, sf_dir, "documents"))
-    return media.add_contents(index).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("member"))
+    heads = media.add_metadata(index.dropDuplicates(["digest"])).select("digest", "width", "height", "bit_depth")
+    return media.add_contents(index).drop("width", "height", "bit_depth").join(heads, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("member"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +177,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    plan = mixing.placed(mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
     return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
@@ -196,6 +197,24 @@ SELECT doc_id, size, source_size, target, (size * (CASE WHEN source_size > 0 THE
 """
 
 
+def mixing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's copies in the run of op10_mixing: how many, and the times of the first and the last."""
+    plan = mixing.placed(mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    return plan.select("doc_id", F.col("mix_copies").alias("copies"), F.col("mix_first").alias("first_at"), F.col("mix_last").alias("last_at"))
+
+
+def _time_sql(copy: str) -> str:
+    share = f"least(1.0::DOUBLE, ({copy} * source_size::DOUBLE + start::DOUBLE) / target)"
+    return f"CASE WHEN copies > 0 THEN CASE WHEN target <= 0 THEN 0.0::DOUBLE WHEN slope = 0 THEN {share} ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * {share}) - (1 - slope)) / (2 * slope) END END"
+
+
+POSITIONS_SQL = OP10_SQL[: OP10_SQL.rindex("SELECT doc_id")] + f""", c AS (SELECT r.*, s.slope, (CASE WHEN r.source_size > 0 THEN floor(target / r.source_size)::BIGINT ELSE 1 END
+  + CASE WHEN r.source_size > 0 AND 2 * start + size < 2 * (target - floor(target / r.source_size) * r.source_size) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM r JOIN documents d USING (doc_id) JOIN (SELECT source, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][(k % 3 + 1)::INT] AS slope FROM s) s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, copies, {_time_sql('0')} AS first_at, {_time_sql('(copies - 1)')} AS last_at FROM c
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -204,6 +223,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, pipeline, line_dedup_all_lengths)
+    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, pipeline, line_dedup_all_lengths, mixing_positions)
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "line_dedup_all_lengths": ALL_LENGTHS_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "line_dedup_all_lengths": ALL_LENGTHS_SQL, "mixing_positions": POSITIONS_SQL}

@@ -357,3 +357,20 @@ def test_mixing(spark):
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
     json.dumps(queries.ORACLES)
+
+
+def test_mixing_counts_placed_copies(spark, monkeypatch):
+    """op10_mixing's rows come from the laid-out run: a run that loses a copy shows."""
+    whole = {r.doc_id: r for r in queries.op10_mixing(spark, SF).collect()}
+    first = {r.doc_id: r.first_at for r in queries.mixing_positions(spark, SF).collect()}
+    lay_out = mixing.lay_out
+    monkeypatch.setattr(mixing, "lay_out", lambda plan: lay_out(plan).where("mix_position < 0.5"))
+    half = {r.doc_id: r for r in queries.op10_mixing(spark, SF).collect()}
+    assert whole.keys() == half.keys() == first.keys() and sum(r.taken for r in half.values()) < sum(r.taken for r in whole.values())
+    assert all(half[i].taken == 0 for i, at in first.items() if at is None or at >= 0.5)
+
+
+def test_media_headers_come_from_range_reads(spark, monkeypatch):
+    heads = media.add_metadata
+    monkeypatch.setattr(media, "add_metadata", lambda index: heads(index).withColumn("width", F.lit(-1)))
+    assert {r.width for r in queries.op6_media(spark, SF).select("width").collect()} == {-1}
