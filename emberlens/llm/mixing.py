@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from emberlens.llm.names import spared
+from emberlens.operators.ranges import running_sums
 from emberlens.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,50 +27,49 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
 
     The targets share the sum of all sizes by weight; none is above ``max_repeats`` times its source's size, and what is cut off is
     shared by weight among the others until none is above. As every target is the lesser of its cap and weight times a common
-    level, one pass over the sources by cap / weight finds the level: the first at which the next source isn't capped.
+    level, one pass over the sources by cap / weight finds the level: the first at which the next source isn't capped. Both passes over
+    the sources run in ranges, so there may be as many sources as hosts.
     """
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())  # a row for each source, not for each document
-    per = per.withColumn("ordinal", F.row_number().over(order) - 1)
+    per = running_sums(per, [F.col("source").asc_nulls_last()], {"ordinal": F.lit(1)}, "mix-sources")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int")).cast("long")
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats)
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), "ordinal").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    per = (
-        per.withColumn("capped_before", F.coalesce(F.sum("cap").over(by_ratio), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0)))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.col("capped_before")).cast("double") / F.col("weight_left"))
-    )
-    free = F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))
-    first_free = F.min(F.when(free.isNotNull(), F.struct((F.col("cap") / F.col("weight")).alias("r"), "ordinal", free.alias("level")))).over(everything)
-    per = per.withColumn("water", first_free["level"])
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
+    per = materialize(running_sums(per, [F.col("ratio"), F.col("ordinal")], {"capped_before": F.col("cap"), "weight_before": F.col("weight")}, "mix-ratios"), "mix-levels")
+    total = F.broadcast(per.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight")))  # one row
+    level = (F.col("all_size") - F.col("capped_before")).cast("double") / (F.col("all_weight") - F.col("weight_before"))
+    free = per.crossJoin(total).withColumn("level", level).where("ratio >= level")
+    water = F.broadcast(free.agg(F.min_by("level", F.struct("ratio", "ordinal")).alias("water")))  # one row
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap").cast("double")))
-    return per.select("source", "ordinal", "source_docs", "source_size", "weight", target.alias("target"))
+    return per.crossJoin(water).select("source", "ordinal", "source_docs", "source_size", "weight", target.alias("target"))
 
 
 def _invert(share: Column, slope: Column) -> Column:
-    """Time at which a source with weight 1 + slope * (2t - 1) has seen ``share`` of its tokens: solves slope t^2 + (1 - slope) t = share."""
+    """Time at which a source with weight 1 + slope * (2t - 1) has seen ``share`` of its tokens: solves slope t^2 + (1 - slope) t = share. Null from the run's end on."""
     b = 1 - slope
-    return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
+    return F.when(share < 1, F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope)))
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, slopes=SLOPES) -> DataFrame:
-    """Documents -> the same rows and columns, and mix_size, mix_source_size, mix_target, mix_copies, mix_taken, mix_positions.
+    """Documents -> the same rows and columns, and mix_size, mix_source_size, mix_target, mix_positions.
 
     Size: words in the text (null: 0). A source's documents stand in the order of md5(doc_id), then doc_id, size, a hash of the text: a fixed shuffle, so
-    reruns agree. A source takes floor(target / size) whole passes and, of one pass more, the documents whose middle comes before the rest
-    of its target; so it is off its target by half a document at most. mix_positions has a time (0 to 1) for each copy.
+    reruns agree; the source is that sequence, over and over. A copy's place is the number of its middle word there. The schedule's integral says how
+    many words of the source are asked for by a time, ``target`` by the run's end; its inverse at the place is the copy's time (0 to 1), and
+    copies whose place is never reached are not in the run. mix_positions has these times. So a source is off its target by less than half of its
+    document at the end. In a source without words each document has one copy, at time 0.
 
     Running sums are split: a source's documents are cut into about sqrt(n) ranges of md5, summed by range first, so no task gets a whole
-    source, however large. Null source is a source of its own, after all others. Empty texts have size 0 and are taken as often as their
-    neighbours. Repeated rows are separate documents. Empty tables give empty results. Other columns are kept as they are.
+    source, however large. Null source is a source of its own, after all others. Documents without an id are shuffled by their texts. Empty texts
+    have size 0 and are taken as often as their neighbours. Repeated rows are separate documents. Empty tables give empty results. Other
+    columns are kept as they are; one with the name of a result gets a ``_`` behind its name.
     """
-    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
-    doc_id, text = F.col(own["doc_id"]), F.col(own["text"])
+    own = {k: c for k, c in zip((f"own_{i}" for i in range(len(docs.columns))), spared(docs.columns, ["mix_size", "mix_source_size", "mix_target", "mix_positions"]), strict=True)}
+    named = dict(zip(docs.columns, own, strict=True))
+    kept = docs.toDF(*own)
+    doc_id, text = F.col(named["doc_id"]), F.col(named["text"])
     size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-    md = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
-    sized = kept.withColumns({"source": F.col(own["source"]), "size": size, "md": md, "tie": F.xxhash64(text)})
+    md = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string"))))
+    sized = kept.withColumns({"source": F.col(named["source"]), "size": size, "md": md, "tie": F.xxhash64(text)})
     narrow = materialize(sized.select("source", "size", "md"), "mix-sizes")
     targets = materialize(source_targets(narrow, weights, max_repeats).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.sqrt("source_docs"))).cast("long")), "mix-targets")
 
@@ -83,33 +84,31 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, s
     inside = W.partitionBy("ordinal", "range").orderBy("md", doc_id, "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     df = ranged(sized).join(starts, ["ordinal", "range"])
     df = df.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    size, target = F.col("source_size").cast("double"), F.col("target")
-    df = df.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(target / size)).otherwise(F.lit(1)).cast("long"))
-    rest = target - F.col("passes") * size
-    df = df.withColumn("copies", F.col("passes") + F.when((F.col("source_size") > 0) & (2 * F.col("start") + F.col("size") < 2 * rest), 1).otherwise(0))
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("ordinal") % len(slopes) + 1).cast("int"))
-    at = lambda i: F.least(F.lit(1.0), (i * size + F.col("start")) / target)
-    steps = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    df = df.withColumn("positions", F.transform(steps, lambda i: F.when(target > 0, _invert(at(i), slope)).otherwise(F.lit(0.0))))
-    return df.select(
-        *[F.col(k).alias(c) for c, k in own.items()],
-        F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        F.col("copies").alias("mix_copies"), (F.col("copies") * F.col("size")).alias("mix_taken"), F.col("positions").alias("mix_positions"),
-    )
+    share = lambda i: (2 * (i * F.col("source_size") + F.col("start")) + F.col("size")).cast("double") / (2 * F.col("target"))
+    times = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_repeats - 1).cast("long")), lambda i: _invert(share(i), slope)), lambda t: t.isNotNull())
+    df = df.withColumn("positions", F.when(F.col("target") > 0, times).otherwise(F.array(F.lit(0.0))))
+    made = [F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("positions").alias("mix_positions")]
+    return df.select(*[F.col(k).alias(c) for k, c in own.items()], *made)
 
 
 def lay_out(plan: DataFrame) -> DataFrame:
-    """A plan -> a row for each copy with mix_position, range-sorted by it: the order of the run."""
-    laid = plan.withColumn("mix_position", F.explode("mix_positions")).drop("mix_positions")
+    """A plan -> a row for each copy with mix_position, range-sorted by it, then by doc_id: the order of the run.
+
+    Rows without a copy are not in it; an empty plan gives an empty run, repeated rows their own copies. Other columns are kept; one named
+    mix_position gets a ``_`` behind its name.
+    """
+    laid = plan.toDF(*spared(plan.columns, ["mix_position"])).withColumn("mix_position", F.explode("mix_positions")).drop("mix_positions")
     return laid.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
 
 
 def placed(plan: DataFrame) -> DataFrame:
-    """A plan -> its rows with mix_copies and mix_taken counted from the run as it is laid out, and mix_first and mix_last (times of the first and last copy,
-    null without one) instead of mix_positions. The run is written to the shared folder; repeated rows stay separate."""
+    """A plan -> its rows and, counted from the run as it is laid out, mix_copies, mix_taken (words), mix_first and mix_last (times of the first and last copy,
+    null without one) instead of mix_positions. The run is written to the shared folder; repeated rows stay separate, an empty plan gives no rows."""
+    plan = plan.toDF(*spared(plan.columns, ["mix_copies", "mix_taken", "mix_first", "mix_last", "mix_row"]))
     numbered = materialize(plan.withColumn("mix_row", F.monotonically_increasing_id()), "mix-plan")
     run = materialize(lay_out(numbered.select("mix_row", "doc_id", "mix_positions")), "mix-run")
     counts = run.groupBy("mix_row").agg(F.count(F.lit(1)).alias("mix_copies"), F.min("mix_position").alias("mix_first"), F.max("mix_position").alias("mix_last"))
-    out = numbered.drop("mix_copies", "mix_taken", "mix_positions").join(counts, "mix_row", "left").drop("mix_row")
-    copies = F.coalesce("mix_copies", F.lit(0))
+    out = numbered.drop("mix_positions").join(counts, "mix_row", "left").drop("mix_row")
+    copies = F.coalesce("mix_copies", F.lit(0).cast("long"))
     return out.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))

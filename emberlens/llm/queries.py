@@ -178,41 +178,37 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.placed(mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
-    return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return plan.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+        F.col("mix_copies").alias("copies"), F.col("mix_first").alias("first_at"), F.col("mix_last").alias("last_at"),
+    )
 
 
-OP10_SQL = r"""
+MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][(k % 3 + 1)::INT]::BIGINT AS weight, 3 * source_size AS cap FROM s),
+w AS (SELECT *, [5, 2, 1][(k % 3 + 1)::INT]::BIGINT AS weight, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][(k % 3 + 1)::INT] AS slope, 3 * source_size AS cap FROM s),
 o AS (SELECT *, cap / weight AS ratio,
   (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM w WINDOW before AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT arg_min(level, (ratio, k)) FROM o WHERE ratio >= level) * weight) AS target FROM o),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END
-  + CASE WHEN source_size > 0 AND 2 * start + size < 2 * (target - floor(target / source_size) * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+t AS (SELECT source, source_size, slope, least(cap::DOUBLE, (SELECT arg_min(level, (ratio, k)) FROM o WHERE ratio >= level) * weight) AS target FROM o),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT r.*, (2 * (i * source_size + start) + size)::DOUBLE / (2 * target) AS share, i FROM r, (VALUES (0), (1), (2)) v(i)),
+q AS (SELECT *, CASE WHEN target <= 0 THEN CASE WHEN i = 0 THEN 0.0::DOUBLE END WHEN share < 1 THEN
+  CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS time FROM p),
+c AS (SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, count(time)::BIGINT AS copies, min(time) AS first_at, max(time) AS last_at FROM q GROUP BY doc_id)
 """
+OP10_SQL = MIX_SQL + "SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies, first_at, last_at FROM c"
 
 
 def mixing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's copies in the run of op10_mixing: how many, and the times of the first and the last."""
-    plan = mixing.placed(mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
-    return plan.select("doc_id", F.col("mix_copies").alias("copies"), F.col("mix_first").alias("first_at"), F.col("mix_last").alias("last_at"))
-
+    return op10_mixing(spark, sf_dir).select("doc_id", "copies", "first_at", "last_at")
 
-def _time_sql(copy: str) -> str:
-    share = f"least(1.0::DOUBLE, ({copy} * source_size::DOUBLE + start::DOUBLE) / target)"
-    return f"CASE WHEN copies > 0 THEN CASE WHEN target <= 0 THEN 0.0::DOUBLE WHEN slope = 0 THEN {share} ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * {share}) - (1 - slope)) / (2 * slope) END END"
 
-
-POSITIONS_SQL = OP10_SQL[: OP10_SQL.rindex("SELECT doc_id")] + f""", c AS (SELECT r.*, s.slope, (CASE WHEN r.source_size > 0 THEN floor(target / r.source_size)::BIGINT ELSE 1 END
-  + CASE WHEN r.source_size > 0 AND 2 * start + size < 2 * (target - floor(target / r.source_size) * r.source_size) THEN 1 ELSE 0 END)::BIGINT AS copies
-  FROM r JOIN documents d USING (doc_id) JOIN (SELECT source, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][(k % 3 + 1)::INT] AS slope FROM s) s ON d.source IS NOT DISTINCT FROM s.source)
-SELECT doc_id, copies, {_time_sql('0')} AS first_at, {_time_sql('(copies - 1)')} AS last_at FROM c
-"""
+POSITIONS_SQL = MIX_SQL + "SELECT doc_id, copies, first_at, last_at FROM c"
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
