@@ -18,13 +18,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberlens.llm.sieve import sieve, sift
+from emberlens.llm.names import spared
+from emberlens.llm.sieve import marked, sieve, sift
 from emberlens.shared import materialize
 
-#: Shorter lines (in code points, without white space at the ends) are never near others: an edit in "Of it." says nothing.
+#: Shorter lines (in code points, without spaces at the ends) are never near others: an edit in "Of it." says nothing.
 MIN_CHARS = 30
 #: Code points in a short block at least, and blocks in a line at most: a block of a very long line is longer.
 BLOCK, MOST_BLOCKS = 16, 1024
+#: A line with more copies is joined with them in so many parts.
+COMMON, SALTS = 1000, 32
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:
@@ -54,7 +57,7 @@ def _half_keys() -> Column:
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, line_no) of each line that repeats an earlier one within ``max_edits`` (0 or 1).
 
-    Line numbers count from 0. Lines are compared without white space at their ends. Lines of ``min_chars`` or more can go; with ``exact_chars``,
+    Line numbers count from 0. Lines are compared without spaces at their ends (tabs and other white space count). Lines of ``min_chars`` or more can go; with ``exact_chars``,
     exact repeats of lines from that length on go too (1: of every line that isn't empty).
     """
     if max_edits not in (0, 1):
@@ -63,7 +66,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
     halves = F.when(F.length("line") >= min_chars, _half_keys())  # null, so without a row below, for lines that only go as exact repeats
     places = materialize(lines.select("doc_id", "line_no", "h1", "h2", halves.alias("halves")), "line-places")
     at = _order(F.col("doc_id"), F.col("line_no"))
-    copies = places.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    counts = materialize(places.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-copies")
+    copies = counts.select("h1", "h2", "first")
     if max_edits:
         # lines that share a half with another distinct line
         halves = places.select(F.explode("halves").alias("half"), "h1")
@@ -79,12 +83,33 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int =
         copies = copies.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.bool_or(F.col("first").isNull()).alias("all"))
     else:
         copies = copies.withColumn("all", F.lit(False))
-    found = places.select("doc_id", "line_no", "h1", "h2").join(copies, ["h1", "h2"]).where(F.col("all") | (at > F.col("first")))
+    # a very common line is joined in SALTS parts; both sides ask the same sieve, so a line that only seems common is joined whole too
+    common = sieve(materialize(counts.where(F.col("n") > COMMON).select("h1"), "line-common"), "h1")
+    salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = marked(copies, "h1", common, "common").withColumn("salt", F.explode(salts)).drop("common")
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(SALTS)).cast("int")).otherwise(0)
+    asked_for = marked(places.select("doc_id", "line_no", "h1", "h2"), "h1", common, "common").withColumn("salt", salt)
+    found = asked_for.join(copies, ["h1", "h2", "salt"]).where(F.col("all") | (at > F.col("first")))
     return found.select("doc_id", "line_no").distinct()
 
 
+def _xors(hashes: Column) -> Column:
+    """[h0, h1, ...] -> [0, h0, h0 ^ h1, ...]."""
+    begin = F.struct(F.lit(0).cast("long").alias("last"), F.array(F.lit(0).cast("long")).alias("all"))
+
+    def step(done: Column, h: Column) -> Column:
+        now = done["last"].bitwiseXOR(h)
+        return F.struct(now.alias("last"), F.array_append(done["all"], now).alias("all"))
+
+    return F.aggregate(hashes, begin, step, lambda done: done["all"])
+
+
 def _blocks(near: DataFrame) -> DataFrame:
-    """at, key (hash of all of the line but the block), start, size: a row for each block of each line."""
+    """at, key (hash of all of the line but the block), start, size: a row for each block of each line.
+
+    A line is read twice, whatever the number of its blocks: once cut from the front, once from the end; a key joins the hashes of
+    the pieces before its block with those of the pieces behind it.
+    """
     n = F.length("line")
 
     def cut(m: Column) -> Column:
@@ -93,9 +118,12 @@ def _blocks(near: DataFrame) -> DataFrame:
 
     cuts = near.select("at", "line", F.explode(F.array_distinct(F.array(cut(n), cut(n - 1)))).alias("c"))
     cuts = cuts.select("at", "line", n.alias("n"), F.col("c.width").alias("width"), F.col("c.count").alias("count"))
-    each = cuts.select("at", "line", "n", "width", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
+    outer, piece = (F.col("count") - 1) * F.col("width"), F.concat(F.lit("(?s).{"), F.col("width").cast("string"), F.lit("}"))
+    hashes = lambda part: F.transform(F.regexp_extract_all(part, piece, F.lit(0)), lambda x, i: F.xxhash64(i, x))
+    cuts = cuts.withColumn("front", _xors(hashes(F.substr("line", F.lit(1), outer)))).withColumn("back", _xors(F.reverse(hashes(F.substr("line", F.col("n") - outer + 1, outer)))))
+    each = cuts.select("at", "n", "width", "count", "front", "back", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("k"))
     before, behind = F.col("k") * F.col("width"), (F.col("count") - 1 - F.col("k")) * F.col("width")
-    key = F.xxhash64("width", "count", "k", F.substr("line", F.lit(1), before), F.substr("line", F.col("n") - behind + 1, behind))
+    key = F.xxhash64("width", "count", "k", F.get("front", F.col("k")), F.get("back", F.col("count") - 1 - F.col("k")))
     return each.select("at", key.alias("key"), before.alias("start"), (F.col("n") - before - behind).alias("size"))
 
 
@@ -104,30 +132,37 @@ def near_pairs(near: DataFrame) -> DataFrame:
     blocks = materialize(_blocks(near), "line-blocks")
     shared = materialize(blocks.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("key"), "line-shared")
     live = sift(blocks, "key", sieve(shared, "key")).join(shared, "key", "left_semi")
-    emit = live.join(near, "at").select("at", "key", "size", F.substr("line", F.col("start") + 1, F.col("size")).alias("block"))
+    emit = live.join(near, "at").select("at", "key", "start", "size", F.length("line").alias("n"), F.substr("line", F.col("start") + 1, F.col("size")).alias("block"))
     cut_out = lambda i: F.concat(F.substr("block", F.lit(1), i - 1), F.substr("block", i + 1, F.col("size")))
     deleted = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(F.xxhash64("key", cut_out(i)).alias("content"), i.alias("i")))
     whole = F.array(F.struct(F.xxhash64("key", "block").alias("content"), F.lit(0).alias("i")))
-    variants = emit.select("at", "size", F.explode(F.concat(whole, deleted)).alias("v")).select("at", "size", F.col("v.content").alias("content"), F.col("v.i").alias("i"))
-    variants = materialize(variants, "line-variants")
-    substituted = variants.where("i > 0").select("at", F.xxhash64("content", "size", "i").alias("key"), F.lit(1).alias("role"))
-    inserted = variants.select("at", F.col("content").alias("key"), F.when(F.col("i") > 0, 2).otherwise(3).alias("role"))
+    variants = emit.select("at", "start", "size", (F.col("n") - F.col("start") - F.col("size")).alias("behind"), F.explode(F.concat(whole, deleted)).alias("v"))
+    variants = materialize(variants.select("at", "start", "size", "behind", F.col("v.content").alias("content"), F.col("v.i").alias("i")), "line-variants")
+    substituted = variants.where("i > 0").select("at", "start", "behind", F.xxhash64("content", "size", "i").alias("key"), F.lit(1).alias("role"))
+    inserted = variants.select("at", "start", "behind", F.col("content").alias("key"), F.when(F.col("i") > 0, 2).otherwise(3).alias("role"))
     members = substituted.union(inserted)
     groups = members.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (1, 2, 3)], F.max(F.when(F.col("role") == 1, F.col("at"))).alias("last1"))
     groups = materialize(groups.where("first1 < last1 OR (first2 IS NOT NULL AND first3 IS NOT NULL)"), "line-groups")
     keeper = F.when(F.col("role") == 1, F.col("first1")).when(F.col("role") == 2, F.col("first3")).otherwise(F.col("first2"))
-    pairs = sift(members, "key", sieve(groups, "key")).join(groups, "key").select("at", keeper.alias("keeper")).where("keeper < at").distinct()
+    pairs = sift(members, "key", sieve(groups, "key")).join(groups, "key").select("at", "start", "behind", keeper.alias("keeper")).where("keeper < at").distinct()
     earlier = near.select(F.col("at").alias("keeper"), F.col("line").alias("kept"))
-    checked = pairs.join(near, "at").join(earlier, "keeper").where(F.levenshtein("line", "kept", 1).between(0, 1))
-    return checked.select("at", "h1", "h2", "keeper")
+    return pairs.join(near, "at").join(earlier, "keeper").where(_one_edit()).select("at", "h1", "h2", "keeper").distinct()
+
+
+def _one_edit() -> Column:
+    """Line and kept agree before and behind their blocks, and the blocks are one edit apart: the distance is counted over blocks, not over long lines."""
+    parts = {c: (F.substr(c, F.lit(1), F.col("start")), F.substr(c, F.length(c) - F.col("behind") + 1, F.col("behind")), F.substr(c, F.col("start") + 1, F.length(c) - F.col("start") - F.col("behind"))) for c in ("line", "kept")}
+    return (parts["line"][0] == parts["kept"][0]) & (parts["line"][1] == parts["kept"][1]) & F.levenshtein(parts["line"][2], parts["kept"][2], 1).between(0, 1)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """Documents -> the same rows and columns with removed lines taken out of ``text``, and dedup_lines, dedup_removed (counts).
 
     Null texts stay null and count as one empty line. Rows of one doc_id share their line numbers: a line that goes from one goes from all.
-    Rows with a null doc_id are one document, after all others. Documents stay even when nothing is left of them, with an empty text.
+    Rows with a null doc_id are one document, after all others. Documents stay even when nothing is left of them, with an empty text. Other
+    columns are kept; one with the name of a count gets a ``_`` behind its name. An empty table gives an empty result.
     """
+    names = spared(docs.columns, ["dedup_lines", "dedup_removed"])
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     gone = removed_lines(docs, min_chars, max_edits, exact_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()]).withColumn("lines", F.split(F.coalesce(own["text"], F.lit("")), "\n"))
@@ -137,4 +172,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1,
     text = F.when(F.col("gone").isNull(), F.col(own["text"])).otherwise(left)
     n = F.size("lines")
     removed = F.when(F.col("gone").isNull(), 0).otherwise(n - F.size(numbers))
-    return out.select(*[(text if c == "text" else F.col(k)).alias(c) for c, k in own.items()], n.cast("long").alias("dedup_lines"), removed.cast("long").alias("dedup_removed"))
+    return out.select(*[(text if c == "text" else F.col(k)).alias(name) for name, (c, k) in zip(names, own.items(), strict=True)], n.cast("long").alias("dedup_lines"), removed.cast("long").alias("dedup_removed"))

@@ -23,3 +23,10 @@ def sift(rows: DataFrame, key: str, through: DataFrame) -> DataFrame:
     asked = rows.withColumn("slot", _slot(F.col(key)))
     held = asked.join(F.broadcast(through), F.expr("slot div 64") == F.col("word"))
     return held.where(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1 = 1")).select(*rows.columns)
+
+
+def marked(rows: DataFrame, key: str, through: DataFrame, flag: str) -> DataFrame:
+    """All rows, and whether their key may be among the sieve's keys: the same answer for the same key wherever it is asked."""
+    asked = rows.withColumn("slot", _slot(F.col(key)))
+    held = asked.join(F.broadcast(through), F.expr("slot div 64") == F.col("word"), "left")
+    return held.withColumn(flag, F.coalesce(F.expr("shiftright(bits, cast(slot % 64 as int)) & 1 = 1"), F.lit(False))).select(*rows.columns, flag)

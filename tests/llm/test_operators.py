@@ -172,6 +172,26 @@ def test_line_dedup(spark):
     assert sorted((str(r.doc_id), r.dedup_removed) for r in twice) == [("2", 1), ("None", 2)]
 
 
+def test_line_dedup_long_lines_and_common_ones(spark, monkeypatch):
+    """Lines of 100,000 code points one edit apart in any part of the line, and a line that is joined in parts."""
+    monkeypatch.setattr(line_dedup, "COMMON", 20)
+    rng = np.random.default_rng(4)
+    base = "a" + "".join(rng.choice(list("abcdé 🤦"), 99_998)) + "x"
+    other = "".join(rng.choice(list("abcdé 🤦"), 99_998)) + "x"
+    edits = [base, "Z" + base, base[:50_000] + base[50_001:], base[:70_000] + "Z" + base[70_001:], base + "Z", other, base[:10] + "YY" + base[12:]]
+    common = "This very line is on every page of the site."
+    texts = [*edits, *[common + f"\nA line of page number {i} that is found {'n' * i} nowhere else." for i in range(60)]]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [i for i in range(len(edits)) if out[i] == ""] == [1, 2, 3, 4] and out[0] == base and out[5] == other and out[6] == edits[6]
+    assert out[len(edits)] == texts[len(edits)] and all(common not in out[i] for i in range(len(edits) + 1, len(texts)))
+
+
+def test_line_dedup_clashing_names(spark):
+    df = docs_of(spark, ["a" * 40, "a" * 40]).withColumns({"dedup_removed": F.lit("in"), "line_no": F.lit(5), "h1": F.lit(6), "gone_id": F.lit(7)})
+    got = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(r.dedup_removed, r.dedup_removed_, r.line_no, r.h1, r.gone_id) for r in got] == [(0, "in", 5, 6, 7), (1, "in", 5, 6, 7)]
+
+
 # ---- 6 media
 def test_media(spark):
     texts = ["", None, "x" * 64, "é" * 33, "x" * 64, "abc\0" * 50_000]
