@@ -19,15 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlens.llm.names import spared
-from emberlens.llm.sieve import marked, sieve, sift
+from emberlens.llm.sieve import COMMON, SALTS, marked, sieve, sift
 from emberlens.shared import materialize
 
 #: Shorter lines (in code points, without spaces at the ends) are never near others: an edit in "Of it." says nothing.
 MIN_CHARS = 30
 #: Code points in a short block at least, and blocks in a line at most: a block of a very long line is longer.
 BLOCK, MOST_BLOCKS = 16, 1024
-#: A line with more copies is joined with them in so many parts.
-COMMON, SALTS = 1000, 32
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:

@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A task writes its payloads, as 8-bit grey PNG images 64 pixels wide, into one tar shard in the shared folder; a member's name is the
-SHA-256 of its bytes. Rows carry digest, shard, offset and length. Metadata columns are filled by range reads of the images' headers
+SHA-256 of its bytes, and no payload is stored twice. Rows carry digest, shard, offset and length. Metadata columns are filled by range reads of the images' headers
 alone; pixels are read only where a feature needs them.
 """
 
@@ -17,15 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from emberlens.shared import materialize, scratch_path
+from emberlens.llm.sieve import COMMON, join_common, marked, sieve
+from emberlens.shared import materialize, scratch_path, shared_folder
 
 SIDE = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk.
 HEADER_BYTES = 33
 LEVEL = 1
+#: Bytes of stored images that a reading task gets, and that stand together in it.
+TASK_BYTES, STRETCH = 16 << 20, 1 << 20
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -85,9 +88,10 @@ def feature_of(payload: bytes) -> str:
 def store_payloads(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, digest, shard, offset, length: an index table, one row for each document.
 
-    Runs at once. A null text is an empty one. Equal payloads are stored once in a shard. A shard's name is new for each attempt of a
-    task and only a finished task's rows reach the index, so lost or repeated tasks leave at most shards that no row names. Other columns
-    are ignored, repeated rows get a row each, an empty table gives an empty index.
+    Runs at once. A null text is an empty one. Equal payloads are stored once over all shards: texts that stand in one row are written by the
+    task that reads them; of those that a sieve of the repeated ones lets through, each task keeps one copy, and one of these is written.
+    A shard's name is new for each attempt of a task and only a finished task's rows reach the index, so lost or repeated tasks leave at
+    most shards that no row names. Other columns are ignored, repeated rows get a row each, an empty table gives an empty index.
     """
     folder = scratch_path(docs.sparkSession, "media")
 
@@ -100,76 +104,93 @@ def store_payloads(docs: DataFrame) -> DataFrame:
         store, path = pafs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         shard = f"{path}/{uuid.uuid4().hex}.tar"
-        placed: dict[bytes, tuple[int, int]] = {}
         with store.open_output_stream(shard) as out:
             at = 0
             while batch is not None:
                 rows = []
                 for text in batch.column(1).to_pylist():
                     media = encode(*payload_of(text))
-                    digest = hashlib.sha256(media).digest()
-                    if digest not in placed:
-                        info = tarfile.TarInfo(digest.hex())
-                        info.size = len(media)
-                        head = info.tobuf(tarfile.GNU_FORMAT)
-                        out.write(head + media + bytes(-len(media) % 512))
-                        placed[digest] = (at + len(head), len(media))
-                        at += len(head) + len(media) + -len(media) % 512
-                    rows.append((digest.hex(), *placed[digest]))
+                    info = tarfile.TarInfo(hashlib.sha256(media).hexdigest())
+                    info.size = len(media)
+                    head = info.tobuf(tarfile.GNU_FORMAT)
+                    out.write(head + media + bytes(-len(media) % 512))
+                    rows.append((info.name, at + len(head), len(media)))
+                    at += len(head) + len(media) + -len(media) % 512
                 digests, offsets, lengths = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array([shard] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array([shard] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["key", "digest", "shard", "offset", "length"])
                 batch = next(batches, None)
             out.write(bytes(1024))
 
-    index = docs.select("doc_id", "text").mapInArrow(write, "doc_id long, digest string, shard string, offset long, length long")
-    return materialize(index, "media-index")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key")).withColumn("h", F.xxhash64("key"))
+    keys = materialize(keyed.select("doc_id", "key", "h"), "media-keys")
+    counts = materialize(keys.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "media-copies")
+    seen = marked(keyed.select("key", "text", "h"), "h", sieve(counts, "h"), "again")
+    once = seen.where("again").groupBy("key").agg(F.first("text").alias("text"))
+    texts = seen.where("NOT again").select("key", "text").union(once)
+    stored = materialize(texts.mapInArrow(write, "key binary, digest string, shard string, offset long, length long"), "media-stored")
+    index = join_common(keys, stored, "key", counts.where(F.col("n") > COMMON).select("h"))
+    return materialize(index.select("doc_id", "digest", "shard", "offset", "length"), "media-index")
 
 
-def _ranges(spark, index: DataFrame, columns: str, names: list[str], size, fill) -> DataFrame:
-    """index rows plus what ``fill`` makes of each row's bytes; ``size``(length) bytes are read of each."""
-    from emberlens.shared import shared_folder
+def members(index: DataFrame) -> DataFrame:
+    """digest, shard, offset, length: a row for each stored payload."""
+    return index.select("digest", "shard", "offset", "length").distinct()
 
-    folder = shared_folder(spark)
+
+def _ranges(rows: DataFrame, columns: dict[str, str], size, fill) -> DataFrame:
+    """(shard, offset, length, ...) -> the rows and what ``fill`` makes of the first ``size``(length) bytes of each.
+
+    Rows are dealt by stretches of their shards, in as many tasks as their bytes need, and read in the order of the shards. Columns
+    named as the new ones, and none else, are replaced.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    folder, names = shared_folder(rows.sparkSession), list(columns)
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # one number
+    dealt = rows.select(*kept).repartition(-(-total // TASK_BYTES) or 1, "shard", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("shard", "offset")
+    shard_at, offset_at, length_at = (kept.index(c) for c in ("shard", "offset", "length"))
+    types = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[t] for t in columns.values()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
         open_shard, handle = None, None
         for batch in batches:
             made: list[list] = [[] for _ in names]
-            last, values = None, None
-            for shard, offset, length in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for shard, offset, length in zip(*(batch.column(i).to_pylist() for i in (shard_at, offset_at, length_at)), strict=True):
                 if shard != open_shard:
                     open_shard, handle = shard, store.open_input_file(shard)
-                if (shard, offset) != last:
-                    values, last = fill(handle.read_at(size(length), offset)), (shard, offset)
-                for out, value in zip(made, values, strict=True):
+                for out, value in zip(made, fill(handle.read_at(size(length), offset)), strict=True):
                     out.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m) for m in made]], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(m, t) for m, t in zip(made, types, strict=True)]], [*batch.schema.names, *names])
 
-    return index.select("doc_id", "digest", "shard", "offset", "length").mapInArrow(read, f"doc_id long, digest string, shard string, offset long, length long, {columns}")
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields), *(f"`{c}` {t}" for c, t in columns.items())])
+    return dealt.mapInArrow(read, kinds)
 
 
-def add_metadata(index: DataFrame) -> DataFrame:
-    """Index rows plus width, height, bit_depth, read from 33 bytes of each image."""
+def add_metadata(rows: DataFrame) -> DataFrame:
+    """(shard, offset, length, ...) -> the rows and width, height, bit_depth, header_bytes (bytes read for them: 33 of each image at most)."""
 
     def fill(head: bytes) -> tuple:
         h = read_header(head)
-        return np.int32(h["width"]), np.int32(h["height"]), np.int32(h["bit_depth"])
+        return h["width"], h["height"], h["bit_depth"], len(head)
 
-    return _ranges(index.sparkSession, index, "width int, height int, bit_depth int", ["width", "height", "bit_depth"], lambda length: min(length, HEADER_BYTES), fill)
+    return _ranges(rows, {"width": "int", "height": "int", "bit_depth": "int", "header_bytes": "int"}, lambda length: min(length, HEADER_BYTES), fill)
 
 
-def add_contents(index: DataFrame) -> DataFrame:
-    """Index rows plus what the stored bytes give: header columns, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+def add_contents(rows: DataFrame) -> DataFrame:
+    """(shard, offset, length, ...) -> the rows and what the stored bytes give: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
 
     def fill(stored: bytes) -> tuple:
-        h = read_header(stored[:HEADER_BYTES])
         payload, n = decode(stored)
-        return (
-            np.int32(h["width"]), np.int32(h["height"]), np.int32(h["bit_depth"]), n, len(payload), hashlib.sha256(payload).hexdigest(),
-            zlib.crc32(payload[-SIDE:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload),
-        )
-
-    names = ["width", "height", "bit_depth", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = "width int, height int, bit_depth int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _ranges(index.sparkSession, index, kinds, names, lambda length: length, fill)
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SIDE:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload)
+
+    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return _ranges(rows, kinds, lambda length: length, fill)
+
+
+def describe(index: DataFrame) -> DataFrame:
+    """An index -> a row for each document with its digest and the columns of ``add_metadata`` and ``add_contents``; each stored payload is read once."""
+    read = materialize(add_contents(add_metadata(members(index))).drop("shard", "offset", "length"), "media-read")
+    keys = index.select("doc_id", "digest").withColumn("h", F.xxhash64("digest"))
+    counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("h")
+    return join_common(keys, read, "digest", materialize(counts, "media-common")).drop("h")

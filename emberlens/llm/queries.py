@@ -159,9 +159,8 @@ FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP B
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = media.store_payloads(table(spark, sf_dir, "documents"))
-    heads = media.add_metadata(index.dropDuplicates(["digest"])).select("digest", "width", "height", "bit_depth")
-    return media.add_contents(index).drop("width", "height", "bit_depth").join(heads, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("member"))
+    out = media.describe(media.store_payloads(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", F.col("digest").alias("member"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

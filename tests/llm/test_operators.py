@@ -194,29 +194,56 @@ def test_line_dedup_clashing_names(spark):
 
 # ---- 6 media
 def test_media(spark):
-    texts = ["", None, "x" * 64, "é" * 33, "x" * 64, "abc\0" * 50_000]
-    df = docs_of(spark, texts).withColumn("digest", F.lit("clash")).repartition(2)
+    import tarfile
+
+    texts = ["", None, "x" * 64, "é" * 33, "x" * 64, "abc\0" * 50_000, *["copy of a text"] * 30]
+    df = docs_of(spark, texts).withColumn("digest", F.lit("clash")).withColumn("key", F.lit("clash")).repartition(4)
     index = media.store_payloads(df)
-    full = {r.doc_id: r for r in media.add_contents(index).collect()}
-    heads = {r.doc_id: r for r in media.add_metadata(index).collect()}
+    full = {r.doc_id: r for r in media.describe(index).collect()}
+    heads = media.add_metadata(media.members(index)).collect()
+    assert len(heads) == len({media.payload_of(t)[0] for t in texts}) and all(r.header_bytes == 33 for r in heads)
+    assert media.members(index).agg(F.sum("length")).first()[0] > 33 * len(heads)
     for i, t in enumerate(texts):
         payload, n = media.payload_of(t)
         assert len(payload) % 64 == 0 < len(payload) and n == len((t or "").encode()) and payload.rstrip(b"\0") == (t or "").encode().rstrip(b"\0")
         assert (full[i].n_bytes, full[i].payload_bytes, full[i].payload_sha256, full[i].tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert full[i].media_sha256 == full[i].digest and full[i].media_bytes == full[i].length
-        assert (heads[i].width, heads[i].height, heads[i].bit_depth) == (64, len(payload) // 64, 8)
+        assert full[i].media_sha256 == full[i].digest
+        assert (full[i].width, full[i].height, full[i].bit_depth) == (64, len(payload) // 64, 8)
         assert media.decode(media.encode(payload, n)) == (payload, n)
-    assert full[2].feature == full[4].feature and media.store_payloads(df.where("false")).count() == 0
-    import tarfile
-
-    for shard in {r.shard for r in full.values()}:
+    stored = []
+    for shard in {r.shard for r in index.collect()}:
         with tarfile.open(shard) as tar:
             for m in tar.getmembers():
                 assert hashlib.sha256(tar.extractfile(m).read()).hexdigest() == m.name
+                stored.append(m.name)
+    assert sorted(stored) == sorted({r.digest for r in full.values()})  # each once over all shards
+    assert full[2].feature == full[4].feature and media.describe(media.store_payloads(df.where("false"))).count() == 0
     with pytest.raises(ValueError):
         media.decode(media.encode(b"a" * 64, 64)[:-20] + bytes(20))
 
 
+def test_media_query(spark, monkeypatch):
+    """Every column of op6_media against a plain recomputation, with the joins in parts."""
+    monkeypatch.setattr(media, "COMMON", 3)
+    d = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall())
+    got = queries.op6_media(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
+        head = (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Bytes\0%d" % len(raw)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        sha = hashlib.sha256(png).hexdigest()
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.member, r.width, r.height, r.bit_depth) == (len(png), sha, sha, 64, len(payload) // 64, 8)
+        rows, shares, _, _ = r.feature.split(";")
+        assert int(rows) == len(payload) // 64 and [int(x) for x in shares.split(",")] == [sum(b >> 4 == k for b in payload) * 1000 // len(payload) for k in range(16)]
+    assert len({(r.feature, r.media_sha256) for r in got}) == len({t or "" for t in texts.values()})
+
+
 # ---- 7 neighbours
 def slow_nearest(vectors, k):
     out = {}
@@ -429,9 +456,3 @@ def test_mixing_counts_placed_copies(spark, monkeypatch):
     half = {r.doc_id: r for r in queries.op10_mixing(spark, SF).collect()}
     assert whole.keys() == half.keys() == first.keys() and sum(r.taken for r in half.values()) < sum(r.taken for r in whole.values())
     assert all(half[i].taken == 0 for i, at in first.items() if at is None or at >= 0.5)
-
-
-def test_media_headers_come_from_range_reads(spark, monkeypatch):
-    heads = media.add_metadata
-    monkeypatch.setattr(media, "add_metadata", lambda index: heads(index).withColumn("width", F.lit(-1)))
-    assert {r.width for r in queries.op6_media(spark, SF).select("width").collect()} == {-1}
