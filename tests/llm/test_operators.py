@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -245,26 +246,71 @@ def test_media_query(spark, monkeypatch):
 
 
 # ---- 7 neighbours
+def exact_cosine(v, w):
+    """By fractions, rounded once."""
+    from decimal import Decimal, getcontext
+    from fractions import Fraction
+
+    getcontext().prec = 60
+    a, b = [Fraction(float(x)) for x in v], [Fraction(float(x)) for x in w]
+    root = lambda f: (Decimal(f.numerator) / Decimal(f.denominator)).sqrt()
+    dot = sum(x * y for x, y in zip(a, b))
+    return float(Decimal(dot.numerator) / Decimal(dot.denominator) / (root(sum(x * x for x in a)) * root(sum(x * x for x in b))))
+
+
 def slow_nearest(vectors, k):
     out = {}
     for q, v in vectors.items():
         if q % 50 == 0:
-            near = sorted(((float(neighbours.cosine(v[None], w[None])[0]), -c) for c, w in vectors.items() if c != q and len(w) == len(v)), reverse=True)
+            near = sorted(((round(exact_cosine(v, w), 13), -c) for c, w in vectors.items() if c != q and len(w) == len(v)), reverse=True)
             out[q] = [(-c, s) for s, c in near[:k]]
     return out
 
 
-def test_neighbours(spark):
-    vectors = {r[0]: np.array(r[1], np.float32) for r in sf("embeddings")}
+def found(df, k=5, **how):
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, k, **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+def test_neighbours(spark, monkeypatch):
+    """Against cosines by exact fractions; many groups and tiles."""
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    vectors = {r[0]: np.array(r[1], np.float32) for r in sf("embeddings") if r[0] < 300}
     vectors |= {1000 + i: vectors[3] for i in range(60)} | {2000: np.ones(3, np.float32), 2001: -np.ones(3, np.float32) * 1e-30, 2050: np.ones(3, np.float32) * 1e30}
     bad = [(3000, None), (3050, [0.0] * 64), (3001, [float("nan")] * 64), (3002, [float("inf")] + [1.0] * 63), (3003, []), (None, [1.0] * 64), (3004, [None] + [1.0] * 63)]
     data = [(i, [float(x) for x in v]) for i, v in vectors.items()] + bad
-    df = spark.createDataFrame(data + data[:5], "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, 5, block=70, query_block=4).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == slow_nearest(vectors, 5)
+    df = spark.createDataFrame(data + data[:5], "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("row", F.lit("clash"))
+    want = slow_nearest(vectors, 5)
+    for how in ({"group_bytes": 4 * 64 * 40}, {"least_rows": 50}, {}):
+        got = found(df, **how)
+        assert got.keys() == want.keys()
+        for q, near in got.items():
+            assert [c for c, _ in near] == [c for c, _ in want[q]] and [s for _, s in near] == pytest.approx([s for _, s in want[q]], abs=1e-12)
     assert neighbours.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+    assert neighbours.nearest(df.where("vec_id = 1"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_neighbours_of_doubles(spark):
+    """Doubles keep their last bits, and magnitudes from 1e-300 to 1e300 meet."""
+    close = {0: [1.0, 0.5], 1: [1.0, 2.0000000001], 2: [1.0, 2.0], 3: [1e-50, 1e-50], 4: [-1.0, 0.0], 5: [1e300, 1e300], 6: [3e-300, 1e-300], 50: [1e-300, 2e-300]}
+    df = spark.createDataFrame(list(close.items()), "vec_id long, embedding array<double>")
+    got = found(df, k=7)
+    for q in (0, 50):
+        near = sorted(((exact_cosine(close[q], v), -i) for i, v in close.items() if i != q), reverse=True)
+        assert [s for _, s in got[q]] == pytest.approx([s for s, _ in near], rel=1e-14)
+    order = [c for c, _ in got[0]]
+    assert order[0] == 6 and set(order[1:3]) == {3, 5} and order.index(2) < order.index(1)
+
+
+def test_neighbours_recompute_few():
+    """Of the pairs of a tile only those near the best are recomputed."""
+    rng = np.random.default_rng(0)
+    both = [pa.table({"vec_id": np.arange(i, i + n), "embedding": list(rng.normal(size=(n, 64)).astype(np.float32))}) for i, n in ((0, 50), (100, 3000))]
+    heaps, (q,), held = neighbours.Heaps(50, 5), neighbours._tiles(both[0]), neighbours._tiles(both[1])
+    assert 250 <= sum(neighbours.tile(q, c, heaps, 0) for c in held) < 0.05 * 50 * 3000
 
 
 # ---- 8 BPE
