@@ -5,16 +5,17 @@ query joins neighbouring rows with the merge table and contracts, in every piece
 piece has a pair left. Decoding joins ids with the vocabulary and aggregates the tokens' bytes in order.
 
 A long piece is first cut between neighbouring bytes that no token has side by side: no merge can cross such a place, so its parts contract
-on their own.
+on their own. A part that is still long is contracted in windows, whose joints are then mended until each two neighbouring tokens are what they
+contract to: that makes the whole what the piece contracts to.
 
-The merge table holds every way to cut a vocabulary token into two; a pair's rank is the rank of what it makes. In long pieces all
-non-overlapping places of the lowest pair are contracted in one step: later merges have higher ranks, so they would be next anyway.
+The merge table holds every way to cut a vocabulary token into two; a pair's rank is the rank of what it makes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -31,8 +32,8 @@ CACHED_PIECES = 600_000
 #: Bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
 QUERY_BYTES, DECODE_TOKENS = 250_000, 500_000
 
-#: Pieces of more bytes are contracted at all places of their lowest pair in one step.
-SHORT_PIECE = 64
+#: Pieces of more bytes are cut into parts, and parts of more bytes into windows of so many. The tokens don't depend on either.
+SHORT_PIECE, WINDOW = 64, 32
 
 #: Each step contracts the leftmost pair of lowest rank of every piece. k = piece * 2^22 + position; best = made * 2^46 + k.
 ENCODE = """
@@ -100,12 +101,13 @@ class Coder:
     def __init__(self, ranks_file: str, pattern: str):
         self.ranks, self.split = read_ranks(ranks_file), regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.tokens, self.stable = {rank: token for token, rank in self.ranks.items()}, {}
         self.token_bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.adjoin = np.zeros(65536, bool)  # pairs of bytes that some token has side by side
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = len(token)
             self.adjoin[pairs_of(np.frombuffer(token, np.uint8))] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True, "temp_directory": tempfile.mkdtemp(prefix="bpe-spill-")})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], made) for t, made in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         head, tail, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._table("merges", pa.table({"head": head, "tail": tail, "made": made}))
@@ -148,21 +150,87 @@ class Coder:
             owners.append(np.fromiter((number[piece[a:b]] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)), np.int64, len(cuts) + 1))
         parts, starts, sizes, flats, base = list(number), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [], 0
         long = np.fromiter((len(p) > SHORT_PIECE for p in parts), bool, len(parts))
-        for at, query in ((np.flatnonzero(~long), ENCODE), (np.flatnonzero(long), ENCODE_LONG)):
-            ids, counts = self._contract([parts[i] for i in at], query)
+        for at, work in ((np.flatnonzero(~long), self._contract_short), (np.flatnonzero(long), self._contract_by_windows)):
+            ids, counts = work([parts[i] for i in at])
             starts[at], sizes[at] = base + np.cumsum(counts) - counts, counts
             base += len(ids)
             flats.append(ids)
         whole = [np.zeros(0, np.int64), *owners]
         return gather(np.concatenate(flats), starts[np.concatenate(whole)], sizes[np.concatenate(whole)]), np.array([sizes[o].sum() for o in owners], np.int64)
 
+    def _contract_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self._contract(pieces, ENCODE)
+
+    def _contract_each(self, pieces: list[bytes], query: str) -> list[list[int]]:
+        ids, counts = self._contract(pieces, query)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if pieces else []
+
+    def _holds(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether two tokens side by side contract to themselves; kept for every pair that was asked for."""
+        new = list({p for p in pairs if p not in self.stable})
+        if len(self.stable) + len(new) > CACHED_PIECES:
+            self.stable, new = {}, list(set(pairs))
+        for pair, got in zip(new, self._contract_each([self.tokens[a] + self.tokens[b] for a, b in new], ENCODE), strict=True):
+            self.stable[pair] = got == list(pair)
+        return [self.stable[p] for p in pairs]
+
+    def _contract_by_windows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Contracts windows of the pieces on their own, then mends the joints between them.
+
+        Tokens t1 t2 ... are the right ones when every two neighbours contract to themselves: the first merge across a joint would also be made in
+        those two tokens alone, as what else goes on in them doesn't depend on the rest. So only joints are looked at: where two tokens don't
+        hold, a stretch around the joint is contracted anew, twice as wide each round, until all its new joints hold.
+        """
+        distinct, tokens, open_, own = Numbering(), [], [], []  # open_[i]: the joint behind token i is not known to hold; own: its piece
+        which = [[distinct[piece[i : i + WINDOW]] for i in range(0, len(piece), WINDOW)] for piece in pieces]
+        made = self._contract_each(list(distinct), ENCODE)
+        for n, windows in enumerate(which):
+            for w in windows:
+                open_ += [False] * (len(made[w]) - 1) + [True]
+                tokens += made[w]
+            open_[-1] = False
+            own += [n] * (len(tokens) - len(own))
+        tried, reach = set(), 1
+        while True:
+            at = [i for i, o in enumerate(open_) if o]
+            bad = [i for i, ok in zip(at, self._holds([(tokens[i], tokens[i + 1]) for i in at]), strict=True) if not ok]
+            if not bad:
+                break
+            open_ = [False] * len(open_)
+            ends = np.searchsorted(own, np.arange(len(pieces) + 1))
+            spans: list[list[int]] = []
+            for i in bad:
+                low, high = max(int(ends[own[i]]), i + 1 - reach), min(int(ends[own[i] + 1]), i + 1 + reach)
+                if spans and low <= spans[-1][1] and own[spans[-1][0]] == own[i]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+            held = [b"".join(self.tokens[t] for t in tokens[low:high]) for low, high in spans]
+            # a stretch of many bytes is contracted in few steps, which may go wrong where a made pair comes before what made it: all its joints are looked at
+            sure = [len(h) <= 8 * WINDOW or h in tried for h in held]
+            tried.update(h for h in held if len(h) > 8 * WINDOW)
+            new: list[list[int]] = [[]] * len(held)
+            for query, mine in ((ENCODE, [j for j, ok in enumerate(sure) if ok]), (ENCODE_LONG, [j for j, ok in enumerate(sure) if not ok])):
+                for j, got in zip(mine, self._contract_each([held[j] for j in mine], query), strict=True):
+                    new[j] = got
+            next_tokens, next_open, next_own, done = [], [], [], 0
+            for (low, high), got, ok in zip(spans, new, sure, strict=True):
+                next_tokens += tokens[done:low] + got
+                next_open += open_[done:low] + [not ok] * (len(got) - 1) + [high < ends[own[low] + 1]]
+                next_own += own[done:low] + [own[low]] * len(got)
+                if low > ends[own[low]]:
+                    next_open[-len(got) - 1] = True
+                done = high
+            tokens, open_, own, reach = next_tokens + tokens[done:], next_open + open_[done:], next_own + own[done:], reach * 2
+        return np.array(tokens, "<u4"), np.bincount(own, minlength=len(pieces)).astype(np.int64)
+
     def _learn(self, pieces: list[bytes]) -> None:
         """Ids of new pieces: a piece that is a token is that token, as in the tiktoken library."""
         whole = np.fromiter((self.ranks.get(p, -1) for p in pieces), np.int64, len(pieces))
         long = np.fromiter((len(p) > SHORT_PIECE for p in pieces), bool, len(pieces))
         starts, sizes, base, flats = np.zeros(len(pieces), np.int64), np.ones(len(pieces), np.int64), len(self.flat), [self.flat]
         known = lambda at: (whole[at].astype("<u4"), sizes[at])
-        short = lambda at: self._contract([pieces[i] for i in at], ENCODE)
+        short = lambda at: self._contract_short([pieces[i] for i in at])
         by_parts = lambda at: self._contract_long([pieces[i] for i in at])
         for at, work in ((np.flatnonzero(whole >= 0), known), (np.flatnonzero((whole < 0) & ~long), short), (np.flatnonzero((whole < 0) & long), by_parts)):
             ids, counts = work(at)
@@ -257,7 +325,11 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
 
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """Encode and decode in one pass over the texts: doc_id, n_tokens, ids_sha256 (little-endian uint32), decoded_sha256."""
+    """Encode and decode in one pass over the texts: doc_id, n_tokens, ids_sha256 (little-endian uint32), decoded_sha256; a row for each document.
+
+    A null text is an empty one; an empty one has 0 tokens and the digests of nothing. A text is encoded whole, however long. Repeated rows
+    give repeated results, an empty table none; other columns are ignored, whatever their names. The digest of the decoded bytes is that of the text.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None

@@ -337,6 +337,13 @@ def test_bpe_long_pieces():
     coder = bpe.Coder(queries.ranks_file(), P.PATTERN)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
     texts = ["".join(rng.choice(list(letters), n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "qzjx", "中文字符測試語言", "абвгдежз", "!@#$%^&*()=", "😀😁🎉") for n in (65, 300, 20_000)]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert ids.tolist() == enc.encode_ordinary(text)
+    import re
+
+    prose = re.sub("[^a-z]", "", "".join((r[1] or "").lower() for r in sf("documents")[:400]))
+    texts = [prose[:400_000], prose[7:5_000] + "ab" * 400 + prose[:3_000], "ing" * 20_001, "thein" * 5_001, ("ab" * 300 + prose[:777]) * 20]
+    assert len(texts[0]) == 400_000
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         assert ids.tolist() == enc.encode_ordinary(text)
     long = "ab" * 2_200_000
