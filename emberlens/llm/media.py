@@ -26,9 +26,9 @@ SIDE = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk.
 HEADER_BYTES = 33
-LEVEL = 1
+LEVEL = 6
 #: Bytes of stored images that a reading task gets, and that stand together in it.
-TASK_BYTES, STRETCH = 16 << 20, 1 << 20
+TASK_BYTES, STRETCH = 16 << 20, 1 << 17
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -190,7 +190,7 @@ def add_contents(rows: DataFrame) -> DataFrame:
 
 def describe(index: DataFrame) -> DataFrame:
     """An index -> a row for each document with its digest and the columns of ``add_metadata`` and ``add_contents``; each stored payload is read once."""
-    read = materialize(add_contents(add_metadata(members(index))).drop("shard", "offset", "length"), "media-read")
+    read = add_contents(add_metadata(members(index))).drop("shard", "offset", "length")
     keys = index.select("doc_id", "digest").withColumn("h", F.xxhash64("digest"))
     counts = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("h")
     return join_common(keys, read, "digest", materialize(counts, "media-common")).drop("h")

@@ -236,7 +236,7 @@ def test_media_query(spark, monkeypatch):
         chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
         lines = b"".join(b"\0" + payload[i : i + 64] for i in range(0, len(payload), 64))
         head = (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
-        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Bytes\0%d" % len(raw)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"Bytes\0%d" % len(raw)) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
         sha = hashlib.sha256(png).hexdigest()
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256, r.member, r.width, r.height, r.bit_depth) == (len(png), sha, sha, 64, len(payload) // 64, 8)
