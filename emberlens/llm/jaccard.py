@@ -6,7 +6,9 @@ of the tokens that all documents use. Candidates must pass under several orders
 1. by hash, for documents: of the first (1 - t + SPARE) of a set's tokens, a share must occur in another document's prefix too;
 2. rarest first, for pairs: a shared token in the prefixes under the document frequencies among what is left. Tokens of common passages come
    last there, and tokens of one document alone, which can't be shared, take up prefix places first;
-3. by hash from the other end, and then 1 again, for pairs, before the whole sets are intersected.
+3. by hash from the other end, and by hash once more, for those pairs: prefixes meet, sets don't, and a pair that passes only some filters ends here.
+
+What passes all filters is verified on the whole sets.
 
 No group is emitted pair by pair. Equal sets are one representative. In each bucket of order 2 all are compared with one centre, the
 document whose tokens are the most frequent, as an original's are among its copies. What such a star leaves unlinked is compared with the rest of
@@ -30,8 +32,8 @@ WORDS, PERCENT = 4, 85
 SPARE = 10
 #: Rows of the broadcast that thins texts out before the exact join: at most so many, whatever the input.
 SIEVE = 1 << 20
-#: Sets in a block.
-BLOCK = 256
+#: Sets that one matrix product compares on each side, and tokens of the sets in a block that is shipped (eight bytes each).
+BLOCK, BLOCK_TOKENS = 256, 500_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -100,30 +102,39 @@ def _pick(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def passes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Size filter, then orders 3 and 1, then the sets themselves."""
-    n, m = len(a), len(b)
-    if min(n, m) * 100 < percent * max(n, m):
-        return False
-    p, q = _prefix(n, percent), _prefix(m, percent)
-    for x, y in ((a[n - p :], b[m - q :]), (a[:p], b[:q]), (a, b)):
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if not common:
-            return False
-    return bool(similar(common, n, m, percent))
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
+
+
+def _long_prefix(n: Column, percent: int) -> tuple[Column, Column]:
+    """Tokens in a set's longer prefix, and its spare: two linked sets share as many tokens of their prefixes as the smaller spare says, under any order."""
+    spare = F.greatest(F.lit(1), F.floor(n * SPARE / 100)).cast("int")
+    return n - F.ceil(n * percent / 100).cast("int") + spare, spare
+
+
+def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) -> the pairs that pass the filters by size and of orders 3 and 1: their longer prefixes under each order share enough tokens. Sets aren't shipped."""
+    length, spare = _long_prefix(F.col("n"), percent)
+    heads = sets.select("rep", "n", spare.alias("spare"), F.slice("tokens", F.lit(1), length).alias("low"), F.slice("tokens", -length, length).alias("high"))
+    heads = materialize(heads, "shingle-heads")
+    left, right = (heads.select(*[F.col(c).alias(f"{c}_{side}") for c in heads.columns]) for side in "ab")
+    both = pairs.join(left, F.col("a") == F.col("rep_a")).join(right, F.col("b") == F.col("rep_b"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    enough = [F.size(F.array_intersect(f"{side}_a", f"{side}_b")) >= F.least("spare_a", "spare_b") for side in ("high", "low")]
+    return both.where(near).where(enough[0]).where(enough[1]).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> a, b, linked."""
+    """(a, b) -> the pairs whose sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [passes(x, y, percent) for x, y in zip(_pick(batch.column(2)), _pick(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            ok = [linked(x, y, percent) for x, y in zip(_pick(batch.column(2)), _pick(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
 def block_links(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.ndarray], sets: tuple[list, list], percent: int) -> list[tuple[int, int]]:
@@ -148,37 +159,34 @@ def block_links(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np
 def _open_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the stars left open: in each star whose members aren't all in the centre's component, those outside it against all members.
 
-    ``stars``: (a member, b centre). Sets go into blocks of BLOCK by hash, and each pair of blocks is compared in one step.
+    ``stars``: (a member, b centre). Sets go into blocks of about BLOCK_TOKENS tokens by hash, and each pair of blocks is one row and one task's work: a
+    star's sets are copied once for each block of the other side, so most stars are shipped once.
     """
     component = F.coalesce("component", "node")
     named = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "node").join(labels, "node", "left").select("node", component.alias("component"))
     placed = stars.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-    size = placed.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("ca") != F.col("cb"), 1)).alias("outside")).where("outside > 0 AND members > 1")
-    placed = materialize(placed.join(size, "b").select("a", "b", "ca", (F.col("ca") != F.col("cb")).alias("out"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("out_blocks")), "open-stars")
+    placed = placed.join(sets.select(F.col("rep").alias("a"), "n"), "a").withColumn("out", F.col("ca") != F.col("cb"))
+    size = placed.groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"), F.sum(F.when(F.col("out"), F.col("n"))).alias("out_tokens")).where("out_tokens > 0 AND members > 1")
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK_TOKENS).cast("int")
+    placed = materialize(placed.join(size, "b").select("a", "b", "ca", "out", blocks_of("tokens").alias("blocks"), blocks_of("out_tokens").alias("out_blocks")), "open-stars")
     whole = placed.join(sets.select(F.col("rep").alias("a"), "tokens"), "a")
 
-    def blocks(rows: DataFrame, own: str, others: str, names: list[str]) -> DataFrame:
-        packed = rows.withColumn("x", F.pmod(F.xxhash64("a"), F.col(own)).cast("int")).groupBy("b", "x").agg(F.first(others).alias("others"), F.collect_list(F.struct("a", "ca", "tokens")).alias("held"))
-        return packed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("b", F.col("x").alias(names[0]), F.col("y").alias(names[1]), F.col("held").alias(names[2]))
-
-    outer = blocks(whole.where("out"), "out_blocks", "blocks", ["i", "j", "outer"])
-    inner = blocks(whole, "blocks", "out_blocks", ["j", "i", "inner"])
+    def dealt(rows: DataFrame, own: str, others: str, names: list[str]) -> DataFrame:
+        placed = rows.withColumn(names[0], F.pmod(F.xxhash64("a"), F.col(own)).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return placed.select(*[F.col(c).alias(c) for c in ("b", "i", "j", "a", "ca", "tokens")])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                ids, groups, sets_ = [], [], []
-                for column in (0, 1):
-                    held = batch.column(column).slice(row, 1).flatten()
-                    ids.append(held.field("a").to_numpy())
-                    groups.append(held.field("ca").to_numpy())
-                    sets_.append(_pick(held.field("tokens")))
-                found += block_links(tuple(ids), tuple(groups), tuple(sets_), percent)
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def work(outer: pa.Table, inner: pa.Table) -> pa.Table:
+        sides = []
+        for table in (outer, inner):
+            ids, groups, sets_ = table.column("a").to_numpy(), table.column("ca").to_numpy(), [s for chunk in table.column("tokens").chunks for s in _pick(chunk)]
+            sides.append([(ids[i : i + BLOCK], groups[i : i + BLOCK], sets_[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)])
+        found = [link for x in sides[0] for y in sides[1] for link in block_links(*zip(x, y, strict=True), percent)]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return outer.join(inner, ["b", "i", "j"]).select("outer", "inner").mapInArrow(work, "a long, b long")
+    keys = ["b", "i", "j"]
+    outer, inner = dealt(whole.where("out"), "out_blocks", "blocks", ["i", "j"]), dealt(whole, "blocks", "out_blocks", ["j", "i"])
+    return outer.groupBy(*keys).cogroup(inner.groupBy(*keys)).applyInArrow(work, "a long, b long")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -216,11 +224,12 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     centres = buckets.groupBy("token").agg(F.max(F.struct("fame", (-F.col("rep")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (-F.col("top.id")).alias("b"))
     stars = materialize(buckets.join(centres, "token").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "shingle-stars")
 
-    linked = materialize(_verified(stars, sets, percent).where("linked").select("a", "b"), "shingle-links")
-    labels = connected_components(linked)
+    candidates = materialize(filtered(stars, sets, percent), "shingle-pairs")
+    links = materialize(_verified(candidates, sets, percent), "shingle-links")
+    labels = connected_components(links)
     more = materialize(_open_links(stars, labels, sets, percent), "shingle-more")
     if more.limit(1).count():
-        labels = connected_components(linked.union(more))
+        labels = connected_components(links.union(more))
 
     named = classes.select("sig1", "sig2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))
     some = prefixes.where("n > 0").select("doc_id", "n", "sig1", "sig2").join(named, ["sig1", "sig2"], "left").select("doc_id", "n", "component_id")

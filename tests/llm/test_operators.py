@@ -379,6 +379,7 @@ def slow_components(texts):
 
 def test_jaccard(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)  # many blocks
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
     rng = np.random.default_rng(5)
     words = np.array([f"w{i}" for i in range(3000)])
     passage = " ".join(rng.choice(words, 60))
@@ -399,6 +400,23 @@ def test_jaccard(spark, monkeypatch):
     assert jaccard.near_classes(df.where("false")).count() == 0
 
 
+def test_jaccard_filters_before_sets(spark, monkeypatch):
+    """Pairs that share one of four passages don't reach their sets; every linked pair does."""
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(50_000)])
+    passages = rng.choice(words, (4, 7, 30), replace=False)
+    texts = [" ".join(" ".join(passages[k, at]) for k, at in enumerate((i, j, (i + j) % 7, (i + 2 * j) % 7))) for i in range(7) for j in range(7)]
+    texts += [" ".join(t.split()[:-1]) for t in texts[:10]]
+    seen = {}
+    checked, filters = jaccard._verified, jaccard.filtered
+    monkeypatch.setattr(jaccard, "filtered", lambda pairs, sets, percent: seen.setdefault("before", pairs.count()) and filters(pairs, sets, percent))
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets, percent: seen.setdefault("after", pairs.count()) and checked(pairs, sets, percent))
+    got = rows(jaccard.near_classes(docs_of(spark, texts)))
+    assert got == sorted(slow_components(texts), key=str) and sum(i != c for i, _, c in got) == 10
+    print(seen)
+    assert seen["before"] >= 59 and 10 <= seen["after"] < seen["before"] / 2
+
+
 def test_jaccard_table(spark):
     texts = [r[1] for r in sorted(sf("documents"))]
     assert rows(queries.op9_jaccard(spark, SF)) == sorted(slow_components(texts), key=str)
