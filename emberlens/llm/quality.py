@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberlens.llm.names import spared
+
 #: Bytes under a filter, filters, bytes in a chunk. Chunks overlap by WIDTH - 1 bytes, so every window of the text lies in one of them.
 WIDTH, FILTERS, CHUNK = 6, 12, 512
 #: Training takes at most so many labelled rows of each class, and none whose text is longer than so many bytes.
@@ -125,7 +127,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows_per_class: int =
     rank = F.xxhash64("doc_id")
     few = known.where("quality = 0").orderBy(rank, "doc_id").limit(max_rows_per_class).union(known.where("quality = 1").orderBy(rank, "doc_id").limit(max_rows_per_class))
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    rows = short.join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").collect()  # at most 2 * max_rows_per_class ids
+    # at most 2 * max_rows_per_class rows: of rows that repeat one doc_id the one with the least text is taken
+    rows = short.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.text))
     return [(r.text.encode(), r.quality) for r in rows]
 
@@ -134,9 +137,11 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """Documents -> the same rows and columns and quality_score (0 to 1, higher: better).
 
     Every byte of every text is read, however long; a null text is an empty one, and an empty one has the score of six zero bytes. Only
-    the text decides the score, so equal texts score alike. Repeated rows stay; empty tables give empty results.
+    the text decides the score, so equal texts score alike. Repeated rows stay; empty tables give empty results. Other columns are kept;
+    one named quality_score gets a ``_`` behind its name.
     """
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    names = spared(docs.columns, ["quality_score"])
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -146,4 +151,4 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
     kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
     out = kept.withColumn("quality_score", scored(F.coalesce(own["text"], F.lit(""))))
-    return out.select(*[F.col(k).alias(c) for c, k in own.items()], "quality_score")
+    return out.select(*[F.col(k).alias(name) for name, k in zip(names, own.values(), strict=True)], "quality_score")

@@ -89,6 +89,27 @@ def test_attribution(spark, rule):
         assert sum(want) == pytest.approx(len(ids)) and got[i, "text"].record_tokens == len(ids)
 
 
+def test_attribution_query(spark):
+    """op2_token_attribution over a whole table against spans counted one by one: a token goes to the section that holds most of it."""
+    d = "/root/testdata/sf0.001"
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(queries.ranks_file()), special_tokens={})
+    got = {(r.doc_id, r.section): (r.tokens, r.record_tokens) for r in queries.op2_token_attribution(spark, d).collect()}
+    docs = duckdb.sql(f"SELECT doc_id, source, lang, text FROM '{d}/documents.parquet'").fetchall()
+    assert len(got) == 4 * len(docs)
+    for doc_id, source, lang, text in docs:
+        head, _, body = (text or "").partition("\n")
+        names, values = ("source", "lang", "head", "body"), [f"{source or ''}\n", f"{lang or ''}\n", head + "\n", body]
+        owner = [k for k, v in enumerate(values) for _ in v]
+        byte_owner = [(i, k) for i, (k, c) in enumerate(zip(owner, "".join(values), strict=True)) for _ in c.encode()]
+        counts, at, ids = [0] * 4, 0, enc.encode_ordinary("".join(values))
+        for x in ids:
+            size = len(enc.decode_single_token_bytes(x))
+            chars = [k for _, k in sorted(set(byte_owner[at : at + size]))]
+            counts[max(set(chars), key=lambda k: (chars.count(k), -k))] += 1
+            at += size
+        assert [got[doc_id, n] for n in names] == [(c, len(ids)) for c in counts]
+
+
 # ---- 3 URL filters
 def test_url_filter(spark):
     entries = [("bad.com", "add", "2024-02-01", "spam"), ("bad.com", "remove", "2024-03-01", "spam"), ("bad.com", "remove", "2024-02-01", "spam"), ("a.org/x", "add", "2024-01-01", None), (None, "add", "2024-01-01", "spam"), ("com", "add", None, "spam")]
@@ -120,7 +141,8 @@ def test_quality_edges(spark):
     texts = ["ab cd " * int(rng.integers(1, 400)) for _ in range(40)] + ["a### b&&& " * int(rng.integers(1, 400)) for _ in range(40)]
     net = quality.train([t.encode() for t in texts], [1] * 40 + [0] * 40, epochs=10)
     df = docs_of(spark, ["", None, "x", texts[0], texts[0], texts[-1], "ab cd " * 100_000]).withColumn("quality_score", F.lit("clash"))
-    out = quality.score_documents(df.drop("quality_score"), net).orderBy("doc_id").collect()
+    out = quality.score_documents(df, net).orderBy("doc_id").collect()
+    assert all(r.quality_score_ == "clash" for r in out)
     assert [r.n_chars for r in out] == [0, 0, 1, len(texts[0]), len(texts[0]), len(texts[-1]), 600_000]
     s = [r.quality_score for r in out]
     assert s[0] == s[1] and s[3] == s[4] and s[3] > 0.5 > s[5] and s[6] > 0.5 and all(0 <= x <= 1 for x in s)
@@ -129,7 +151,12 @@ def test_quality_edges(spark):
     want = np.array([slow[i : i + quality.CHUNK].max(0) for i in range(0, len(slow), quality.CHUNK)])
     assert np.allclose(pooled, want, atol=1e-5)
     assert quality.score(b"", quality.train([], []), quality.train([], []).pairs()) == 0.5
-    assert quality.score_documents(df.drop("quality_score").where("false"), net).count() == 0
+    assert quality.score_documents(df.where("false"), net).count() == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None), (5, 7)], "doc_id long, quality int")
+    twice = docs_of(spark, [f"text {i}" for i in range(60)])
+    rows_ = quality.training_rows(twice.union(twice.withColumn("text", F.concat("text", F.lit(" again")))), labels, max_rows_per_class=12)
+    assert len(rows_) == 24 and not any("again" in t.decode() for t, _ in rows_)
+    assert all(zlib.crc32(t.decode().split()[1].encode()) % 3 != 1 for t, _ in rows_)
 
 
 # ---- 5 line dedup
