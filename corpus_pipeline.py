@@ -14,14 +14,22 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.5 or more). It learns from the labels' training part."""
+    """Documents that the classifier accepts (score of 0.5 or more). It learns from the labels' training part; without labels it accepts all.
+
+    Null and empty texts have the score of an empty text. Equal texts are kept or dropped alike, repeated rows and null ids stay rows of
+    their own, an empty table stays empty. Columns beside those of documents are dropped, whatever their names: so in every stage.
+    """
     rows = quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     net = quality.train([t for t, _ in rows], [q for _, q in rows])
     return quality.score_documents(docs.select(*COLUMNS), net).where("quality_score >= 0.5").drop("quality_score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document or line has, short ones included where they are the same. A document that lost lines and has none left that isn't empty goes."""
+    """Texts without lines that an earlier document or line has, short ones included where they are the same. A document that lost lines and has none left that isn't empty goes.
+
+    Earlier: by doc_id, then line number; null ids come last, rows of one doc_id are one document. Null and empty texts and empty lines stay. n_chars
+    is counted anew where lines went. Texts are read whole, however long; an empty table stays empty.
+    """
     out = line_dedup.dedup_lines(docs.select(*COLUMNS), exact_chars=1)
     lines = F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x)))
     out = out.where((F.col("dedup_removed") == 0) | (F.array_max(lines) > 0))
@@ -29,18 +37,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id."""
+    """Of each group of near-duplicate documents the one with the smallest id.
+
+    Documents without words are in no group and stay, as do rows with a null id; repeated rows of the id that stays are all kept. An empty table stays empty.
+    """
     gone = materialize(jaccard.near_classes(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in the order of the run."""
+    """The documents as often as the mix takes them, in the order of the run; what is beyond its source's target is not in it.
+
+    Null sources are one source, null texts have no words, repeated rows are documents of their own, an empty table gives an empty run.
+    """
     return mixing.lay_out(mixing.plan_mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and of the decoded text."""
+    """Counts and digests of each row's token ids, and the digest of the decoded text: a row for each row, repeated ones too.
+
+    A null text is an empty one, with 0 tokens; texts are encoded whole; an empty table gives no rows.
+    """
     return bpe.round_trip(docs.select(*COLUMNS), ranks_file(), pattern())
 
 
