@@ -23,10 +23,11 @@ from itertools import islice
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from emberlens.llm.batches import slices
+
 #: Distinct pieces whose ids a Python worker keeps over its tasks; when there are more, it starts over. A bound on memory alone.
 CACHED_PIECES = 600_000
 #: Bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
@@ -276,16 +277,6 @@ def coder_of(ranks_file: str, pattern: str) -> Coder:
     return Coder(ranks_file, pattern)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``most`` bytes of text (column 1) each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(sizes):
-        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, ids array<int>: a row for each document.
 
@@ -296,7 +287,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for big in batches:
-            for batch in _slices(big):
+            for batch in slices(big):
                 coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
@@ -334,7 +325,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for big in batches:
-            for batch in _slices(big):
+            for batch in slices(big):
                 coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 back = coder.decode(ids)

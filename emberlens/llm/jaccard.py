@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from emberlens.llm.batches import slices
 from emberlens.llm.shingles import shingle_set, signature
 from emberlens.operators.components import connected_components
 from emberlens.shared import materialize
@@ -55,7 +56,7 @@ def _need(n: Column, percent: int) -> Column:
 
 
 def _blob_sets(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         n, s1, s2, prefixes = [], [], [], []
         for text in batch.column(1).to_pylist():
             h = shingle_set((text or "").encode(), words)
@@ -81,7 +82,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(rep, sig1, text) -> rep, sig1, n, tokens, for the rows whose set has that signature."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             reps, sigs, sets = [], [], []
             for rep, sig1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingle_set((text or "").encode(), words)
