@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N
 from emberlens.operators.components import connected_components
+from emberlens.shared import materialize
 
-#: Height in degrees of the bands that edges are dealt into.
-BAND_DEG = 0.25
+#: Side in degrees of the cells through which points meet polygons, and height of the bands in which they meet edges.
+CELL_DEG, BAND_DEG = 0.25, 0.02
+#: Parts of a small cell along each side in clustering.
+QUARTERS = 4
+#: Cells this near an edge count as touched by it, so that rounding can't matter.
+EDGE_PAD = 1e-9
 
 
 def edges_of(polygons: DataFrame) -> DataFrame:
@@ -28,23 +33,54 @@ def bands(low, high, size: float = BAND_DEG) -> Column:
     return F.explode(F.sequence(N.row_of(low, size), N.row_of(high, size)))
 
 
-def regions_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, lat, lon) x edges -> (id, region, ord) for every region that contains a point: in an outer ring, in no hole of that polygon.
+def polygon_cells(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
+    """Edge table -> region, ord, polygon, x, y, whole: the cells of a degree grid that a polygon meets; whole: no edge is near, and all of it is inside.
 
-    Even-odd ray cast. An edge meets only the points of the bands it crosses. Null coordinates are in no region.
+    Cells that an edge comes near are found row by row from the part of the edge in that row; what lies between a ring's crossings of a
+    row's middle and isn't one of them is inside the ring. Cells that are all in a hole are left out.
     """
+    own = ["region", "ord", "polygon"]
+    e = edges.select(*own, "ring", "hole", "x1", "y1", "x2", "y2", bands(F.least("y1", "y2") - EDGE_PAD, F.greatest("y1", "y2") + EDGE_PAD, size).alias("y"))
+    low, high = F.col("y") * size - EDGE_PAD, (F.col("y") + 1) * size + EDGE_PAD
+    at = lambda lat: F.col("x1") + (F.col("x2") - F.col("x1")) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - F.col("y1")) / (F.col("y2") - F.col("y1"))))
+    flat = F.col("y1") == F.col("y2")
+    ends = F.when(flat, F.array("x1", "x2")).otherwise(F.array(at(low), at(high)))
+    edge_cells = e.select(*own, "ring", "hole", "y", F.explode(F.sequence(N.row_of(F.array_min(ends) - EDGE_PAD, size), N.row_of(F.array_max(ends) + EDGE_PAD, size))).alias("x")).distinct()
+    spans = scan_rows(edges, size, [*own, "ring", "hole"])
+    columns = F.sequence(F.ceil(F.col("low") / size - 0.5).cast("long"), F.floor(F.col("high") / size - 0.5).cast("long"))
+    middle = spans.where(F.ceil(F.col("low") / size - 0.5) <= F.floor(F.col("high") / size - 0.5)).select(*own, "ring", "hole", F.col("row").alias("y"), F.explode(columns).alias("x"))
+    marked = edge_cells.withColumn("edge", F.lit(True)).union(middle.select(*edge_cells.columns).withColumn("edge", F.lit(False)))
+    by_ring = marked.groupBy(*own, "ring", "hole", "x", "y").agg(F.bool_or("edge").alias("edge"))
+    cells = by_ring.groupBy(*own, "x", "y").agg(F.bool_or("edge").alias("edge"), F.bool_or(F.col("hole") & ~F.col("edge")).alias("gone"))
+    return cells.where("NOT gone").select(*own, "x", "y", (~F.col("edge")).alias("whole"))
+
+
+def _hits(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """As regions_containing, but a region may come twice for a point in two of its polygons."""
+    cells = materialize(polygon_cells(edges), "polygon-cells")
+    p = points.select("id", "lat", "lon").withColumns({"x": N.row_of("lon", CELL_DEG), "y": N.row_of("lat", CELL_DEG)})
+    whole = p.join(cells.where("whole"), ["x", "y"]).select("id", "region", "ord")
+    asked = p.join(cells.where("NOT whole"), ["x", "y"]).withColumn("band", N.row_of("lat", BAND_DEG)).drop("x", "y")
     e = edges.withColumn("band", bands(F.least("y1", "y2"), F.greatest("y1", "y2")))
-    p = points.select("id", "lat", "lon").withColumn("band", N.row_of("lat", BAND_DEG))
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     left_of = F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    crossed = p.join(e, "band").where(spans & left_of).groupBy("id", "region", "ord", "polygon", "ring", "hole").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    crossed = asked.join(e, ["region", "ord", "polygon", "band"]).where(spans & left_of).groupBy("id", "region", "ord", "polygon", "ring", "hole").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
     polygons = crossed.groupBy("id", "region", "ord", "polygon").agg(F.bool_or("hole").alias("in_hole"))
-    return polygons.where("NOT in_hole").select("id", "region", "ord").distinct()
+    return whole.union(polygons.where("NOT in_hole").select("id", "region", "ord"))
+
+
+def regions_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, lat, lon) x edges -> (id, region, ord) for every region that contains a point: in an outer ring, in no hole of that polygon.
+
+    Points meet polygons through the cells of a grid. In a cell that no edge comes near the answer is the cell's; elsewhere a point meets the edges
+    of that one polygon in a narrow band of latitude: even-odd ray cast. Null coordinates are in no region.
+    """
+    return _hits(points, edges).distinct()
 
 
 def first_region(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, region): the first region in list order that contains the point; points in none are left out."""
-    return regions_containing(points, edges).groupBy("id").agg(F.min_by("region", "ord").alias("region"))
+    return _hits(points, edges).groupBy("id").agg(F.min_by("region", "ord").alias("region"))
 
 
 def _columns_of(row: Column, step: float) -> Column:
@@ -82,23 +118,36 @@ def distance_pairs(points: DataFrame, max_km: float) -> DataFrame:
 def single_linkage(points: DataFrame, max_km: float) -> DataFrame:
     """(id, lat, lon) -> (id, cluster): connected by hops of at most ``max_km``; a cluster is named by its smallest id.
 
-    Points of one small cell (its diagonal is below ``max_km``) are linked through the cell's smallest id, so a dense place adds few edges
-    to the graph; equal coordinates are one spot. Spots are still compared within the cells of the distance grid: that cost grows with the
-    square of the distinct coordinates in a cell of ``max_km``.
+    All points of one small cell (its diagonal is below ``max_km``) are in one cluster, so the graph's nodes are the cells. Cells are cut into
+    QUARTERS by QUARTERS parts with one point each to stand for them: two cells are linked where two such points are near enough, which takes a
+    bounded number of comparisons for a cell however dense it is. Only where none are, but points beside them could be, do all points of
+    two parts meet. Above 89 degrees of latitude every spot is a cell.
     """
     side = max_km / 111.2 / 1.5
     row = N.row_of("lat", side)
-    small = points.select("id", "lat", "lon", row.alias("row")).withColumn("cell", F.floor(F.col("lon") * F.cos((F.abs(F.col("row") + 0.5) + 0.5) * side * math.pi / 180.0) / side).cast("long"))
-    spots = small.groupBy("row", "cell", "lat", "lon").agg(F.min("id").alias("id"))
-    heads = spots.groupBy("row", "cell").agg(F.min("id").alias("head"))
-    placed = spots.join(heads, ["row", "cell"])
-    inside = placed.select(F.col("id").alias("a"), F.col("head").alias("b"))
-    pairs = near_pairs(placed.select("id", "lat", "lon"), placed.select("id", "lat", "lon"), max_km).where("a < b")
-    home = placed.select("id", "row", "cell")
-    apart = pairs.join(home.toDF("a", "row_a", "cell_a"), "a").join(home.toDF("b", "row_b", "cell_b"), "b").where("row_a <> row_b OR cell_a <> cell_b")
-    labels = connected_components(inside.union(apart.select("a", "b")))
-    by_spot = spots.join(labels.withColumnRenamed("node", "id"), "id", "left").select("row", "cell", "lat", "lon", F.coalesce("component", "id").alias("cluster"))
-    return small.join(by_spot, ["row", "cell", "lat", "lon"]).select("id", "cluster")
+    flat = F.col("lon") * F.cos((F.abs(F.col("row") + 0.5) + 0.5) * side * math.pi / 180.0) / side
+    cell = F.when(F.abs(F.col("lat")) > 89, F.xxhash64("lat", "lon")).otherwise(F.floor(flat).cast("long"))
+    part = lambda c: F.floor((c - F.floor(c)) * QUARTERS).cast("int")
+    small = points.select("id", "lat", "lon", row.alias("row")).withColumn("cell", cell).withColumn("part", part(F.col("lat") / side) * QUARTERS + part(flat))
+    spots = materialize(small.groupBy("row", "cell", "part", "lat", "lon").agg(F.min("id").alias("id")), "spots")
+    heads = spots.groupBy("row", "cell").agg(F.min("id").alias("node"))
+    stand = spots.groupBy("row", "cell", "part").agg(F.min_by(F.struct("lat", "lon"), "id").alias("at"), F.min("id").alias("id")).join(heads, ["row", "cell"])
+    stand = materialize(stand.select("id", "at.lat", "at.lon", "node", "row", "cell", "part"), "spot-parts")
+    reach = 2 * max_km / QUARTERS  # two parts are wider by less than this than the two points that stand for them
+    of = lambda side_: stand.select(F.col("id").alias(side_), F.col("node").alias(f"node_{side_}"))
+    pairs = near_pairs(stand.select("id", "lat", "lon"), stand.select("id", "lat", "lon"), max_km + reach).where("a < b").join(of("a"), "a").join(of("b"), "b").where("node_a <> node_b")
+    pairs = materialize(pairs.select("a", "b", "km", F.least("node_a", "node_b").alias("low"), F.greatest("node_a", "node_b").alias("high")), "spot-pairs")
+    linked = pairs.where(F.col("km") <= max_km).select("low", "high").distinct()
+    unsure = pairs.where(F.col("km") > max_km).join(linked, ["low", "high"], "left_anti")
+
+    def members(side_: str) -> DataFrame:
+        held = spots.join(stand.select("row", "cell", "part", F.col("id").alias(side_)), ["row", "cell", "part"])
+        return held.select(side_, F.col("lat").alias(f"lat_{side_}"), F.col("lon").alias(f"lon_{side_}"))
+
+    close = unsure.join(members("a"), "a").join(members("b"), "b").where(N.haversine_km("lat_a", "lon_a", "lat_b", "lon_b") <= max_km)
+    labels = connected_components(linked.union(close.select("low", "high")).select(F.col("low").alias("a"), F.col("high").alias("b")))
+    named = heads.join(labels, "node", "left").select("row", "cell", F.coalesce("component", "node").alias("cluster"))
+    return small.join(named, ["row", "cell"]).select("id", "cluster")
 
 
 def _box_cells(west, south, east, north, size: float) -> Column:

@@ -91,6 +91,43 @@ def test_regions(spark):
     assert got[3] == ("inside", "b") and got[6] == ("none", None) and got[7] == ("near", "a")
 
 
+def test_regions_by_cells(spark):
+    """Star-shaped polygons with holes over many cells, against a plain ray cast."""
+    rng = np.random.default_rng(8)
+    shapes, rings = [], {}
+    for k in range(4):
+        x, y = float(rng.uniform(0, 3)), float(rng.uniform(0, 3))
+        angle = np.sort(rng.uniform(0, 2 * math.pi, 40))
+        own = []
+        for scale in (1.0, 0.3):
+            r = scale * rng.uniform(0.7, 1.6, 40)
+            ring = [(x + float(a * math.cos(t)), y + float(a * math.sin(t))) for a, t in zip(r, angle)]
+            own.append([{"lon": a, "lat": b} for a, b in [*ring, ring[0]]])
+        shapes.append((f"r{k}", k, [own]))
+        rings[f"r{k}"] = own
+    spots = [(float(a), float(b)) for a, b in rng.uniform(-2, 5, (1500, 2))]
+
+    def odd(ring, lat, lon):
+        hit = 0
+        for a, b in zip(ring, ring[1:]):
+            hit += (a["lat"] > lat) != (b["lat"] > lat) and lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]
+        return hit % 2 == 1
+
+    want = {(i, r) for i, (lat, lon) in enumerate(spots) for r, (outer, hole) in rings.items() if odd(outer, lat, lon) and not odd(hole, lat, lon)}
+    edges = spatial.edges_of(spark.createDataFrame(shapes, RINGS))
+    assert {(r.id, r.region) for r in spatial.regions_containing(points_of(spark, spots), edges).collect()} == want and len(want) > 100
+    assert spatial.polygon_cells(edges).where("whole").count() > 20
+
+
+@pytest.mark.parametrize("gap, clusters", [(0.01785, 1), (0.0181, 2)])
+def test_linkage_of_dense_places(spark, gap, clusters):
+    """Two dense places whose nearest points, and no others, are about 2 km apart."""
+    rng = np.random.default_rng(9)
+    west = [(52.0 - float(a), 104.0 + float(b)) for a, b in rng.uniform(0, 0.004, (150, 2))] + [(52.0, 104.002)]
+    east = [(52.0 + gap + float(a), 104.0 + float(b)) for a, b in rng.uniform(0.0005, 0.004, (150, 2))] + [(52.0 + gap, 104.002)]
+    assert spatial.single_linkage(points_of(spark, west + east), 2.0).select("cluster").distinct().count() == clusters
+
+
 def test_intervals_and_area(spark):
     rows = spark.createDataFrame([(1, 5.0, 7.0), (1, 0.0, 2.0), (1, 1.0, 3.0), (1, 7.0, 8.0)], "k int, low double, high double")
     assert sorted((r.low, r.high) for r in spatial.merge_intervals(rows, ["k"]).collect()) == [(0.0, 3.0), (5.0, 8.0)]
