@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlens.llm.names import spared
@@ -143,11 +143,11 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     names = spared(docs.columns, ["quality_score"])
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pairs = net.pairs()
-        for texts in batches:
-            yield pd.Series([score((t or "").encode(), net, pairs) for t in texts], dtype="float64")
+        for texts in batches:  # one text at a time becomes a Python object
+            yield pa.array([score(t.as_buffer().to_pybytes() if t.is_valid else b"", net, pairs) for t in texts], pa.float64())
 
     kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
     out = kept.withColumn("quality_score", scored(F.coalesce(own["text"], F.lit(""))))
