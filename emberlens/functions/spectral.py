@@ -44,9 +44,11 @@ def classify(value: Column, index: str) -> Column:
     return out.otherwise(last)
 
 
-def _result(value: Column, index: str, healthy: Column, ok: Column) -> Column:
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(js_round(value, 4).alias("value"), classify(value, index).alias("classification"), healthy.alias("healthy"))).otherwise(
-        F.struct(F.lit(0.0).alias("value"), F.lit("no_data").alias("classification"), F.lit(False).alias("healthy"))
+def _result(value: Column, index: str, healthy, ok: Column) -> Column:
+    """value, classification, healthy. The value is null at first where it can't be computed, so that each field begins with the same expression, which Spark computes once."""
+    v = F.when(F.coalesce(ok, F.lit(False)), value)
+    return F.struct(
+        F.coalesce(js_round(v, 4), F.lit(0.0)).alias("value"), F.when(v.isNull(), "no_data").otherwise(classify(v, index)).alias("classification"), F.coalesce(healthy(v), F.lit(False)).alias("healthy")
     )
 
 
@@ -57,39 +59,39 @@ def _ratio(a: Column, b: Column) -> tuple[Column, Column]:
 
 def ndvi(nir, red) -> Column:
     v, ok = _ratio(num(nir), num(red))
-    return _result(v, "ndvi", v >= 0.4, ok)
+    return _result(v, "ndvi", lambda v: v >= 0.4, ok)
 
 
 def nbr(nir, swir2) -> Column:
     v, ok = _ratio(num(nir), num(swir2))
-    return _result(v, "nbr", v >= 0.2, ok & (num(swir2) != 0))
+    return _result(v, "nbr", lambda v: v >= 0.2, ok & (num(swir2) != 0))
 
 
 def ndwi(green, nir) -> Column:
     v, ok = _ratio(num(green), num(nir))
-    return _result(v, "ndwi", (v >= -0.3) & (v <= 0.3), ok & (num(green) != 0))
+    return _result(v, "ndwi", lambda v: (v >= -0.3) & (v <= 0.3), ok & (num(green) != 0))
 
 
 def ndmi(nir, swir1) -> Column:
     v, ok = _ratio(num(nir), num(swir1))
-    return _result(v, "ndmi", v >= 0.0, ok & (num(swir1) != 0))
+    return _result(v, "ndmi", lambda v: v >= 0.0, ok & (num(swir1) != 0))
 
 
 def evi(blue, red, nir) -> Column:
     below = num(nir) + num(red) * 6.0 - num(blue) * 7.5 + 1.0
     v = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (num(nir) - num(red)) / F.nullif(below, F.lit(0.0)) * 2.5))
-    return _result(v, "evi", v >= 0.3, (num(blue) != 0) & (below != 0))
+    return _result(v, "evi", lambda v: v >= 0.3, (num(blue) != 0) & (below != 0))
 
 
 def savi(nir, red, soil: float = 0.5) -> Column:
     below = num(nir) + num(red) + soil
     v = (num(nir) - num(red)) / F.nullif(below, F.lit(0.0)) * (1.0 + soil)
-    return _result(v, "savi", v >= 0.3, below != 0)
+    return _result(v, "savi", lambda v: v >= 0.3, below != 0)
 
 
 def dnbr(before, after) -> Column:
     v = num(before) - num(after)
-    return _result(v, "dnbr", v < 0.1, v.isNotNull())
+    return _result(v, "dnbr", lambda v: v < 0.1, v.isNotNull())
 
 
 def severity(dnbr_value) -> Column:

@@ -119,3 +119,41 @@ def geometry_json(stored, west, south, east, north, lon, lat) -> Column:
 
 def feature_json(geometry: Column, properties: list[str]) -> Column:
     return F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(geometry, F.lit("null")), F.lit(',"properties":'), F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}), F.lit("}"))
+
+
+# Columns of an incident export in their order.
+EXPORT_COLUMNS = (
+    "id", "change_type", "status", "region", "region_iso", "detected_date", "first_seen", "last_seen", "center_lat", "center_lon", "bbox_min_lat", "bbox_min_lon", "bbox_max_lat", "bbox_max_lon",
+    "area_ha", "area_note", "hotspot_count", "frp_max", "satellites", "severity", "confidence", "source", "method", "license", "url",
+)
+
+
+def export_rows(rows: DataFrame, licenses: DataFrame, site: str, method: str, area_note: str) -> DataFrame:
+    """Matching incidents (their own columns, with method, status, region_iso, first_seen, last_seen, hotspot_count, frp_max as stored text) -> EXPORT_COLUMNS.
+
+    Empty texts and numbers that aren't any are null. ``licenses`` (source, license) may lack a source. Rows made by ``method`` carry the note on their area.
+    The link opens the map at the incident's centre, or the list where it has none.
+    """
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    value = lambda c: F.when(F.abs(F.col(c).try_cast("double")) < float("inf"), F.col(c).try_cast("double"))
+    lat, lon = value("center_lat"), value("center_lng")
+    shown = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    url = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(F.lit(f"{site}/?lat="), shown(lat), F.lit("&lng="), shown(lon), F.lit("&incident="), F.col("id").cast("string")))
+    made = {
+        "id": F.col("id"), "detected_date": F.date_format("detected_date", "yyyy-MM-dd"), "center_lat": lat, "center_lon": lon, "bbox_min_lon": value("bbox_min_lng"), "bbox_max_lon": value("bbox_max_lng"),
+        "area_note": F.when(F.col("method") == method, area_note), "satellites": text("satellite"), "license": F.col("license"), "url": F.coalesce(url, F.concat(F.lit(f"{site}/incidents?id="), F.col("id").cast("string"))),
+    } | {c: value(c) for c in ("bbox_min_lat", "bbox_max_lat", "area_ha", "hotspot_count", "frp_max", "confidence")}
+    j = rows.join(licenses.select("source", "license"), "source", "left")
+    return j.select(*[(made[c] if c in made else text(c)).alias(c) for c in EXPORT_COLUMNS])
+
+
+def export_metadata(rows: DataFrame, raw: dict, sources: DataFrame, method: Column, limit: int = EXPORT_LIMIT) -> DataFrame:
+    """One row: dataset, filters, sort, limit, rows, too_many, sources (array of structs, by source), method: the block that goes with an export.
+
+    ``rows`` are those of ``export``, one more than the limit at most; ``sources`` those of ``status.provenance``, a row for each source.
+    """
+    r = parse_request(raw)
+    filters = F.create_map(*[F.lit(str(x)) for kv in sorted(r["filters"].items()) for x in kv])
+    count = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.least("rows", F.lit(limit)).alias("rows"), (F.col("rows") > limit).alias("too_many"))
+    named = sources.agg(F.array_sort(F.collect_list(F.struct(*["source", *[c for c in sources.columns if c != "source"]]))).alias("sources"))
+    return count.crossJoin(named).select(F.lit("incidents").alias("dataset"), filters.alias("filters"), F.lit(r["sort"]).alias("sort"), F.lit(limit).alias("limit"), "rows", "too_many", "sources", method.alias("method"))

@@ -7,6 +7,7 @@ Times are compared against an explicit ``as_of``; nothing reads the clock.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -79,6 +80,51 @@ def static_incidents(members: DataFrame, static: DataFrame) -> DataFrame:
     return marked.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).where("n = hits").select("incident_id")
 
 
+def split_static(points: DataFrame, static: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and the ids of the static ones -> (kept, masked)."""
+    return points.join(static.select("id"), "id", "left_anti"), points.join(static.select("id"), "id", "left_semi")
+
+
+def static_relabels(state: DataFrame, points: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
+    """(incident_id): the incidents that become static sources: not one yet, with observations left among ``points``, and each of these at a static place.
+
+    Only points in the boxes of such incidents are asked about.
+    """
+    members = incident_points(state.where(F.col("status") != STATIC_STATUS), points)
+    asked = points.join(members.select("id").distinct(), "id", "left_semi")
+    return static_incidents(members, static_points(asked, history, as_of, archive))
+
+
+def run_counters(creates: DataFrame, updates: DataFrame, changes: DataFrame, relabels: DataFrame, masked: DataFrame) -> DataFrame:
+    """One row: created, updated, deactivated, activated, relabelled, masked (points): what a run did."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [count(creates, "created"), count(updates, "updated"), count(changes.where("status = 'inactive'"), "deactivated"), count(changes.where("status = 'active'"), "activated"), count(relabels, "relabelled"), count(masked, "masked")]
+    return reduce(DataFrame.crossJoin, parts)  # one row each
+
+
+def method_parameters(archive_version: Column | None = None) -> Column:
+    """The parameters of the incident method and of the static mask, to go with what was made by them."""
+    numbers = {"cluster_km": LINK_KM, "match_km": LINK_KM, "window_hours": WINDOW_HOURS, "inactive_after_hours": INACTIVE_AFTER_HOURS, "static_min_days": STATIC_MIN_DAYS,
+               "static_window_days": STATIC_WINDOW_DAYS, "static_min_span_days": STATIC_MIN_SPAN_DAYS, "static_radius_km": STATIC_RADIUS_KM}
+    version = F.lit(None).cast("long") if archive_version is None else archive_version
+    return F.struct(F.lit(METHOD).alias("method"), *[F.lit(v).alias(k) for k, v in numbers.items()], version.alias("archive_version"))
+
+
+def imagery_geometry(incidents: DataFrame) -> DataFrame:
+    """Incidents -> incident_id, w, s, e, n, lat, lon, first_seen, last_seen, problem: the box and centre that pictures are asked for.
+
+    Without a box the centre stands for it, without either the problem is 'no geometry'. Dates fall back from first_seen and last_seen to detected_date.
+    """
+    box = [F.col(f"bbox_{c}") for c in ("min_lng", "min_lat", "max_lng", "max_lat")]
+    whole = box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull()
+    lat, lon = F.coalesce("center_lat", F.when(whole, (box[1] + box[3]) / 2)), F.coalesce("center_lng", F.when(whole, (box[0] + box[2]) / 2))
+    sides = [F.when(whole, b).otherwise(F.when(lat.isNotNull() & lon.isNotNull(), c)).alias(k) for k, b, c in zip("wsen", box, (lon, lat, lon, lat), strict=True)]
+    first = F.coalesce(F.to_date("first_seen"), F.col("detected_date"))
+    last = F.coalesce(F.to_date("last_seen"), first)
+    problem = F.when(lat.isNull() | lon.isNull(), "no geometry")
+    return incidents.select("incident_id", *sides, lat.alias("lat"), lon.alias("lon"), first.alias("first_seen"), last.alias("last_seen"), problem.alias("problem"))
+
+
 # ---- clusters to incidents
 def cluster(points: DataFrame, max_km: float = LINK_KM) -> DataFrame:
     """Points with the cluster they belong to (its smallest id)."""
@@ -182,9 +228,11 @@ def plan(clustered: DataFrame, state: DataFrame, as_of: Column) -> tuple[DataFra
     return creates, updates, changes
 
 
-def next_state(state: DataFrame, creates: DataFrame, updates: DataFrame, changes: DataFrame) -> DataFrame:
+def next_state(state: DataFrame, creates: DataFrame, updates: DataFrame, changes: DataFrame, relabels: DataFrame | None = None) -> DataFrame:
     """The state after a plan: kept rows, changed status, updated rows, and new rows with ids after the largest, in cluster order.
 
+    ``relabels`` (incident_id) are static sources from now on; an incident that is one stays one.
+
     The numbering is a running count within ranges of clusters, so no task sees all new rows.
     """
     kept = state.select(*STATE).join(updates.select("incident_id"), "incident_id", "left_anti").join(changes.withColumnRenamed("status", "new_status"), "incident_id", "left")
@@ -197,7 +245,11 @@ def next_state(state: DataFrame, creates: DataFrame, updates: DataFrame, changes
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = slotted.join(F.broadcast(before), "slot").crossJoin(F.broadcast(top))
     new = numbered.withColumn("incident_id", F.col("top") + F.col("before") + F.row_number().over(W.partitionBy("slot").orderBy("cluster")))
-    return kept.union(updates.select(*STATE)).union(new.select(*STATE))
+    out = kept.union(updates.select(*STATE)).union(new.select(*STATE))
+    if relabels is None:
+        return out
+    marked = out.join(relabels.select("incident_id", F.lit(STATIC_STATUS).alias("relabel")), "incident_id", "left")
+    return marked.withColumn("status", F.coalesce("relabel", "status")).select(*STATE)
 
 
 def incident_points(state: DataFrame, points: DataFrame, buffer_m: float = 0.0, most: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N, projection as P, spectral as S
 
-CLEAR_LEAST, NODATA_MOST, VALID_LEAST = 0.8, 0.05, 0.5
+CLEAR_LEAST, NODATA_MOST, VALID_LEAST, SNOW_LEAST = 0.8, 0.05, 0.5, 0.2
 CANDIDATES = 6
 #: Samples of a box's edge, less one.
 EDGE_STEPS = 8
@@ -25,9 +25,15 @@ def is_usable() -> Column:
     return (F.col("clear") / F.col("total") >= CLEAR_LEAST) & (F.col("nodata") / F.col("total") <= NODATA_MOST)
 
 
-def none_reason() -> Column:
-    """Why a scene can't be used: mostly snow, or clouds; null when it can."""
-    return F.when(is_usable(), F.lit(None)).when(F.col("snow") * 2 > F.col("total"), "snow").when(F.col("nodata") / F.col("total") > NODATA_MOST, "missing").otherwise("cloudy")
+def is_covered() -> Column:
+    """Few pixels without data: the scene shows the place, whatever it shows of it."""
+    return F.coalesce(F.col("nodata") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)) <= NODATA_MOST
+
+
+def mostly_snow() -> Column:
+    """Over the scenes that were looked at: in most of the covered ones snow has a fifth of the pixels and outweighs clouds and shadows. An aggregate."""
+    snowy = (F.coalesce(F.col("snow") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)) >= SNOW_LEAST) & (F.col("snow") >= F.col("cloud") + F.col("shadow"))
+    return F.count_if(is_covered() & snowy) * 2 > F.count_if(is_covered())
 
 
 def index_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,10 +64,30 @@ def candidates(scenes: DataFrame, keys: list[str], most: int = CANDIDATES) -> Da
     return scenes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def by_minute(scenes: DataFrame, newest_first: bool = False) -> DataFrame:
-    """Scenes by time to the minute, within it by cloud cover."""
-    minute = F.date_trunc("minute", "acquired_at")
-    return scenes.orderBy(minute.desc() if newest_first else minute.asc(), F.coalesce("cloud_cover", F.lit(100.0)), "scene_id")
+def ordered_candidates(scenes: DataFrame, keys: list[str], newest_first: bool = False, most: int = CANDIDATES) -> DataFrame:
+    """Scenes by time, those of one acquisition (no more than a minute after one another) by cloud cover; repeated ids once; the first ``most`` of each key, ranked from 1."""
+    once = scenes.groupBy(*keys, "scene_id").agg(F.min_by(F.struct(*[c for c in scenes.columns if c not in (*keys, "scene_id")]), "acquired_at").alias("kept")).select(*keys, "scene_id", "kept.*")
+    in_time = W.partitionBy(*keys).orderBy("acquired_at", "scene_id")
+    apart = F.unix_millis("acquired_at") - F.unix_millis(F.lag("acquired_at").over(in_time)) > 60_000
+    dealt = once.withColumn("acquisition", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_time))
+    way = F.col("acquisition").desc() if newest_first else F.col("acquisition").asc()
+    order = W.partitionBy(*keys).orderBy(way, F.coalesce("cloud_cover", F.lit(100.0)), "acquired_at", "scene_id")
+    return dealt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("acquisition")
+
+
+def pick_scene(asked: DataFrame, ranked: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ranked candidates and the statistics of their masks -> (keys, scene_id, checked, reason), a row for each key.
+
+    Candidates are looked at by rank until one is usable. Without one, the reason is 'missing' where there was no candidate, else 'snow' when
+    that is what mostly spoils those looked at, else 'cloudy'.
+    """
+    j = ranked.select(*keys, "scene_id", "rank").join(stats, "scene_id")
+    first = j.where("usable").groupBy(*keys).agg(F.min_by("scene_id", "rank").alias("best"), F.min("rank").alias("best_rank"))
+    looked = j.join(first, keys, "left").where(F.col("best_rank").isNull() | (F.col("rank") <= F.col("best_rank")))
+    seen = looked.groupBy(*keys).agg(F.first("best").alias("scene_id"), F.count(F.lit(1)).alias("checked"), mostly_snow().alias("snowy"))
+    out = asked.select(*keys).distinct().join(seen, keys, "left")
+    reason = F.when(F.col("scene_id").isNotNull(), F.lit(None)).when(F.col("checked").isNull(), "missing").when(F.col("snowy"), "snow").otherwise("cloudy")
+    return out.select(*keys, "scene_id", F.coalesce("checked", F.lit(0)).alias("checked"), reason.alias("reason"))
 
 
 def best_scene(scenes: DataFrame, stats: DataFrame, keys: list[str], most: int = CANDIDATES) -> DataFrame:
@@ -72,11 +98,13 @@ def best_scene(scenes: DataFrame, stats: DataFrame, keys: list[str], most: int =
     return out.select(*keys, F.col("best.scene_id").alias("scene_id"), F.coalesce("best.rank", F.col("n")).cast("long").alias("checked"))
 
 
-def search_scenes(scenes: DataFrame, box: dict[str, float], start, end, cloud_below: float = 80.0, limit: int = CANDIDATES) -> DataFrame:
-    """Scenes whose footprint meets a box, taken from start to end, under a cloud bound; the clearest of each day first."""
+def search_scenes(scenes: DataFrame, box: dict[str, float], start, end, cloud_below: float = 80.0, limit: int = CANDIDATES, order: str = "asc", by_cloud: bool = False) -> DataFrame:
+    """Scenes whose footprint meets a box, taken from start to end, with a known cloud cover under the bound: by time ('asc' or 'desc'), or the
+    clearest first and then by time. The number of results is the feature; equal ones by scene_id."""
     own = {k: F.col(k) for k in ("w", "s", "e", "n")}
-    hit = scenes.where(N.bboxes_meet(own, {k: F.lit(float(v)) for k, v in box.items()})).where(F.col("acquired_at").between(start, end)).where(F.coalesce("cloud_cover", F.lit(0.0)) < cloud_below)
-    return hit.orderBy(F.to_date("acquired_at"), F.coalesce("cloud_cover", F.lit(100.0)), "scene_id").limit(limit)
+    hit = scenes.where(N.bboxes_meet(own, {k: F.lit(float(v)) for k, v in box.items()})).where(F.col("acquired_at").between(start, end)).where(F.col("cloud_cover") < cloud_below)
+    time = F.col("acquired_at").desc() if order == "desc" else F.col("acquired_at").asc()
+    return hit.orderBy(*([F.col("cloud_cover"), time] if by_cloud else [time]), "scene_id").limit(limit)
 
 
 def project_boxes(boxes: DataFrame, keys: list[str], epsg, steps: int = EDGE_STEPS) -> DataFrame:

@@ -135,7 +135,7 @@ def national_loss(spark) -> DataFrame:
 def loss_estimates(national: DataFrame, shares: DataFrame) -> DataFrame:
     """(code, year, area_ha, emissions): a region's share of the national loss, and 148 t of CO2 a hectare."""
     area = N.js_round(F.col("area_ha") * F.col("share"))
-    both = national.crossJoin(F.broadcast(shares))  # as many rows as regions with an estimate
+    both = national.crossJoin(shares)  # years x regions with an estimate: as many rows as the result
     return both.select("code", "year", area.alias("area_ha"), N.js_round(area * float(CO2_PER_HA)).alias("emissions"))
 
 
@@ -176,9 +176,29 @@ def pinned_order(iso, pinned: tuple = PINNED) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in pinned]), iso), F.lit(0)), F.lit(len(pinned) + 1))
 
 
-def sort_regions(table: DataFrame, by: str | None = None, descending: bool = False, iso: str = "region") -> DataFrame:
-    """Pinned regions first, then by a value (nulls last either way) and name, or by name alone."""
-    keys = [pinned_order(F.col(iso))]
+def region_order(by: str | None = None, descending: bool = False, iso: str = "region", pinned: tuple = PINNED) -> list[Column]:
+    """Pinned regions first, then by a value (nulls last either way) and name in the order of the Russian alphabet, or by name alone."""
+    keys = [pinned_order(F.col(iso), pinned)]
     if by:
         keys.append(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last())
-    return table.orderBy(*keys, "name")
+    return [*keys, F.collate("name", "ru")]
+
+
+def sort_regions(table: DataFrame, by: str | None = None, descending: bool = False, iso: str = "region") -> DataFrame:
+    return table.orderBy(*region_order(by, descending, iso))
+
+
+def archive_from_points(rows: DataFrame, edges: DataFrame, regions: DataFrame, years: list[int]) -> DataFrame:
+    """Archive rows by coordinates (lat, lon, year, type, frp, malformed) -> archive_counts. Each row counts in the first region that contains it.
+
+    Rows of other years and malformed ones don't reach the join; the rest meets polygons through cells, so rows far from every region meet none.
+    """
+    used = rows.where(~F.col("malformed") & F.col("year").isin(*years) & F.col("type").isin(VEGETATION, STATIC, OFFSHORE))
+    return archive_counts(located(used.select("lat", "lon", "year", "type", "frp"), edges), regions, years)
+
+
+def located(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(lat, lon, ...) -> the rows that lie in a region, with the first one's name: distinct places are looked up, not rows."""
+    places = rows.select("lat", "lon").distinct().withColumn("id", F.struct("lat", "lon"))
+    found = spatial.first_region(places, edges).select(F.col("id.lat").alias("lat"), F.col("id.lon").alias("lon"), "region")
+    return rows.join(found, ["lat", "lon"])

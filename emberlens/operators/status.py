@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import text as T
+from emberlens.shared import materialize
 
 KEPT_RUNS = 20
 STATES = ("fresh", "delayed", "stale", "unknown")
@@ -23,18 +24,21 @@ def last_runs(runs: DataFrame, most: int = KEPT_RUNS) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """Per source: last attempt and its outcome, last success, first failure since then, runs, failures, rejected rows."""
-    success = W.partitionBy("source")
-    marked = runs.withColumn("last_success", F.max(F.when(F.col("ok"), F.col("at"))).over(success))
-    failing = F.min(F.when(~F.col("ok") & (F.col("last_success").isNull() | (F.col("at") > F.col("last_success"))), F.col("at")))
-    return marked.groupBy("source").agg(
-        F.max("at").alias("last_attempt"), F.max_by("ok", F.struct("at", "run_id")).alias("last_ok"), F.max("last_success").alias("last_success"), failing.alias("failing_since"),
-        F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("ok")).alias("failures"),
+    """Per source: last attempt and its outcome, last success, first failure since then, runs, failures, rejected rows (null where the journal has no such column).
+
+    Two aggregates and a join of their few rows: no task holds a source's journal.
+    """
+    rejected = F.sum("rejected") if "rejected" in runs.columns else F.lit(None).cast("long")
+    totals = runs.groupBy("source").agg(
+        F.max("at").alias("last_attempt"), F.max_by("ok", F.struct("at", "run_id")).alias("last_ok"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"),
+        F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("ok")).alias("failures"), rejected.alias("rejected"),
     )
+    failed = runs.where("NOT ok").join(totals.select("source", "last_success"), "source").where(F.col("last_success").isNull() | (F.col("at") > F.col("last_success")))
+    return totals.join(failed.groupBy("source").agg(F.min("at").alias("failing_since")), "source", "left")
 
 
 def throttled(access: DataFrame, seconds: int = 600) -> DataFrame:
-    """Access records worth writing: the first of a source, a change of outcome, or ``seconds`` after the one before."""
+    """Records that stand out from the one before: the first of a source, a change of outcome, or ``seconds`` or more after it. (Not the writer's rule: that is ``spaced``.)"""
     order = W.partitionBy("source").orderBy("at", "run_id")
     flip = F.lag("ok").over(order).isNull() | (F.lag("ok").over(order) != F.col("ok"))
     pause = F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(order)) >= seconds
@@ -45,16 +49,29 @@ def spaced(records: DataFrame, keys: list[str], seconds: int = 600, change: str
     """Records (keys, at, run_id, ...) plus ``write``: the first of its keys, or ``seconds`` or more after the last one written; with ``change``, also
     each one in which that column differs from the record before.
 
-    A change and a pause of that length are written in any case, so each begins a chain that nothing before it has a say in. Chains are spread over
-    the tasks and walked through in time; a task holds one batch of rows.
+    A change and a pause of that length are written in any case, so each begins a chain that nothing before it has a say in. Records are
+    range-partitioned by keys and time; chains are numbered within a range, and one that goes on from the range before is joined to its beginning there. Each chain is
+    walked through in time, in batches; one chain is one task's work, as each record in it depends on the last one written.
     """
-    order = W.partitionBy(*keys).orderBy("at", "run_id")
-    pause = F.unix_millis("at") - F.unix_millis(F.lag("at").over(order))
+    by = [F.col(k) for k in keys] + [F.col("at"), F.col("run_id")]
+    cut = materialize(records.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "journal")
+    order = W.partitionBy("_part", *keys).orderBy("at", "run_id")
+    watched = F.col(change) if change else F.lit(0)
+    ends = cut.groupBy("_part", *keys).agg(F.max_by(F.struct("at", watched.alias("seen")), F.struct("at", "run_id")).alias("_end"))  # a row for each range and key
+    before = ends.select("_part", *keys, F.lag("_end").over(W.partitionBy(*keys).orderBy("_part")).alias("_before"))
+    placed = cut.join(before, ["_part", *keys])
+    last_at = F.coalesce(F.lag("at").over(order), F.col("_before.at"))
+    pause = F.unix_millis("at") - F.unix_millis(last_at)
     begins = pause.isNull() | (pause >= seconds * 1000)
     if change:
-        begins = begins | ~F.lag(change).over(order).eqNullSafe(F.col(change))
-    chained = records.withColumn("_begins", begins.cast("int")).withColumn("_chain", F.sum("_begins").over(order)).withColumn("_ms", F.unix_millis("at"))
-    in_time = chained.repartition(*keys, "_chain").sortWithinPartitions(*keys, "_chain", "at", "run_id")
+        has = F.lag(F.lit(1)).over(order).isNotNull()
+        begins = begins | ~F.when(has, F.lag(change).over(order)).otherwise(F.col("_before.seen")).eqNullSafe(F.col(change))
+    chained = placed.withColumn("_begins", begins.cast("int")).withColumn("_ms", F.unix_millis("at"))
+    counted = chained.withColumn("_chain", F.sum("_begins").over(order))
+    sums = chained.groupBy("_part", *keys).agg(F.sum("_begins").alias("_n"))
+    earlier = sums.select("_part", *keys, F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    numbered = counted.join(earlier, ["_part", *keys]).withColumn("_chain", F.col("_chain") + F.col("_base"))
+    in_time = numbered.select(*records.columns, "_begins", "_chain", "_ms").repartition(*keys, "_chain").sortWithinPartitions(*keys, "_chain", "at", "run_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -137,3 +154,22 @@ def loss_rules(this_year: int) -> list[tuple[str, Column]]:
 def count_problem(count: Column, last_good: Column, least: int = 20, share: float = 0.5) -> Column:
     """Why a list is too short to replace the last good one; null when it isn't."""
     return F.when(count < least, "too few").when(count < last_good * share, "fewer than half of the last")
+
+
+def why(data_state, access_state) -> Column:
+    """What a status line names: trouble with access before old data, null when both are fresh."""
+    return F.when(~F.col(access_state).isin("fresh", "unknown"), F.concat(F.lit("access "), F.col(access_state))).when(F.col(data_state) != "fresh", F.concat(F.lit("data "), F.col(data_state)))
+
+
+def newest_record(*tables: DataFrame, column: str = "created_at") -> DataFrame:
+    """(newest): the newest time over several tables, null when all are empty."""
+    tops = reduce(DataFrame.union, [t.agg(F.max(column).alias("newest")) for t in tables])  # a row for each table
+    return tops.agg(F.max("newest").alias("newest"))
+
+
+def provenance(registry: DataFrame, runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """registry (source, name, owner, license, homepage, history) x journal x versions (source, version) -> the registry's facts, last_load (newest run of the
+    source that didn't fail), last_history_write (the same of its ``history`` journal) and version; null where unknown."""
+    good = runs.where("ok").groupBy("source").agg(F.max("at").alias("last_load"))
+    written = good.select(F.col("source").alias("history"), F.col("last_load").alias("last_history_write"))
+    return registry.join(good, "source", "left").join(written, "history", "left").join(versions.select("source", "version"), "source", "left").drop("history")

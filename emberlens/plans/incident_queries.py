@@ -10,7 +10,7 @@ from emberlens.plans import views as V
 from emberlens.plans.views import H_SQL, INCIDENTS_SQL, hav, jr, query
 from emberlens.session import table
 from emberlens.shared import materialize
-from emberlens.sources import sinks
+from emberlens.sources import readers, sinks
 
 DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -148,10 +148,10 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {H_SQL}, b AS (SELECT id, satellite, CASE WHEN id % 3 = 0 THEN NULL ELSE lon END AS lon, lat, lon - 0.01 * (id % 2) AS w_, lat - 0.01 AS s_, lon + 0.01 * (id % 2) AS e_, lat + 0.01 AS n_ FROM h)
 SELECT id, '{{"type":"Feature","geometry":' || CASE WHEN e_ > w_ THEN format('{{{{"type":"Polygon","coordinates":[[[{{:.6f}},{{:.6f}}],[{{:.6f}},{{:.6f}}],[{{:.6f}},{{:.6f}}],[{{:.6f}},{{:.6f}}],[{{:.6f}},{{:.6f}}]]]}}}}', w_, s_, e_, s_, e_, n_, w_, n_, w_, s_)
-  WHEN lon IS NOT NULL THEN format('{{{{"type":"Point","coordinates":[{{:.6f}},{{:.6f}}]}}}}', lon, lat) ELSE 'null' END || ',"properties":{{"id":' || id || ',"satellite":"' || satellite || '"}}}}' AS feature FROM b WHERE id % 10 < 4""")
+  WHEN lon IS NOT NULL THEN format('{{{{"type":"Point","coordinates":[{{:.6f}},{{:.6f}}]}}}}', lon, lat) ELSE 'null' END || ',"properties":{{"id":' || id || ',"satellite":"' || satellite || '"}}}}' AS feature FROM b""")
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     odd = (F.col("id") % 2).cast("double") * 0.01
-    b = V.hotspots(spark, d).where("id % 10 < 4").select("id", "satellite", F.when(F.col("id") % 3 != 0, F.col("lon")).alias("lon"), "lat", (F.col("lon") - odd).alias("w"), (F.col("lat") - 0.01).alias("s"), (F.col("lon") + odd).alias("e"), (F.col("lat") + 0.01).alias("n"))
+    b = V.hotspots(spark, d).select("id", "satellite", F.when(F.col("id") % 3 != 0, F.col("lon")).alias("lon"), "lat", (F.col("lon") - odd).alias("w"), (F.col("lat") - 0.01).alias("s"), (F.col("lon") + odd).alias("e"), (F.col("lat") + 0.01).alias("n"))
     return b.select("id", feed.feature_json(feed.geometry_json(F.lit(None).cast("string"), "w", "s", "e", "n", "lon", "lat"), ["id", "satellite"]).alias("feature"))
 
 
@@ -193,6 +193,11 @@ def single_linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spatial.single_linkage(V.recent(spark, d), 2.0)
 
 
+# detections of the window without those at static sources
+KEPT_SQL = H_SQL.replace("w AS (SELECT * FROM h", "w0 AS (SELECT * FROM h") + f""", {CELLS_SQL.format(where="WHERE acquired_at::DATE >= (SELECT max(acquired_at) FROM h)::DATE - 13")},
+near_days AS (SELECT w0.id, unnest(c.days) AS day FROM w0 JOIN cells c ON abs(w0.lat - c.lat) < 0.01 AND {hav('w0.lat', 'w0.lon', 'c.lat', 'c.lon')} <= 0.5),
+still AS (SELECT id FROM near_days GROUP BY id HAVING count(DISTINCT day) >= 4 AND max(day) - min(day) >= 7),
+w AS (SELECT * FROM w0 WHERE id NOT IN (SELECT id FROM still))"""
 PIXEL_SQL = "floor(lat * 111.32::DOUBLE / 0.375::DOUBLE) || ':' || floor(lon * (cos((floor(lat * 111.32::DOUBLE / 0.375::DOUBLE) + 0.5) * 0.375::DOUBLE / 111.32::DOUBLE * pi() / 180) * 111.32::DOUBLE) / 0.375::DOUBLE)"
 BUILD_SQL = f"""pw AS (SELECT w.*, cl.cluster, r.region FROM w JOIN cl USING (id) LEFT JOIN first_region r USING (id)),
 built AS (SELECT cluster, arg_min(id, (acquired_at, id))::VARCHAR AS cluster_key, arg_min(coalesce(region, ''), (acquired_at, id)) AS region, count(*) AS hotspot_count, count(*) FILTER (confidence = 'high') AS high_count,
@@ -202,42 +207,44 @@ built AS (SELECT cluster, arg_min(id, (acquired_at, id))::VARCHAR AS cluster_key
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    """Detections of the window with their region."""
-    points = V.recent(spark, d)
+    """Detections of the window that aren't at static sources, with their region."""
+    h, points = V.hotspots(spark, d), V.recent(spark, d)
+    points, _ = I.split_static(points, I.static_points(points, h, V.newest(h)))
     region = spatial.first_region(points, spatial.edges_of(V.regions(spark, d)))
     return points.join(region, "id", "left").withColumn("region_iso", F.col("region"))
 
 
-@query(f"""WITH RECURSIVE {H_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL}
+@query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL}
 SELECT cluster_key, nullif(region, '') AS region, hotspot_count, high_count, pixel_count, frp_max, frp_sum, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen,
   CASE WHEN (SELECT max(acquired_at) FROM h) - INTERVAL 48 HOUR > last_seen THEN 'inactive' ELSE 'active' END AS status, max_hotspot_id, center_lat, center_lng,
   {jr('pixel_count * 14.06::DOUBLE', 2)} AS area_ha, {jr('high_count / hotspot_count', 2)} AS confidence, satellite FROM built""")
 def incident_build(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: detections of the last 72 hours to clusters to incident rows."""
     points = materialize(_points(spark, d), "points")
-    built = I.build_incidents(I.cluster(points), V.newest(points))
+    built = I.build_incidents(I.cluster(points), V.newest(V.hotspots(spark, d)))
     return built.select(
         "cluster_key", "region", "hotspot_count", "high_count", "pixel_count", "frp_max", "frp_sum", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"),
         "status", "max_hotspot_id", "center_lat", "center_lng", "area_ha", "confidence", "satellite",
     )
 
 
-def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Points of the window, those with an even id as an earlier run knew them, and that run's state (incident_id: the cluster)."""
-    points = materialize(_points(spark, d), "points")
+def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, F.Column]:
+    """Points of the window, the state of a run 30 hours ago that knew those with an even id (incident_id: the cluster), and the time of this run."""
+    points, as_of = materialize(_points(spark, d), "points"), V.newest(V.hotspots(spark, d))
     old = points.where("id % 2 = 0")
-    built = materialize(I.build_incidents(I.cluster(old), V.newest(points)), "state")
+    built = materialize(I.build_incidents(I.cluster(old), as_of - F.expr("INTERVAL '30' HOUR")), "state")
     # the earlier run had counted only ids up to three quarters of its largest: what is above comes again
     state = built.withColumn("incident_id", F.col("cluster")).withColumn("max_hotspot_id", F.floor(F.col("max_hotspot_id") * 0.75)).select(*I.STATE)
-    return points, old, state
+    return points, state, as_of
 
 
 STATE_SQL = f"""we AS (SELECT * FROM w WHERE id % 2 = 0),
 pair0 AS (SELECT a.id AS a, b.id AS b FROM we a JOIN we b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.02 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2),
 reach0 AS (SELECT id, id AS seed FROM we UNION SELECT p.b, r.seed FROM reach0 r JOIN pair0 p ON p.a = r.id),
 cl0 AS (SELECT id, min(seed) AS cluster FROM reach0 GROUP BY id),
-st AS (SELECT cluster AS incident_id, count(*) AS n0, count(*) FILTER (confidence = 'high') AS high0, count(DISTINCT {PIXEL_SQL}) AS px0, max(acquired_at) AS last0, floor(max(id) * 0.75::DOUBLE)::BIGINT AS mark,
-  min(lat) AS s, min(lon) AS w_, max(lat) AS n_, max(lon) AS e FROM we JOIN cl0 USING (id) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high')),
+st AS (SELECT cluster AS incident_id, count(*) AS n0, count(*) FILTER (confidence = 'high') AS high0, count(DISTINCT {PIXEL_SQL}) AS px0, min(acquired_at) AS first0, max(acquired_at) AS last0, floor(max(id) * 0.75::DOUBLE)::BIGINT AS mark,
+  arg_min(id, (acquired_at, id))::VARCHAR AS key0, arg_min(coalesce(region, ''), (acquired_at, id)) AS region0, max(frp) AS frp0, {jr('sum(frp)', 2)} AS sum0, {jr('avg(lat)', 6)} AS lat0, {jr('avg(lon)', 6)} AS lon0, list(DISTINCT satellite) AS sats0,
+  min(lat) AS s, min(lon) AS w_, max(lat) AS n_, max(lon) AS e FROM we JOIN cl0 USING (id) LEFT JOIN first_region USING (id) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high')),
 box AS (SELECT cluster, min(lat) AS s, min(lon) AS w_, max(lat) AS n_, max(lon) AS e FROM w JOIN cl USING (id) GROUP BY cluster),
 gap AS (SELECT b.cluster, t.incident_id,
   CASE WHEN b.s > t.n_ THEN t.n_ WHEN t.s > b.n_ THEN b.n_ END AS la, CASE WHEN b.s > t.n_ THEN b.s WHEN t.s > b.n_ THEN t.s END AS lb,
@@ -247,35 +254,118 @@ far AS (SELECT cluster, incident_id, CASE WHEN la IS NULL THEN 0 ELSE {hav('la',
 hit AS (SELECT cluster, arg_min(incident_id, (sqrt(x * x + y * y), incident_id)) AS incident_id FROM far WHERE sqrt(x * x + y * y) <= 2 GROUP BY cluster),
 pm AS (SELECT w.*, hit.incident_id, w.id > st.mark AS fresh, {PIXEL_SQL} AS pixel FROM w JOIN cl USING (id) JOIN hit USING (cluster) JOIN st USING (incident_id)),
 px AS (SELECT incident_id, count(*) AS new_px FROM (SELECT incident_id, pixel FROM pm GROUP BY ALL HAVING bool_and(fresh)) GROUP BY 1),
-up AS (SELECT incident_id, count(*) AS n, count(*) FILTER (confidence = 'high') AS high, max(id) AS top FROM pm WHERE fresh GROUP BY 1)"""
+up AS (SELECT incident_id, count(*) AS n, count(*) FILTER (confidence = 'high') AS high, max(id) AS top, max(frp) AS frp1, sum(frp) AS sum1, min(acquired_at) AS first1, max(acquired_at) AS last1, sum(lat) AS lat1, sum(lon) AS lon1,
+  min(lat) AS s1, min(lon) AS w1, max(lat) AS n1, max(lon) AS e1, list(DISTINCT satellite) AS sats1 FROM pm WHERE fresh GROUP BY 1)"""
 
 
-@query(f"""WITH RECURSIVE {H_SQL}, {CLUSTERS_SQL}, {STATE_SQL}
-SELECT incident_id, n0 + n AS hotspot_count, high0 + high AS high_count, px0 + coalesce(new_px, 0) AS pixel_count, greatest(mark, top) AS max_hotspot_id FROM up JOIN st USING (incident_id) LEFT JOIN px USING (incident_id)""")
+@query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {STATE_SQL}
+SELECT incident_id, key0 AS cluster_key, nullif(region0, '') AS region_iso, nullif(region0, '') AS region, n0 + n AS hotspot_count, high0 + high AS high_count, px0 + coalesce(new_px, 0) AS pixel_count, greatest(frp0, frp1) AS frp_max, {jr('sum0 + sum1', 2)} AS frp_sum,
+  strftime(least(first0, first1), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(greatest(last0, last1), '%Y-%m-%d %H:%M:%S') AS last_seen, CASE WHEN (SELECT max(acquired_at) FROM h) - INTERVAL 48 HOUR > greatest(last0, last1) THEN 'inactive' ELSE 'active' END AS status,
+  greatest(mark, top) AS max_hotspot_id, {jr('(lat0 * n0 + lat1) / (n0 + n)', 6)} AS center_lat, {jr('(lon0 * n0 + lon1) / (n0 + n)', 6)} AS center_lng, least(s, s1) AS bbox_min_lat, least(w_, w1) AS bbox_min_lng, greatest(n_, n1) AS bbox_max_lat, greatest(e, e1) AS bbox_max_lng,
+  array_to_string(list_sort(list_distinct(list_concat(sats0, sats1))), ',') AS satellite FROM up JOIN st USING (incident_id) LEFT JOIN px USING (incident_id)""")
 def incident_merge_watermark(spark: SparkSession, d: str) -> DataFrame:
-    points, _, state = _state(spark, d)
-    clustered = I.cluster(points)
-    as_of = V.newest(points)
+    points, state, as_of = _state(spark, d)
+    clustered = materialize(I.cluster(points), "clustered")
     merged = I.merge_incidents(clustered.join(I.match_clusters(clustered, state, as_of), "cluster"), state, as_of)
-    return merged.select("incident_id", "hotspot_count", "high_count", "pixel_count", "max_hotspot_id")
+    return merged.select(*[stamp(c).alias(c) if c in ("first_seen", "last_seen") else F.col(c) for c in I.STATE])
 
 
-@query(f"""WITH RECURSIVE {H_SQL}, {CLUSTERS_SQL}, {STATE_SQL}
+@query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {STATE_SQL}
 SELECT 'update' AS action, incident_id AS id FROM up UNION ALL
-SELECT 'create', cluster FROM w JOIN cl USING (id) WHERE cluster NOT IN (SELECT cluster FROM hit) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high')""")
+SELECT 'create', cluster FROM w JOIN cl USING (id) WHERE cluster NOT IN (SELECT cluster FROM hit) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high') UNION ALL
+SELECT 'status', incident_id FROM st WHERE incident_id NOT IN (SELECT incident_id FROM up) AND last0 < (SELECT max(acquired_at) FROM h) - INTERVAL 48 HOUR""")
 def incident_plan_actions(spark: SparkSession, d: str) -> DataFrame:
-    points, _, state = _state(spark, d)
-    creates, updates, changes = I.plan(materialize(I.cluster(points), "clustered"), state, V.newest(points))
+    points, state, as_of = _state(spark, d)
+    creates, updates, changes = I.plan(materialize(I.cluster(points), "clustered"), state, as_of)
     act = lambda df, name, c: df.select(F.lit(name).alias("action"), F.col(c).alias("id"))
     return act(updates, "update", "incident_id").union(act(creates, "create", "cluster")).union(act(changes, "status", "incident_id"))
 
 
-@query(f"""WITH RECURSIVE {H_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL},
+# detections west of 103 degrees stand at few places, as flares do
+FLARES_SQL = H_SQL.replace("h AS (", "h0 AS (", 1).replace("w AS (", """h AS (SELECT id, acquired_at, frp, satellite, confidence, CASE WHEN lon < 103 THEN floor(lat * 10) / 10 ELSE lat END AS lat, CASE WHEN lon < 103 THEN floor(lon * 10) / 10 ELSE lon END AS lon FROM h0),
+w AS (""", 1)
+
+
+@query(f"""WITH RECURSIVE {FLARES_SQL}, {CLUSTERS_SQL}, {CELLS_SQL.format(where="WHERE acquired_at::DATE >= (SELECT max(acquired_at) FROM h)::DATE - 13")},
+b AS (SELECT cluster, min(lat) AS s, min(lon) AS w_, max(lat) AS n_, max(lon) AS e, max(id) AS top, min(acquired_at)::DATE AS d0, max(acquired_at)::DATE AS d1 FROM w JOIN cl USING (id) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high')),
+near_days AS (SELECT h.id, unnest(c.days) AS day FROM h JOIN cells c ON abs(h.lat - c.lat) < 0.01 AND {hav('h.lat', 'h.lon', 'c.lat', 'c.lon')} <= 0.5),
+still AS (SELECT id, 1 AS hit FROM near_days GROUP BY id HAVING count(DISTINCT day) >= 4 AND max(day) - min(day) >= 7)
+SELECT b.cluster AS incident_id FROM b JOIN h ON h.lat BETWEEN b.s AND b.n_ AND h.lon BETWEEN b.w_ AND b.e AND h.acquired_at::DATE BETWEEN b.d0 AND b.d1 AND h.id <= b.top LEFT JOIN still USING (id) GROUP BY 1 HAVING count(*) = count(hit)""")
+def static_incident_relabel(spark: SparkSession, d: str) -> DataFrame:
+    """Incidents of a run that knew no mask, of which every observation is at a static source."""
+    west, snap = F.col("lon") < 103, lambda c: F.floor(F.col(c) * 10).cast("double") / 10
+    h = V.hotspots(spark, d).select("id", "acquired_at", "frp", "satellite", "confidence", F.when(west, snap("lat")).otherwise(F.col("lat")).alias("lat"), F.when(west, snap("lon")).otherwise(F.col("lon")).alias("lon"))
+    h, as_of = h.withColumns({"region": F.lit(None).cast("string"), "region_iso": F.lit(None).cast("string")}), V.newest(h)
+    points = I.in_window(h, as_of)
+    state = materialize(I.build_incidents(I.cluster(points), as_of).withColumn("incident_id", F.col("cluster")).select(*I.STATE), "state")
+    return I.static_relabels(state, h, h, as_of)
+
+
+@query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL},
 b AS (SELECT cluster, first_seen::DATE AS d0, last_seen::DATE AS d1, max_hotspot_id AS top, bbox_min_lat - 0.375 / 111.32::DOUBLE AS s, bbox_max_lat + 0.375 / 111.32::DOUBLE AS n_,
   bbox_min_lng - 0.375 / 111.32::DOUBLE / greatest(0.01, cos(center_lat * pi() / 180)) AS w_, bbox_max_lng + 0.375 / 111.32::DOUBLE / greatest(0.01, cos(center_lat * pi() / 180)) AS e FROM built)
 SELECT b.cluster AS incident_id, h.id, row_number() OVER (PARTITION BY b.cluster ORDER BY h.acquired_at DESC, h.id DESC)::INT AS rank
 FROM b JOIN h ON h.lat BETWEEN b.s AND b.n_ AND h.lon BETWEEN b.w_ AND b.e AND h.acquired_at::DATE BETWEEN b.d0 AND b.d1 AND h.id <= b.top QUALIFY rank <= 5""")
 def incident_hotspots_topk(spark: SparkSession, d: str) -> DataFrame:
     points = materialize(_points(spark, d), "points")
-    state = I.build_incidents(I.cluster(points), V.newest(points)).withColumn("incident_id", F.col("cluster"))
+    state = I.build_incidents(I.cluster(points), V.newest(V.hotspots(spark, d))).withColumn("incident_id", F.col("cluster"))
     return I.incident_points(state, V.hotspots(spark, d), buffer_m=375.0, most=5)
+
+
+# ---- exports with their metadata
+STORED_SQL = f"""{INCIDENTS_SQL}, m AS (SELECT f.*, CASE WHEN id % 6 = 0 THEN '' ELSE 'RU-' || (id % 9) END AS region_iso, strftime(detected_date, '%Y-%m-%d') || 'T05:12:00Z' AS first_seen, CASE WHEN id % 5 = 0 THEN NULL ELSE strftime(detected_date + 1, '%Y-%m-%d') || 'T05:12:00Z' END AS last_seen,
+  CASE WHEN id % 8 = 0 THEN NULL ELSE 50 + (id % 1000) / 125::DOUBLE END AS lat, CASE WHEN id % 12 = 0 THEN NULL ELSE 100 + (id % 900) / 8::DOUBLE END AS lon, CASE id % 4 WHEN 1 THEN (id % 37)::VARCHAR WHEN 2 THEN 'many' END AS hotspot_count,
+  CASE WHEN id % 3 = 0 THEN NULL ELSE ((id % 80) / 4::DOUBLE)::VARCHAR END AS frp_max, CASE WHEN source = 'firms' THEN 'firms-cluster-v1' END AS method, CASE WHEN id % 5 = 1 THEN '' ELSE 'N,N20' END AS satellite FROM f)"""
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Incidents with the columns that an export shows."""
+    i, k = V.incidents(spark, d), F.col("id")
+    stamp_ = lambda days: F.concat(F.date_format(F.date_add("detected_date", days), "yyyy-MM-dd"), F.lit("T05:12:00Z"))
+    lat, lon = F.when(k % 8 != 0, F.lit(50) + (k % 1000) / 125.0), F.when(k % 12 != 0, F.lit(100) + (k % 900) / 8.0)
+    return i.withColumns({
+        "region_iso": F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("RU-"), (k % 9).cast("string"))), "first_seen": stamp_(0), "last_seen": F.when(k % 5 != 0, stamp_(1)), "center_lat": lat, "center_lng": lon,
+        "bbox_min_lat": lat - 0.125, "bbox_min_lng": lon - 0.125, "bbox_max_lat": lat + 0.125, "bbox_max_lng": lon + 0.125, "hotspot_count": F.when(k % 4 == 1, (k % 37).cast("string")).when(k % 4 == 2, "many"),
+        "frp_max": F.when(k % 3 != 0, ((k % 80) / 4.0).cast("string")), "method": F.when(F.col("source") == "firms", I.METHOD), "satellite": F.when(k % 5 == 1, "").otherwise("N,N20"),
+    })
+
+
+SITE, AREA_NOTE = "https://fires.example", "upper bound: pixels times their area"
+EXPORT_ASK = {"sort": "area_desc", "static_sources": "include", "region": "BUILDING"}
+
+
+def _licenses(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("firms", "open")], "source string, license string")
+
+
+@query(f"""WITH {STORED_SQL}
+SELECT id, change_type, status, region, nullif(region_iso, '') AS region_iso, strftime(detected_date, '%Y-%m-%d') AS detected_date, first_seen, last_seen, lat AS center_lat, lon AS center_lon, lat - 0.125 AS bbox_min_lat, lon - 0.125 AS bbox_min_lon, lat + 0.125 AS bbox_max_lat, lon + 0.125 AS bbox_max_lon,
+  area_ha, CASE WHEN method IS NOT NULL THEN '{AREA_NOTE}' END AS area_note, try_cast(hotspot_count AS DOUBLE) AS hotspot_count, try_cast(frp_max AS DOUBLE) AS frp_max, nullif(satellite, '') AS satellites, severity, confidence, source, method, CASE WHEN source = 'firms' THEN 'open' END AS license,
+  CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN '{SITE}/?lat=' || regexp_replace(format('{{:.6f}}', lat), '\\.?0+$', '') || '&lng=' || regexp_replace(format('{{:.6f}}', lon), '\\.?0+$', '') || '&incident=' || id ELSE '{SITE}/incidents?id=' || id END AS url
+FROM m WHERE region = 'BUILDING' ORDER BY area_ha DESC NULLS LAST, id DESC LIMIT 5001""")
+def incident_export(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 columns of an export."""
+    return feed.export_rows(feed.export(_stored(spark, d), V.areas(spark, d), EXPORT_ASK), _licenses(spark), SITE, I.METHOD, AREA_NOTE)
+
+
+@query(f"""WITH {STORED_SQL}, n AS (SELECT count(*) AS n FROM m WHERE region = 'BUILDING')
+SELECT 'incidents' AS dataset, 'area_desc' AS sort, least(n, 5000) AS rows, n > 5000 AS too_many, 'firms-cluster-v1' AS method, 'region=BUILDING;static_sources=include' AS filters FROM n""")
+def incident_export_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = feed.export(_stored(spark, d), V.areas(spark, d), EXPORT_ASK)
+    m = feed.export_metadata(rows, EXPORT_ASK, _licenses(spark), I.method_parameters())
+    filters = F.array_join(F.transform(F.array_sort(F.map_entries("filters")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return m.select("dataset", "sort", "rows", "too_many", "method.method", filters.alias("filters"))
+
+
+@query(f"""WITH {STORED_SQL} SELECT id AS incident_id, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon - 0.125 * (id % 2) END AS w, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat - 0.125 * (id % 2) END AS s,
+  strftime(detected_date, '%Y-%m-%d') AS first_seen, strftime(CASE WHEN id % 5 = 0 THEN detected_date ELSE detected_date + 1 END, '%Y-%m-%d') AS last_seen, CASE WHEN lat IS NULL OR lon IS NULL THEN 'no geometry' END AS problem FROM m""")
+def imagery_geometry(spark: SparkSession, d: str) -> DataFrame:
+    s = _stored(spark, d).withColumnRenamed("id", "incident_id")
+    s = s.withColumns({c: F.when(F.col("incident_id") % 2 == 1, F.col(c)) for c in ("bbox_min_lat", "bbox_min_lng", "bbox_max_lat", "bbox_max_lng")}).withColumn("first_seen", F.when(F.col("incident_id") % 7 != 0, F.col("first_seen")))
+    g = I.imagery_geometry(s)
+    return g.select("incident_id", "w", "s", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"), "problem")
+
+
+@query(f"WITH {H_SQL} SELECT count(*) AS n FROM h WHERE confidence IN ('high', 'nominal')")
+def active_fire_count(spark: SparkSession, d: str) -> DataFrame:
+    return readers.active_fires(V.hotspots(spark, d))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlens.functions import numeric as N, text as T
-from emberlens.operators import geometry, regional as R, spatial
+from emberlens.operators import context, geometry, official, regional as R, spatial
+from emberlens.operators.ranges import running_sums
 from emberlens.plans import views as V
 from emberlens.plans.views import EDGES_SQL, H_SQL, hav, jr, pip_sql, query, rad
 from emberlens.session import table
+from emberlens.sources import readers
 
 
 # ---- spatial joins
@@ -97,6 +99,26 @@ def nearest_settlement(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_point(_places(spark, d), towns, 15.0, ["name"]).withColumn("km", N.js_round("km", 6))
 
 
+def _context_sql() -> str:
+    km = hav("q.lat", "q.lon", "o.lat1", "o.lon1")
+    best = lambda where: f"(SELECT id, {jr('min(km)', 4)} AS km, arg_min(name, (km, ord)) AS name FROM road_km WHERE km <= 15 AND {where} GROUP BY id)"
+    return f"""WITH {PLACES_SQL.replace('p AS (', 'p0 AS (')}, p AS (SELECT id, {jr('lat', 3)} AS lat, {jr('lon', 3)} AS lon FROM p0), {ROADS_SQL}, {_segment_sql()},
+t AS (SELECT q.id, {jr(f'min({km})', 4)} AS km, arg_min(o.name, ({km}, o.ord)) AS name FROM p q, roads o WHERE {km} <= 15 GROUP BY q.id)
+SELECT p.id, p.lat, p.lon, a.km AS road_km, a.name AS road, b.km AS paved_km, b.name AS paved, c.km AS track_km, c.name AS track, t.km AS settlement_km, t.name AS settlement
+FROM p LEFT JOIN {best('ord % 3 > 0')} a ON a.id = p.id LEFT JOIN {best('ord % 3 = 1')} b ON b.id = p.id LEFT JOIN {best('ord % 3 = 0')} c ON c.id = p.id LEFT JOIN t ON t.id = p.id"""
+
+
+@query(_context_sql())
+def incident_context(spark: SparkSession, d: str) -> DataFrame:
+    """The surroundings of each place; a third of the roads are tracks, a third paved."""
+    k = F.col("ord") % 3
+    roads = _roads(spark, d).withColumns({"track": k == 0, "paved": k == 1})
+    towns = roads.select(F.col("ord").alias("id"), "ord", "name", F.col("lat1").alias("lat"), F.col("lon1").alias("lon"))
+    out = context.incident_context(_places(spark, d), roads, towns, F.lit(None).cast("string"), F.lit("2024-01-01"))
+    found = {"road": "road", "paved_road": "paved", "track": "track", "settlement": "settlement"}
+    return out.select("id", "lat", "lon", *[c for name, short in found.items() for c in (N.js_round(F.col(name)["km"], 4).alias(f"{short}_km"), F.col(name)["name"].alias(short))])
+
+
 # ---- areas
 @query("""WITH t AS (SELECT p_size % 7 AS key, (p_partkey * 37) % 1000 AS low, (p_partkey * 37) % 1000 + p_size % 9 AS high FROM part),
 s AS (SELECT *, max(high) OVER (PARTITION BY key ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t),
@@ -206,6 +228,38 @@ def density_per_area(spark: SparkSession, d: str) -> DataFrame:
     return R.density_series(R.archive_counts(_archive(spark, d), g, YEARS), g)
 
 
+POINTS_SQL = """spots AS (SELECT 50.2::DOUBLE + (l_partkey * 7919 + l_linenumber * 131) % 9973 * 0.0008::DOUBLE AS lat, 95.5::DOUBLE + (l_suppkey * 104729 + l_orderkey * 31) % 16007 * 0.001::DOUBLE AS lon,
+  year(l_shipdate) AS year, (l_linenumber + l_orderkey) % 5 AS type, l_extendedprice - 20000 AS frp FROM lineitem WHERE l_orderkey % 101 > 0 AND l_orderkey % 103 > 0),
+places AS (SELECT row_number() OVER () AS id, lat, lon FROM (SELECT DISTINCT lat, lon FROM spots))"""
+
+
+def _archive_points(spark: SparkSession, d: str) -> DataFrame:
+    """A yearly archive as text, some rows without a place on earth."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    lat = F.lit(50.2) + (F.col("l_partkey") * 7919 + n * 131) % 9973 * 0.0008
+    lon = F.lit(95.5) + (F.col("l_suppkey") * 104729 + k * 31) % 16007 * 0.001
+    return table(spark, d, "lineitem").select(
+        F.when(k % 101 == 0, "95").otherwise(lat.cast("string")).alias("latitude"), F.when(k % 103 == 0, "").otherwise(lon.cast("string")).alias("longitude"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("acq_date"),
+        ((n + k) % 5).cast("string").alias("type"), (F.col("l_extendedprice") - 20000).cast("string").alias("frp"),
+    )
+
+
+@query(f"""WITH {POINTS_SQL}, {EDGES_SQL}, {pip_sql('places')},
+r AS (SELECT f.region, s.year, s.type, s.frp FROM spots s JOIN places p ON p.lat = s.lat AND p.lon = s.lon JOIN first_region f USING (id))
+SELECT g.r_name AS region, y.year::INT AS year, count(r.type) FILTER (r.type = 0) AS vegetation, count(r.type) FILTER (r.type = 2) AS static, count(r.type) FILTER (r.type = 3) AS offshore,
+  {jr('coalesce(sum(greatest(r.frp, 0)) FILTER (r.type = 0), 0)', 1)} AS frp_vegetation FROM region g, (SELECT unnest({YEARS})::BIGINT AS year) y LEFT JOIN r ON r.region = g.r_name AND r.year = y.year GROUP BY 1, 2""")
+def archive_from_points(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a yearly archive from its coordinates: read, checked, placed in regions, counted."""
+    regions = V.regions(spark, d)
+    return R.archive_from_points(readers.archive_rows(_archive_points(spark, d)), spatial.edges_of(regions), regions, YEARS)
+
+
+@query(f"WITH c(region, year, n) AS (VALUES ('a', 2000, 1), ('a', 2001, 0), ('b', 2000, 2), ('b', 2001, 0)) SELECT '2 regions' AS problem UNION ALL SELECT 'year ' || year || ' is empty' FROM c GROUP BY year HAVING sum(n) = 0")
+def archive_gate(spark: SparkSession, d: str) -> DataFrame:
+    counts = spark.createDataFrame([("a", 2000, 1), ("a", 2001, 0), ("b", 2000, 2), ("b", 2001, 0)], "region string, year int, vegetation long")
+    return R.archive_problems(counts, 3)
+
+
 # ---- official statistics
 PATTERNS = [(r"^(total|sum)(\s|$)", "total"), (r"district$", "district")]
 
@@ -244,11 +298,25 @@ def indicator_long_format(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY coalesce(nullif(list_position(['NATION_7', 'NATION_3', 'NATION_11'], n_name), 0), 4), n_regionkey DESC NULLS LAST, n_name)::INT AS place, n_name AS name FROM nation")
 def regions_pinned_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     n = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("value"))
-    place = F.row_number().over(W.orderBy(R.pinned_order(F.col("name"), ("NATION_7", "NATION_3", "NATION_11")), F.col("value").desc_nulls_last(), "name"))  # a row for each region
-    return n.select(place.alias("place"), "name")
+    order = R.region_order("value", descending=True, iso="name", pinned=("NATION_7", "NATION_3", "NATION_11"))
+    return running_sums(n, order, {"before": F.lit(1)}, "pinned").select((F.col("before") + 1).cast("int").alias("place"), "name")
+
+
+@query("""WITH r AS (SELECT n_nationkey AS ord, CASE n_nationkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'Всего по ' || n_name WHEN 2 THEN 'Российская Федерация' ELSE n_name END AS name, CASE n_nationkey % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN n_nationkey || '.5 thousand' ELSE n_nationkey::VARCHAR END AS raw FROM nation),
+v AS (SELECT *, CASE ord % 5 WHEN 0 THEN 0 WHEN 1 THEN ord + 0.5 ELSE ord END::DOUBLE AS value FROM r WHERE name <> '')
+SELECT arg_min(value, ord) FILTER (lower(name) LIKE '%российская федерация%' OR lower(name) LIKE '%всего по%') AS wood_volume, arg_min(value, ord) FILTER (lower(name) LIKE '%российская федерация%' OR lower(name) LIKE '%всего%') AS forestland,
+  (SELECT max(1990 + n_nationkey) FROM nation WHERE 1990 + n_nationkey > 2000)::INT AS reforested_year, (SELECT arg_max(CASE n_nationkey % 5 WHEN 0 THEN 0 WHEN 1 THEN n_nationkey + 0.5 ELSE n_nationkey END::DOUBLE, n_nationkey) FROM nation) AS reforested_area,
+  (SELECT arg_min(CASE ord % 5 WHEN 0 THEN 0 WHEN 1 THEN ord + 0.5 ELSE ord END::DOUBLE, ord) FROM r) AS fires_area, (SELECT count(*) FROM v WHERE lower(name) NOT LIKE '%российская федерация%' AND lower(name) NOT LIKE '%всего%') AS regions FROM v""")
+def official_summary(spark: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    label = F.when(k % 8 == 0, "").when(k % 8 == 1, F.concat(F.lit("Всего по "), name)).when(k % 8 == 2, "Российская Федерация").otherwise(name)
+    raw = F.when(k % 5 == 0, "n/a").when(k % 5 == 1, F.concat(k.cast("string"), F.lit(".5 thousand"))).otherwise(k.cast("string"))
+    n = table(spark, d, "nation")
+    rows = n.select(k.alias("ord"), label.alias("region"), label.alias("subjects"), raw.alias("volume"), raw.alias("area"), (k + 1990).cast("string").alias("year"))
+    wood = official.typed(rows, "wood_volume")
+    out = official.summary(wood, official.typed(rows, "forestland"), official.typed(rows, "reforestation"), official.typed(rows, "fires_area"))
+    return out.crossJoin(official.without_totals(wood).agg(F.count(F.lit(1)).alias("regions")))  # one row each
 
 
 # ---- loss

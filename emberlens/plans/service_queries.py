@@ -49,9 +49,51 @@ def _scl(spark: SparkSession, d: str) -> DataFrame:
     return raster.scl_stats(V.pixels(spark, d).where((F.col("scene") % 3 > 0) | S.is_clear("scl")), ["scene"])
 
 
-@query(f"WITH {PIXELS_SQL}, {SCL_SQL} SELECT *, {USABLE} AS usable, CASE WHEN {USABLE} THEN NULL WHEN snow * 2 > total THEN 'snow' WHEN nodata / total > 0.05 THEN 'missing' ELSE 'cloudy' END AS reason FROM scl")
+@query(f"WITH {PIXELS_SQL}, {SCL_SQL} SELECT *, {USABLE} AS usable FROM scl")
 def scl_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _scl(spark, d).withColumn("reason", raster.none_reason())
+    return _scl(spark, d)
+
+
+# ---- scenes
+SCENES_SQL = """sc AS (SELECT o_custkey % 60 AS place, o_orderkey % 40 AS scene, o_orderkey AS scene_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey * 31) % 100 END AS cloud,
+  o_orderdate + to_seconds(o_orderkey % 3 * 40) AS seen, 100::DOUBLE + (o_orderkey % 50) * 0.1::DOUBLE AS w, 50::DOUBLE + (o_custkey % 20) * 0.1::DOUBLE AS s FROM orders)"""
+
+
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    west, south = F.lit(100.0) + (k % 50) * 0.1, F.lit(50.0) + (c % 20) * 0.1
+    return table(spark, d, "orders").select(
+        (c % 60).alias("place"), (k % 40).alias("scene"), k.alias("scene_id"), F.when(k % 9 != 0, ((k * 31) % 100).cast("double")).alias("cloud_cover"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=(k % 3 * 40).cast("decimal(18,6)"))).alias("acquired_at"), west.alias("w"), south.alias("s"), (west + 0.5).alias("e"), (south + 0.5).alias("n"),
+    )
+
+
+PICK_KINDS = "(scene % 12 > 0 OR scl IN (4, 5)) AND (scene % 5 <> 1 OR scl IN (4, 5, 11)) AND (scene % 2 = 0 OR scl <> 0)"
+
+
+@query(f"""WITH {PIXELS_SQL}, {SCENES_SQL}, scl AS (SELECT scene, count(*) AS total, count(*) FILTER (scl NOT IN (0, 1, 3, 8, 9, 10, 11)) AS clear, count(*) FILTER (scl = 0) AS nodata, count(*) FILTER (scl IN (8, 9, 10)) AS cloud, count(*) FILTER (scl = 3) AS shadow,
+  count(*) FILTER (scl = 11) AS snow FROM px WHERE {PICK_KINDS} GROUP BY scene),
+g AS (SELECT *, CASE WHEN epoch_ms(seen) - epoch_ms(lag(seen) OVER w) <= 60000 THEN 0 ELSE 1 END AS new FROM sc WINDOW w AS (PARTITION BY place ORDER BY seen, scene_id)),
+a AS (SELECT *, sum(new) OVER (PARTITION BY place ORDER BY seen, scene_id ROWS UNBOUNDED PRECEDING) AS acq FROM g),
+rk AS (SELECT place, scene_id, scene, row_number() OVER (PARTITION BY place ORDER BY acq DESC, coalesce(cloud, 100), seen, scene_id) AS rank FROM a QUALIFY rank <= 6),
+k AS (SELECT rk.*, scl.*, {USABLE} AS usable FROM rk JOIN scl USING (scene)),
+b AS (SELECT place, min(rank) FILTER (usable) AS best FROM k GROUP BY 1),
+l AS (SELECT place, max(scene_id) FILTER (rank = best) AS scene_id, count(*) AS checked,
+  count(*) FILTER (nodata <= 0.05 * total AND snow >= 0.2 * total AND snow >= cloud + shadow) * 2 > count(*) FILTER (nodata <= 0.05 * total) AS snowy FROM k JOIN b USING (place) WHERE best IS NULL OR rank <= best GROUP BY place)
+SELECT t.place, l.scene_id, coalesce(l.checked, 0)::BIGINT AS checked, CASE WHEN l.scene_id IS NOT NULL THEN NULL WHEN l.checked IS NULL THEN 'missing' WHEN snowy THEN 'snow' ELSE 'cloudy' END AS reason FROM range(62) t(place) LEFT JOIN l USING (place)""")
+def scene_pick(spark: SparkSession, d: str) -> DataFrame:
+    """The newest usable scene of each place, or why there is none."""
+    scenes = _scenes(spark, d)
+    ranked = raster.ordered_candidates(scenes.select("place", "scene_id", "cloud_cover", "acquired_at"), ["place"], newest_first=True)
+    stats = raster.scl_stats(V.pixels(spark, d).where(PICK_KINDS), ["scene"])
+    by_id = scenes.select("scene_id", "scene").join(stats, "scene").drop("scene")
+    return raster.pick_scene(spark.range(62).withColumnRenamed("id", "place"), ranked, by_id, ["place"])
+
+
+@query(f"WITH {SCENES_SQL} SELECT scene_id FROM sc WHERE w <= 103 AND w + 0.5 >= 102 AND s <= 51 AND s + 0.5 >= 50.5 AND seen BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31' AND cloud < 60 ORDER BY cloud, seen DESC, scene_id LIMIT 200")
+def scene_search(spark: SparkSession, d: str) -> DataFrame:
+    start, end = (F.lit(t).cast("timestamp") for t in ("1994-01-01", "1997-12-31"))
+    return raster.search_scenes(_scenes(spark, d), {"w": 102, "s": 50.5, "e": 103, "n": 51}, start, end, 60, 200, "desc", by_cloud=True).select("scene_id")
 
 
 REFLECTANCE = {b: f"CASE WHEN {b} <> 0 THEN {b} * 0.0001::DOUBLE - 0.01 END" for b in ("b4", "b8", "b12")}
@@ -71,12 +113,12 @@ def region_index_stats(spark: SparkSession, d: str) -> DataFrame:
     return raster.index_stats(refl, ["scene"])
 
 
-@query(f"""WITH {PIXELS_SQL}, {SCL_SQL}, sc AS (SELECT o_orderkey % 40 AS scene, o_orderkey AS scene_id, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey * 31) % 100 END AS cloud, o_orderdate AS seen FROM orders WHERE o_orderkey % 10 = 0),
+@query(f"""WITH {PIXELS_SQL}, {SCL_SQL}, sc AS (SELECT o_orderkey % 40 AS scene, o_orderkey AS scene_id, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey * 31) % 100 END AS cloud, o_orderdate AS seen FROM orders),
 rk AS (SELECT sc.*, coalesce({USABLE}, false) AS usable, row_number() OVER (PARTITION BY year ORDER BY coalesce(sc.cloud, 100), seen, scene_id) AS rank FROM sc LEFT JOIN scl USING (scene) QUALIFY rank <= 6)
 SELECT year, arg_min(scene_id, rank) FILTER (usable) AS scene_id, coalesce(min(rank) FILTER (usable), count(*))::BIGINT AS checked FROM rk GROUP BY year""")
 def best_scene_per_year(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    scenes = table(spark, d, "orders").where(k % 10 == 0).select((k % 40).alias("scene"), k.alias("scene_id"), F.year("o_orderdate").alias("year"), F.when(k % 9 != 0, ((k * 31) % 100).cast("double")).alias("cloud_cover"), F.col("o_orderdate").alias("acquired_at"))
+    scenes = table(spark, d, "orders").select((k % 40).alias("scene"), k.alias("scene_id"), F.year("o_orderdate").alias("year"), F.when(k % 9 != 0, ((k * 31) % 100).cast("double")).alias("cloud_cover"), F.col("o_orderdate").alias("acquired_at"))
     stats = scenes.select("scene_id", "scene").join(_scl(spark, d).select("scene", "usable"), "scene")
     return raster.best_scene(scenes, stats, ["year"])
 
@@ -96,13 +138,14 @@ def journal_last_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 SUMMARY_SQL = f"""{RUNS_SQL}, m AS (SELECT *, max(seen) FILTER (ok) OVER (PARTITION BY source) AS good FROM runs),
-s AS (SELECT source, max(seen) AS last_attempt, arg_max(ok, (seen, run_id)) AS last_ok, max(good) AS last_success, min(seen) FILTER (NOT ok AND (good IS NULL OR seen > good)) AS failing_since, count(*) AS runs, count(*) FILTER (NOT ok) AS failures FROM m GROUP BY 1)"""
+s AS (SELECT source, max(seen) AS last_attempt, arg_max(ok, (seen, run_id)) AS last_ok, max(good) AS last_success, min(seen) FILTER (NOT ok AND (good IS NULL OR seen > good)) AS failing_since, count(*) AS runs, count(*) FILTER (NOT ok) AS failures, sum(CASE WHEN run_id % 4 = 1 THEN run_id % 13 ELSE 0 END)::BIGINT AS rejected FROM m GROUP BY 1)"""
 
 
-@query(f"WITH {SUMMARY_SQL} SELECT source, strftime(last_attempt, '%Y-%m-%d %H:%M:%S') AS last_attempt, last_ok, strftime(last_success, '%Y-%m-%d %H:%M:%S') AS last_success, strftime(failing_since, '%Y-%m-%d %H:%M:%S') AS failing_since, runs, failures FROM s")
+@query(f"WITH {SUMMARY_SQL} SELECT source, strftime(last_attempt, '%Y-%m-%d %H:%M:%S') AS last_attempt, last_ok, strftime(last_success, '%Y-%m-%d %H:%M:%S') AS last_success, strftime(failing_since, '%Y-%m-%d %H:%M:%S') AS failing_since, runs, failures, rejected FROM s")
 def failing_since(spark: SparkSession, d: str) -> DataFrame:
-    s = status.run_summary(V.runs(spark, d))
-    return s.select("source", "last_ok", "runs", "failures", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_attempt", "last_success", "failing_since")])
+    rejected = F.when(F.col("run_id") % 4 == 1, F.col("run_id") % 13).otherwise(0)
+    s = status.run_summary(V.runs(spark, d).withColumn("rejected", rejected))
+    return s.select("source", "last_ok", "runs", "failures", "rejected", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_attempt", "last_success", "failing_since")])
 
 
 @query(f"""WITH {SUMMARY_SQL}, reg AS (SELECT 's' || i AS source, 600 * (i + 1) AS fresh, 3600 * (i + 1) AS stale FROM range(9) t(i)), top AS (SELECT max(seen) AS t FROM runs),
@@ -146,6 +189,22 @@ def quality_log_writes(spark: SparkSession, d: str) -> DataFrame:
     return status.spaced(V.runs(spark, d), ["source"], change="ok").where("write").select("run_id")
 
 
+@query(f"""WITH {RUNS_SQL}, reg AS (SELECT 's' || i AS source, 'name ' || i AS name, CASE WHEN i % 2 = 0 THEN 's' || (i + 1) END AS history FROM range(9) t(i)),
+good AS (SELECT source, max(seen) AS t FROM runs WHERE ok GROUP BY 1)
+SELECT r.source, r.name, strftime(g.t, '%Y-%m-%d %H:%M:%S') AS last_load, strftime(h.t, '%Y-%m-%d %H:%M:%S') AS last_history_write, CASE WHEN r.source = 's3' THEN 'v1' END AS version FROM reg r LEFT JOIN good g ON g.source = r.source LEFT JOIN good h ON h.source = r.history""")
+def source_provenance(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id").cast("string")
+    registry = spark.range(9).select(F.concat(F.lit("s"), i).alias("source"), F.concat(F.lit("name "), i).alias("name"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("s"), (F.col("id") + 1).cast("string"))).alias("history"))
+    out = status.provenance(registry, V.runs(spark, d), spark.createDataFrame([("s3", "v1")], "source string, version string"))
+    return out.select("source", "name", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_load", "last_history_write")], "version")
+
+
+@query("SELECT strftime(greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)), '%Y-%m-%d') AS newest")
+def newest_record(spark: SparkSession, d: str) -> DataFrame:
+    tables = [table(spark, d, t).select(F.col(c).cast("timestamp").alias("created_at")) for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+    return status.newest_record(*tables).select(F.date_format("newest", "yyyy-MM-dd").alias("newest"))
+
+
 RAW_SQL = """raw AS (SELECT event_id, 'f' || (user_id % 20) AS file, CASE WHEN event_id % 31 = 0 THEN 'x' WHEN event_id % 37 = 0 THEN '95' ELSE '52.5' END AS latitude, CASE WHEN event_id % 41 = 0 THEN '' ELSE '104' END AS longitude,
   CASE WHEN event_id % 43 = 0 THEN '2024/01/01' ELSE '2024-01-01' END AS acq_date, CASE WHEN event_id % 47 = 0 THEN ' ' WHEN user_id % 20 = 3 AND event_id % 5 = 0 THEN NULL ELSE '0512' END AS acq_time FROM events),
 checked AS (SELECT *, CASE WHEN try_cast(latitude AS DOUBLE) IS NULL OR abs(try_cast(latitude AS DOUBLE)) > 90 THEN 'latitude' WHEN try_cast(longitude AS DOUBLE) IS NULL OR abs(try_cast(longitude AS DOUBLE)) > 180 THEN 'longitude'
@@ -228,3 +287,31 @@ def stream_state_counts(spark: SparkSession, d: str) -> DataFrame:
 def daily_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = ingest.daily_counts(V.hotspots(spark, d))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", N.js_round("avg_frp", 4).alias("avg_frp"))
+
+
+# ---- streams over files that come in order, with late rows
+SLICES_SQL = """arrived AS (SELECT event_id AS id, ts AS seen, value AS frp,
+  CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 1 WHEN ts < TIMESTAMP '2024-01-20' AND event_id % 7 > 0 THEN 2 WHEN ts < TIMESTAMP '2024-01-20' THEN 4 WHEN event_id % 11 > 0 THEN 3 ELSE 5 END AS slice FROM events),
+tops AS (SELECT slice, max(seen) AS top FROM arrived GROUP BY 1),
+marks AS (SELECT s.slice, (SELECT max(top) FROM tops p WHERE p.slice < s.slice - 1) - INTERVAL 72 HOUR AS mark FROM tops s)"""  # what counts as late is known one batch after the watermark
+
+
+def _in_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Detections landed in five files one after the other: by time, but a seventh of the second span and an eleventh of the third come after the rest of the third."""
+    h, at = V.hotspots(spark, d).select("id", "acquired_at", "frp"), F.col("acquired_at")
+    early, middle = at < F.lit("2024-01-10").cast("timestamp"), at < F.lit("2024-01-20").cast("timestamp")
+    slice_ = F.when(early, 1).when(middle & (F.col("id") % 7 > 0), 2).when(middle, 4).when(F.col("id") % 11 > 0, 3).otherwise(5)
+    sliced = materialize(h.withColumn("slice", slice_), "slices")
+    path = scratch_path(spark, "arriving")
+    for k in range(1, 6):
+        sliced.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return ingest.file_stream(spark, path, sliced.drop("slice").schema, files_per_batch=1)
+
+
+@query(f"""WITH {SLICES_SQL}, end_ AS (SELECT max(seen) - INTERVAL 72 HOUR AS t FROM arrived),
+k AS (SELECT a.seen::DATE AS day, a.frp FROM arrived a JOIN marks m USING (slice) WHERE m.mark IS NULL OR date_trunc('day', a.seen) + INTERVAL 1 DAY > m.mark)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, {jr('avg(frp)', 4)} AS avg_frp FROM k, end_ WHERE day + INTERVAL 1 DAY <= t GROUP BY day""")
+def stream_daily_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Days as windows of a stream in append mode: a day comes out once the watermark has passed it; rows that come later than that are dropped."""
+    out = _run(ingest.daily_counts(_in_slices(spark, d)))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", N.js_round("avg_frp", 4).alias("avg_frp"))

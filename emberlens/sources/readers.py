@@ -5,6 +5,9 @@ Fetching is a matter of the platform that lands the files; a reader takes paths
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberlens.functions import text as T
@@ -58,24 +61,56 @@ def hotspots(raw: DataFrame) -> DataFrame:
 
 
 def archive_rows(df: DataFrame) -> DataFrame:
-    """A yearly archive: latitude, longitude, year, type, frp (blank or negative: 0), malformed (boolean)."""
+    """A yearly archive: lat, lon, year (the first four characters of the date), type, frp (blank or negative: 0), malformed (no place on earth, year or type)."""
     lat, lon, kind = (F.col(c).try_cast("double") for c in ("latitude", "longitude", "type"))
-    day = F.try_to_timestamp("acq_date", F.lit("yyyy-MM-dd"))
-    return df.select(
-        lat.alias("lat"), lon.alias("lon"), F.year(day).alias("year"), kind.cast("int").alias("type"), F.greatest(F.coalesce(F.col("frp").try_cast("double"), F.lit(0.0)), F.lit(0.0)).alias("frp"),
-        (lat.isNull() | lon.isNull() | kind.isNull() | day.isNull()).alias("malformed"),
-    )
+    year = F.substring(F.trim("acq_date"), 1, 4).try_cast("int")
+    bad = [lat.isNull() | F.isnan(lat) | (F.abs(lat) > 90), lon.isNull() | F.isnan(lon) | (F.abs(lon) > 180), year.isNull(), kind.isNull() | (kind != F.floor(kind))]
+    frp = F.greatest(F.coalesce(F.nanvl(F.col("frp").try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    return df.select(lat.alias("lat"), lon.alias("lon"), year.alias("year"), kind.cast("int").alias("type"), frp.alias("frp"), reduce(lambda x, y: x | y, bad).alias("malformed"))
 
 
 def statistics(df: DataFrame, dataset: str) -> DataFrame:
     """An official table -> name, value, year (null where blank or a placeholder), from whichever spelling of the columns it has."""
     spec = STATISTICS[dataset]
-    if _pick(df, spec["name"]) is None or not any(c in df.columns for c in spec["value"]):
-        raise ValueError(f"no value column for {dataset}")
+    for part in ("name", "value"):
+        if not any(c in df.columns for c in spec[part]):
+            raise ValueError(f"no {part} column for {dataset}")
     year = T.statistics_number(_pick(df, spec["year"]))
     return df.select(F.trim(_pick(df, spec["name"])).alias("name"), T.statistics_number(_pick(df, spec["value"])).alias("value"), F.when(year == F.floor(year), year).cast("int").alias("year"))
 
 
+def active_fires(hotspots: DataFrame) -> DataFrame:
+    """(n): detections of high or nominal confidence."""
+    return hotspots.where(F.col("confidence").isin("high", "nominal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feeds(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Usable detections of several feeds (name -> path), and why feeds were left out. A feed that can't be read or has another format is left out; an error when all are."""
+    parts, failed = [], {}
+    for name, path in paths.items():
+        try:
+            raw = hotspots_raw(read_csv(spark, path))
+            parts.append(hotspots(raw).withColumn("feed", F.lit(name)))
+        except (ValueError, AnalysisException) as e:
+            failed[name] = str(e).splitlines()[0]
+    if not parts:
+        raise ValueError(f"no feed can be read: {failed}")
+    return reduce(DataFrame.unionByName, parts), failed
+
+
+def feature_lines(spark: SparkSession, path: str, keep: dict[str, tuple] | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Line-delimited GeoJSON (a record separator before a line does no harm) -> properties, kind, coordinates of the features whose properties have one of
+    the values that ``keep`` lists for them. Lines beyond ``max_bytes`` raise an error when they are read."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\\x1e", "").alias("value")).where(F.trim("value") != "")
+    if max_bytes:
+        lines = lines.withColumn("value", F.when(F.octet_length("value") <= max_bytes, F.col("value")).otherwise(F.raise_error(F.lit("a feature is too large"))))
+    f = lines.select(F.from_json("value", "properties map<string, string>, geometry struct<type: string, coordinates: string>").alias("f"))
+    out = f.select("f.properties", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates").where("kind IS NOT NULL")
+    for name, values in (keep or {}).items():
+        out = out.where(F.col("properties")[name].isin(*values))
+    return out
+
+
 def newest_path(listing: DataFrame, pattern: str = r"data-[^,\s\"]+\.csv") -> DataFrame:
     """(path): the last path, by name, that a dataset's index (property, value) mentions; null when there is none."""
     found = listing.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("path"))

@@ -35,25 +35,23 @@ def dedupe_grid(hotspots: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def new_observations(incoming: DataFrame, stored: DataFrame, key: list[str] = OBSERVATION_KEY) -> DataFrame:
-    """Incoming rows that aren't stored yet, one for each key."""
-    return incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    """Incoming rows that aren't stored yet, one for each key: of several the same in every run (the least of their other columns)."""
+    others = [c for c in incoming.columns if c not in key]
+    once = incoming.groupBy(*key).agg(F.min(F.struct(*others)).alias("_kept")).select(*key, "_kept.*").select(*incoming.columns) if others else incoming.select(*key).distinct()
+    return once.join(stored.select(*key), key, "left_anti").select(*incoming.columns)
 
 
-def append_observations(incoming: DataFrame, path: str) -> int:
-    """Appends what is new to the table at ``path``, in folders by day; returns how many rows. A second run appends nothing."""
+def append_observations(incoming: DataFrame, path: str) -> tuple[int, int]:
+    """Appends what is new to the table at ``path``, in folders by day; returns how many rows were written and how many were not, as they were known or repeats. A second run writes nothing."""
     spark = incoming.sparkSession
     days = incoming.select("acquisition_date").distinct()
-    if exists(spark, path):
-        stored = spark.read.parquet(path).join(days, "acquisition_date", "left_semi")
-        incoming = new_observations(incoming, stored)
-    else:
-        incoming = incoming.dropDuplicates(OBSERVATION_KEY)
-    observed = incoming.persist()  # counted and written from one computation
-    n = observed.count()
+    stored = spark.read.parquet(path).join(days, "acquisition_date", "left_semi") if exists(spark, path) else incoming.limit(0)
+    observed = new_observations(incoming, stored).persist()  # counted and written from one computation
+    n, total = observed.count(), incoming.count()
     if n:
         observed.write.mode("append").partitionBy("acquisition_date").parquet(path)
     observed.unpersist()
-    return n
+    return n, total - n
 
 
 def exists(spark: SparkSession, path: str) -> bool:

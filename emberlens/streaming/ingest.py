@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from emberlens.operators import incidents
+from emberlens.shared import materialize
 from emberlens.sources import sinks
 
 WATERMARK = "72 hours"
@@ -51,10 +52,11 @@ def running_counts(stream: DataFrame, key: str, id_column: str = "id") -> DataFr
     return stream.select(key, id_column).groupBy(key).applyInPandasWithState(update, f"{key} long, n long, watermark_id long", "n long, top long", "update", GroupStateTimeout.NoTimeout)
 
 
-def incident_job(observations_path: str, state: sinks.Snapshots, points_of):
-    """For foreachBatch: stores what is new, clusters the window, plans, and writes the next state. A repeated batch changes nothing.
+def incident_job(observations_path: str, state: sinks.Snapshots, points_of, archive: DataFrame | None = None):
+    """For foreachBatch: stores what is new, leaves static sources out, clusters the window, plans, relabels incidents that are static, and writes the next state.
+    A repeated batch changes nothing.
 
-    points_of: stored observations -> points (id, lat, lon, acquired_at, satellite, confidence, frp, region_iso, region).
+    points_of: stored observations -> points (id, lat, lon, acquired_at, satellite, confidence, frp, region_iso, region). ``archive``: static cells (row, col).
     """
 
     def job(batch: DataFrame, batch_id: int) -> None:
@@ -65,10 +67,11 @@ def incident_job(observations_path: str, state: sinks.Snapshots, points_of):
         old = state.last_good()
         if old is None:
             old = spark.createDataFrame([], incident_schema(points))
-        clustered = incidents.cluster(incidents.in_window(points, as_of)).persist()
-        new = incidents.next_state(old, *incidents.plan(clustered, old, as_of))
-        state.write(new)
-        clustered.unpersist()
+        window = incidents.in_window(points, as_of)
+        kept, _ = incidents.split_static(window, incidents.static_points(window, points, as_of, archive))
+        clustered = materialize(incidents.cluster(kept), "clustered")
+        relabels = materialize(incidents.static_relabels(old, points, points, as_of, archive), "relabels")
+        state.write(incidents.next_state(old, *incidents.plan(clustered, old, as_of), relabels))
 
     return job
 

@@ -240,13 +240,51 @@ def test_indicators(spark):
 # ---- rasters
 def test_rasters(spark):
     pixels = spark.createDataFrame([(1, 4)] * 16 + [(1, 8)] * 4 + [(2, 11)] * 6 + [(2, 4)] * 4 + [(3, 0)] * 2 + [(3, 4)] * 18, "scene int, scl int")
-    got = {r.scene: (r.clear, r.total, r.usable, r.reason) for r in raster.scl_stats(pixels, ["scene"]).withColumn("reason", raster.none_reason()).collect()}
-    assert got == {1: (16, 20, True, None), 2: (4, 10, False, "snow"), 3: (18, 20, False, "missing")}
+    got = {r.scene: (r.clear, r.total, r.usable) for r in raster.scl_stats(pixels, ["scene"]).collect()}
+    assert got == {1: (16, 20, True), 2: (4, 10, False), 3: (18, 20, False)}
     refl = spark.createDataFrame([(1, 0.1, 0.5, 0.4), (1, 0.1, 0.5, 0.4), (2, None, 0.5, 0.4), (2, 0.1, 0.5, 0.4), (3, None, 0.5, 0.4)], "k int, red double, nir double, swir2 double")
     stats = {r.k: (r.total, r.valid, r.valid_pct, r.ndvi, r.nbr) for r in raster.index_stats(refl, ["k"]).collect()}
     assert stats == {1: (2, 2, 100, 0.667, 0.111), 2: (2, 1, 50, 0.667, 0.111), 3: (1, 0, 0, None, None)}
 
 
+def test_pick_scene(spark):
+    """Snow must spoil most of the covered scenes that were looked at; a scene of one acquisition is taken by its clouds; ids come once."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    scenes = [("a", "x", 50.0, at(0)), ("a", "y", 10.0, at(50)), ("a", "z", None, at(100)), ("a", "late", 1.0, at(300)), ("a", "x", 50.0, at(0)), ("b", "s1", 1.0, at(0)), ("b", "s2", 2.0, at(999)), ("b", "dark", 3.0, at(1999)), ("c", "s1", 1.0, at(0)), ("c", "cl", 2.0, at(999))]
+    df = spark.createDataFrame(scenes, "place string, scene_id string, cloud_cover double, acquired_at timestamp")
+    order = lambda newest: [r.scene_id for r in raster.ordered_candidates(df.where("place = 'a'"), ["place"], newest, most=4).orderBy("rank").collect()]
+    assert order(False) == ["y", "x", "z", "late"] and order(True) == ["late", "y", "x", "z"]
+    stats = [("x", 10, 9, 0, 1, 0, 0, True), ("y", 10, 2, 0, 8, 0, 0, False), ("z", 10, 9, 0, 1, 0, 0, True), ("late", 10, 2, 0, 8, 0, 0, False), ("s1", 10, 5, 0, 1, 1, 3, False), ("s2", 10, 5, 0, 2, 0, 3, False), ("dark", 10, 5, 5, 0, 0, 0, False), ("cl", 10, 5, 0, 5, 0, 0, False)]
+    stats = spark.createDataFrame(stats, "scene_id string, total long, clear long, nodata long, cloud long, shadow long, snow long, usable boolean")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "place string")
+    got = {r.place: (r.scene_id, r.checked, r.reason) for r in raster.pick_scene(asked, raster.ordered_candidates(df, ["place"]), stats, ["place"]).collect()}
+    assert got == {"a": ("x", 2, None), "b": (None, 3, "snow"), "c": (None, 2, "cloudy"), "d": (None, 0, "missing")}
+    box = spark.createDataFrame([("p", None, 0.0), ("q", 70.0, 0.0), ("r", 20.0, 0.0), ("far", 1.0, 50.0)], "scene_id string, cloud_cover double, w double").selectExpr("*", "w + 1 AS e", "0D AS s", "1D AS n", "timestamp'2024-05-01' AS acquired_at")
+    found = raster.search_scenes(box, {"w": 0.5, "s": 0.5, "e": 2, "n": 2}, F.lit("2024-01-01").cast("timestamp"), F.lit("2025-01-01").cast("timestamp"), by_cloud=True)
+    assert [r.scene_id for r in found.collect()] == ["r", "q"]
+
+
+def test_regions_in_russian_order(spark):
+    rows = spark.createDataFrame([("RU-Z", "Якутия"), ("RU-E", "Ёлкино"), ("RU-D", "Елань"), ("RU-ZH", "Жиздра"), ("RU-IRK", "Иркутск")], "region string, name string")
+    assert [r.name for r in R.sort_regions(rows).collect()] == ["Иркутск", "Елань", "Ёлкино", "Жиздра", "Якутия"]
+
+
+def test_relabels_and_counters(spark):
+    p = points_of(spark, [(52.0, 104.0), (52.001, 104.0), (60.0, 100.0), (60.001, 100.0)])
+    state = I.build_incidents(I.cluster(p), F.lit(T0)).withColumn("incident_id", F.col("cluster")).select(*I.STATE)
+    days = [points_of(spark, [(52.0, 104.0), (52.001, 104.0)], at=T0 - dt.timedelta(days=k)) for k in (8, 5, 3, 0)]
+    history = days[0].union(days[1]).union(days[2]).union(days[3])
+    relabels = I.static_relabels(state, p, history, F.lit(T0))
+    assert [r.incident_id for r in relabels.collect()] == [0]
+    none = state.limit(0)
+    creates = I.build_incidents(I.cluster(p.limit(0)), F.lit(T0))
+    after = I.next_state(state, creates, none, none.select("incident_id", "status"), relabels)
+    assert {r.incident_id: r.status for r in after.collect()} == {0: "static_source", 2: "active"}
+    assert I.static_relabels(after, p, history, F.lit(T0)).count() == 0
+    counted = I.run_counters(creates, none, none.select("incident_id", "status"), relabels, p.where("id < 2")).first()
+    assert (counted.created, counted.updated, counted.deactivated, counted.relabelled, counted.masked) == (0, 0, 0, 1, 2)
+
+
 # ---- status
 def test_journal(spark):
     at = lambda h: T0 + dt.timedelta(hours=h)

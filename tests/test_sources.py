@@ -39,15 +39,32 @@ def test_append_is_idempotent(spark, tmp_path):
     h = spark.createDataFrame(rows, "latitude double, longitude double, brightness double, bright_t31 double, frp double, scan double, track double, acq_date string, acq_time string, satellite string, confidence string, version string, daynight string")
     o = sinks.observations(h)
     assert o.count() == 2
-    assert (sinks.append_observations(o, path), sinks.append_observations(o, path)) == (1, 0)
+    assert (sinks.append_observations(o, path), sinks.append_observations(o, path)) == ((1, 1), (0, 2))
     later = o.withColumn("acquisition_date", F.date_add("acquisition_date", 40))
-    assert sinks.append_observations(later, path) == 1
+    assert sinks.append_observations(later, path) == (1, 1)
     stored = spark.read.parquet(path)
     assert sinks.keep_recent(stored, F.lit(dt.date(2026, 11, 3))).count() == 1
     best = sinks.dedupe_grid(h.where("latitude < 90").withColumn("ord", F.monotonically_increasing_id()), [F.col("ord")]).collect()
     assert [r.frp for r in best] == [99.0]
 
 
+def test_archive_rows_and_feeds(spark, tmp_path):
+    rows = [("52.1", "104", "2024-13-99", "0", ""), ("95", "104", "2024-01-01", "0", "1"), ("52", "181", "2024-01-01", "0", "1"), ("", "1", "2024-01-01", "0", "1"), ("1", "1", "x", "0", "1"), ("1", "1", "2023-01-01", "2.5", "1"), ("1", "1", "2023-01-01", "2", "-4")]
+    got = readers.archive_rows(spark.createDataFrame(rows, "latitude string, longitude string, acq_date string, type string, frp string")).collect()
+    assert [r.malformed for r in got] == [False, True, True, True, True, True, False] and (got[0].year, got[0].frp, got[6].frp) == (2024, 0.0, 0.0)
+    (tmp_path / "good.csv").write_text("latitude,longitude,acq_date,acq_time\n52.5,104,2024-01-01,0512\n")
+    (tmp_path / "bad.csv").write_text("latitude,longitude\n52.5,104\n")
+    found, failed = readers.feeds(spark, {n: str(tmp_path / f"{n}.csv") for n in ("good", "bad", "none")})
+    assert [r.feed for r in found.collect()] == ["good"] and set(failed) == {"bad", "none"}
+    with pytest.raises(ValueError):
+        readers.feeds(spark, {"none": str(tmp_path / "none.csv")})
+    with pytest.raises(ValueError, match="name column"):
+        readers.statistics(spark.createDataFrame([("1",)], "woodiness string"), "woodiness")
+    (tmp_path / "f.geojsonl").write_text('\x1e{"type":"Feature","properties":{"level":"4"},"geometry":{"type":"Point","coordinates":[1,2]}}\n{"type":"Feature","properties":{"level":"2"},"geometry":{"type":"Point","coordinates":[3,4]}}\n')
+    lines = readers.feature_lines(spark, str(tmp_path / "f.geojsonl"), {"level": ("4", "5")}).collect()
+    assert [(r.kind, r.coordinates) for r in lines] == [("Point", "[1,2]")]
+
+
 def test_snapshots(spark, tmp_path):
     s = sinks.Snapshots(spark, str(tmp_path / "s"))
     assert s.last_good() is None
