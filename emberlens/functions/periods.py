@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from emberlens.functions import text as T
 from emberlens.functions.numeric import num
 
 #: Days before the first detection in which a picture counts as one from before, up to the day before it.
@@ -73,3 +74,18 @@ def period_range(period: str | None, start: str | None, end: str | None, as_of:
             start, end = end, start
         return {k: v for k, v in (("start_date", start), ("end_date", end)) if v}
     return {"start_date": (as_of - dt.timedelta(days=int(period) - 1)).date().isoformat()}
+
+
+def day_span(days: Column) -> Column:
+    """Days from the first to the last of a sorted array of days; null without any."""
+    return F.datediff(F.element_at(days, -1), F.element_at(days, 1))
+
+
+def nrt_since(as_of: Column, history_since: Column, days: int = 30) -> Column:
+    """The first day of which all detections are at hand: what retention keeps, but not before the history began."""
+    return F.greatest(F.date_sub(F.to_date(as_of), days), F.to_date(history_since))
+
+
+def series_key(aoi: tuple, site: tuple) -> Column:
+    """The key of a picture series: its area and the incident's site, as two incidents may share an area."""
+    return F.concat(T.format_bbox(*aoi), F.lit("|"), T.format_bbox(*site))

@@ -202,3 +202,33 @@ def located(rows: DataFrame, edges: DataFrame) -> DataFrame:
     places = rows.select("lat", "lon").distinct().withColumn("id", F.struct("lat", "lon"))
     found = spatial.first_region(places, edges).select(F.col("id.lat").alias("lat"), F.col("id.lon").alias("lon"), "region")
     return rows.join(found, ["lat", "lon"])
+
+
+# Kinds of indicators in the order of a report, and how texts name the sources that it cites.
+KINDS = ("official", "satellite", "estimate")
+CITED = (("rosleshoz", "(?i)Рослесхоз"), ("firms", "(?i)FIRMS"), ("gfw", r"(?i)Global Forest Watch|Hansen|\bGFW\b"), ("osm", r"(?i)OpenStreetMap|\bOSM\b"))
+
+
+def report_groups(table: DataFrame) -> DataFrame:
+    """The long table with ``place``: the position of its kind in a report; kinds that a report doesn't show are left out."""
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    return table.where(F.col("kind").isin(*KINDS)).withColumn("place", place.cast("int"))
+
+
+def report_sources(table: DataFrame, text: str = "source") -> DataFrame:
+    """(region, source id, place): the sources that a region's rows cite, in order; the map that gives the areas always."""
+    hits = F.filter(F.array(*[F.when(F.col(text).rlike(pattern), F.struct(F.lit(i).alias("place"), F.lit(name).alias("cited"))) for i, (name, pattern) in enumerate(CITED)]), lambda x: x.isNotNull())
+    always = F.array(F.struct(F.lit(len(CITED) - 1).alias("place"), F.lit("osm").alias("cited")))
+    found = table.select("region", F.explode(F.concat(hits, always)).alias("c")).select("region", "c.cited", "c.place")
+    return found.distinct()
+
+
+def latest_loss(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Loss rows (code, year, area_ha) x codes (code, iso) -> (iso, year, area_ha): the newest year of each region on the map of codes."""
+    best = rows.where("area_ha IS NOT NULL").groupBy("code").agg(F.max_by(F.struct("year", "area_ha"), "year").alias("best"))
+    return codes.join(best, "code").select("iso", "best.year", "best.area_ha")
+
+
+def newest_day(cells: DataFrame) -> DataFrame:
+    """(last_day): the newest day over all cells of the season."""
+    return cells.agg(F.max("last_day").alias("last_day"))

@@ -173,3 +173,29 @@ def provenance(registry: DataFrame, runs: DataFrame, versions: DataFrame) -> Dat
     good = runs.where("ok").groupBy("source").agg(F.max("at").alias("last_load"))
     written = good.select(F.col("source").alias("history"), F.col("last_load").alias("last_history_write"))
     return registry.join(good, "source", "left").join(written, "history", "left").join(versions.select("source", "version"), "source", "left").drop("history")
+
+
+# ---- verdicts of quality checks: rows (run_id, source, check, total, rejected, ok, reason)
+def verdict_rows(verdicts: DataFrame, source: str, check: str, reason: str) -> DataFrame:
+    """What ``verdict`` says (total, rejected, passed, ...) -> rows for the quality log; the reason stands where a check failed."""
+    failed = F.when(~F.col("passed"), reason)
+    return verdicts.select(F.lit(source).alias("source"), F.lit(check).alias("check"), "total", "rejected", F.col("passed").alias("ok"), failed.alias("reason"))
+
+
+def folded(runs: DataFrame, checks: DataFrame) -> DataFrame:
+    """Runs with the results of their checks: rejected (sum, 0 without any) and failures (array of 'check: reason', in order of the checks' names)."""
+    text = F.concat(F.col("check"), F.lit(": "), F.coalesce("reason", F.lit("rejected")))
+    each = checks.groupBy("run_id").agg(F.sum("rejected").alias("rejected"), F.array_sort(F.collect_list(F.when(~F.col("ok"), text))).alias("failures"))
+    out = runs.drop("rejected", "failures").join(each, "run_id", "left")
+    return out.withColumns({"rejected": F.coalesce("rejected", F.lit(0)), "failures": F.coalesce("failures", F.array().cast("array<string>"))})
+
+
+def subjects_problem(rows: DataFrame, name: str = "name", least: int = 75, most: int = 150) -> DataFrame:
+    """(problem): one row when an official table has too few or too many distinct subjects."""
+    n = rows.where(F.trim(name) != "").agg(F.count_distinct(F.lower(F.trim(name))).alias("n"))
+    return n.where((F.col("n") < least) | (F.col("n") > most)).select(F.format_string("%d subjects", "n").alias("problem"))
+
+
+def missing_groups(columns: list[str], groups: list[tuple[str, ...]]) -> list[str]:
+    """The groups of alternative columns of which a table has none, by their first name."""
+    return [g[0] for g in groups if not any(c in columns for c in g)]

@@ -319,6 +319,28 @@ def official_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.crossJoin(official.without_totals(wood).agg(F.count(F.lit(1)).alias("regions")))  # one row each
 
 
+@query("""WITH t AS (SELECT n_name AS region, ['official', 'estimate', 'satellite', 'other'][(n_nationkey % 4 + 1)::INT] AS kind, CASE n_nationkey % 5 WHEN 0 THEN 'NASA FIRMS' WHEN 1 THEN 'Hansen / GFW' WHEN 2 THEN 'GFWX' WHEN 3 THEN 'данные Рослесхоза' END AS source FROM nation)
+SELECT region, list_position(['official', 'satellite', 'estimate'], kind)::INT AS place, array_to_string(list_concat(CASE WHEN source LIKE '%Рослесхоз%' THEN ['rosleshoz'] ELSE [] END, CASE WHEN source LIKE '%FIRMS%' THEN ['firms'] ELSE [] END, CASE WHEN source LIKE '%Hansen%' THEN ['gfw'] ELSE [] END, ['osm']), ',') AS sources
+FROM t WHERE kind <> 'other'""")
+def report_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A region's place in a report by its kind, and the sources that it cites."""
+    k = F.col("n_nationkey")
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("official", "estimate", "satellite", "other")]), (k % 4 + 1).cast("int"))
+    source = F.when(k % 5 == 0, "NASA FIRMS").when(k % 5 == 1, "Hansen / GFW").when(k % 5 == 2, "GFWX").when(k % 5 == 3, "данные Рослесхоза")
+    t = table(spark, d, "nation").select(F.col("n_name").alias("region"), kinds.alias("kind"), source.alias("source"))
+    cited = R.report_sources(t).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("place", "cited"))).alias("c"))
+    return R.report_groups(t).join(cited, "region").select("region", "place", F.array_join(F.transform("c", lambda c: c["cited"]), ",").alias("sources"))
+
+
+@query("WITH l AS (SELECT 'c' || (o_custkey % 40) AS code, year(o_orderdate) AS year, sum(o_totalprice) AS area_ha FROM orders WHERE o_orderkey % 6 > 0 OR year(o_orderdate) < 1996 GROUP BY 1, 2), r AS (SELECT code, arg_max(year, year)::INT AS year, arg_max(area_ha, year) AS area_ha FROM l GROUP BY 1) SELECT 'R' || i AS iso, year, floor(area_ha) AS area_ha FROM r JOIN range(30) t(i) ON code = 'c' || i")
+def latest_loss(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where((F.col("o_orderkey") % 6 > 0) | (F.year("o_orderdate") < 1996))
+    rows = o.groupBy(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("code"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("area_ha"))
+    i = F.col("id").cast("string")
+    out = R.latest_loss(rows, spark.range(30).select(F.concat(F.lit("c"), i).alias("code"), F.concat(F.lit("R"), i).alias("iso")))
+    return out.select("iso", "year", F.floor("area_ha").cast("double").alias("area_ha"))
+
+
 # ---- loss
 LOSS_VALUES = ", ".join(f"({y}, {a})" for y, a in R.NATIONAL_LOSS_HA.items())
 SHARE_VALUES = ", ".join(f"('{c}', {s}::DOUBLE)" for c, s in R.LOSS_SHARE.items())

@@ -199,6 +199,19 @@ def source_provenance(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "name", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_load", "last_history_write")], "version")
 
 
+@query(f"""WITH {RUNS_SQL}, c AS (SELECT l_orderkey % (SELECT max(event_id) + 1 FROM events) AS run_id, 'check ' || l_linenumber AS check_, l_partkey % 9 AS rejected, l_suppkey % 5 > 0 AS ok, CASE WHEN l_suppkey % 10 = 5 THEN 'too many' END AS reason FROM lineitem WHERE l_linenumber < 4),
+f AS (SELECT run_id, sum(rejected) AS rejected, array_to_string(list_sort(list(check_ || ': ' || coalesce(reason, 'rejected')) FILTER (NOT ok)), ';') AS failures FROM c GROUP BY 1)
+SELECT r.run_id, coalesce(f.rejected, 0)::BIGINT AS rejected, coalesce(f.failures, '') AS failures FROM runs r LEFT JOIN f USING (run_id)""")
+def journal_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with what their checks dropped and why they failed."""
+    runs = V.runs(spark, d)
+    top = runs.agg((F.max("run_id") + 1).alias("top"))
+    lines = table(spark, d, "lineitem").where("l_linenumber < 4").crossJoin(top)  # one row
+    k = F.col("l_suppkey")
+    checks = lines.select((F.col("l_orderkey") % F.col("top")).alias("run_id"), F.concat(F.lit("check "), F.col("l_linenumber").cast("string")).alias("check"), (F.col("l_partkey") % 9).alias("rejected"), (k % 5 > 0).alias("ok"), F.when(k % 10 == 5, "too many").alias("reason"))
+    return status.folded(runs, checks).select("run_id", "rejected", F.array_join("failures", ";").alias("failures"))
+
+
 @query("SELECT strftime(greatest((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)), '%Y-%m-%d') AS newest")
 def newest_record(spark: SparkSession, d: str) -> DataFrame:
     tables = [table(spark, d, t).select(F.col(c).cast("timestamp").alias("created_at")) for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]

@@ -111,6 +111,18 @@ def feature_lines(spark: SparkSession, path: str, keep: dict[str, tuple] | None
     return out
 
 
+def oversized(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """(path, length) of the landed files that are too large to be what they should be; contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") > max_bytes)
+
+
+def expected(regions: DataFrame, isos: list[str]) -> DataFrame:
+    """Boundaries of the regions asked for; reading raises an error when one of them is missing."""
+    held = regions.where(F.col("region").isin(*isos))
+    n = held.agg(F.count_distinct("region").alias("n")).withColumn("ok", F.when(F.col("n") == len(set(isos)), True).otherwise(F.raise_error(F.lit("regions are missing"))))
+    return held.crossJoin(n.select("ok")).where("ok").drop("ok")  # one row
+
+
 def newest_path(listing: DataFrame, pattern: str = r"data-[^,\s\"]+\.csv") -> DataFrame:
     """(path): the last path, by name, that a dataset's index (property, value) mentions; null when there is none."""
     found = listing.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("path"))

@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from emberlens.functions import numeric as N, text as T
+from emberlens.functions import numeric as N, periods, text as T
 from emberlens.operators import context, geometry, official, raster, regional as R, status
 from emberlens.operators.ranges import running_sums
 from emberlens.sources import readers, sinks
@@ -85,3 +86,27 @@ def test_running_sums(spark):
         assert (r.n, r.total) == (n, total)
         n, total = n + 1, total + r.v
     assert running_sums(df.where("false"), [F.col("k")], {"n": F.lit(1)}).count() == 0
+
+
+def test_checks_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([(f"subject {i}",) for i in range(80)] + [(" Subject 1 ",), ("",)], "name string")
+    assert status.subjects_problem(rows).count() == 0 and status.subjects_problem(rows.limit(10)).first().problem == "10 subjects"
+    assert status.missing_groups(["region", "total"], [("subjects", "region"), ("woodiness",)]) == ["woodiness"]
+    log = status.verdict_rows(spark.createDataFrame([(30, 4, False), (30, 0, True)], "total long, rejected long, passed boolean"), "firms", "rows", "too many bad rows").collect()
+    assert [(r.source, r.check, r.ok, r.reason) for r in log] == [("firms", "rows", False, "too many bad rows"), ("firms", "rows", True, None)]
+    (tmp_path / "a.csv").write_text("x" * 100)
+    (tmp_path / "b.csv").write_text("x" * 10)
+    assert [r.path.rsplit("/", 1)[1] for r in readers.oversized(spark, str(tmp_path), 50).collect()] == ["a.csv"]
+    regions = spark.createDataFrame([("RU-A", 1), ("RU-B", 2), ("RU-C", 3)], "region string, ord int")
+    assert sorted(r.region for r in readers.expected(regions, ["RU-A", "RU-C"]).collect()) == ["RU-A", "RU-C"]
+    with pytest.raises(Exception, match="regions are missing"):
+        readers.expected(regions, ["RU-A", "RU-X"]).collect()
+
+
+def test_periods_and_days(spark):
+    key = periods.series_key(tuple(map(F.lit, (1.0, 2.0, 3.0, 4.0))), tuple(map(F.lit, (1.5, 2.5, 2.0, 3.0))))
+    days = F.array(*[F.lit(dt.date(2024, 1, d)) for d in (1, 3, 9)])
+    row = spark.range(1).select(key.alias("k"), periods.day_span(days).alias("d"), periods.nrt_since(F.lit(dt.datetime(2024, 5, 6, 7)), F.lit("2024-05-01")).alias("s")).first()
+    assert tuple(row) == ("1.00000,2.00000,3.00000,4.00000|1.50000,2.50000,2.00000,3.00000", 8, dt.date(2024, 5, 1))
+    cells = R.nrt_cells(spark.createDataFrame([(52.0, 104.0, dt.datetime(2024, 5, 1)), (53.0, 104.0, dt.datetime(2024, 5, 3))], "lat double, lon double, acquired_at timestamp"))
+    assert R.newest_day(cells).first().last_day == dt.date(2024, 5, 3)
