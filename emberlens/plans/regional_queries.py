@@ -151,13 +151,15 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
     return geometry.area_km2(spatial.edges_of(V.regions(spark, d))).withColumn("km2", N.js_round("km2", 3))
 
 
-@query(None)
+@query(f"""WITH {EDGES_SQL} SELECT ord::BIGINT AS relation, 0 AS polygon, ring, (count(*) + 1)::INT AS points, {jr('abs(sum(x1 * y2 - x2 * y1)) / 2', 6)} AS area FROM edges GROUP BY ord, ring""")
 def ring_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Regions' rings cut into ways of two or three points, every second one reversed, and put together again."""
     e = spatial.edges_of(V.regions(spark, d))
     way = F.array(F.struct(F.col("x1").alias("lon"), F.col("y1").alias("lat")), F.struct(F.col("x2").alias("lon"), F.col("y2").alias("lat")))
     ways = e.select(F.col("ord").cast("long").alias("relation"), F.xxhash64("x1", "y1").alias("ord"), F.when(F.col("hole"), "inner").otherwise("outer").alias("role"), F.when(F.xxhash64("x2") % 2 == 0, F.reverse(way)).otherwise(way).alias("points"))
-    return geometry.assemble_rings(ways).select("relation", "polygon", "ring", F.size("points").alias("points"))
+    turns = F.zip_with(F.slice("points", F.lit(1), F.size("points") - 1), F.slice("points", F.lit(2), F.size("points") - 1), lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"])
+    area = F.abs(F.aggregate(turns, F.lit(0.0), lambda x, y: x + y)) / 2
+    return geometry.assemble_rings(ways).select("relation", "polygon", "ring", F.size("points").alias("points"), N.js_round(area, 6).alias("area"))
 
 
 @query(None)

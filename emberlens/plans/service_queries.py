@@ -309,14 +309,14 @@ tops AS (SELECT slice, max(seen) AS top FROM arrived GROUP BY 1),
 marks AS (SELECT s.slice, (SELECT max(top) FROM tops p WHERE p.slice < s.slice - 1) - INTERVAL 72 HOUR AS mark FROM tops s)"""  # what counts as late is known one batch after the watermark
 
 
-def _in_slices(spark: SparkSession, d: str) -> DataFrame:
+def _in_slices(spark: SparkSession, d: str, last: int = 5) -> DataFrame:
     """Detections landed in five files one after the other: by time, but a seventh of the second span and an eleventh of the third come after the rest of the third."""
     h, at = V.hotspots(spark, d).select("id", "acquired_at", "frp"), F.col("acquired_at")
     early, middle = at < F.lit("2024-01-10").cast("timestamp"), at < F.lit("2024-01-20").cast("timestamp")
     slice_ = F.when(early, 1).when(middle & (F.col("id") % 7 > 0), 2).when(middle, 4).when(F.col("id") % 11 > 0, 3).otherwise(5)
     sliced = materialize(h.withColumn("slice", slice_), "slices")
     path = scratch_path(spark, "arriving")
-    for k in range(1, 6):
+    for k in range(1, last + 1):
         sliced.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
     return ingest.file_stream(spark, path, sliced.drop("slice").schema, files_per_batch=1)
 
@@ -328,3 +328,23 @@ def stream_daily_windows(spark: SparkSession, d: str) -> DataFrame:
     """Days as windows of a stream in append mode: a day comes out once the watermark has passed it; rows that come later than that are dropped."""
     out = _run(ingest.daily_counts(_in_slices(spark, d)))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", N.js_round("avg_frp", 4).alias("avg_frp"))
+
+
+@query(f"""WITH {SLICES_SQL}, s AS (SELECT id % 50 AS site, id, slice FROM arrived), m AS (SELECT site, slice, max(id) AS top FROM s GROUP BY ALL),
+p AS (SELECT site, slice, max(top) OVER (PARTITION BY site ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+SELECT site, count(*) FILTER (before IS NULL OR id > before) AS n, max(id) AS watermark_id FROM s JOIN p USING (site, slice) GROUP BY site""")
+def stream_state_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Per site the rows above the largest id of all batches before, as state across batches that come in order."""
+    out = _run(ingest.running_counts(_in_slices(spark, d).withColumn("site", F.col("id") % 50), "site"), "update")
+    return out.groupBy("site").agg(F.max_by(F.struct("n", "watermark_id"), "batch").alias("x")).select("site", "x.*")
+
+
+@query(f"""WITH {SLICES_SQL}, end_ AS (SELECT max(seen) - INTERVAL 72 HOUR AS t FROM arrived), a AS (SELECT * FROM arrived WHERE slice < 4),
+g AS (SELECT id % 50 AS site, seen, CASE WHEN seen - lag(seen) OVER w < INTERVAL 5 HOUR THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY id % 50 ORDER BY seen)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY seen ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
+w AS (SELECT site, min(seen) AS first_seen, max(seen) + INTERVAL 5 HOUR AS ends, count(*) AS n FROM s GROUP BY site, k)
+SELECT site, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(ends, '%Y-%m-%d %H:%M:%S') AS ends, n FROM w WHERE ends <= (SELECT max(seen) FROM a) - INTERVAL 72 HOUR""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Spells of activity of a site, five hours apart, from a stream in append mode over the files that come in time order."""
+    out = _run(ingest.sessions(_in_slices(spark, d, last=3).withColumn("site", F.col("id") % 50), ["site"], gap="5 hours"))
+    return out.select("site", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "ends")], "n")
