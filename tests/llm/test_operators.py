@@ -541,7 +541,8 @@ def test_mixing_comes_near_its_targets(spark):
 
 # ---- registered queries
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
+    own = [n for n in queries.QUERIES if n not in ("pipeline", "line_dedup_all_lengths", "mixing_positions")]
+    assert sorted(int(n[2:].split("_")[0]) for n in own) == list(range(1, 11))
     json.dumps(queries.ORACLES)
 
 
