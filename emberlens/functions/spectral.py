@@ -37,11 +37,10 @@ def bands(mapping: dict[str, str]) -> list[Column]:
 
 
 def classify(value: Column, index: str) -> Column:
-    *bounded, (_, last) = CLASSES[index]
-    out = F.when(value < bounded[0][0], bounded[0][1])
-    for bound, name in bounded[1:]:
-        out = out.when(value < bound, name)
-    return out.otherwise(last)
+    """The class whose bound is the first above the value. A search in an array, as a ladder for each of several indices makes one method too long to be compiled."""
+    bounds, names = zip(*CLASSES[index], strict=True)
+    passed = F.filter(F.array(*[F.lit(b) for b in bounds[:-1]]), lambda b: b <= value)
+    return F.element_at(F.array(*[F.lit(n) for n in names]), F.size(passed) + 1)
 
 
 def _result(value: Column, index: str, healthy, ok: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N, text as T
 from emberlens.operators import spatial
+from emberlens.shared import materialize
 
 BASELINE_YEARS = 5
 CO2_PER_HA = 148
@@ -191,17 +192,12 @@ def sort_regions(table: DataFrame, by: str | None = None, descending: bool = Fal
 def archive_from_points(rows: DataFrame, edges: DataFrame, regions: DataFrame, years: list[int]) -> DataFrame:
     """Archive rows by coordinates (lat, lon, year, type, frp, malformed) -> archive_counts. Each row counts in the first region that contains it.
 
-    Rows of other years and malformed ones don't reach the join; the rest meets polygons through cells, so rows far from every region meet none.
+    Rows of other years and malformed ones don't reach the join; the rest is written with a number for each row and meets polygons through cells, so rows
+    far from every region meet none.
     """
     used = rows.where(~F.col("malformed") & F.col("year").isin(*years) & F.col("type").isin(VEGETATION, STATIC, OFFSHORE))
-    return archive_counts(located(used.select("lat", "lon", "year", "type", "frp"), edges), regions, years)
-
-
-def located(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(lat, lon, ...) -> the rows that lie in a region, with the first one's name: distinct places are looked up, not rows."""
-    places = rows.select("lat", "lon").distinct().withColumn("id", F.struct("lat", "lon"))
-    found = spatial.first_region(places, edges).select(F.col("id.lat").alias("lat"), F.col("id.lon").alias("lon"), "region")
-    return rows.join(found, ["lat", "lon"])
+    numbered = materialize(used.select("lat", "lon", "year", "type", "frp").withColumn("id", F.monotonically_increasing_id()), "archive-rows")
+    return archive_counts(spatial.first_region(numbered, edges, ["year", "type", "frp"]), regions, years)
 
 
 # Kinds of indicators in the order of a report, and how texts name the sources that it cites.

@@ -55,18 +55,18 @@ def polygon_cells(edges: DataFrame, size: float = CELL_DEG) -> DataFrame:
     return cells.where("NOT gone").select(*own, "x", "y", (~F.col("edge")).alias("whole"))
 
 
-def _hits(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """As regions_containing, but a region may come twice for a point in two of its polygons."""
+def _hits(points: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
+    """As regions_containing, with the points' columns ``keep``; a region may come twice for a point in two of its polygons."""
     cells = materialize(polygon_cells(edges), "polygon-cells")
-    p = points.select("id", "lat", "lon").withColumns({"x": N.row_of("lon", CELL_DEG), "y": N.row_of("lat", CELL_DEG)})
-    whole = p.join(cells.where("whole"), ["x", "y"]).select("id", "region", "ord")
+    p = points.select("id", "lat", "lon", *keep).withColumns({"x": N.row_of("lon", CELL_DEG), "y": N.row_of("lat", CELL_DEG)})
+    whole = p.join(cells.where("whole"), ["x", "y"]).select("id", "region", "ord", *keep)
     asked = p.join(cells.where("NOT whole"), ["x", "y"]).withColumn("band", N.row_of("lat", BAND_DEG)).drop("x", "y")
     e = edges.withColumn("band", bands(F.least("y1", "y2"), F.greatest("y1", "y2")))
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     left_of = F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
-    crossed = asked.join(e, ["region", "ord", "polygon", "band"]).where(spans & left_of).groupBy("id", "region", "ord", "polygon", "ring", "hole").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
-    polygons = crossed.groupBy("id", "region", "ord", "polygon").agg(F.bool_or("hole").alias("in_hole"))
-    return whole.union(polygons.where("NOT in_hole").select("id", "region", "ord"))
+    crossed = asked.join(e, ["region", "ord", "polygon", "band"]).where(spans & left_of).groupBy("id", "region", "ord", "polygon", "ring", "hole", *keep).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    polygons = crossed.groupBy("id", "region", "ord", "polygon", *keep).agg(F.bool_or("hole").alias("in_hole"))
+    return whole.union(polygons.where("NOT in_hole").select("id", "region", "ord", *keep))
 
 
 def regions_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,12 +75,14 @@ def regions_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
     Points meet polygons through the cells of a grid. In a cell that no edge comes near the answer is the cell's; elsewhere a point meets the edges
     of that one polygon in a narrow band of latitude: even-odd ray cast. Null coordinates are in no region.
     """
-    return _hits(points, edges).distinct()
+    return _hits(points, edges, []).distinct()
 
 
-def first_region(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, region): the first region in list order that contains the point; points in none are left out."""
-    return _hits(points, edges).groupBy("id").agg(F.min_by("region", "ord").alias("region"))
+def first_region(points: DataFrame, edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(id, region, and the points' columns ``keep``): the first region in list order that contains the point; points in none are left out."""
+    keep = keep or []
+    hits = _hits(points, edges, keep)
+    return hits.groupBy("id").agg(F.min_by("region", "ord").alias("region"), *[F.first(c).alias(c) for c in keep])
 
 
 def _columns_of(row: Column, step: float) -> Column:
