@@ -51,7 +51,8 @@ def archive_counts(rows: DataFrame, regions: DataFrame, years: list[int]) -> Dat
     kind = F.col("type")
     found = rows.groupBy("region", "year").agg(
         F.count_if(kind == VEGETATION).alias("vegetation"), F.count_if(kind == STATIC).alias("static"), F.count_if(kind == OFFSHORE).alias("offshore"),
-        N.js_round(F.coalesce(F.sum(F.when(kind == VEGETATION, F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0)))), F.lit(0.0)), 1).alias("frp_vegetation"),
+        # rounded to six places first, so that the order of summing can't tip a half
+        N.js_round(N.js_round(F.coalesce(F.sum(F.when(kind == VEGETATION, F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0)))), F.lit(0.0)), 6), 1).alias("frp_vegetation"),
     )
     spine = regions.select("region").distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
     out = spine.join(found, ["region", "year"], "left")

@@ -195,7 +195,7 @@ def _archive_regions(spark: SparkSession) -> DataFrame:
 
 
 COUNTS_SQL = f"""counts AS (SELECT g.region, y.year, count(r.type) FILTER (r.type = 0) AS vegetation, count(r.type) FILTER (r.type = 2) AS static, count(r.type) FILTER (r.type = 3) AS offshore,
-  {jr('coalesce(sum(greatest(r.frp, 0)) FILTER (r.type = 0), 0)', 1)} AS frp_vegetation FROM (SELECT 'R' || i AS region FROM range(9) t(i)) g, (SELECT unnest({YEARS})::BIGINT AS year) y LEFT JOIN rows_ r ON r.region = g.region AND r.year = y.year GROUP BY ALL)"""
+  {jr(jr('coalesce(sum(greatest(r.frp, 0)) FILTER (r.type = 0), 0)', 6), 1)} AS frp_vegetation FROM (SELECT 'R' || i AS region FROM range(9) t(i)) g, (SELECT unnest({YEARS})::BIGINT AS year) y LEFT JOIN rows_ r ON r.region = g.region AND r.year = y.year GROUP BY ALL)"""
 
 
 @query(f"WITH {ARCHIVE_SQL}, {COUNTS_SQL} SELECT region, year::INT AS year, vegetation, static, offshore, frp_vegetation FROM counts")
@@ -249,7 +249,7 @@ def _archive_points(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {POINTS_SQL}, {EDGES_SQL}, {pip_sql('places')},
 r AS (SELECT f.region, s.year, s.type, s.frp FROM spots s JOIN places p ON p.lat = s.lat AND p.lon = s.lon JOIN first_region f USING (id))
 SELECT g.r_name AS region, y.year::INT AS year, count(r.type) FILTER (r.type = 0) AS vegetation, count(r.type) FILTER (r.type = 2) AS static, count(r.type) FILTER (r.type = 3) AS offshore,
-  {jr('coalesce(sum(greatest(r.frp, 0)) FILTER (r.type = 0), 0)', 1)} AS frp_vegetation FROM region g, (SELECT unnest({YEARS})::BIGINT AS year) y LEFT JOIN r ON r.region = g.r_name AND r.year = y.year GROUP BY 1, 2""")
+  {jr(jr('coalesce(sum(greatest(r.frp, 0)) FILTER (r.type = 0), 0)', 6), 1)} AS frp_vegetation FROM region g, (SELECT unnest({YEARS})::BIGINT AS year) y LEFT JOIN r ON r.region = g.r_name AND r.year = y.year GROUP BY 1, 2""")
 def archive_from_points(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a yearly archive from its coordinates: read, checked, placed in regions, counted."""
     regions = V.regions(spark, d)
