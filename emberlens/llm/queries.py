@@ -1,10 +1,10 @@
-"""The queries of the ten operators, each over its whole table, and their SQL for DuckDB where SQL can express them."""
+"""The queries of the thirteen operators, each over its whole table, and their SQL for DuckDB where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlens.llm import attribution, bpe, chat, jaccard, line_dedup, media, mixing, neighbours, quality, url_filter
+from emberlens.llm import attribution, bpe, chat, jaccard, line_dedup, media, mixing, neighbours, quality, resampling, url_filter, vector_codes, word_bpe
 from emberlens.session import table
 
 
@@ -210,6 +210,73 @@ def mixing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSITIONS_SQL = MIX_SQL + "SELECT doc_id, copies, first_at, last_at FROM c"
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.word_round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A word's CRC-32 is folded over its bytes with a table that eight shifts of each byte make.
+OP12_SQL = r"""
+WITH RECURSIVE shifts(b, c, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) u(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM shifts WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY b) AS t FROM shifts WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY ALL),
+qw AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM q) GROUP BY ALL),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM qw)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM v, tbl),
+cs AS (SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN b USING (w) GROUP BY bucket),
+ct AS (SELECT bucket, sum(n)::BIGINT AS t FROM qw JOIN b USING (w) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (coalesce((SELECT sum(s) FROM cs), 0)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM ct), 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM (SELECT u.bucket::BIGINT AS bucket FROM range(10000) u(bucket)) LEFT JOIN cs USING (bucket) LEFT JOIN ct USING (bucket)),
+f AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS gain FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (
+  SELECT d.doc_id, coalesce(f.n, 0) AS n_features, coalesce(f.gain // f.n - (CASE WHEN f.gain % f.n < 0 THEN 1 ELSE 0 END), 0)::BIGINT AS weight,
+    ('0x' || left(sha256('2024:' || d.doc_id), 8))::BIGINT AS h FROM d LEFT JOIN f ON d.doc_id = f.doc_id),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, y.n_features, y.weight, y.score, r.rank FROM y LEFT JOIN r ON y.doc_id = r.doc_id AND r.rank <= 10 * r.n // 100
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other; the nearest entry is found by comparing all."""
+    sql = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, u.part, x[u.part * len(x) // {parts} + 1:(u.part + 1) * len(x) // {parts}] AS v FROM kept, range({parts}) u(part)),
+c0 AS (SELECT part, k, v FROM (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k FROM p) WHERE k < {entries})"""
+    nearest = "SELECT p.vec_id, p.part, any_value(p.v) AS v, min((list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.k)) AS best FROM p JOIN c{r} c ON p.part = c.part GROUP BY p.vec_id, p.part"
+    for r in range(rounds):
+        sql += f""",
+a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+m{r} AS (SELECT part, k, list(floor(total::DOUBLE / n)::BIGINT ORDER BY i) AS v FROM (
+  SELECT part, best[2] AS k, i, sum(v[i])::BIGINT AS total, count(*) AS n FROM (SELECT part, best, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY ALL) GROUP BY part, k),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON c.part = m.part AND c.k = m.k)"""
+    return f"""{sql},
+a{rounds} AS ({nearest.format(r=rounds)}),
+o AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT o.vec_id, o.code, o.error, sum(o.error) OVER (PARTITION BY kept.label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, k)) FROM c{rounds}) AS codebooks_sha256 FROM o JOIN kept ON o.vec_id = kept.vec_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -218,6 +285,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, pipeline, line_dedup_all_lengths, mixing_positions)
+    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, op11_word_bpe, op12_resampling, op13_vector_codes, pipeline, line_dedup_all_lengths, mixing_positions)
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "line_dedup_all_lengths": ALL_LENGTHS_SQL, "mixing_positions": POSITIONS_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "op12_resampling": OP12_SQL, "op13_vector_codes": vector_codes_sql(), "line_dedup_all_lengths": ALL_LENGTHS_SQL, "mixing_positions": POSITIONS_SQL}
