@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N
 from emberlens.operators import spatial
+from emberlens.shared import materialize
 
 # The incident method's parameters.
 METHOD = "firms-cluster-v1"
@@ -64,9 +66,14 @@ def is_static(days: Column) -> Column:
     return (F.size(days) >= STATIC_MIN_DAYS) & (F.datediff(F.element_at(days, -1), F.element_at(days, 1)) >= STATIC_MIN_SPAN_DAYS)
 
 
+def window_start(as_of: Column) -> Column:
+    """First day of the static mask's window: ``as_of`` and the days before it, 14 in all."""
+    return F.date_sub(F.to_date(as_of), STATIC_WINDOW_DAYS - 1)
+
+
 def static_points(points: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
     """(id) of the points at static sources: by the last 14 days of ``history``, or because the archive lists their cell (row, col)."""
-    recent = history.where(F.to_date("acquired_at") >= F.date_sub(F.to_date(as_of), STATIC_WINDOW_DAYS - 1))
+    recent = history.where(F.to_date("acquired_at") >= window_start(as_of))
     near = days_near(points, heat_cells(recent)).where(is_static(F.col("days"))).select("id")
     if archive is None:
         return near
@@ -74,6 +81,17 @@ def static_points(points: DataFrame, history: DataFrame, as_of: Column, archive:
     return near.union(listed.select("id")).distinct()
 
 
+def static_places(history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
+    """(lat, lon) of the static places: heat cells of the last 14 days at whose own mean the day rule holds, and the centres of the archive's cells."""
+    cells = materialize(heat_cells(history.where(F.to_date("acquired_at") >= window_start(as_of))).withColumn("id", F.struct("row", "col")), "heat-cells")
+    own = days_near(cells, cells).where(is_static(F.col("days"))).select("id")
+    places = cells.join(own, "id", "left_semi").select("lat", "lon")
+    if archive is None:
+        return places
+    lat, lon = N.heat_centre("row", "col")
+    return places.union(archive.select(lat.alias("lat"), lon.alias("lon")))
+
+
 def static_incidents(members: DataFrame, static: DataFrame) -> DataFrame:
     """(incident_id, id) x static ids -> incident_id of the incidents whose every observation is static."""
     marked = members.join(static.withColumn("hit", F.lit(1)), "id", "left")
@@ -85,16 +103,62 @@ def split_static(points: DataFrame, static: DataFrame) -> tuple[DataFrame, DataF
     return points.join(static.select("id"), "id", "left_anti"), points.join(static.select("id"), "id", "left_semi")
 
 
+def open_incidents(state: DataFrame, as_of: Column) -> DataFrame:
+    """Those a run looks at: no static sources, still marked active or seen since the first day of the mask's window (so quiet ones are relabelled too)."""
+    return state.where((F.col("status") != STATIC_STATUS) & ((F.col("status") == "active") | (F.to_date("last_seen") >= window_start(as_of))))
+
+
+def touched_incidents(state: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
+    """Rows of the state that a run looks at and that have a static place in or near their box: worth a look at their observations."""
+    boxes = open_incidents(state, as_of).select(F.col("incident_id").alias("box"), F.col("bbox_min_lng").alias("west"), F.col("bbox_min_lat").alias("south"), F.col("bbox_max_lng").alias("east"), F.col("bbox_max_lat").alias("north"))
+    hit = spatial.boxes_touched(boxes, static_places(history, as_of, archive), STATIC_RADIUS_KM)
+    return state.join(hit.select(F.col("box").alias("incident_id")), "incident_id", "left_semi")
+
+
 def static_relabels(state: DataFrame, points: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
-    """(incident_id): the incidents that become static sources: not one yet, with observations left among ``points``, and each of these at a static place.
+    """(incident_id): the incidents that become static sources: not one yet, active or seen in the mask's window, touched by a static place, with observations left among ``points``,
+    and each of these at a static place. Only points in the boxes of touched incidents are asked about."""
+    touched = materialize(touched_incidents(state, history, as_of, archive), "touched")
+    return relabelled(touched, points, history, as_of, archive)
 
-    Only points in the boxes of such incidents are asked about.
-    """
-    members = incident_points(state.where(F.col("status") != STATIC_STATUS), points)
+
+def relabelled(touched: DataFrame, points: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
+    """(incident_id) of the touched incidents whose every observation among ``points`` is static; those without any keep their status."""
+    members = incident_points(touched, points)
     asked = points.join(members.select("id").distinct(), "id", "left_semi")
     return static_incidents(members, static_points(asked, history, as_of, archive))
 
 
+def with_relabels(state: DataFrame, relabels: DataFrame) -> DataFrame:
+    """The state in which the relabelled incidents are static sources."""
+    marked = state.join(relabels.select("incident_id", F.lit(STATIC_STATUS).alias("relabel")), "incident_id", "left")
+    return marked.withColumn("status", F.coalesce("relabel", "status")).select(*STATE)
+
+
+class Run(NamedTuple):
+    """What a run found and did."""
+
+    clustered: DataFrame
+    masked: DataFrame
+    relabels: DataFrame
+    creates: DataFrame
+    updates: DataFrame
+    changes: DataFrame
+    state: DataFrame
+
+
+def run(points: DataFrame, state: DataFrame, relabels: DataFrame, static: DataFrame, as_of: Column) -> Run:
+    """One run over the window's points: incidents that turned out static are relabelled first, so that no point falls to them; points at static places are left out;
+    the rest is clustered and planned against the open incidents. Older ones stay as they are.
+
+    ``relabels`` as by ``static_relabels``, ``static`` (id) as by ``static_points``. Run.state is the next state (STATE, all rows)."""
+    kept, masked = split_static(points, static)
+    clustered = materialize(cluster(kept), "clustered")
+    before = materialize(with_relabels(state, relabels), "relabelled")
+    creates, updates, changes = (materialize(x, tag) for x, tag in zip(plan(clustered, open_incidents(before, as_of), as_of), ("creates", "updates", "changes"), strict=True))
+    return Run(clustered, masked, relabels, creates, updates, changes, next_state(before, creates, updates, changes))
+
+
 def run_counters(creates: DataFrame, updates: DataFrame, changes: DataFrame, relabels: DataFrame, masked: DataFrame) -> DataFrame:
     """One row: created, updated, deactivated, activated, relabelled, masked (points): what a run did."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -180,7 +244,7 @@ def match_clusters(clustered: DataFrame, state: DataFrame, as_of: Column, size:
     names = ["w", "s", "e", "n"]
     boxes = clustered.groupBy("cluster").agg(F.min("lon").alias("c_w"), F.min("lat").alias("c_s"), F.max("lon").alias("c_e"), F.max("lat").alias("c_n"))
     open_ = state.where(is_matchable(as_of)).select("incident_id", F.col("bbox_min_lng").alias("i_w"), F.col("bbox_min_lat").alias("i_s"), F.col("bbox_max_lng").alias("i_e"), F.col("bbox_max_lat").alias("i_n"))
-    padded = spatial._padded(*[F.col(f"c_{k}") for k in names], LINK_KM * 1.01)
+    padded = spatial._padded(*[F.col(f"c_{k}") for k in names], LINK_KM * 1.01)  # cells go round, and gaps across the antimeridian are measured as such
     left = boxes.withColumn("cell", F.explode(spatial._box_cells(*padded, size)))
     right = open_.withColumn("cell", F.explode(spatial._box_cells(*[F.col(f"i_{k}") for k in names], size)))
     met = left.join(right, "cell").drop("cell").distinct().withColumn("km", N.bbox_distance_km(_box("c"), _box("i"))).where(F.col("km") <= LINK_KM)
@@ -246,10 +310,7 @@ def next_state(state: DataFrame, creates: DataFrame, updates: DataFrame, changes
     numbered = slotted.join(F.broadcast(before), "slot").crossJoin(F.broadcast(top))
     new = numbered.withColumn("incident_id", F.col("top") + F.col("before") + F.row_number().over(W.partitionBy("slot").orderBy("cluster")))
     out = kept.union(updates.select(*STATE)).union(new.select(*STATE))
-    if relabels is None:
-        return out
-    marked = out.join(relabels.select("incident_id", F.lit(STATIC_STATUS).alias("relabel")), "incident_id", "left")
-    return marked.withColumn("status", F.coalesce("relabel", "status")).select(*STATE)
+    return out if relabels is None else with_relabels(out, relabels)
 
 
 def incident_points(state: DataFrame, points: DataFrame, buffer_m: float = 0.0, most: int | None = None) -> DataFrame:

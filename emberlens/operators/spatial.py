@@ -153,20 +153,51 @@ def single_linkage(points: DataFrame, max_km: float) -> DataFrame:
 
 
 def _box_cells(west, south, east, north, size: float) -> Column:
-    """Cells of a plain degree grid that a box touches, as structs (x, y)."""
-    xs = F.sequence(N.row_of(west, size), N.row_of(east, size))
+    """Cells of a degree grid that a box touches, as structs (x, y). The grid goes round: a box may reach beyond 180 degrees either way. ``size`` divides 360."""
+    round_ = round(360 / size)
+    first = N.row_of(west, size)
+    xs = F.transform(F.sequence(first, F.least(N.row_of(east, size), first + round_ - 1)), lambda x: F.pmod(x, F.lit(round_).cast("long")))
     ys = F.sequence(N.row_of(south, size), N.row_of(north, size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def _point_cell(lon, lat, size: float) -> Column:
+    return F.struct(F.pmod(N.row_of(lon, size), F.lit(round(360 / size)).cast("long")).alias("x"), N.row_of(lat, size).alias("y"))
+
+
+def _lon_within(lon, west, east) -> Column:
+    """Whether a longitude lies in a box whose sides may be beyond 180 degrees; whole turns make no difference."""
+    lon, west, east = map(N.num, (lon, west, east))
+    return lon.between(west, east) | (lon + 360.0).between(west, east) | (lon - 360.0).between(west, east)
+
+
+def _shorter_way(lon1, lon2) -> tuple[Column, Column]:
+    """West and east of the two longitudes' span on the shorter way; east is beyond 180 where that crosses the antimeridian."""
+    low, high = F.least(lon1, lon2), F.greatest(lon1, lon2)
+    across = high - low > 180.0
+    return F.when(across, high).otherwise(low), F.when(across, low + 360.0).otherwise(high)
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 0.25) -> DataFrame:
-    """(id, lat, lon, ...) x (box, west, south, east, north, ...) -> both sides' columns for every point in a box, bounds included."""
+    """(id, lat, lon, ...) x (box, west, south, east, north, ...) -> both sides' columns for every point in a box, bounds included. Boxes may reach across the antimeridian, with a side beyond 180 degrees."""
     b = boxes.where(N.valid_bbox("west", "south", "east", "north")).withColumn("cell", F.explode(_box_cells("west", "south", "east", "north", size)))
-    p = points.withColumn("cell", F.struct(N.row_of("lon", size).alias("x"), N.row_of("lat", size).alias("y")))
-    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    p = points.withColumn("cell", _point_cell("lon", "lat", size))
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & _lon_within("lon", "west", "east")
     return p.join(b, "cell").where(inside).drop("cell")
 
 
+def boxes_touched(boxes: DataFrame, spots: DataFrame, km: float, size: float = 0.25) -> DataFrame:
+    """Boxes (box, west, south, east, north) x spots (lat, lon) -> (box) of those that have a spot inside them or within ``km`` of a side; the distance in longitude is
+    measured at the spot's latitude. A semi-join of ranges: both sides meet in the cells they cover, so no pair is made twice over."""
+    lat = km / N.KM_PER_DEG
+    shrink = F.greatest(F.lit(0.01), F.cos(N.radians("lat")))
+    s = spots.select("lat", "lon", (lat / shrink).alias("pad")).distinct()
+    s = s.withColumn("cell", F.explode(_box_cells(F.col("lon") - F.col("pad"), F.col("lat") - lat, F.col("lon") + F.col("pad"), F.col("lat") + lat, size)))
+    b = boxes.where(N.valid_bbox("west", "south", "east", "north")).withColumn("own_cell", F.explode(_box_cells("west", "south", "east", "north", size)))
+    near = (F.col("lat") >= F.col("south") - lat) & (F.col("lat") <= F.col("north") + lat) & (F.col("lon") >= F.col("west") - F.col("pad")) & (F.col("lon") <= F.col("east") + F.col("pad"))
+    return b.join(s, (F.col("own_cell") == F.col("cell")) & near, "left_semi").select("box").distinct()
+
+
 def _padded(west, south, east, north, km: float) -> list[Column]:
     lat = km / 110.5
     shrink = F.greatest(F.lit(0.01), F.cos(N.radians(F.least(F.lit(89.9), F.greatest(F.abs(N.num(south)), F.abs(N.num(north))) + lat))))
@@ -174,8 +205,8 @@ def _padded(west, south, east, north, km: float) -> list[Column]:
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, max_km: float, keep: list[str], size: float = 0.25) -> DataFrame:
-    """(id, lat, lon) x (ord, lat1, lon1, lat2, lon2, ...) -> id, km and ``keep`` of the nearest segment within ``max_km``, ties to the smaller ord."""
-    west, east, south, north = F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    """(id, lat, lon) x (ord, lat1, lon1, lat2, lon2, ...) -> id, km and ``keep`` of the nearest segment within ``max_km``, ties to the smaller ord, across the antimeridian too."""
+    (west, east), south, north = _shorter_way(F.col("lon1"), F.col("lon2")), F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     names = ["west", "south", "east", "north"]
     boxed = segments.withColumns(dict(zip(names, _padded(west, south, east, north, max_km), strict=True)))
     km = N.segment_km("lat", "lon", "lat1", "lon1", "lat2", "lon2")
@@ -197,7 +228,8 @@ def area_relation(points: DataFrame, edges: DataFrame, areas: DataFrame, max_km:
     """
     inside = regions_containing(points, edges).join(areas, "region").groupBy("id").agg(F.min_by("region", F.struct("area", "ord")).alias("inside"))
     names = ["west", "south", "east", "north"]
-    boxed = edges.withColumns(dict(zip(names, _padded(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), max_km), strict=True)))
+    west, east = _shorter_way(F.col("x1"), F.col("x2"))
+    boxed = edges.withColumns(dict(zip(names, _padded(west, F.least("y1", "y2"), east, F.greatest("y1", "y2"), max_km), strict=True)))
     km = N.boundary_km("lat", "lon", "y1", "x1", "y2", "x2")
     met = points_in_boxes(points.select("id", "lat", "lon"), boxed, size).withColumn("km", km).where(F.col("km") <= max_km)
     near = met.groupBy("id").agg(F.min_by(F.struct("km", "region"), F.struct("km", "ord")).alias("near"))

@@ -10,15 +10,19 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from emberlens.functions import text as T
+from emberlens.functions import numeric as N, text as T
 from emberlens.operators import status
+from emberlens.shared import materialize
+from emberlens.sources import sinks
 
 # Columns of a detections file and what stands in for missing ones.
 HOTSPOT_COLUMNS = ("latitude", "longitude", "brightness", "bright_t31", "frp", "scan", "track", "acq_date", "acq_time", "satellite", "confidence", "version", "daynight")
-REQUIRED = ("latitude", "longitude", "acq_date", "acq_time")
+REQUIRED = ("latitude", "longitude", "acq_date", "acq_time", "frp", "confidence")
 DEFAULTS = {"satellite": "VIIRS", "confidence": "nominal", "version": "2.0", "daynight": "D"}
-ALTERNATIVES = {"brightness": ("brightness", "bright_ti4"), "bright_t31": ("bright_t31", "bright_ti5")}
+BRIGHTNESS, BRIGHTNESS_31 = ("bright_ti4", "brightness"), ("bright_ti5",)
 MOST_BAD = 0.05
+# The country's box; east is beyond 180 degrees.
+NATIONAL_BOX = (19.0, 40.0, 190.0, 82.0)
 # Columns of official tables under their known spellings.
 STATISTICS = {
     "forestland": {"name": ("subjects", "subject", "region", "name"), "value": ("area", "value"), "year": ("year",)},
@@ -39,24 +43,43 @@ def _pick(df: DataFrame, names: tuple[str, ...]) -> Column:
     return T.first_filled(*have) if have else F.lit(None).cast("string")
 
 
+def detections_csv(spark: SparkSession, paths) -> DataFrame:
+    """As read_csv, with ``short``: whether a row has fewer fields than the header."""
+    names = [c.lstrip("\ufeff").strip().lower() for c in spark.read.options(header=True, inferSchema=False).csv(paths).columns]
+    if not names:
+        raise ValueError("empty file")
+    schema = ", ".join(f"`{c}` string" for c in [*names, "_line"])
+    # without pruning the parser sees all fields of a row, so it can tell that some are missing
+    df = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", columnPruning=False).csv(paths)
+    short = F.coalesce(F.size(F.split("_line", ",")) < len(names), F.lit(False))
+    return df.withColumn("short", short).drop("_line").withColumn("file", F.input_file_name())
+
+
 def hotspots_raw(df: DataFrame) -> DataFrame:
-    """A detections table under its standard columns, all text, with ``problem`` set for rows that can't be used."""
-    missing = [c for c in REQUIRED if c not in df.columns]
+    """A detections table under its standard columns, all text, with ``problem`` set for rows that can't be used. A table without a required column is refused."""
+    missing = [c for c in REQUIRED if c not in df.columns] + ["|".join(BRIGHTNESS)] * (not any(c in df.columns for c in BRIGHTNESS))
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
-    rest = [c for c in df.columns if c not in HOTSPOT_COLUMNS and c not in ("bright_ti4", "bright_ti5")]
-    out = df.select(*[_pick(df, ALTERNATIVES.get(c, (c,))).alias(c) for c in HOTSPOT_COLUMNS], *rest)
-    return out.withColumn("problem", status.problems_of(status.hotspot_rules()))
-
-
-def hotspots(raw: DataFrame) -> DataFrame:
-    """Usable rows of ``hotspots_raw``, typed and with defaults; files with over 5 % bad rows (20 rows or more) are left out whole."""
-    bad_files = status.verdict(raw, ["file"], MOST_BAD).where("NOT passed").select("file")
-    good = raw.where("problem IS NULL").join(bad_files, "file", "left_anti")
-    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c)
+    held = lambda names: next((F.col(c) for c in names if c in df.columns), F.lit(None).cast("string"))  # noqa: E731  the first column that is there, blank or not
+    kinds = {"brightness": held(BRIGHTNESS), "bright_t31": held(BRIGHTNESS_31)}
+    rest = [c for c in df.columns if c not in HOTSPOT_COLUMNS and c not in (*BRIGHTNESS, *BRIGHTNESS_31)]
+    out = df.select(*[kinds.get(c, held((c,))).alias(c) for c in HOTSPOT_COLUMNS], *rest)
+    if "short" not in df.columns:
+        out = out.withColumn("short", F.lit(False))
+    return out.withColumn("problem", status.problems_of([("fields", F.col("short")), *status.hotspot_rules()]))
+
+
+def hotspots(raw: DataFrame, by: str = "file") -> DataFrame:
+    """Usable rows of ``hotspots_raw``, typed and with defaults; files (or what else ``by`` names) with over 5 % bad rows (20 rows or more) are left out whole.
+
+    Numbers that are blank or no numbers are 0, but the second brightness stays null."""
+    bad_files = status.verdict(raw, [by], MOST_BAD).where("NOT passed").select(by)
+    good = raw.where("problem IS NULL").join(bad_files, by, "left_anti")
+    finite = lambda c: F.when(F.abs(F.col(c).try_cast("double")) < float("inf"), F.col(c).try_cast("double"))
+    number = lambda c: F.coalesce(finite(c), F.lit(0.0)).alias(c)
     return good.select(
-        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), *[number(c) for c in ("brightness", "bright_t31", "frp", "scan", "track")],
-        "acq_date", "acq_time", *[T.first_filled(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()], "file",
+        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), number("brightness"), finite("bright_t31").alias("bright_t31"), *[number(c) for c in ("frp", "scan", "track")],
+        "acq_date", "acq_time", *[T.first_filled(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()], *[c for c in ("file", "feed") if c in raw.columns],
     )
 
 
@@ -84,18 +107,37 @@ def active_fires(hotspots: DataFrame) -> DataFrame:
     return hotspots.where(F.col("confidence").isin("high", "nominal")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def feeds(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
-    """Usable detections of several feeds (name -> path), and why feeds were left out. A feed that can't be read or has another format is left out; an error when all are."""
+def feed_rows(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """All rows of several feeds (name -> path) as ``hotspots_raw`` gives them, with ``feed``, written once for what reads them; and why feeds can't be read or have another header."""
     parts, failed = [], {}
     for name, path in paths.items():
         try:
-            raw = hotspots_raw(read_csv(spark, path))
-            parts.append(hotspots(raw).withColumn("feed", F.lit(name)))
+            parts.append(hotspots_raw(detections_csv(spark, path)).withColumn("feed", F.lit(name)))
         except (ValueError, AnalysisException) as e:
-            failed[name] = str(e).splitlines()[0]
-    if not parts:
-        raise ValueError(f"no feed can be read: {failed}")
-    return reduce(DataFrame.unionByName, parts), failed
+            failed[name] = str(e).splitlines()[0][:200]
+    return (materialize(reduce(DataFrame.unionByName, [p.select(*HOTSPOT_COLUMNS, "short", "file", "problem", "feed") for p in parts]), "feeds") if parts else None), failed
+
+
+def feeds(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Usable detections of several feeds (name -> path), and why feeds were left out: they can't be read, have another header, or too many bad rows.
+
+    Feeds fail each on its own. An error when no feed has a usable row."""
+    raw, failed = feed_rows(spark, paths)
+    rows = 0
+    if raw is not None:
+        for v in status.verdict(raw, ["feed"], MOST_BAD).collect():  # a row for each feed
+            if v.passed:
+                rows += v.total - v.rejected
+            else:
+                failed[v.feed] = f"{v.rejected} of {v.total} rows are invalid"
+    if not rows:
+        raise ValueError(f"all feeds failed: {failed}")
+    return hotspots(raw, "feed"), failed
+
+
+def snapshot(found: DataFrame, order: list[Column], box: tuple[float, float, float, float] = NATIONAL_BOX) -> DataFrame:
+    """Detections of all feeds as they are shown: one for each 0.01 degree cell (the strongest, of equals the first in ``order``), then those in the box."""
+    return sinks.dedupe_grid(found, order).where(N.in_bbox("latitude", "longitude", *box))
 
 
 def feature_lines(spark: SparkSession, path: str, keep: dict[str, tuple] | None = None, max_bytes: int | None = None) -> DataFrame:

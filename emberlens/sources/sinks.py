@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,8 +46,9 @@ def new_observations(incoming: DataFrame, stored: DataFrame, key: list[str] = OB
 def append_observations(incoming: DataFrame, path: str) -> tuple[int, int]:
     """Appends what is new to the table at ``path``, in folders by day; returns how many rows were written and how many were not, as they were known or repeats. A second run writes nothing."""
     spark = incoming.sparkSession
-    days = incoming.select("acquisition_date").distinct()
-    stored = spark.read.parquet(path).join(days, "acquisition_date", "left_semi") if exists(spark, path) else incoming.limit(0)
+    days = [r[0] for r in incoming.select("acquisition_date").distinct().collect()]  # calendar days
+    held = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns) if exists(spark, path) else incoming.limit(0)
+    stored = held.where(F.col("acquisition_date").isin(days)) if days else held.limit(0)
     observed = new_observations(incoming, stored).persist()  # counted and written from one computation
     n, total = observed.count(), incoming.count()
     if n:
@@ -59,11 +62,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none where there is no folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def stored_days(spark: SparkSession, path: str, column: str = "acquisition_date") -> list[dt.date]:
+    """Days that a table in folders by day has, from the folders' names: no file is opened."""
+    names = (n.removeprefix(f"{column}=") for n in folders(spark, path) if n.startswith(f"{column}="))
+    return [dt.date.fromisoformat(n) for n in names if re.fullmatch(r"\d{4}-\d{2}-\d{2}", n)]
+
+
+def newest_day(spark: SparkSession, path: str) -> dt.date | None:
+    return max(stored_days(spark, path), default=None)
+
+
+def purge(spark: SparkSession, path: str, before: dt.date, column: str = "acquisition_date") -> int:
+    """Deletes the folders of the days before ``before``; returns how many rows they had."""
+    old = [d for d in stored_days(spark, path, column) if d < before]
+    if not old:
+        return 0
+    n = spark.read.parquet(path).where(F.col(column) < F.lit(before)).count()
+    for d in old:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={d}")
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return n
+
+
 def keep_recent(rows: DataFrame, as_of: Column, days: int = 30, day: str = "acquisition_date") -> DataFrame:
     """Retention: rows of the last ``days`` days. On a table in folders by day this prunes folders."""
     return rows.where(F.col(day) >= F.date_sub(F.to_date(as_of), days))
 
 
+class Journal:
+    """Runs of jobs, one row for each job and run: a run has a folder of its own, which a repetition overwrites."""
+
+    SCHEMA = (
+        "started_at timestamp, finished_at timestamp, outcome string, items long, written long, rejected long, created long, updated long, deactivated long, "
+        "activated long, relabelled long, masked long, error string"
+    )
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.columns = [c.split()[0] for c in self.SCHEMA.split(", ")]
+
+    def record(self, job: str, run: int, entry: dict) -> None:
+        row = tuple(entry.get(c) for c in self.columns)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/job={job}/run={run}")
+
+    def rows(self) -> DataFrame:
+        """job, run and the entry's columns."""
+        schema = f"{self.SCHEMA}, job string, run long"
+        if not folders(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 class Snapshots:
     """Immutable versions of a table under one folder, each with a validity mark; readers get the newest valid one.
 

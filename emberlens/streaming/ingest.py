@@ -5,6 +5,7 @@ Event times are timestamps; late rows within the watermark count, later ones don
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,29 +54,79 @@ def running_counts(stream: DataFrame, key: str, id_column: str = "id") -> DataFr
 
 
 def incident_job(observations_path: str, state: sinks.Snapshots, points_of, archive: DataFrame | None = None):
-    """For foreachBatch: stores what is new, leaves static sources out, clusters the window, plans, relabels incidents that are static, and writes the next state.
-    A repeated batch changes nothing.
+    """For foreachBatch: stores what is new, relabels incidents that turned out static, leaves points at static places out, clusters the window, plans, and writes the
+    next state. A repeated batch changes nothing. Returns counts for a journal: items, written, rejected (known or repeated rows), and what the run did.
 
-    points_of: stored observations -> points (id, lat, lon, acquired_at, satellite, confidence, frp, region_iso, region). ``archive``: static cells (row, col).
+    points_of: stored observations -> points (id, lat, lon, acquired_at, satellite, confidence, frp, region_iso, region); it must not depend on other days' rows. ``archive``:
+    static cells (row, col). Observations lie in folders by day: read are the mask's window, and earlier days only where an incident that a static place touches began there.
     """
 
-    def job(batch: DataFrame, batch_id: int) -> None:
+    def job(batch: DataFrame, batch_id: int) -> dict:
         spark = batch.sparkSession
-        sinks.append_observations(batch, observations_path)
-        points = points_of(spark.read.parquet(observations_path))
-        as_of = F.lit(points.agg(F.max("acquired_at")).first()[0])
+        written, rejected = sinks.append_observations(batch, observations_path)
+        newest = sinks.newest_day(spark, observations_path)
+        if newest is None:
+            return {"items": written + rejected, "written": written, "rejected": rejected}
+        stored = spark.read.schema(batch.schema).parquet(observations_path)
+        since = lambda day: points_of(stored.where(F.col("acquisition_date") >= F.lit(day)))
+        as_of = F.lit(since(newest).agg(F.max("acquired_at")).first()[0])
+        recent = since(newest - dt.timedelta(days=incidents.STATIC_WINDOW_DAYS - 1))
         old = state.last_good()
         if old is None:
-            old = spark.createDataFrame([], incident_schema(points))
-        window = incidents.in_window(points, as_of)
-        kept, _ = incidents.split_static(window, incidents.static_points(window, points, as_of, archive))
-        clustered = materialize(incidents.cluster(kept), "clustered")
-        relabels = materialize(incidents.static_relabels(old, points, points, as_of, archive), "relabels")
-        state.write(incidents.next_state(old, *incidents.plan(clustered, old, as_of), relabels))
+            old = spark.createDataFrame([], incident_schema(recent))
+        touched = materialize(incidents.touched_incidents(old, recent, as_of, archive), "touched")
+        began = touched.agg(F.to_date(F.min("first_seen"))).first()[0]
+        members = recent if began is None else since(began)
+        relabels = materialize(incidents.relabelled(touched, members, recent, as_of, archive), "relabels")
+        window = materialize(incidents.in_window(recent, as_of), "window")
+        run = incidents.run(window, old, relabels, materialize(incidents.static_points(window, recent, as_of, archive), "static"), as_of)
+        state.write(run.state)
+        return {"items": written + rejected, "written": written, "rejected": rejected} | incidents.run_counters(run.creates, run.updates, run.changes, run.relabels, run.masked).first().asDict()
 
     return job
 
 
+def journalled(name: str, journal: sinks.Journal, work, clock=lambda: dt.datetime.now(dt.timezone.utc)):
+    """For foreachBatch: ``work`` (batch, batch id) -> counts, with one row in the journal for each batch, however often it is run. A failure is journalled and raised."""
+
+    def job(batch: DataFrame, batch_id: int) -> None:
+        began = clock()
+        try:
+            counts = work(batch, batch_id) or {}
+        except Exception as e:
+            journal.record(name, batch_id, {"started_at": began, "finished_at": clock(), "outcome": "failed", "error": str(e)[:300]})
+            raise
+        kept = {k: v for k, v in counts.items() if k in journal.columns}
+        journal.record(name, batch_id, {"started_at": began, "finished_at": clock(), "outcome": "updated"} | kept)
+
+    return job
+
+
+def refresh(name: str, run_id: int, journal: sinks.Journal, snapshots: sinks.Snapshots, load, is_valid=lambda df: df.limit(1).count() > 0, clock=lambda: dt.datetime.now(dt.timezone.utc)) -> bool:
+    """One timed run of a source: ``load`` () -> rows, rejected (how many), failures (name -> reason). The rows become the next good version if they are valid; else the last
+    good one stays. Failures of single parts mark the run as failed though its rows are used, as do checks that reject. Journalled once for each run_id."""
+    entry = {"started_at": clock(), "outcome": "failed"}
+    ok = False
+    try:
+        rows, rejected, failures = load()
+        ok = snapshots.write(rows, is_valid)
+        entry |= {"items": snapshots.last_good().count() if ok else None, "rejected": rejected, "outcome": "failed" if failures else "updated" if ok else "kept-cached"}
+        if failures:
+            entry["error"] = ("quality check: " + "; ".join(f"{k}: {v}" for k, v in sorted(failures.items())))[:300]
+    except Exception as e:  # noqa: BLE001  a failed source never stops the others
+        entry["error"] = str(e)[:300]
+    journal.record(name, run_id, entry | {"finished_at": clock()})
+    return ok
+
+
+def retention(run_id: int, journal: sinks.Journal, spark: SparkSession, observations_path: str, as_of: dt.date, days: int = 30, clock=lambda: dt.datetime.now(dt.timezone.utc)) -> int:
+    """Deletes the folders of days before the last ``days``; journals and returns how many rows went."""
+    began = clock()
+    gone = sinks.purge(spark, observations_path, as_of - dt.timedelta(days=days))
+    journal.record("retention", run_id, {"started_at": began, "finished_at": clock(), "outcome": "updated", "items": gone})
+    return gone
+
+
 def incident_schema(points: DataFrame) -> StructType:
     """Columns of the incidents' state; times as the points have them."""
     time = points.schema["acquired_at"].dataType.simpleString()

@@ -52,7 +52,7 @@ def test_archive_rows_and_feeds(spark, tmp_path):
     rows = [("52.1", "104", "2024-13-99", "0", ""), ("95", "104", "2024-01-01", "0", "1"), ("52", "181", "2024-01-01", "0", "1"), ("", "1", "2024-01-01", "0", "1"), ("1", "1", "x", "0", "1"), ("1", "1", "2023-01-01", "2.5", "1"), ("1", "1", "2023-01-01", "2", "-4")]
     got = readers.archive_rows(spark.createDataFrame(rows, "latitude string, longitude string, acq_date string, type string, frp string")).collect()
     assert [r.malformed for r in got] == [False, True, True, True, True, True, False] and (got[0].year, got[0].frp, got[6].frp) == (2024, 0.0, 0.0)
-    (tmp_path / "good.csv").write_text("latitude,longitude,acq_date,acq_time\n52.5,104,2024-01-01,0512\n")
+    (tmp_path / "good.csv").write_text("latitude,longitude,bright_ti4,acq_date,acq_time,frp,confidence\n52.5,104,300,2024-01-01,0512,1,n\n")
     (tmp_path / "bad.csv").write_text("latitude,longitude\n52.5,104\n")
     found, failed = readers.feeds(spark, {n: str(tmp_path / f"{n}.csv") for n in ("good", "bad", "none")})
     assert [r.feed for r in found.collect()] == ["good"] and set(failed) == {"bad", "none"}
