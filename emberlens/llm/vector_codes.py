@@ -37,7 +37,7 @@ def usable(vector: Column) -> Column:
 def root_up(squares: np.ndarray) -> np.ndarray:
     """The least whole numbers whose squares are at least these."""
     r = np.sqrt(squares.astype(np.float64)).astype(np.int64)
-    r -= r * r >= squares
+    r -= (r > 0) & (r * r >= squares)
     r += r * r < squares
     return r + (r * r < squares)
 
