@@ -25,8 +25,8 @@ from emberlens.shared import materialize
 
 #: The contract of op12_resampling: words of a run at most, buckets, the seed, words of an eligible document, percent drawn.
 WORDS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, "2024", 20, 10
-#: Rows of a range of the merge (about), words of a block, bytes up to which a word is hashed beside others. Bounds on memory and time alone.
-MERGE_ROWS, BLOCK, SHORT_WORD = 500_000, 1 << 20, 48
+#: Rows of a range of the merge (about), bytes of texts that are hashed at a time, words of a block, bytes up to which a word is hashed beside others. Bounds on memory and time alone.
+MERGE_ROWS, SLICE, BLOCK, SHORT_WORD = 500_000, 500_000, 1 << 18, 48
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,7 +98,7 @@ def bucket_counts(docs: DataFrame, words: int = WORDS, buckets: int = BUCKETS) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(buckets, np.int64)
-        for batch in (part for whole in batches for part in slices(whole, 0)):
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE)):
             for _, b in feature_buckets(batch.column(0), words, buckets):
                 n += np.bincount(b, minlength=buckets)
         some = np.flatnonzero(n)
@@ -126,7 +126,7 @@ def scored(docs: DataFrame, gain: np.ndarray, words: int = WORDS, seed: str = SE
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 2)):
+        for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
             n, total = np.zeros((2, batch.num_rows), np.int64)
             single = np.zeros(batch.num_rows, np.int64)
             for k, (owner, b) in enumerate(feature_buckets(batch.column(2), words, len(gain))):
