@@ -293,14 +293,89 @@ still AS (SELECT id, 1 AS hit FROM near_days GROUP BY id HAVING count(DISTINCT d
 SELECT b.cluster AS incident_id FROM b JOIN h ON h.lat BETWEEN b.s AND b.n_ AND h.lon BETWEEN b.w_ AND b.e AND h.acquired_at::DATE BETWEEN b.d0 AND b.d1 AND h.id <= b.top LEFT JOIN still USING (id) GROUP BY 1 HAVING count(*) = count(hit)""")
 def static_incident_relabel(spark: SparkSession, d: str) -> DataFrame:
     """Incidents of a run that knew no mask, of which every observation is at a static source."""
-    west, snap = F.col("lon") < 103, lambda c: F.floor(F.col(c) * 10).cast("double") / 10
-    h = V.hotspots(spark, d).select("id", "acquired_at", "frp", "satellite", "confidence", F.when(west, snap("lat")).otherwise(F.col("lat")).alias("lat"), F.when(west, snap("lon")).otherwise(F.col("lon")).alias("lon"))
-    h, as_of = h.withColumns({"region": F.lit(None).cast("string"), "region_iso": F.lit(None).cast("string")}), V.newest(h)
+    h = _flares(spark, d)
+    as_of = V.newest(h)
     points = I.in_window(h, as_of)
     state = materialize(I.build_incidents(I.cluster(points), as_of).withColumn("incident_id", F.col("cluster")).select(*I.STATE), "state")
     return I.static_relabels(state, h, h, as_of)
 
 
+ERAS = {1: (90, 18), 2: (240, 192), 3: (528, 480)}
+
+
+def _eras_sql() -> str:
+    """CTE st0: what earlier runs that knew no mask had stored: incidents of three spells (hours before the newest detection), the last of them long ago."""
+    parts = []
+    for k, (a, b) in ERAS.items():
+        parts.append(f"""e{k} AS (SELECT * FROM h WHERE acquired_at >= (SELECT max(acquired_at) FROM h) - INTERVAL {a} HOUR AND acquired_at < (SELECT max(acquired_at) FROM h) - INTERVAL {b} HOUR AND id % 3 > 0),
+ep{k} AS (SELECT a.id AS a, b.id AS b FROM e{k} a JOIN e{k} b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.02 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2),
+er{k} AS (SELECT id, id AS seed FROM e{k} UNION SELECT p.b, r.seed FROM er{k} r JOIN ep{k} p ON p.a = r.id),
+ec{k} AS (SELECT id, min(seed) AS cluster FROM er{k} GROUP BY id)""")
+    state = " UNION ALL ".join(
+        f"SELECT {k}::BIGINT * 1000000000 + cluster AS incident_id, min(acquired_at) AS first0, max(acquired_at) AS last0, max(id) AS mark, min(lat) AS s, min(lon) AS w_, max(lat) AS n_, max(lon) AS e, CASE WHEN {k} = 3 AND cluster % 2 = 1 THEN 'inactive' ELSE 'active' END AS status FROM e{k} JOIN ec{k} USING (id) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high')" for k in ERAS
+    )
+    return ", ".join(parts) + f", st0 AS ({state})"
+
+
+TOUCH_SQL = f"""{_eras_sql()}, {CELLS_SQL.format(where="WHERE acquired_at::DATE >= (SELECT max(acquired_at) FROM h)::DATE - 13")},
+cell_days AS (SELECT a.r, a.c, any_value(a.lat) AS lat, any_value(a.lon) AS lon, list(DISTINCT d) AS days FROM (SELECT a.*, unnest(b.days) AS d FROM cells a JOIN cells b ON abs(a.lat - b.lat) < 0.01 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 0.5) a GROUP BY a.r, a.c),
+spot AS (SELECT lat, lon, 0.5 / 111.32::DOUBLE AS py, 0.5 / 111.32::DOUBLE / greatest(0.01, cos(lat * pi() / 180)) AS px FROM cell_days WHERE len(days) >= 4 AND list_max(days) - list_min(days) >= 7),
+open0 AS (SELECT * FROM st0 WHERE status = 'active' OR last0::DATE >= (SELECT max(acquired_at) FROM h)::DATE - 13),
+touched AS (SELECT * FROM open0 WHERE EXISTS (SELECT 1 FROM spot WHERE spot.lat BETWEEN s - py AND n_ + py AND spot.lon BETWEEN w_ - px AND e + px)),
+near_days AS (SELECT h.id, unnest(c.days) AS day FROM h JOIN cells c ON abs(h.lat - c.lat) < 0.01 AND {hav('h.lat', 'h.lon', 'c.lat', 'c.lon')} <= 0.5),
+still AS (SELECT id, 1 AS hit FROM near_days GROUP BY id HAVING count(DISTINCT day) >= 4 AND max(day) - min(day) >= 7),
+gone AS (SELECT incident_id FROM touched t JOIN h ON h.lat BETWEEN t.s AND t.n_ AND h.lon BETWEEN t.w_ AND t.e AND h.acquired_at::DATE BETWEEN t.first0::DATE AND t.last0::DATE AND h.id <= t.mark LEFT JOIN still USING (id) GROUP BY 1 HAVING count(*) = count(hit))"""
+
+
+def _flares(spark: SparkSession, d: str) -> DataFrame:
+    west, snap = F.col("lon") < 103, lambda c: F.floor(F.col(c) * 10).cast("double") / 10
+    h = V.hotspots(spark, d).select("id", "acquired_at", "frp", "satellite", "confidence", F.when(west, snap("lat")).otherwise(F.col("lat")).alias("lat"), F.when(west, snap("lon")).otherwise(F.col("lon")).alias("lon"))
+    return h.withColumns({"region": F.lit(None).cast("string"), "region_iso": F.lit(None).cast("string")})
+
+
+def _eras(h: DataFrame, as_of) -> DataFrame:
+    """The state before the run: see _eras_sql."""
+    ago = lambda hours: as_of - F.expr(f"INTERVAL '{hours}' HOUR")
+    spells = []
+    for k, (a, b) in ERAS.items():
+        built = I.build_incidents(I.cluster(h.where((F.col("acquired_at") >= ago(a)) & (F.col("acquired_at") < ago(b)) & (F.col("id") % 3 > 0))), as_of)
+        status = F.when((F.lit(k) == 3) & (F.col("cluster") % 2 == 1), "inactive").otherwise("active")
+        spells.append(built.withColumn("incident_id", F.lit(k * 1_000_000_000) + F.col("cluster")).withColumn("status", status).select(*I.STATE))
+    return materialize(spells[0].union(spells[1]).union(spells[2]), "state")
+
+
+@query(f"WITH RECURSIVE {FLARES_SQL}, {TOUCH_SQL} SELECT s.incident_id, s.status, s.last0::DATE >= (SELECT max(acquired_at) FROM h)::DATE - 13 AS in_window, t.incident_id IS NOT NULL AS touched, g.incident_id IS NOT NULL AS relabelled FROM st0 s LEFT JOIN touched t USING (incident_id) LEFT JOIN gone g USING (incident_id)")
+def static_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Of each stored incident whether a static place touches its box, and whether it becomes a static source: recent, quiet and long gone ones."""
+    h = materialize(_flares(spark, d), "flares")
+    as_of = V.newest(h)
+    state = _eras(h, as_of)
+    touched = materialize(I.touched_incidents(state, h, as_of), "touched")
+    gone = I.relabelled(touched, h, h, as_of)
+    marked = state.join(touched.select("incident_id", F.lit(True).alias("t")), "incident_id", "left").join(gone.withColumn("g", F.lit(True)), "incident_id", "left")
+    return marked.select("incident_id", "status", (F.to_date("last_seen") >= I.window_start(as_of)).alias("in_window"), F.coalesce("t", F.lit(False)).alias("touched"), F.coalesce("g", F.lit(False)).alias("relabelled"))
+
+
+@query(f"""WITH RECURSIVE {FLARES_SQL.replace("w AS (", "w0 AS (")}, {TOUCH_SQL}, w AS (SELECT * FROM w0 WHERE id NOT IN (SELECT id FROM still)), {CLUSTERS_SQL},
+live AS (SELECT * FROM open0 WHERE incident_id NOT IN (SELECT incident_id FROM gone)), st AS (SELECT * FROM live WHERE last0 >= (SELECT max(acquired_at) FROM h) - INTERVAL 72 HOUR),
+{STATE_SQL[STATE_SQL.index("box AS"):STATE_SQL.index("pm AS")].rstrip().rstrip(",")},
+up AS (SELECT DISTINCT incident_id FROM w JOIN cl USING (id) JOIN hit USING (cluster) JOIN st USING (incident_id) WHERE w.id > st.mark)
+SELECT 'relabel' AS action, incident_id AS id, 'static_source' AS what FROM gone UNION ALL SELECT 'update', incident_id, NULL FROM up UNION ALL
+SELECT 'create', cluster, NULL FROM w JOIN cl USING (id) WHERE cluster NOT IN (SELECT cluster FROM hit) GROUP BY cluster HAVING count(*) >= 2 OR bool_or(confidence = 'high') UNION ALL
+SELECT 'status', incident_id, CASE WHEN last0 < (SELECT max(acquired_at) FROM h) - INTERVAL 48 HOUR THEN 'inactive' ELSE 'active' END FROM live WHERE incident_id NOT IN (SELECT incident_id FROM up) AND status <> CASE WHEN last0 < (SELECT max(acquired_at) FROM h) - INTERVAL 48 HOUR THEN 'inactive' ELSE 'active' END UNION ALL
+SELECT 'masked', count(*), NULL FROM w0 WHERE id IN (SELECT id FROM still)""")
+def incident_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run: static incidents are relabelled first, points at static places left out, the rest clustered and planned against what is open."""
+    h = materialize(_flares(spark, d), "flares")
+    as_of = V.newest(h)
+    state = _eras(h, as_of)
+    window = materialize(I.in_window(h, as_of), "window")
+    run = I.run(window, state, materialize(I.static_relabels(state, h, h, as_of), "relabels"), materialize(I.static_points(window, h, as_of), "static"), as_of)
+    act = lambda df, name, c, what=None: df.select(F.lit(name).alias("action"), F.col(c).cast("long").alias("id"), (F.lit(None).cast("string") if what is None else what).alias("what"))
+    parts = [act(run.relabels, "relabel", "incident_id", F.lit(I.STATIC_STATUS)), act(run.updates, "update", "incident_id"), act(run.creates, "create", "cluster"), act(run.changes, "status", "incident_id", F.col("status")), act(run.masked.agg(F.count(F.lit(1)).alias("n")), "masked", "n")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
 @query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL},
 b AS (SELECT cluster, first_seen::DATE AS d0, last_seen::DATE AS d1, max_hotspot_id AS top, bbox_min_lat - 0.375 / 111.32::DOUBLE AS s, bbox_max_lat + 0.375 / 111.32::DOUBLE AS n_,
   bbox_min_lng - 0.375 / 111.32::DOUBLE / greatest(0.01, cos(center_lat * pi() / 180)) AS w_, bbox_max_lng + 0.375 / 111.32::DOUBLE / greatest(0.01, cos(center_lat * pi() / 180)) AS e FROM built)

@@ -99,6 +99,37 @@ def nearest_settlement(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_point(_places(spark, d), towns, 15.0, ["name"]).withColumn("km", N.js_round("km", 6))
 
 
+# the same places, roads and areas, turned so that the antimeridian runs through them
+EAST = 78
+TURN = "CASE WHEN {0} + 78 > 180 THEN {0} + 78 - 360 ELSE {0} + 78 END"
+
+
+def _turned(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) + EAST > 180, F.col(c) + EAST - 360.0).otherwise(F.col(c) + EAST) for c in columns})
+
+
+TURNED_PLACES_SQL = PLACES_SQL.replace("p AS (", "p0 AS (") + f", p AS (SELECT id, lat, {TURN.format('lon')} AS lon FROM p0)"
+TURNED_ROADS_SQL = ROADS_SQL.replace("roads AS (", "roads0 AS (") + f", roads AS (SELECT * REPLACE ({TURN.format('lon1')} AS lon1, {TURN.format('lon2')} AS lon2) FROM roads0)"
+
+
+@query(f"WITH {TURNED_PLACES_SQL}, {TURNED_ROADS_SQL}, {_segment_sql()} SELECT id, {jr('min(km)', 4)} AS km, arg_min(name, (km, ord)) AS name FROM road_km WHERE km <= 15 GROUP BY id")
+def nearest_road_across(spark: SparkSession, d: str) -> DataFrame:
+    """Roads and places on both sides of the antimeridian, some roads across it."""
+    roads = _turned(_roads(spark, d), "lon1", "lon2")
+    return spatial.nearest_segment(_turned(_places(spark, d), "lon"), roads, 15.0, ["name"]).withColumn("km", N.js_round("km", 4))
+
+
+@query(f"""WITH {TURNED_PLACES_SQL}, {EDGES_SQL.replace("edges AS (", "edges0 AS (")}, edges AS (SELECT * REPLACE (x1 + 78 AS x1, x2 + 78 AS x2) FROM edges0), {AREAS_SQL}, {pip_sql('p')}, {_boundary_sql()},
+inn AS (SELECT id, arg_min(region, (area, ord)) AS region FROM inside JOIN areas USING (region) GROUP BY id)
+SELECT p.id, CASE WHEN inn.id IS NOT NULL THEN 'inside' WHEN near.id IS NOT NULL THEN 'near' ELSE 'none' END AS relation, coalesce(inn.region, near.region) AS region,
+  CASE WHEN inn.id IS NOT NULL THEN 0 ELSE {jr('near.km', 6)} END AS km FROM p LEFT JOIN inn USING (id) LEFT JOIN near USING (id)""")
+def nearest_area_across(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries that run past 180 degrees, and places around them on both sides."""
+    r = V.regions(spark, d)
+    edges = spatial.edges_of(r).withColumns({"x1": F.col("x1") + EAST, "x2": F.col("x2") + EAST})
+    return spatial.area_relation(_turned(_places(spark, d), "lon"), edges, r.select("region", (F.lit(100) - F.col("ord")).alias("area"))).withColumn("km", N.js_round("km", 6))
+
+
 def _context_sql() -> str:
     km = hav("q.lat", "q.lon", "o.lat1", "o.lon1")
     best = lambda where: f"(SELECT id, {jr('min(km)', 4)} AS km, arg_min(name, (km, ord)) AS name FROM road_km WHERE km <= 15 AND {where} GROUP BY id)"
