@@ -315,13 +315,16 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """Encode and decode in one pass over the texts: doc_id, n_tokens, ids_sha256 (little-endian uint32), decoded_sha256; a row for each document.
 
     A null text is an empty one; an empty one has 0 tokens and the digests of nothing. A text is encoded whole, however long. Repeated rows
-    give repeated results, an empty table none; other columns are ignored, whatever their names. The digest of the decoded bytes is that of the text.
+    give repeated results, an empty table none; other columns are ignored, whatever their names, but for those in ``keep``, which stand behind the results. The digest of the decoded bytes is that of the text.
     """
 
+    kept = docs.select(*(keep or [])).dtypes
+    kept_names = [c for c, _ in kept]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for big in batches:
@@ -332,9 +335,10 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+                        pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()), *batch.columns[2:],
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *kept_names],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kind}" for c, kind in kept)
+    return docs.select("doc_id", "text", *kept_names).mapInArrow(work, schema)

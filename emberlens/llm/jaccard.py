@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlens.llm.batches import slices
 from emberlens.llm.shingles import shingle_set, signature
+from emberlens.llm.sieve import COMMON, join_common, sieve, sift
 from emberlens.operators.components import connected_components
 from emberlens.shared import materialize
 
@@ -190,6 +191,13 @@ def _open_links(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return outer.groupBy(*keys).cogroup(inner.groupBy(*keys)).applyInArrow(work, "a long, b long")
 
 
+def _with_tokens(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Inner join of rows (token, ...) with tokens (token, df, ...) that were counted among them and written: one row each. Tokens were counted before any shuffle, so a token that
+    every document has came as a row from each task; here its rows go to several tasks, and rows whose token can't be among the counted ones don't travel."""
+    common = counted.where(F.col("df") >= COMMON).select(F.xxhash64("token").alias("h"))
+    return join_common(sift(rows, "token", sieve(counted, "token")).withColumn("h", F.xxhash64("token")), counted, "token", common).drop("h")
+
+
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_shingles, component_id: a row for each document.
 
@@ -205,9 +213,9 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = materialize(full.groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "shingle-classes")
 
     # order 1: documents with enough tokens that another set's prefix has too. A set stands for all its copies.
-    tokens = full.select(F.explode("prefix").alias("token"), "sig1").repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("sig1").alias("low"), F.max("sig1").alias("high")).where("low <> high").select("token")
-    counted = tokens.join(shared, "token", "left_semi").groupBy("sig1").agg(F.count(F.lit(1)).alias("got"))
+    tokens = full.select(F.explode("prefix").alias("token"), "sig1")
+    shared = tokens.groupBy("token").agg(F.min("sig1").alias("low"), F.max("sig1").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high")
+    counted = _with_tokens(tokens, materialize(shared.select("token", "df"), "shared-tokens")).groupBy("sig1").agg(F.count(F.lit(1)).alias("got"))
     left = materialize(counted.join(classes, "sig1").where(F.col("got") >= _need(F.col("n"), percent) * F.col("copies")).select("rep", "sig1"), "shingle-left")
 
     slots = left.select(F.pmod(F.xxhash64("rep"), F.lit(SIEVE)).cast("int").alias("slot")).distinct()
@@ -216,14 +224,14 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets = materialize(_sets(texts, words), "shingle-sets")
 
     # order 2: rarest first
-    rows = sets.select("rep", "sig1", "n", F.explode("tokens").alias("token")).repartition("token")
-    frequency = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = rows.join(frequency, "token").groupBy("rep", "sig1", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"), F.sum(F.log("df")).alias("fame"))
+    rows = sets.select("rep", "sig1", "n", F.explode("tokens").alias("token"))
+    frequency = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token-counts")
+    ordered = _with_tokens(rows, frequency).groupBy("rep", "sig1", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"), F.sum(F.log("df")).alias("fame"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("known"))
     buckets = ordered.where(length > 0).select("rep", (F.col("fame") / F.col("n")).alias("fame"), F.explode(F.slice("known", F.lit(1), length)).alias("k")).select("rep", "fame", F.col("k.token").alias("token"))
     buckets = materialize(buckets, "shingle-buckets")
-    centres = buckets.groupBy("token").agg(F.max(F.struct("fame", (-F.col("rep")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", (-F.col("top.id")).alias("b"))
-    stars = materialize(buckets.join(centres, "token").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "shingle-stars")
+    centres = buckets.groupBy("token").agg(F.max(F.struct("fame", (-F.col("rep")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "df", (-F.col("top.id")).alias("b"))
+    stars = materialize(_with_tokens(buckets, materialize(centres, "shingle-centres")).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "shingle-stars")
 
     candidates = materialize(filtered(stars, sets, percent), "shingle-pairs")
     links = materialize(_verified(candidates, sets, percent), "shingle-links")

@@ -113,11 +113,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of every non-empty line go, however short; lines of 30 code points or more go too when they are one edit from an earlier one."""
+    return line_dedup_all_lengths(spark, sf_dir)
+
+
+def line_dedup_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 30 code points or more alone."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_removed").alias("n_removed"), "text")
 
 
-OP5_SQL = """
+LONG_LINES_SQL = """
 WITH l AS (
   SELECT doc_id, i AS line_no, trim(a[i], ' ') AS line, a[i] AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), unnest(range(1, len(a) + 1)) u(i)),
 d AS (SELECT line, min((doc_id, line_no)) AS place FROM l WHERE length(line) >= 30 GROUP BY line),
@@ -135,7 +141,7 @@ FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP B
 
 
 def line_dedup_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_line_dedup, and exact repeats of every non-empty line go, however short."""
+    """Lines within one edit of an earlier one go, of 30 code points or more; exact repeats of every non-empty line go, however short."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return out.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_removed").alias("n_removed"), "text")
 
@@ -285,6 +291,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, op11_word_bpe, op12_resampling, op13_vector_codes, pipeline, line_dedup_all_lengths, mixing_positions)
+    for f in (op1_chat_format, op2_token_attribution, op3_url_filter, op4_quality, op5_line_dedup, op6_media, op7_neighbours, op8_bpe, op9_jaccard, op10_mixing, op11_word_bpe, op12_resampling, op13_vector_codes, pipeline, line_dedup_all_lengths, line_dedup_long_lines, mixing_positions)
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_mixing": OP10_SQL, "op12_resampling": OP12_SQL, "op13_vector_codes": vector_codes_sql(), "line_dedup_all_lengths": ALL_LENGTHS_SQL, "mixing_positions": POSITIONS_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op5_line_dedup": ALL_LENGTHS_SQL, "line_dedup_long_lines": LONG_LINES_SQL, "op10_mixing": OP10_SQL, "op12_resampling": OP12_SQL, "op13_vector_codes": vector_codes_sql(), "line_dedup_all_lengths": ALL_LENGTHS_SQL, "mixing_positions": POSITIONS_SQL}

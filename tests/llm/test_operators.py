@@ -444,6 +444,17 @@ def test_jaccard_filters_before_sets(spark, monkeypatch):
     assert seen["before"] >= 59 and 10 <= seen["after"] < seen["before"] / 2
 
 
+def test_jaccard_with_common_tokens(spark, monkeypatch):
+    """One line stands in every text, so its runs are very common; they are joined in parts."""
+    monkeypatch.setattr(jaccard, "COMMON", 5)
+    rng = np.random.default_rng(9)
+    line = " this very line of eight words stands everywhere"
+    texts = [" ".join(rng.choice(list("abcdefghij"), 12)) + line for _ in range(60)] + [f"{i} {i} {i}" + line for i in range(10)]
+    texts += [texts[3], texts[4] + " more", line * 30, line * 30 + " z"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_classes(docs_of(spark, texts)).collect()}
+    assert got == {i: (n, c) for i, n, c in slow_components(texts)}
+
+
 def test_jaccard_table(spark):
     texts = [r[1] for r in sorted(sf("documents"))]
     assert rows(queries.op9_jaccard(spark, SF)) == sorted(slow_components(texts), key=str)
@@ -541,8 +552,8 @@ def test_mixing_comes_near_its_targets(spark):
 
 # ---- registered queries
 def test_every_query_is_registered():
-    own = [n for n in queries.QUERIES if n not in ("pipeline", "line_dedup_all_lengths", "mixing_positions")]
-    assert sorted(int(n[2:].split("_")[0]) for n in own) == list(range(1, 11))
+    own = [n for n in queries.QUERIES if n not in ("pipeline", "line_dedup_all_lengths", "line_dedup_long_lines", "mixing_positions")]
+    assert sorted(int(n[2:].split("_")[0]) for n in own) == list(range(1, 14))
     json.dumps(queries.ORACLES)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from emberlens.llm import bpe, mixing
 from emberlens.llm.queries import ranks_file
+from emberlens.shared import materialize
 from tests.llm.test_operators import slow_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -79,7 +80,11 @@ def test_stages(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= keep
     copies = Counter(r.doc_id for r in mixed.collect())
     assert copies == Counter({r.doc_id: r.mix_copies for r in mixing.placed(mixing.plan_mix(one)).collect() if r.mix_copies})
-    out = Counter(tuple(r) for r in stages[4](spark, mixed, SF).collect())
+    coded = stages[4](spark, materialize(mixed, "mixed"), SF).collect()
+    run = sorted((p, r.doc_id) for r in mixing.plan_mix(one).collect() for p in r.mix_positions)
+    assert [r.doc_id for r in sorted(coded, key=lambda r: r.run_position)] == [i for _, i in run]
+    assert sorted(r.run_position for r in coded) == list(range(len(run)))
+    out = Counter(tuple(r)[:4] for r in coded)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(ranks_file()), special_tokens={})
     for i, n in copies.items():
         ids = enc.encode_ordinary(got[i])
@@ -94,7 +99,7 @@ def test_run(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     out = corpus_pipeline.run(spark, SF)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "run_position"]
     rows = Counter(tuple(r) for r in out.collect())
     assert rows == Counter(tuple(r) for r in docs.collect()) and sum(rows.values()) > 50
 
