@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from emberlens.llm import bpe, jaccard, line_dedup, mixing, quality
 from emberlens.llm.queries import pattern, ranks_file
@@ -46,19 +47,32 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in the order of the run; what is beyond its source's target is not in it.
+    """The documents as often as the mix takes them, in the order of the run (files by name, rows in them); what is beyond its source's target is not in it.
 
     Null sources are one source, null texts have no words, repeated rows are documents of their own, an empty table gives an empty run.
     """
     return mixing.lay_out(mixing.plan_mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Documents and run_position: a row's place, from 0, in the order of the names of the files that it was read from and of the rows in them; rows that come
+    from no file stand in the order of their partitions. Only numbers of rows (one for each file or partition) are brought together."""
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("run_part"), F.col("_metadata.row_index").alias("run_row"))
+    except AnalysisException:  # no table of files
+        row = F.monotonically_increasing_id()
+        placed = docs.select(*COLUMNS, F.format_string("%010d", F.shiftright(row, 33)).alias("run_part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("run_row"))
+    before = W.orderBy("run_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
+    parts = placed.groupBy("run_part").agg(F.count(F.lit(1)).alias("n")).select("run_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("run_start"))
+    return placed.join(F.broadcast(parts), "run_part").select(*COLUMNS, (F.col("run_start") + F.col("run_row")).alias("run_position"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each row's token ids, and the digest of the decoded text: a row for each row, repeated ones too.
+    """Counts and digests of each row's token ids, the digest of the decoded text, and run_position, the row's place in the run: a row for each row, repeated ones too.
 
     A null text is an empty one, with 0 tokens; texts are encoded whole; an empty table gives no rows.
     """
-    return bpe.round_trip(docs.select(*COLUMNS), ranks_file(), pattern())
+    return bpe.round_trip(in_order(docs), ranks_file(), pattern(), ["run_position"])
 
 
 STAGES = [
