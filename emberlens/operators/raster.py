@@ -46,10 +46,19 @@ def index_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def combine_indices(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Index means before and after -> their differences and the burn severity."""
-    j = before.select(*keys, F.col("ndvi").alias("ndvi_before"), F.col("nbr").alias("nbr_before")).join(after.select(*keys, F.col("ndvi").alias("ndvi_after"), F.col("nbr").alias("nbr_after")), keys, "outer")
-    d = N.js_round(F.col("nbr_before") - F.col("nbr_after"), 3)
-    return j.withColumn("dndvi", N.js_round(F.col("ndvi_after") - F.col("ndvi_before"), 3)).withColumn("dnbr", d).withColumn("severity", S.severity(d))
+    """Index means before and after (keys, ndvi, nbr, valid_pct; after may have during_activity) -> their differences, the burn severity, and why values are missing.
+
+    A side without a row has no scene. reasons: 'before missing', 'before cloudy' (too few clear pixels), the same for after, and 'during activity': smoke and
+    fire distort the ratio, so neither dnbr nor severity is given when the picture after was taken meanwhile."""
+    during = F.col("during_activity") if "during_activity" in after.columns else F.lit(False)
+    side = lambda df, name, *more: df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in ("ndvi", "nbr")], F.lit(True).alias(f"has_{name}"), *more)
+    j = side(before, "before").join(side(after, "after", F.coalesce(during, F.lit(False)).alias("during")), keys, "outer")
+    during = F.coalesce("during", F.lit(False)) & F.col("nbr_before").isNotNull() & F.col("nbr_after").isNotNull()
+    d = F.when(~during, N.js_round(F.col("nbr_before") - F.col("nbr_after"), 3))
+    why = [F.when(F.col(f"has_{n}").isNull(), f"{n} missing").when(F.col(f"ndvi_{n}").isNull(), f"{n} cloudy") for n in ("before", "after")]
+    reasons = F.filter(F.array(*why, F.when(during, "during activity")), lambda r: r.isNotNull())
+    out = j.withColumns({"dndvi": N.js_round(F.col("ndvi_after") - F.col("ndvi_before"), 3), "dnbr": d, "severity": S.severity(d), "reasons": reasons})
+    return out.drop("has_before", "has_after", "during")
 
 
 def mask_pixels(pixels: DataFrame, inside: DataFrame, without: DataFrame | None = None) -> DataFrame:
