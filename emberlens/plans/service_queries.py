@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlens.functions import numeric as N, spectral as S, text as T
-from emberlens.operators import raster, status
+from emberlens.operators import last_good, raster, status
 from emberlens.plans import views as V
 from emberlens.plans.views import PIXELS_SQL, RUNS_SQL, jr, query
 from emberlens.session import table
@@ -348,3 +348,53 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Spells of activity of a site, five hours apart, from a stream in append mode over the files that come in time order."""
     out = _run(ingest.sessions(_in_slices(spark, d, last=3).withColumn("site", F.col("id") % 50), ["site"], gap="5 hours"))
     return out.select("site", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "ends")], "n")
+
+
+@query(f"""WITH {SLICES_SQL}, end_ AS (SELECT max(seen) - INTERVAL 72 HOUR AS t FROM arrived),
+k AS (SELECT a.id % 997 AS site, a.seen, a.slice FROM arrived a JOIN marks m USING (slice) WHERE m.mark IS NULL OR a.seen >= m.mark),
+f AS (SELECT *, max(seen) OVER (PARTITION BY site ORDER BY slice, seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM k),
+e AS (SELECT site, seen, lag(seen) OVER (PARTITION BY site ORDER BY seen) AS before, lead(seen) OVER (PARTITION BY site ORDER BY seen) AS next FROM f WHERE top IS NULL OR seen > top),
+turns AS (SELECT site, 'active' AS status, seen AS turned FROM e WHERE before IS NULL OR seen - before > INTERVAL 48 HOUR UNION ALL SELECT site, 'inactive', seen + INTERVAL 48 HOUR FROM e, end_ WHERE next - seen > INTERVAL 48 HOUR OR (next IS NULL AND seen + INTERVAL 48 HOUR <= t))
+SELECT site, status, strftime(turned, '%Y-%m-%d %H:%M:%S') AS turned_at FROM turns""")
+def stream_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Sites that turn active and, 48 hours after their last point, inactive, by timers; some rows come late, some too late."""
+    spark.conf.set(*ingest.STATE_STORE)
+    out = _run(ingest.activity(_in_slices(spark, d).withColumn("site", F.col("id") % 997), "site"))
+    return out.select("site", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("turned_at"))
+
+
+# ---- last good values: loads by area and source; every third load of some areas fails for a week
+LOADS_SQL = """loads AS (SELECT (user_id % 20)::BIGINT AS area, event_type AS source, ts AS seen, event_id % 4 <> 0 AND NOT (user_id % 5 = 2 AND day(ts) BETWEEN 9 AND 16) AS ok, value FROM events),
+asks AS (SELECT event_id AS ask, (user_id * 7 % 23)::BIGINT AS area, event_type AS source, ts - INTERVAL 90 MINUTE AS seen FROM events)"""
+
+
+def _loads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e, u = table(spark, d, "events"), F.col("user_id")
+    at = F.col("ts").cast("timestamp")
+    ok = (F.col("event_id") % 4 != 0) & ~((u % 5 == 2) & F.dayofmonth("ts").between(9, 16))
+    loads = e.select((u % 20).alias("area"), F.col("event_type").alias("source"), at.alias("at"), ok.alias("ok"), "value", "event_id")
+    return loads, e.select(F.col("event_id").alias("ask"), (u * 7 % 23).alias("area"), F.col("event_type").alias("source"), (at - F.expr("INTERVAL '90' MINUTE")).alias("at"))
+
+
+@query(f"""WITH {LOADS_SQL}, once AS (SELECT area, source, seen, bool_or(ok) AS ok, max(value) FILTER (ok) AS value FROM loads GROUP BY ALL), goods AS (SELECT * FROM once WHERE ok)
+SELECT a.ask, a.area, a.source, CASE WHEN g.seen IS NULL THEN 'none' WHEN l.ok THEN 'live' ELSE 'last good' END AS status, g.value, strftime(g.seen, '%Y-%m-%d %H:%M:%S') AS valid_at
+FROM asks a ASOF LEFT JOIN goods g ON a.area = g.area AND a.source = g.source AND a.seen >= g.seen ASOF LEFT JOIN once l ON a.area = l.area AND a.source = l.source AND a.seen >= l.seen""")
+def last_good_by_area(spark: SparkSession, d: str) -> DataFrame:
+    """For each question about an area and a source at a time, the newest valid value and whether it is live."""
+    loads, asks = _loads(spark, d)
+    out = last_good.as_of(asks, loads, ["area", "source"])
+    return out.select("ask", "area", "source", "status", "value", F.date_format("valid_at", "yyyy-MM-dd HH:mm:ss").alias("valid_at"))
+
+
+@query(f"""WITH {LOADS_SQL}, n AS (SELECT area, seen::DATE AS day, source, max(seen) AS seen, arg_max(ok, (seen, ok)) AS ok FROM loads GROUP BY ALL), kinds AS (SELECT DISTINCT event_type AS source FROM events),
+b AS (SELECT area, day, max(seen) AS seen, count(*) FILTER (ok) = (SELECT count(*) FROM kinds) AS complete, count(*) FILTER (ok)::BIGINT AS valid FROM n GROUP BY ALL)
+SELECT area, strftime(day, '%Y-%m-%d') AS day, complete, (SELECT count(*) FROM kinds) - valid AS missing, strftime(max(CASE WHEN complete THEN day END) OVER (PARTITION BY area ORDER BY day), '%Y-%m-%d') AS shown FROM b""")
+def complete_builds(spark: SparkSession, d: str) -> DataFrame:
+    """A build for each area and day; only those with a valid part of every source become the one shown, else the last complete one stays."""
+    loads, _ = _loads(spark, d)
+    kinds = sorted(r[0] for r in loads.select("source").distinct().collect())  # the registry of sources
+    builds = materialize(last_good.settled(loads.withColumns({"day": F.to_date("at"), "error": F.lit("failed")}), ["area", "day"], kinds), "builds")
+    asked = builds.select("area", "day", F.col("day").cast("timestamp").alias("at"), "complete", F.size("missing").cast("long").alias("missing"))
+    tried = builds.select("area", F.col("day").cast("timestamp").alias("at"), F.col("complete").alias("ok"), F.date_format("day", "yyyy-MM-dd").alias("value"))
+    out = last_good.as_of(asked, tried, ["area"], span="month")
+    return out.select("area", F.date_format("day", "yyyy-MM-dd").alias("day"), "complete", "missing", F.col("value").alias("shown"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from emberlens.operators import incidents
@@ -44,15 +46,74 @@ def running_counts(stream: DataFrame, key: str, id_column: str = "id") -> DataFr
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, top = state.get if state.exists else (0, -1)
-        ids = pd.concat([b[id_column] for b in batches]).drop_duplicates()
-        fresh = ids[ids > top]
-        n, top = n + len(fresh), int(max(top, ids.max()))
+        fresh, most = np.zeros(0, np.int64), top
+        for b in batches:  # ids of the batch above the top so far, each once
+            ids = b[id_column].to_numpy()
+            fresh, most = np.union1d(fresh, ids[ids > top]), max(most, int(ids.max()))
+        n, top = n + len(fresh), most
         state.update((n, top))
         yield pd.DataFrame({key: [k[0]], "n": [n], "watermark_id": [top]})
 
     return stream.select(key, id_column).groupBy(key).applyInPandasWithState(update, f"{key} long, n long, watermark_id long", "n long, top long", "update", GroupStateTimeout.NoTimeout)
 
 
+class Activity(StatefulProcessor):
+    """Turns of a key between active and inactive: a point makes it active, ``hours`` without a later one make it inactive. State: the last point and the status.
+
+    A timer in event time waits for the end of the quiet spell, so a key turns inactive without new points of its own: the other keys' points move the watermark.
+    A point that isn't later than the last one changes nothing."""
+
+    def __init__(self, key: str, time: str, hours: int):
+        self.key, self.time, self.quiet_ms = key, time, hours * 3_600_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("activity", "last_ms long, active boolean")
+
+    def _rows(self, key: tuple, turns: list[tuple[str, int]]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(turns), "status": pd.Series([s for s, _ in turns], dtype=object), "at": pd.to_datetime([ms for _, ms in turns], unit="ms")})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, active = self.state.get() if self.state.exists() else (None, False)
+        times = np.sort(np.concatenate([b[self.time].astype("datetime64[ms]").astype("int64").to_numpy() for b in rows]))
+        turns, before = [], last
+        for at in times.tolist():
+            if last is not None and at <= last:
+                continue
+            if active and at - last > self.quiet_ms:
+                turns.append(("inactive", last + self.quiet_ms))
+                active = False
+            if not active:
+                turns.append(("active", at))
+            last, active = at, True
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.quiet_ms)
+            self.handle.registerTimer(last + self.quiet_ms)
+            self.state.update((last, active))
+        yield self._rows(key, turns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, active = self.state.get()
+        turns = [("inactive", last + self.quiet_ms)] if active and expiredTimerInfo.getExpiryTimeInMs() == last + self.quiet_ms else []
+        self.state.update((last, active and not turns))
+        yield self._rows(key, turns)
+
+    def close(self) -> None:
+        pass
+
+
+#: State that has timers needs a store with a log of its own; the setting holds for queries started afterwards.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def activity(stream: DataFrame, key: str, time: str = "acquired_at", within: str = WATERMARK, hours: int = incidents.INACTIVE_AFTER_HOURS) -> DataFrame:
+    """(key long, status, at): each turn of a key to active or inactive, once. Points later than the watermark allows are dropped. The turn to inactive comes out when the watermark
+    has passed it, or with the point that follows the quiet spell. Null keys are one key; points without a time are left out."""
+    kept = stream.where(F.col(time).isNotNull()).withWatermark(time, within).select(F.col(key).cast("long").alias(key), time)
+    return kept.groupBy(key).transformWithStateInPandas(Activity(key, time, hours), f"{key} long, status string, at timestamp", "append", "EventTime")
+
+
 def incident_job(observations_path: str, state: sinks.Snapshots, points_of, archive: DataFrame | None = None):
     """For foreachBatch: stores what is new, relabels incidents that turned out static, leaves points at static places out, clusters the window, plans, and writes the
     next state. A repeated batch changes nothing. Returns counts for a journal: items, written, rejected (known or repeated rows), and what the run did.
