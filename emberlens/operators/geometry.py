@@ -36,16 +36,26 @@ def ring_problem(points: Column) -> Column:
 
 
 def _join_ways(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Closed rings from ways that share end points; what can't be closed is dropped."""
-    left, rings = [w for w in ways if len(w) > 1], []
-    while left:
-        ring = list(left.pop(0))
+    """Closed rings from ways that share end points; what can't be closed is dropped. A ring goes on with the first way left that has its end: ways are looked up by their
+    end points, so the work is linear in the ways."""
+    ways, rings = [w for w in ways if len(w) > 1], []
+    used, at = [False] * len(ways), {}
+    for i in range(len(ways) - 1, -1, -1):  # so that the first way stands last
+        for end in {ways[i][0], ways[i][-1]}:
+            at.setdefault(end, []).append(i)
+    for first in range(len(ways)):
+        if used[first]:
+            continue
+        used[first], ring = True, list(ways[first])
         while ring[0] != ring[-1]:
-            k = next((i for i, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
-            if k is None:
+            held = at[ring[-1]]
+            while held and used[held[-1]]:
+                held.pop()
+            if not held:
                 break
-            way = left.pop(k)
-            ring += way[1:] if way[0] == ring[-1] else way[-2::-1]
+            k = held.pop()
+            used[k] = True
+            ring += ways[k][1:] if ways[k][0] == ring[-1] else ways[k][-2::-1]
         if ring[0] == ring[-1] and len(ring) >= 4:
             rings.append(ring)
     return rings

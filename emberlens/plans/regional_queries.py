@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlens.functions import numeric as N, text as T
-from emberlens.operators import context, geometry, official, regional as R, spatial
+from emberlens.operators import context, geometry, official, protected, regional as R, spatial
 from emberlens.operators.ranges import running_sums
 from emberlens.plans import views as V
 from emberlens.plans.views import EDGES_SQL, H_SQL, hav, jr, pip_sql, query, rad
@@ -393,3 +393,55 @@ def loss_per_100k(spark: SparkSession, d: str) -> DataFrame:
     spent = table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("total"))
     j = spent.join(n, F.col("c_nationkey") == F.col("k")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select("n_name", N.js_round(N.loss_per_100k_ha("total", "n"), 1).alias("per_100k"), N.js_round(N.share_percent("n", F.lit(300.0)), 2).alias("share"))
+
+
+# ---- protected areas as a map's relations: rectangles in four ways, open ones, lines without an area, ones with a hole, ones without ways, rectangles in one way
+AREA_NAMES = ["Заповедник", "Reserve", "ნაკრძალი", "Մարզ"]
+AREA_TAGS = ["12.5 ha", "-3", "x", "1e2"]
+RELATIONS_SQL = f"""r0 AS (SELECT c_custkey AS id, c_custkey % 6 AS form, c_nationkey AS part, 97::DOUBLE + (c_custkey % 89) * 0.14::DOUBLE AS x0, 50.2::DOUBLE + (c_custkey % 97) * 0.06::DOUBLE AS y0, 0.08::DOUBLE + (c_custkey % 5) * 0.02::DOUBLE AS w, 0.05::DOUBLE + (c_custkey % 3) * 0.02::DOUBLE AS h,
+  {AREA_NAMES!r}[(c_custkey % 4 + 1)::INT] AS name, CASE WHEN c_custkey % 3 = 0 THEN 'Парк' END AS ru, {AREA_TAGS!r}[(c_custkey // 2 % 4 + 1)::INT] AS tag FROM customer),
+r AS (SELECT *, x0 + w AS x1, y0 + h AS y1 FROM r0 WHERE part <> 7),
+lab AS (SELECT *, CASE WHEN form = 1 THEN (x0 + x1 + x1 + x1) / 4 WHEN form = 3 THEN (x0 + (x0 + w * 0.6::DOUBLE)) / 2 ELSE (x0 + x1) / 2 END AS lon, CASE WHEN form = 1 THEN (y0 + y0 + y0 + y1) / 4 ELSE (y0 + y1) / 2 END AS lat FROM r WHERE form IN (0, 1, 3, 5))"""
+
+
+def _rect_km2(x0: str, y0: str, x1: str, y1: str) -> str:
+    f = lambda v: f"round({v}, 5)"
+    return f"(abs({rad(f'{f(x1)} - {f(x0)}')} * (2 + 2 * sin({rad(f(y0))})) - {rad(f'{f(x1)} - {f(x0)}')} * (2 + 2 * sin({rad(f(y1))}))) * pow({N.AREA_RADIUS_KM}::DOUBLE, 2) / 2)"
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Map answers (JSON), one for each nation; one reports an error."""
+    k = F.col("c_custkey")
+    x0, y0, w, h = F.lit(97.0) + (k % 89) * 0.14, F.lit(50.2) + (k % 97) * 0.06, F.lit(0.08) + (k % 5) * 0.02, F.lit(0.05) + (k % 3) * 0.02
+    c = table(spark, d, "customer").select(k.alias("id"), "c_nationkey", x0.alias("x0"), y0.alias("y0"), w.alias("w"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), h.alias("h"))
+    at = lambda x, y: F.struct((F.col(y) if isinstance(y, str) else y).alias("lat"), (F.col(x) if isinstance(x, str) else x).alias("lon"))
+    way = lambda *points, role="outer": F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), F.array(*points).alias("geometry"))
+    a, b, e, f = at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1")
+    inner = [at(F.col("x0") + F.col("w") * p, F.col("y0") + F.col("h") * q) for p, q in ((0.6, 0.3), (0.8, 0.3), (0.8, 0.7), (0.6, 0.7), (0.6, 0.3))]
+    up = at("x0", F.col("y0") + F.col("h") * 0.5)
+    forms = [F.array(way(a, b), way(f, e), way(f, a), way(b, e)), F.array(way(a, b), way(b, e)), F.array(way(a, up, f), way(f, a)), F.array(way(a, b, e), way(*inner, role="inner"), way(e, f, a))]
+    kind, k = F.col("id") % 6, F.col("id")
+    members = F.when(kind == 0, forms[0]).when(kind == 1, forms[1]).when(kind == 2, forms[2]).when(kind == 3, forms[3]).when(kind == 5, F.array(way(a, b, e, f, a)))
+    members = F.coalesce(members, F.array().cast("array<struct<type: string, role: string, geometry: array<struct<lat: double, lon: double>>>>"))
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    tags = F.map_filter(F.create_map(F.lit("name"), pick(AREA_NAMES, k % 4), F.lit("name:ru"), F.when(k % 3 == 0, "Парк"), F.lit("area:ha"), pick(AREA_TAGS, F.floor(k / 2) % 4)), lambda _, v: v.isNotNull())
+    each = c.select("c_nationkey", F.struct(F.lit("relation").alias("type"), "id", tags.alias("tags"), members.alias("members")).alias("e"))
+    part = each.groupBy("c_nationkey").agg(F.collect_list("e").alias("elements"))
+    return part.select(F.to_json(F.struct("elements", F.when(F.col("c_nationkey") == 7, "runtime error: timed out").alias("remark"))).alias("value"))
+
+
+@query(f"""WITH {RELATIONS_SQL}, {EDGES_SQL}, {pip_sql('lab')}
+SELECT id, CASE WHEN form = 1 THEN 'point' ELSE 'polygon' END AS kind, coalesce(ru, name) AS name, {jr('lat', 6)} AS lat, {jr('lon', 6)} AS lon,
+  CASE tag WHEN '12.5 ha' THEN 12.5 WHEN '1e2' THEN 100 ELSE CASE WHEN form <> 1 THEN {jr('(' + _rect_km2('x0', 'y0', 'x1', 'y1') + ' - CASE WHEN form = 3 THEN ' + _rect_km2('x0 + w * 0.6::DOUBLE', 'y0 + h * 0.3::DOUBLE', 'x0 + w * 0.8::DOUBLE', 'y0 + h * 0.7::DOUBLE') + ' ELSE 0 END) * 100', 1)} END END::DOUBLE AS area_ha
+FROM lab WHERE id IN (SELECT id FROM inside) AND NOT regexp_matches(name, '[Ⴀ-ჿ]|[԰-֏]')""")
+def protected_features(spark: SparkSession, d: str) -> DataFrame:
+    """From map answers to features: gates, rings from ways, label points, territory and regions."""
+    found, _, _ = protected.features(protected.relations(_answers(spark, d)), spatial.edges_of(V.regions(spark, d)))
+    return found.select("id", "kind", "name", N.js_round("lat", 6).alias("lat"), N.js_round("lon", 6).alias("lon"), "area_ha")
+
+
+@query(f"WITH {RELATIONS_SQL} SELECT id, 'zero area' AS problem FROM r WHERE form = 2")
+def protected_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Relations whose shape doesn't pass the gate."""
+    _, _, bad = protected.features(protected.relations(_answers(spark, d)), spatial.edges_of(V.regions(spark, d)))
+    return bad.select("id", "problem")

@@ -147,6 +147,42 @@ class Snapshots:
         return ok
 
 
+class PublishedSets:
+    """Several outputs that are published as one: all are written beside each other in a new version's folder, checked together, and one mark makes them visible.
+
+    A run that dies between two writes, or whose check fails, leaves the set before it as it was. A single writer is assumed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _version(self) -> int | None:
+        return max((int(n.removeprefix("mark=")) for n in folders(self.spark, self.path) if n.startswith("mark=")), default=None)
+
+    def published(self) -> dict[str, DataFrame]:
+        """The outputs of the newest set, by name; none before the first."""
+        version = self._version()
+        return {} if version is None else {n: self.spark.read.parquet(f"{self.path}/v={version}/{n}") for n in folders(self.spark, f"{self.path}/v={version}")}
+
+    def sizes(self, version: int) -> dict[str, int]:
+        """Bytes of each output as it lies there, compressed."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return {f.getPath().getName(): fs.getContentSummary(f.getPath()).getLength() for f in fs.listStatus(hadoop)}
+
+    def publish(self, outputs: dict[str, DataFrame], problems: Callable[[dict[str, DataFrame]], list[str]] = lambda _: [], most_bytes: dict[str, int] | None = None) -> list[str]:
+        """Writes a new set and makes it visible if nothing is wrong with it; returns what is. ``problems`` sees the outputs as they were written; ``most_bytes`` bounds their compressed sizes."""
+        taken = [int(n.split("=")[1]) for n in folders(self.spark, self.path) if n.startswith(("v=", "mark="))]
+        version = max(taken, default=0) + 1  # never one that a lost run began
+        for name, df in outputs.items():
+            df.write.parquet(f"{self.path}/v={version}/{name}")
+        wrong = list(problems({n: self.spark.read.parquet(f"{self.path}/v={version}/{n}") for n in outputs}))
+        have = self.sizes(version)
+        wrong += [f"{n}: {have[n]} bytes, over {m}" for n, m in (most_bytes or {}).items() if have[n] > m]
+        if not wrong:
+            self.spark.range(1).coalesce(1).write.parquet(f"{self.path}/mark={version}")
+        return wrong
+
+
 def write_csv(df: DataFrame, path: str, columns: list[tuple[str, bool]]) -> None:
     """Lines with CRLF under a header; each part file is a whole table. columns: (name, whether it is text)."""
     df.select(*[T.csv_cell(c, is_text).alias(c) for c, is_text in columns]).write.options(header=True, lineSep="\r\n", quote="", emptyValue="", nullValue="").csv(path)
