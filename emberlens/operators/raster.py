@@ -27,7 +27,7 @@ def is_usable() -> Column:
 
 def is_covered() -> Column:
     """Few pixels without data: the scene shows the place, whatever it shows of it."""
-    return F.coalesce(F.col("nodata") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)) <= NODATA_MOST
+    return F.col("total").isNotNull() & (F.coalesce(F.col("nodata") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)) <= NODATA_MOST)
 
 
 def mostly_snow() -> Column:
@@ -88,9 +88,9 @@ def pick_scene(asked: DataFrame, ranked: DataFrame, stats: DataFrame, keys: list
     """keys, ranked candidates and the statistics of their masks -> (keys, scene_id, checked, reason), a row for each key.
 
     Candidates are looked at by rank until one is usable. Without one, the reason is 'missing' where there was no candidate, else 'snow' when
-    that is what mostly spoils those looked at, else 'cloudy'.
+    that is what mostly spoils those looked at, else 'cloudy'. A candidate without statistics was looked at and shows nothing.
     """
-    j = ranked.select(*keys, "scene_id", "rank").join(stats, "scene_id")
+    j = ranked.select(*keys, "scene_id", "rank").join(stats, "scene_id", "left")
     first = j.where("usable").groupBy(*keys).agg(F.min_by("scene_id", "rank").alias("best"), F.min("rank").alias("best_rank"))
     looked = j.join(first, keys, "left").where(F.col("best_rank").isNull() | (F.col("rank") <= F.col("best_rank")))
     seen = looked.groupBy(*keys).agg(F.first("best").alias("scene_id"), F.count(F.lit(1)).alias("checked"), mostly_snow().alias("snowy"))

@@ -287,10 +287,13 @@ def archive_from_points(spark: SparkSession, d: str) -> DataFrame:
     return R.archive_from_points(readers.archive_rows(_archive_points(spark, d)), spatial.edges_of(regions), regions, YEARS)
 
 
-@query(f"WITH c(region, year, n) AS (VALUES ('a', 2000, 1), ('a', 2001, 0), ('b', 2000, 2), ('b', 2001, 0)) SELECT '2 regions' AS problem UNION ALL SELECT 'year ' || year || ' is empty' FROM c GROUP BY year HAVING sum(n) = 0")
+@query("""WITH c AS (SELECT user_id % 80 AS region, 2000 + day(ts) AS year, count(*) FILTER (day(ts) % 5 > 0) AS n FROM events GROUP BY ALL)
+SELECT count(DISTINCT region) || ' regions' AS problem FROM c HAVING count(DISTINCT region) <> 83 UNION ALL SELECT 'year ' || year || ' is empty' FROM c GROUP BY year HAVING sum(n) = 0""")
 def archive_gate(spark: SparkSession, d: str) -> DataFrame:
-    counts = spark.createDataFrame([("a", 2000, 1), ("a", 2001, 0), ("b", 2000, 2), ("b", 2001, 0)], "region string, year int, vegetation long")
-    return R.archive_problems(counts, 3)
+    """Counts by region and year with too few regions, and years without any detection."""
+    e, day = table(spark, d, "events"), F.dayofmonth("ts")
+    counts = e.groupBy((F.col("user_id") % 80).cast("string").alias("region"), (day + 2000).alias("year")).agg(F.count_if(day % 5 > 0).alias("vegetation"))
+    return R.archive_problems(counts, 83)
 
 
 # ---- official statistics

@@ -92,3 +92,11 @@ def test_comparisons(spark, before, after, want):
     one = lambda side, more="": spark.createDataFrame([(1, *side)] if side else [], f"k int, ndvi double, nbr double{more}")
     r = raster.combine_indices(one(before), one(after, ", during_activity boolean"), ["k"]).first()
     assert (r.dndvi, r.dnbr, r.reasons) == want and (r.severity is None) == (want[1] is None)
+
+
+def test_candidates_without_a_mask_are_no_missing_ones(spark):
+    ranked = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "place string, scene_id long, rank int")
+    stats = spark.createDataFrame([(2, 100, 0, 0, 0, 0, 100, True)], "scene_id long, total long, nodata long, cloud long, shadow long, snow long, clear long, usable boolean")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "place string")
+    got = {r.place: (r.scene_id, r.checked, r.reason) for r in raster.pick_scene(asked, ranked, stats, ["place"]).collect()}
+    assert got == {"a": (2, 2, None), "b": (None, 1, "cloudy"), "c": (None, 0, "missing")}
