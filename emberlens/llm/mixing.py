@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: A source is used up to so many times.
 MAX_REPEATS = 3
+#: Rounds in which a smaller document fills what a source's run of whole documents leaves of its target.
+FILLS = 3
 #: Slope of the linear weight schedule over the run, for the sources in turn: weight(t) = 1 + slope * (2t - 1), |slope| < 1. Falling, even, rising.
 SLOPES = (-0.5, 0.0, 0.5)
 
@@ -49,14 +51,41 @@ def _invert(share: Column, slope: Column) -> Column:
     return F.when(share < 1, F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope)))
 
 
+def _fitted(spots: DataFrame, max_repeats: int) -> DataFrame:
+    """(ordinal, source_size, target, size, start) -> ordinal, base_end, take_next, fills (array of struct<start, place>): how each source comes near its target.
+
+    The source's documents, over and over, are taken while whole ones fit. Of what is left of the target, in FILLS rounds, the longest document that fits takes a
+    part (one copy more of it, if it has fewer than ``max_repeats``; of equal ones the first in the sequence). Where the next document of the sequence would come nearer, it is taken
+    instead. Each round is an aggregate, so a large source is combined before it is shuffled; a start names a document, as no two with words start at one word.
+    """
+    copies = sum((i * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")).cast("int") for i in range(max_repeats))
+    spots = spots.where("target > 0 AND size > 0").withColumn("copies", copies)
+    end, after = (F.col("copies") - 1) * F.col("source_size") + F.col("start") + F.col("size"), F.col("copies") * F.col("source_size") + F.col("start")
+    more = F.col("copies") < max_repeats
+    ends = spots.groupBy("ordinal").agg(
+        F.first("target").alias("target"), F.coalesce(F.max(F.when(F.col("copies") > 0, end)), F.lit(0)).alias("base_end"), F.min(F.when(more, F.struct(after.alias("place"), "size"))).alias("next")
+    )
+    none = F.array().cast("array<struct<start: bigint, place: bigint>>")
+    state = materialize(ends.select("ordinal", "target", "base_end", F.col("next.size").alias("next_size"), F.col("base_end").alias("filled_to"), none.alias("fills")), "mix-fits")
+    for _ in range(FILLS):
+        s = state.select("ordinal", "filled_to", F.transform("fills", lambda f: f["start"]).alias("used"), F.col("target").alias("aim"))
+        fits = spots.where(more).join(s, "ordinal").where((F.col("filled_to") + F.col("size") <= F.col("aim")) & ~F.array_contains("used", F.col("start")))
+        best = fits.groupBy("ordinal").agg(F.max(F.struct("size", (-F.col("start")).alias("late"))).alias("best"))
+        grown = F.concat("fills", F.array(F.struct((-F.col("best.late")).alias("start"), F.col("filled_to").alias("place"))))
+        state = state.join(best, "ordinal", "left").withColumn("fills", F.when(F.col("best").isNotNull(), grown).otherwise(F.col("fills")))
+        state = materialize(state.withColumn("filled_to", F.col("filled_to") + F.coalesce("best.size", F.lit(0))).drop("best"), "mix-fits")
+    take = F.coalesce(F.col("base_end") + F.col("next_size") - F.col("target") < F.col("target") - F.col("filled_to"), F.lit(False))
+    return state.select("ordinal", "base_end", take.alias("take_next"), F.when(take, none).otherwise(F.col("fills")).alias("fills"))
+
+
 def plan_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, slopes=SLOPES) -> DataFrame:
     """Documents -> the same rows and columns, and mix_size, mix_source_size, mix_target, mix_positions.
 
     Size: words in the text (null: 0). A source's documents stand in the order of md5(doc_id), then doc_id, size, a hash of the text: a fixed shuffle, so
-    reruns agree; the source is that sequence, over and over. A copy's place is the number of its middle word there. The schedule's integral says how
-    many words of the source are asked for by a time, ``target`` by the run's end; its inverse at the place is the copy's time (0 to 1), and
-    copies whose place is never reached are not in the run. mix_positions has these times. So a source is off its target by less than half of its
-    document at the end. In a source without words each document has one copy, at time 0.
+    reruns agree; the source is that sequence, over and over, as far as its target goes; ``_fitted`` says how it ends. A copy's place is the number of its middle word.
+    The schedule's integral says how many words of the source are asked for by a time, ``target`` by the run's end; its inverse at the place is the copy's time
+    (0 to 1). mix_positions has these times. So a source is off its target by no more than half of the sequence's next document, and by less where shorter documents
+    fit. In a source without words each document has one copy, at time 0.
 
     Running sums are split: a source's documents are cut into about sqrt(n) ranges of md5, summed by range first, so no task gets a whole
     source, however large. Null source is a source of its own, after all others. Documents without an id are shuffled by their texts. Empty texts
@@ -69,24 +98,34 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, s
     doc_id, text = F.col(named["doc_id"]), F.col(named["text"])
     size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
     md = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string"))))
-    sized = kept.withColumns({"source": F.col(named["source"]), "size": size, "md": md, "tie": F.xxhash64(text)})
-    narrow = materialize(sized.select("source", "size", "md"), "mix-sizes")
-    targets = materialize(source_targets(narrow, weights, max_repeats).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.sqrt("source_docs"))).cast("long")), "mix-targets")
+    sized = kept.withColumns({"source": F.col(named["source"]), "size": size, "md": md, "tie": F.xxhash64(text), "id": doc_id})
+    narrow = materialize(sized.select("source", "size", "md", "tie", "id"), "mix-sizes")
+    targets = materialize(source_targets(narrow.select("source", "size"), weights, max_repeats).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.sqrt("source_docs"))).cast("long")), "mix-targets")
 
-    def ranged(df: DataFrame) -> DataFrame:
-        t = targets.withColumnRenamed("source", "key")
+    def ranged(df: DataFrame, of: DataFrame) -> DataFrame:
+        t = of.withColumnRenamed("source", "key")
         df = df.join(t, df["source"].eqNullSafe(t["key"])).drop("key")
         return df.withColumn("range", F.floor(F.conv(F.substring("md", 1, 8), 16, 10).cast("long") * F.col("ranges") / 4294967296))
 
     before = W.partitionBy("ordinal").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged(narrow).groupBy("ordinal", "range").agg(F.sum("size").alias("range_size"))
+    starts = ranged(narrow, targets).groupBy("ordinal", "range").agg(F.sum("size").alias("range_size"))
     starts = materialize(starts.select("ordinal", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start")), "mix-ranges")
-    inside = W.partitionBy("ordinal", "range").orderBy("md", doc_id, "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    df = ranged(sized).join(starts, ["ordinal", "range"])
-    df = df.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+    def started(df: DataFrame) -> DataFrame:
+        inside = W.partitionBy("ordinal", "range").orderBy("md", "id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+        return df.join(starts, ["ordinal", "range"]).withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+    spots = materialize(started(ranged(narrow, targets)).select("ordinal", "source_size", "target", "size", "start"), "mix-spots")
+    fitted = materialize(targets.join(_fitted(spots, max_repeats), "ordinal", "left"), "mix-fitted")
+    df = started(ranged(sized, fitted))
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), (F.col("ordinal") % len(slopes) + 1).cast("int"))
-    share = lambda i: (2 * (i * F.col("source_size") + F.col("start")) + F.col("size")).cast("double") / (2 * F.col("target"))
-    times = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_repeats - 1).cast("long")), lambda i: _invert(share(i), slope)), lambda t: t.isNotNull())
+    place = lambda i: i * F.col("source_size") + F.col("start")
+    time = lambda place: _invert((2 * place + F.col("size")).cast("double") / (2 * F.col("target")), slope)
+    whole = lambda i: (place(i) + F.col("size") <= F.col("target")) | (F.coalesce("take_next", F.lit(False)) & (F.col("size") > 0) & (place(i) == F.col("base_end")))
+    turns = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(max_repeats - 1).cast("long")), whole)
+    filling = F.filter(F.coalesce("fills", F.array().cast("array<struct<start: bigint, place: bigint>>")), lambda f: (f["start"] == F.col("start")) & (F.col("size") > 0))
+    times = F.concat(F.transform(turns, lambda i: time(place(i))), F.transform(filling, lambda f: time(f["place"])))
+    times = F.array_sort(F.filter(times, lambda t: t.isNotNull()))
     df = df.withColumn("positions", F.when(F.col("target") > 0, times).otherwise(F.array(F.lit(0.0))))
     made = [F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("positions").alias("mix_positions")]
     return df.select(*[F.col(k).alias(c) for k, c in own.items()], *made)

@@ -196,14 +196,27 @@ w AS (SELECT *, [5, 2, 1][(k % 3 + 1)::INT]::BIGINT AS weight, [-0.5::DOUBLE, 0.
 o AS (SELECT *, cap / weight AS ratio,
   (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM w WINDOW before AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, slope, least(cap::DOUBLE, (SELECT arg_min(level, (ratio, k)) FROM o WHERE ratio >= level) * weight) AS target FROM o),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
+t AS (SELECT source, k, source_size, slope, least(cap::DOUBLE, (SELECT arg_min(level, (ratio, k)) FROM o WHERE ratio >= level) * weight) AS target FROM o),
+r AS (SELECT d.doc_id, d.size, t.k, t.source_size, t.target, t.slope,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT r.*, (2 * (i * source_size + start) + size)::DOUBLE / (2 * target) AS share, i FROM r, (VALUES (0), (1), (2)) v(i)),
-q AS (SELECT *, CASE WHEN target <= 0 THEN CASE WHEN i = 0 THEN 0.0::DOUBLE END WHEN share < 1 THEN
-  CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS time FROM p),
-c AS (SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, count(time)::BIGINT AS copies, min(time) AS first_at, max(time) AS last_at FROM q GROUP BY doc_id)
+b AS (SELECT *, (start + size <= target)::INT + (source_size + start + size <= target)::INT + (2 * source_size + start + size <= target)::INT AS whole FROM r WHERE target > 0 AND size > 0),
+e0 AS (SELECT k, any_value(target) AS target, coalesce(max(CASE WHEN whole > 0 THEN (whole - 1) * source_size + start + size END), 0) AS base_end, min((whole * source_size + start, size)) FILTER (whole < 3) AS nx FROM b GROUP BY k),
+f1 AS (SELECT e.k, max((b.size, -b.start)) AS x FROM e0 e JOIN b ON b.k = e.k AND b.whole < 3 AND e.base_end + b.size <= e.target GROUP BY e.k),
+e1 AS (SELECT e.*, x AS x1, base_end + coalesce(x[1], 0) AS to1 FROM e0 e LEFT JOIN f1 USING (k)),
+f2 AS (SELECT e.k, max((b.size, -b.start)) AS x FROM e1 e JOIN b ON b.k = e.k AND b.whole < 3 AND e.to1 + b.size <= e.target AND b.start IS DISTINCT FROM -x1[2] GROUP BY e.k),
+e2 AS (SELECT e.*, x AS x2, to1 + coalesce(x[1], 0) AS to2 FROM e1 e LEFT JOIN f2 USING (k)),
+f3 AS (SELECT e.k, max((b.size, -b.start)) AS x FROM e2 e JOIN b ON b.k = e.k AND b.whole < 3 AND e.to2 + b.size <= e.target AND b.start IS DISTINCT FROM -x1[2] AND b.start IS DISTINCT FROM -x2[2] GROUP BY e.k),
+e3 AS (SELECT e.*, x AS x3, to2 + coalesce(x[1], 0) AS to3 FROM e2 e LEFT JOIN f3 USING (k)),
+g AS (SELECT *, coalesce(base_end + nx[2] - target < target - to3, false) AS take FROM e3),
+y AS (SELECT r.doc_id, r.size, r.source_size, r.target, r.slope, i * r.source_size + r.start AS place FROM r LEFT JOIN g ON g.k = r.k, (VALUES (0), (1), (2)) v(i)
+  WHERE r.target > 0 AND (i * r.source_size + r.start + r.size <= r.target OR (g.take AND r.size > 0 AND i * r.source_size + r.start = g.base_end))
+  UNION ALL SELECT r.doc_id, r.size, r.source_size, r.target, r.slope, CASE r.start WHEN -x1[2] THEN base_end WHEN -x2[2] THEN to1 ELSE to2 END FROM r JOIN g ON g.k = r.k AND NOT g.take AND r.size > 0 AND (r.start = -x1[2] OR r.start = -x2[2] OR r.start = -x3[2])),
+p AS (SELECT *, (2 * place + size)::DOUBLE / (2 * target) AS share FROM y),
+q AS (SELECT doc_id, CASE WHEN share < 1 THEN CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END END AS time FROM p
+  UNION ALL SELECT doc_id, 0.0::DOUBLE FROM r WHERE target <= 0),
+m AS (SELECT doc_id, count(time)::BIGINT AS copies, min(time) AS first_at, max(time) AS last_at FROM q GROUP BY doc_id),
+c AS (SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(m.copies, 0)::BIGINT AS copies, m.first_at, m.last_at FROM r LEFT JOIN m ON m.doc_id = r.doc_id)
 """
 OP10_SQL = MIX_SQL + "SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies, first_at, last_at FROM c"
 

@@ -486,6 +486,27 @@ def slow_targets(sizes, weights, cap):
     return target
 
 
+def slow_fit(sizes, target):
+    """Places (numbers of middle words) of each document's copies: whole ones while they fit, then the longest that fits, three times, or else the next one."""
+    total, starts = sum(sizes), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    places = [[i * total + starts[j] + n / 2 for i in range(3) if i * total + starts[j] + n <= target] for j, n in enumerate(sizes)]
+    end = max((p[-1] + n / 2 for p, n in zip(places, sizes) if p and n), default=0)
+    free = [j for j, n in enumerate(sizes) if n and len(places[j]) < 3]
+    following = min(((len(places[j]) * total + starts[j], sizes[j], j) for j in free), default=None)
+    to, fills = end, {}
+    for _ in range(3):
+        fits = [(sizes[j], -starts[j], j) for j in free if to + sizes[j] <= target and j not in fills]
+        if fits:
+            n, _, j = max(fits)
+            fills[j] = to + n / 2
+            to += n
+    if following and end + following[1] - target < target - to:
+        fills = {following[2]: end + following[1] / 2}
+    for j, place in fills.items():
+        places[j].append(place)
+    return [sorted(p) for p in places]
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(2)
     names = ["a", "b", "é", None, "", "big", "z"]
@@ -503,14 +524,12 @@ def test_mixing(spark):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     for source, held in order.items():
         # the middle word of every copy against the words asked for by its time: the schedule's integral, summed numerically
-        slope, at, placed = mixing.SLOPES[names.index(source) % 3], 0, {}
+        slope = mixing.SLOPES[names.index(source) % 3]
         t = np.linspace(0, 1, 100_001)
         asked = want[source] * np.concatenate([[0], np.cumsum((1 + slope * (t[1:] + t[:-1] - 1)) / 100_000)])
-        for i in range(3):
-            for _, r in sorted(held, key=lambda x: x[0]):
-                if at + r.mix_size / 2 < want[source] * (1 - 1e-12):
-                    placed.setdefault(r.doc_id, []).append(np.interp(at + r.mix_size / 2, asked, t))
-                at += r.mix_size
+        held = sorted(held, key=lambda x: x[0])
+        places = slow_fit([r.mix_size for _, r in held], held[0][1].mix_target)
+        placed = {r.doc_id: [np.interp(x, asked, t) for x in p] for (_, r), p in zip(held, places)}
         longest = max(r.mix_size for _, r in held)
         assert abs(taken[source] - want[source]) <= longest / 2
         for _, r in held:
@@ -540,14 +559,16 @@ def test_mixing_clashing_names(spark):
     assert laid.where("mix_position_ = 2").count() == laid.count() > 0
 
 
-def test_mixing_comes_near_its_targets(spark):
-    """Sources of few, large documents too: off by less than half of a document."""
+@pytest.mark.parametrize(("folder", "share"), [("sf0.001", 0.06), ("sf0.01", 0.01)])
+def test_mixing_comes_near_its_targets(spark, folder, share):
+    """Sources of few, large documents too: all together off by a small share, none by more than half of a document."""
     taken, target, longest = {}, {}, {}
-    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{SF}/documents.parquet'").fetchall())
-    for r in queries.op10_mixing(spark, SF).collect():
+    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '/root/testdata/{folder}/documents.parquet'").fetchall())
+    for r in queries.op10_mixing(spark, f"/root/testdata/{folder}").collect():
         s = source[r.doc_id]
         taken[s], target[s], longest[s] = taken.get(s, 0) + r.taken, r.target, max(longest.get(s, 0), r.size)
-    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 for s in target)
+    off = {s: abs(taken[s] - target[s]) for s in target}
+    assert all(off[s] <= longest[s] / 2 for s in target) and sum(off.values()) <= share * sum(target.values())
 
 
 # ---- registered queries
