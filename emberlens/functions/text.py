@@ -167,3 +167,9 @@ def bounded_int(value, low: int, high: int, default: int | None = None) -> int |
     """Days (1 to 30), years (2001 to 2100), ids (1 to 2**31 - 1): a whole number in range, else the default."""
     n = _number(value)
     return int(n) if n is not None and n == int(n) and low <= n <= high else default
+
+
+def platform_label(platform, scene_id) -> Column:
+    """The satellite of a scene as it is shown: by its platform, else by the beginning of its id, else the mission's name alone."""
+    letter = F.upper(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(col(platform), F.lit("")), r"(?i)^sentinel-2([abc])$", 1), F.lit("")), F.nullif(F.regexp_extract(F.coalesce(col(scene_id).cast("string"), F.lit("")), r"^S2([ABC])_", 1), F.lit(""))))
+    return F.concat(F.lit("Sentinel-2"), F.coalesce(letter, F.lit("")))

@@ -116,6 +116,12 @@ def search_scenes(scenes: DataFrame, box: dict[str, float], start, end, cloud_be
     return hit.orderBy(*([F.col("cloud_cover"), time] if by_cloud else [time]), "scene_id").limit(limit)
 
 
+def scene_by_id(scenes: DataFrame, scene_id) -> DataFrame:
+    """The scene of an id, of repeated ones the newest; no row where there is none."""
+    own = scenes.where(F.col("scene_id") == scene_id)
+    return own.groupBy("scene_id").agg(F.max_by(F.struct(*scenes.columns), "acquired_at").alias("s")).select("s.*")
+
+
 def project_boxes(boxes: DataFrame, keys: list[str], epsg, steps: int = EDGE_STEPS) -> DataFrame:
     """(keys, w, s, e, n in degrees) -> keys, box (struct in metres): the envelope in a zone, each edge sampled ``steps`` times as it curves there.
 

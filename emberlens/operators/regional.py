@@ -168,6 +168,30 @@ def indicators(regions: DataFrame, sources: dict[str, tuple[DataFrame, str, str]
     return reduce(DataFrame.union, parts)
 
 
+#: Columns of the regions' export, in their order.
+EXPORT_COLUMNS = ("region", "name", "pinned", "indicator", "label", "value", "unit", "period", "kind", "approximate", "source", "reason")
+
+
+def export_rows(table: DataFrame, registry: DataFrame, pinned: tuple = PINNED) -> DataFrame:
+    """The long table with its registry (indicator, place, label, source, approximate) -> EXPORT_COLUMNS: one row for each region and indicator; a missing value stays null and has its reason beside it, a
+    value has none. Indicators without a registry row are left out."""
+    j = table.join(registry.select("indicator", "label", "source", F.coalesce("approximate", F.lit(False)).alias("approximate")), "indicator")
+    out = j.withColumns({"pinned": F.col("region").isin(*pinned), "reason": F.when(F.col("value").isNull(), F.col("reason"))})
+    return out.select(*EXPORT_COLUMNS)
+
+
+def export_metadata(rows: DataFrame, sources: DataFrame, built_at: Column, files: dict[str, str], errors: DataFrame) -> DataFrame:
+    """One row that goes with the regions' export: dataset, built_at, count, region_count, sources (array of structs, by source), files, methods, source_errors (array, in order).
+
+    ``sources``: a row for each source (as by ``status.provenance``); ``errors``: (error) of the sources that failed."""
+    n = rows.agg(F.count(F.lit(1)).alias("count"), F.count_distinct("region").alias("region_count"))
+    named = sources.agg(F.array_sort(F.collect_list(F.struct(*["source", *[c for c in sources.columns if c != "source"]]))).alias("sources"))
+    wrong = errors.agg(F.array_sort(F.collect_list("error")).alias("source_errors"))
+    listed = F.create_map(*[F.lit(x) for kv in sorted(files.items()) for x in kv]) if files else F.create_map().cast("map<string, string>")
+    methods = F.struct(F.lit(N.PER_AREA_KM2).alias("density_per_km2"), F.lit(BASELINE_YEARS).alias("baseline_years"), F.lit(len(LOSS_SHARE)).alias("estimated_regions"))
+    return n.crossJoin(named).crossJoin(wrong).select(F.lit("regions").alias("dataset"), built_at.alias("built_at"), "count", "region_count", "sources", listed.alias("files"), methods.alias("methods"), "source_errors")  # one row each
+
+
 def column_kind(table: DataFrame) -> DataFrame:
     """(indicator, kind): the kind all regions share, null when they differ."""
     return table.groupBy("indicator").agg(F.count_distinct("kind").alias("n"), F.min("kind").alias("kind")).select("indicator", F.when(F.col("n") == 1, F.col("kind")).alias("kind"))

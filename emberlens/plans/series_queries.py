@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlens.functions import spectral as S
@@ -10,7 +13,8 @@ from emberlens.plans import views as V
 from emberlens.plans.picture_queries import utm_sql
 from emberlens.plans.views import PIXELS_SQL, jr, query
 from emberlens.session import table
-from emberlens.shared import materialize
+from emberlens.shared import materialize, scratch_path
+from emberlens.sources import tiff
 
 CORNERS = 5
 
@@ -131,3 +135,35 @@ def ndvi_series(spark: SparkSession, d: str) -> DataFrame:
         F.lit(TILE * TILES).alias("width"), F.lit(TILE * TILES).alias("height"), F.lit(0.0001).alias("scale"), F.lit(-0.01).alias("offset"),
     )
     return series.yearly_series(targets, scenes, images, pixels, as_of, 1992, PIXEL_M)
+
+
+# ---- windows of rasters in files
+IMAGE_WIDE, IMAGE_HIGH = 50, 60
+
+
+@query(f"""WITH px AS (SELECT 'i' || (l_orderkey % 40) AS image, (l_partkey * 7 + l_linenumber) % {IMAGE_WIDE} AS c, (l_suppkey * 3 + l_linenumber) % {IMAGE_HIGH} AS r, max(l_quantity * 37 + l_linenumber)::BIGINT AS v FROM lineitem GROUP BY ALL),
+al AS (SELECT image, 0 AS level, c AS col, r AS row, v FROM px UNION ALL SELECT image, 1, c // 2, r // 2, v FROM px WHERE c % 2 = 0 AND r % 2 = 0),
+w AS (SELECT DISTINCT image, level, CASE level WHEN 0 THEN 5 ELSE 0 END AS x0, CASE level WHEN 0 THEN 45 ELSE 20 END AS x1, CASE level WHEN 0 THEN 10 ELSE 25 END AS y0, CASE level WHEN 0 THEN 52 ELSE 30 END AS y1 FROM px, (VALUES (0), (1)) l(level))
+SELECT w.image, w.level, any_value((x1 - x0) * (y1 - y0))::BIGINT AS n, coalesce(sum(v), 0)::BIGINT AS total, coalesce(sum(v * (al.col + 1) * (al.row + 1)), 0)::BIGINT AS weighted
+FROM w LEFT JOIN al ON al.image = w.image AND al.level = w.level AND al.col >= x0 AND al.col < x1 AND al.row >= y0 AND al.row < y1 GROUP BY w.image, w.level""")
+def raster_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Images with an overview, written as tiled files by tasks, and a window of each level of each read by ranges."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    cells = table(spark, d, "lineitem").groupBy(F.concat(F.lit("i"), (k % 40).cast("string")).alias("image"), ((F.col("l_partkey") * 7 + n) % IMAGE_WIDE).alias("c"), ((F.col("l_suppkey") * 3 + n) % IMAGE_HIGH).alias("r")).agg(F.max(F.col("l_quantity") * 37 + n).cast("int").alias("v"))
+    folder = scratch_path(spark, "images")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:  # an image has as many rows as pixels at most
+        grid = np.zeros((IMAGE_HIGH, IMAGE_WIDE), "u2")
+        grid[pdf["r"], pdf["c"]] = pdf["v"]
+        name = pdf["image"].iloc[0]
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{name}.tif") as f:
+            f.write(tiff.encode([grid, grid[::2, ::2].copy()], 16))
+        return pd.DataFrame({"image": pd.Series([name], dtype=object), "path": pd.Series([f"{folder}/{name}.tif"], dtype=object)})
+
+    written = materialize(cells.groupBy("image").applyInPandas(write, "image string, path string"), "image-files")
+    box = lambda level, *sides: F.struct(F.lit(level).alias("level"), *[F.lit(v).cast("long").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), sides, strict=True)])
+    windows = written.select("image", "path", F.explode(F.array(box(0, 5, 10, 45, 52), box(1, -3, 25, 20, 999))).alias("w")).select("image", "path", "w.*")
+    out = tiff.read_windows(windows).groupBy("image", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("total"), F.sum(F.col("value") * (F.col("col") + 1) * (F.col("row") + 1)).cast("long").alias("weighted"))
+    return out

@@ -184,8 +184,9 @@ class PublishedSets:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[tuple[str, bool]]) -> None:
-    """Lines with CRLF under a header; each part file is a whole table. columns: (name, whether it is text)."""
-    df.select(*[T.csv_cell(c, is_text).alias(c) for c, is_text in columns]).write.options(header=True, lineSep="\r\n", quote="", emptyValue="", nullValue="").csv(path)
+    """Lines with CRLF under a header that begins with a byte-order mark, by which spreadsheets tell the encoding; each part file is a whole table. columns: (name, whether it is text)."""
+    named = ["\ufeff" * (i == 0) + c for i, (c, _) in enumerate(columns)]
+    df.select(*[T.csv_cell(c, is_text).alias(n) for (c, is_text), n in zip(columns, named, strict=True)]).write.options(header=True, lineSep="\r\n", quote="", emptyValue="", nullValue="").csv(path)
 
 
 def write_features(features: DataFrame, path: str, column: str = "feature") -> None:

@@ -110,3 +110,27 @@ def test_periods_and_days(spark):
     assert tuple(row) == ("1.00000,2.00000,3.00000,4.00000|1.50000,2.50000,2.00000,3.00000", 8, dt.date(2024, 5, 1))
     cells = R.nrt_cells(spark.createDataFrame([(52.0, 104.0, dt.datetime(2024, 5, 1)), (53.0, 104.0, dt.datetime(2024, 5, 3))], "lat double, lon double, acquired_at timestamp"))
     assert R.newest_day(cells).first().last_day == dt.date(2024, 5, 3)
+
+
+def test_regions_export(spark):
+    regions = spark.createDataFrame([("A", "a"), ("B", "b")], "region string, name string")
+    values = spark.createDataFrame([("A", 1.5, "2024"), ("B", None, "2024")], "region string, value double, period string")
+    table = R.indicators(regions, {"x": (values, "ha", "official"), "y": (values.where("region = 'A'"), "km", "estimate"), "z": (values, "m", "official")})
+    registry = spark.createDataFrame([("x", 1, "X label", "src", None), ("y", 2, "Y label", "other", True)], "indicator string, place int, label string, source string, approximate boolean")
+    rows = R.export_rows(table, registry, ("B",))
+    got = {(r.region, r.indicator): (r.value, r.reason, r.pinned, r.approximate, r.label) for r in rows.collect()}
+    assert tuple(rows.columns) == R.EXPORT_COLUMNS
+    assert got == {("A", "x"): (1.5, None, False, False, "X label"), ("B", "x"): (None, "no value in source", True, False, "X label"), ("A", "y"): (1.5, None, False, True, "Y label"), ("B", "y"): (None, "region not in source", True, True, "Y label")}
+    sources = spark.createDataFrame([("src", "open"), ("other", None)], "source string, license string")
+    errors = spark.createDataFrame([("nrt: down",), ("gfw: 500",)], "error string")
+    m = R.export_metadata(rows, sources, F.lit("2026-01-01"), {"boundaries": "b.geojson"}, errors).first()
+    assert (m.dataset, m["count"], m.region_count, m.source_errors, m.files) == ("regions", 4, 2, ["gfw: 500", "nrt: down"], {"boundaries": "b.geojson"})
+    assert [s.source for s in m.sources] == ["other", "src"] and m.methods.baseline_years == 5
+    empty = R.export_metadata(rows.where("false"), sources.where("false"), F.lit(None).cast("string"), {}, errors.where("false")).first()
+    assert (empty["count"], empty.sources, empty.source_errors, empty.files) == (0, [], [], {})
+
+
+def test_scenes_by_id_and_platform(spark):
+    s = spark.createDataFrame([("S2A_1", "sentinel-2b", 1), ("S2A_1", "sentinel-2c", 2), ("S2B_2", None, 1), ("L8", "landsat", 1), (None, "Sentinel-2A", 1)], "scene_id string, platform string, acquired_at int")
+    assert sorted(r.p for r in s.select(T.platform_label("platform", "scene_id").alias("p")).collect()) == ["Sentinel-2", "Sentinel-2A", "Sentinel-2B", "Sentinel-2B", "Sentinel-2C"]
+    assert [r.platform for r in raster.scene_by_id(s, "S2A_1").collect()] == ["sentinel-2c"] and raster.scene_by_id(s, "none").count() == 0

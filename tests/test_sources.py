@@ -77,7 +77,7 @@ def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a"b', None), (2, "=x", -1.5)], "id long, note string, v double")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "csv"), [("id", False), ("note", True), ("v", False)])
     text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode()
-    assert text == 'id,note,v\r\n1,"a""b",\r\n2,\'=x,-1.5\r\n'
+    assert text == '\ufeffid,note,v\r\n1,"a""b",\r\n2,\'=x,-1.5\r\n'
 
 
 def test_json_readers(spark, tmp_path):
