@@ -362,8 +362,13 @@ turns AS (SELECT site, 'active' AS status, seen AS turned FROM e WHERE before IS
 SELECT site, status, strftime(turned, '%Y-%m-%d %H:%M:%S') AS turned_at FROM turns""")
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
     """Sites that turn active and, 48 hours after their last point, inactive, by timers; some rows come late, some too late."""
-    spark.conf.set(*ingest.STATE_STORE)
-    out = _run(ingest.activity(_in_slices(spark, d).withColumn("site", F.col("id") % 997), "site"))
+    key, store = ingest.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        out = _run(ingest.activity(_in_slices(spark, d).withColumn("site", F.col("id") % 997), "site"))
+    finally:
+        spark.conf.set(key, before)
     return out.select("site", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("turned_at"))
 
 
