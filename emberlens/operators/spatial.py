@@ -205,20 +205,31 @@ def _padded(west, south, east, north, km: float) -> list[Column]:
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, max_km: float, keep: list[str], size: float = 0.25) -> DataFrame:
-    """(id, lat, lon) x (ord, lat1, lon1, lat2, lon2, ...) -> id, km and ``keep`` of the nearest segment within ``max_km``, ties to the smaller ord, across the antimeridian too."""
+    """(id, lat, lon) x (ord, lat1, lon1, lat2, lon2, ...) -> id, km and ``keep`` of the nearest segment within ``max_km``, ties to the smaller ord, across the antimeridian too.
+
+    Spots meet lines: points at one place ask once, and of segments with the same ends the one with the smallest ord answers for all.
+    """
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    lines = segments.groupBy(*ends).agg(F.min_by(F.struct("ord", *keep), F.struct("ord")).alias("line"))
     (west, east), south, north = _shorter_way(F.col("lon1"), F.col("lon2")), F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     names = ["west", "south", "east", "north"]
-    boxed = segments.withColumns(dict(zip(names, _padded(west, south, east, north, max_km), strict=True)))
-    km = N.segment_km("lat", "lon", "lat1", "lon1", "lat2", "lon2")
-    met = points_in_boxes(points.select("id", "lat", "lon"), boxed, size).withColumn("km", km).where(F.col("km") <= max_km)
-    best = met.groupBy("id").agg(F.min_by(F.struct("km", *keep), F.struct("km", "ord")).alias("best"))
-    return best.select("id", "best.*")
+    boxed = lines.withColumns(dict(zip(names, _padded(west, south, east, north, max_km), strict=True)))
+    km = N.segment_km("lat", "lon", *ends)
+    met = points_in_boxes(points.select("lat", "lon").distinct(), boxed, size).withColumn("km", km).where(F.col("km") <= max_km)
+    return _nearest_of(points, met, "line", keep)
 
 
 def nearest_point(points: DataFrame, places: DataFrame, max_km: float, keep: list[str]) -> DataFrame:
-    """(id, lat, lon) x (id, ord, lat, lon, ...) -> id, km and ``keep`` of the nearest place within ``max_km``, ties to the smaller ord."""
-    pairs = near_pairs(points, places, max_km).join(places.select(F.col("id").alias("b"), "ord", *keep), "b")
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.min_by(F.struct("km", *keep), F.struct("km", "ord")).alias("best")).select("id", "best.*")
+    """(id, lat, lon) x (ord, lat, lon, ...) -> id, km and ``keep`` of the nearest place within ``max_km``, ties to the smaller ord. Spots meet spots, as in nearest_segment."""
+    spots = points.select("lat", "lon").distinct().withColumn("id", F.struct("lat", "lon"))
+    held = places.groupBy("lat", "lon").agg(F.min_by(F.struct("ord", *keep), F.struct("ord")).alias("id"))
+    return _nearest_of(points, near_pairs(spots, held, max_km).select("a.lat", "a.lon", "b", "km"), "b", keep)
+
+
+def _nearest_of(points: DataFrame, met: DataFrame, found: str, keep: list[str]) -> DataFrame:
+    """(id, lat, lon) x (lat, lon, km, a struct ``found`` of ord and ``keep``) -> id, km and ``keep`` of what is nearest to each point's spot."""
+    best = met.groupBy("lat", "lon").agg(F.min_by(F.struct("km", *[F.col(found)[c].alias(c) for c in keep]), F.struct("km", F.col(found)["ord"])).alias("best"))
+    return points.select("id", "lat", "lon").join(best, ["lat", "lon"]).select("id", "best.*")
 
 
 def area_relation(points: DataFrame, edges: DataFrame, areas: DataFrame, max_km: float = 50.0, size: float = 0.5) -> DataFrame:
