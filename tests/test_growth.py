@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from emberlens.operators import spatial
+from emberlens.operators import context, spatial
 
 
 def _watched(monkeypatch, module, name):
@@ -41,3 +41,15 @@ def test_places_are_asked_by_spot(spark, monkeypatch):
     got = {r.id: r for r in spatial.nearest_point(points, places, 15.0, ["name"]).collect()}
     assert seen == [(2, 2)]
     assert len(got) == 90 and all(r.name == f"r{i % 2}" for i, r in got.items())
+
+
+def test_context_is_found_by_spot(spark, monkeypatch):
+    points, roads = _crowd(spark)
+    incidents = points.withColumn("lat", F.when(F.col("id") >= 80, F.lit(None)).otherwise(F.col("lat") + F.col("id") * 1e-6))
+    kinds = roads.withColumns({"paved": F.col("ord") % 3 == 0, "track": F.lit(False)})
+    places = roads.select(F.col("ord").alias("id"), "ord", "name", F.col("lat1").alias("lat"), F.lit(100.0).alias("lon"))
+    seen = _watched(monkeypatch, spatial, "nearest_segment")
+    got = {r.id: r for r in context.incident_context(incidents, kinds, places, F.lit(None).cast("string"), F.lit("2024-01-01")).collect()}
+    assert {n for n, _ in seen} == {2}
+    assert len(got) == 90 and all((r.road and r.road.name) == (f"r{i % 2}" if i < 80 else None) for i, r in got.items())
+    assert got[0].paved_road.name == "r2" and got[0].track is None and got[1].settlement.name == "r1" and got[85].settlement is None
