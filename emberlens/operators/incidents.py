@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N
 from emberlens.operators import spatial
-from emberlens.shared import materialize
+from emberlens.shared import materialize, whole_side
 
 # The incident method's parameters.
 METHOD = "firms-cluster-v1"
@@ -51,14 +51,19 @@ def heat_cells(points: DataFrame, min_days: int = 2) -> DataFrame:
 
 
 def days_near(points: DataFrame, cells: DataFrame, radius_km: float = STATIC_RADIUS_KM) -> DataFrame:
-    """(id, lat, lon) x heat cells -> id, days: distinct days of all cells whose mean lies within the radius."""
+    """(id, lat, lon) x heat cells -> id, days: distinct days of all cells whose mean lies within the radius.
+
+    Each cell with points gets the list of the heat cells around it, a bounded number, and a point looks through its own cell's list. So heat cells are copied, not points.
+    """
     reach = math.ceil(radius_km / (N.HEAT_CELL_DEG * N.KM_PER_DEG)) + 1
-    asks = points.select("id", "lat", "lon", F.explode(F.sequence(N.heat_row("lat") - reach, N.heat_row("lat") + reach)).alias("row"))
-    centre = N.heat_col("row", "lon")
-    asks = asks.select("id", "lat", "lon", "row", F.explode(F.sequence(centre - reach, centre + reach)).alias("col"))
-    held = cells.select("row", "col", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), "days")
-    met = asks.join(held, ["row", "col"]).where(N.haversine_km("lat", "lon", "cell_lat", "cell_lon") <= radius_km)
-    return met.select("id", F.explode("days").alias("day")).groupBy("id").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    asks = points.select("id", "lat", "lon", N.heat_row("lat").alias("row")).withColumn("col", N.heat_col("row", "lon"))
+    held = cells.select(F.struct("lat", "lon", "days").alias("cell"), F.explode(F.sequence(N.heat_row("lat") - reach, N.heat_row("lat") + reach)).alias("row"))
+    centre = N.heat_col("row", F.col("cell.lon"))
+    held = held.select("cell", "row", F.explode(F.sequence(centre - reach, centre + reach)).alias("col"))
+    around = held.join(whole_side(asks.select("row", "col").distinct()), ["row", "col"], "left_semi").groupBy("row", "col").agg(F.collect_list("cell").alias("around"))
+    near = F.filter("around", lambda c: N.haversine_km(F.col("lat"), F.col("lon"), c["lat"], c["lon"]) <= radius_km)
+    days = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda c: c["days"]))))
+    return asks.join(whole_side(around), ["row", "col"]).select("id", days.alias("days")).where(F.size("days") > 0)
 
 
 def is_static(days: Column) -> Column:
@@ -77,7 +82,7 @@ def static_points(points: DataFrame, history: DataFrame, as_of: Column, archive:
     near = days_near(points, heat_cells(recent)).where(is_static(F.col("days"))).select("id")
     if archive is None:
         return near
-    listed = points.withColumn("row", N.heat_row("lat")).withColumn("col", N.heat_col("row", "lon")).join(archive.select("row", "col"), ["row", "col"], "left_semi")
+    listed = points.withColumn("row", N.heat_row("lat")).withColumn("col", N.heat_col("row", "lon")).join(whole_side(archive.select("row", "col")), ["row", "col"], "left_semi")
     return near.union(listed.select("id")).distinct()
 
 
@@ -85,7 +90,7 @@ def static_places(history: DataFrame, as_of: Column, archive: DataFrame | None =
     """(lat, lon) of the static places: heat cells of the last 14 days at whose own mean the day rule holds, and the centres of the archive's cells."""
     cells = materialize(heat_cells(history.where(F.to_date("acquired_at") >= window_start(as_of))).withColumn("id", F.struct("row", "col")), "heat-cells")
     own = days_near(cells, cells).where(is_static(F.col("days"))).select("id")
-    places = cells.join(own, "id", "left_semi").select("lat", "lon")
+    places = cells.join(whole_side(own), "id", "left_semi").select("lat", "lon")
     if archive is None:
         return places
     lat, lon = N.heat_centre("row", "col")
@@ -94,13 +99,14 @@ def static_places(history: DataFrame, as_of: Column, archive: DataFrame | None =
 
 def static_incidents(members: DataFrame, static: DataFrame) -> DataFrame:
     """(incident_id, id) x static ids -> incident_id of the incidents whose every observation is static."""
-    marked = members.join(static.withColumn("hit", F.lit(1)), "id", "left")
+    marked = members.join(whole_side(static.withColumn("hit", F.lit(1))), "id", "left")
     return marked.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits")).where("n = hits").select("incident_id")
 
 
 def split_static(points: DataFrame, static: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points and the ids of the static ones -> (kept, masked)."""
-    return points.join(static.select("id"), "id", "left_anti"), points.join(static.select("id"), "id", "left_semi")
+    ids = whole_side(static.select("id"))
+    return points.join(ids, "id", "left_anti"), points.join(ids, "id", "left_semi")
 
 
 def open_incidents(state: DataFrame, as_of: Column) -> DataFrame:
@@ -125,7 +131,7 @@ def static_relabels(state: DataFrame, points: DataFrame, history: DataFrame, as_
 def relabelled(touched: DataFrame, points: DataFrame, history: DataFrame, as_of: Column, archive: DataFrame | None = None) -> DataFrame:
     """(incident_id) of the touched incidents whose every observation among ``points`` is static; those without any keep their status."""
     members = incident_points(touched, points)
-    asked = points.join(members.select("id").distinct(), "id", "left_semi")
+    asked = points.join(whole_side(members.select("id").distinct()), "id", "left_semi")
     return static_incidents(members, static_points(asked, history, as_of, archive))
 
 
@@ -192,7 +198,7 @@ def imagery_geometry(incidents: DataFrame) -> DataFrame:
 # ---- clusters to incidents
 def cluster(points: DataFrame, max_km: float = LINK_KM) -> DataFrame:
     """Points with the cluster they belong to (its smallest id)."""
-    return points.join(spatial.single_linkage(points, max_km), "id")
+    return points.join(whole_side(spatial.single_linkage(points, max_km)), "id")
 
 
 def satellites(lists: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N
 from emberlens.operators.components import connected_components
-from emberlens.shared import materialize
+from emberlens.shared import materialize, whole_side
 
 #: Side in degrees of the cells through which points meet polygons, and height of the bands in which they meet edges.
 CELL_DEG, BAND_DEG = 0.25, 0.02
@@ -109,7 +109,7 @@ def near_pairs(left: DataFrame, right: DataFrame, max_km: float) -> DataFrame:
     asks = asks.select("a", "lat_a", "lon_a", "row", F.explode(near).alias("cell"))
     held = right.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row.alias("row")).withColumn("cell", _cell(F.col("row"), F.col("lon_b"), step))
     km = N.haversine_km("lat_a", "lon_a", "lat_b", "lon_b")
-    return asks.join(held, ["row", "cell"]).withColumn("km", km).where(F.col("km") <= max_km).select("a", "b", "km")
+    return asks.join(whole_side(held), ["row", "cell"]).withColumn("km", km).where(F.col("km") <= max_km).select("a", "b", "km")
 
 
 def distance_pairs(points: DataFrame, max_km: float) -> DataFrame:
@@ -136,9 +136,9 @@ def single_linkage(points: DataFrame, max_km: float) -> DataFrame:
     stand = spots.groupBy("row", "cell", "part").agg(F.min_by(F.struct("lat", "lon"), "id").alias("at"), F.min("id").alias("id")).join(heads, ["row", "cell"])
     stand = materialize(stand.select("id", "at.lat", "at.lon", "node", "row", "cell", "part"), "spot-parts")
     reach = 2 * max_km / QUARTERS  # two parts are wider by less than this than the two points that stand for them
-    of = lambda side_: stand.select(F.col("id").alias(side_), F.col("node").alias(f"node_{side_}"))
-    pairs = near_pairs(stand.select("id", "lat", "lon"), stand.select("id", "lat", "lon"), max_km + reach).where("a < b").join(of("a"), "a").join(of("b"), "b").where("node_a <> node_b")
-    pairs = materialize(pairs.select("a", "b", "km", F.least("node_a", "node_b").alias("low"), F.greatest("node_a", "node_b").alias("high")), "spot-pairs")
+    noded = stand.select(F.struct("id", "node").alias("id"), "lat", "lon")
+    pairs = near_pairs(noded, noded, max_km + reach).where("a.id < b.id AND a.node <> b.node")
+    pairs = materialize(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "km", F.least("a.node", "b.node").alias("low"), F.greatest("a.node", "b.node").alias("high")), "spot-pairs")
     linked = pairs.where(F.col("km") <= max_km).select("low", "high").distinct()
     unsure = pairs.where(F.col("km") > max_km).join(linked, ["low", "high"], "left_anti")
 
@@ -149,7 +149,7 @@ def single_linkage(points: DataFrame, max_km: float) -> DataFrame:
     close = unsure.join(members("a"), "a").join(members("b"), "b").where(N.haversine_km("lat_a", "lon_a", "lat_b", "lon_b") <= max_km)
     labels = connected_components(linked.union(close.select("low", "high")).select(F.col("low").alias("a"), F.col("high").alias("b")))
     named = heads.join(labels, "node", "left").select("row", "cell", F.coalesce("component", "node").alias("cluster"))
-    return small.join(named, ["row", "cell"]).select("id", "cluster")
+    return small.join(whole_side(named), ["row", "cell"]).select("id", "cluster")
 
 
 def _box_cells(west, south, east, north, size: float) -> Column:
@@ -195,7 +195,7 @@ def boxes_touched(boxes: DataFrame, spots: DataFrame, km: float, size: float = 0
     s = s.withColumn("cell", F.explode(_box_cells(F.col("lon") - F.col("pad"), F.col("lat") - lat, F.col("lon") + F.col("pad"), F.col("lat") + lat, size)))
     b = boxes.where(N.valid_bbox("west", "south", "east", "north")).withColumn("own_cell", F.explode(_box_cells("west", "south", "east", "north", size)))
     near = (F.col("lat") >= F.col("south") - lat) & (F.col("lat") <= F.col("north") + lat) & (F.col("lon") >= F.col("west") - F.col("pad")) & (F.col("lon") <= F.col("east") + F.col("pad"))
-    return b.join(s, (F.col("own_cell") == F.col("cell")) & near, "left_semi").select("box").distinct()
+    return b.join(whole_side(s), (F.col("own_cell") == F.col("cell")) & near, "left_semi").select("box").distinct()
 
 
 def _padded(west, south, east, north, km: float) -> list[Column]:
@@ -229,7 +229,7 @@ def nearest_point(points: DataFrame, places: DataFrame, max_km: float, keep: lis
 def _nearest_of(points: DataFrame, met: DataFrame, found: str, keep: list[str]) -> DataFrame:
     """(id, lat, lon) x (lat, lon, km, a struct ``found`` of ord and ``keep``) -> id, km and ``keep`` of what is nearest to each point's spot."""
     best = met.groupBy("lat", "lon").agg(F.min_by(F.struct("km", *[F.col(found)[c].alias(c) for c in keep]), F.struct("km", F.col(found)["ord"])).alias("best"))
-    return points.select("id", "lat", "lon").join(best, ["lat", "lon"]).select("id", "best.*")
+    return points.select("id", "lat", "lon").join(whole_side(best), ["lat", "lon"]).select("id", "best.*")
 
 
 def area_relation(points: DataFrame, edges: DataFrame, areas: DataFrame, max_km: float = 50.0, size: float = 0.5) -> DataFrame:

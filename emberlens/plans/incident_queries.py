@@ -9,7 +9,7 @@ from emberlens.operators import feed, incidents as I, spatial
 from emberlens.plans import views as V
 from emberlens.plans.views import H_SQL, INCIDENTS_SQL, hav, jr, query
 from emberlens.session import table
-from emberlens.shared import materialize
+from emberlens.shared import materialize, whole_side
 from emberlens.sources import readers, sinks
 
 DAY = "strftime({}, '%Y-%m-%d')"
@@ -211,7 +211,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     h, points = V.hotspots(spark, d), V.recent(spark, d)
     points, _ = I.split_static(points, I.static_points(points, h, V.newest(h)))
     region = spatial.first_region(points, spatial.edges_of(V.regions(spark, d)))
-    return points.join(region, "id", "left").withColumn("region_iso", F.col("region"))
+    return points.join(whole_side(region), "id", "left").withColumn("region_iso", F.col("region"))
 
 
 @query(f"""WITH RECURSIVE {KEPT_SQL}, {V.EDGES_SQL}, {V.pip_sql('w')}, {CLUSTERS_SQL}, {BUILD_SQL}

@@ -31,6 +31,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_side(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the observations: both sides are shuffled and sorted, so it never passes through the driver as a broadcast. Parquet files
+    say little about the rows in them (repeated values, arrays that are exploded later), so Spark's own choice may hold far more than its threshold."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialize`` returned, once nothing will read them again."""
     for df in tables:

@@ -1,8 +1,12 @@
 """Work that must not grow with repeated places, seen by the rows that the heavy steps are given."""
 
+import datetime as dt
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from emberlens.operators import context, spatial
+from emberlens.operators import context, incidents as I, spatial
 
 
 def _watched(monkeypatch, module, name):
@@ -53,3 +57,42 @@ def test_context_is_found_by_spot(spark, monkeypatch):
     assert {n for n, _ in seen} == {2}
     assert len(got) == 90 and all((r.road and r.road.name) == (f"r{i % 2}" if i < 80 else None) for i, r in got.items())
     assert got[0].paved_road.name == "r2" and got[0].track is None and got[1].settlement.name == "r1" and got[85].settlement is None
+
+
+# ---- static sources
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _sightings(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, 60 + rng.random() * 0.02, 100 + rng.random() * 0.04, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 14))) for i in range(400)]
+    spark.createDataFrame(rows, "id long, lat double, lon double, acquired_at timestamp").write.parquet(f"{tmp_path}/points")
+    return rows, spark.read.parquet(f"{tmp_path}/points")
+
+
+def test_days_near_copies_cells_not_points(spark, tmp_path):
+    rows, points = _sightings(spark, tmp_path)
+    cells = spark.createDataFrame(I.heat_cells(points).collect())
+    got = I.days_near(points, cells)
+    assert not [line for line in _plan(got).splitlines() if "Generate" in line and "id#" in line]
+    want, around = {}, cells.collect()
+    for i, lat, lon, _ in rows:
+        days = set()
+        for c in around:
+            a = math.sin(math.radians(c.lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(c.lat)) * math.sin(math.radians(c.lon - lon) / 2) ** 2
+            if 2 * 6371.0088 * math.asin(math.sqrt(a)) <= I.STATIC_RADIUS_KM:
+                days |= set(c.days)
+        if days:
+            want[i] = sorted(days)
+    assert {r.id: r.days for r in got.collect()} == want and len({len(v) for v in want.values()}) > 3
+
+
+def test_observations_are_not_broadcast(spark, tmp_path):
+    _, points = _sightings(spark, tmp_path)
+    as_of = F.lit(dt.datetime(2024, 1, 14, 12))
+    static = I.static_points(points, points, as_of)
+    box = "bbox_min_lng double, bbox_min_lat double, bbox_max_lng double, bbox_max_lat double, center_lat double"
+    state = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 14), 399, 99.0, 59.0, 101.0, 61.0, 60.0)], f"incident_id long, first_seen timestamp, last_seen timestamp, max_hotspot_id long, {box}")
+    for df in (static, *I.split_static(points, static), I.static_places(points, as_of), I.cluster(points), I.relabelled(state, points, points, as_of)):
+        assert not [line for line in _plan(df).splitlines() if "BroadcastHashJoin [id#" in line or "BroadcastHashJoin [row#" in line]
