@@ -97,14 +97,21 @@ def read_band(plans: DataFrame, images: DataFrame, pixels: DataFrame, band: str,
     return met.select(*keys, "row", "col", F.when(inside, F.coalesce("value", F.lit(0.0))).otherwise(F.lit(0.0)).alias("value"))
 
 
-def find_scenes(targets: DataFrame, scenes: DataFrame, as_of: Column, first_year: int = periods.FIRST_YEAR, size: float = 1.0) -> DataFrame:
+def find_scenes(targets: DataFrame, scenes: DataFrame, as_of: Column, first_year: int = periods.FIRST_YEAR, size: float = 1.0, most: int | None = None) -> DataFrame:
     """Targets (key, aoi, ...) x scenes (scene_id, w, s, e, n, acquired_at, cloud_cover, ...) -> key, year and the scenes' columns: scenes of each summer that meet the area, with a known
-    cloud cover below the bound. They meet in cells of a degree grid that both boxes touch."""
+    cloud cover below the bound. They meet in cells of a degree grid that both boxes touch.
+
+    With ``most``, scenes of one summer that show exactly the same box are cut to the first ``most`` in the order of ``raster.candidates``: what comes after them is no target's
+    first ``most`` either, as all of them meet the same targets."""
     t = targets.select("key", "aoi", F.explode(spatial._box_cells("aoi.w", "aoi.s", "aoi.e", "aoi.n", size)).alias("cell"))
     year = F.year("acquired_at")
     summer = periods.search_window(year, as_of)
     s = scenes.where((year >= first_year) & F.col("acquired_at").between(summer["start"], summer["end"]) & (F.col("cloud_cover") < CLOUD_BELOW))
-    s = s.withColumn("year", year).withColumn("cell", F.explode(spatial._box_cells(*BOX, size)))
+    s = s.withColumn("year", year)
+    if most is not None:
+        once = s.groupBy(*BOX, "year", "scene_id").agg(*[F.first(c).alias(c) for c in scenes.columns if c not in (*BOX, "scene_id")])
+        s = raster.candidates(once, [*BOX, "year"], most).drop("rank")
+    s = s.withColumn("cell", F.explode(spatial._box_cells(*BOX, size)))
     met = t.join(s, "cell").where(N.bboxes_meet({k: F.col(k) for k in BOX}, {k: F.col(f"aoi.{k}") for k in BOX}))
     kept = [c for c in scenes.columns if c not in BOX]
     return met.groupBy("key", "year", "scene_id").agg(*[F.first(c).alias(c) for c in kept if c != "scene_id"]).select("key", "year", *kept)
@@ -116,10 +123,13 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
     Scenes of a summer are looked at from the least cloudy on (equal ones by time, then id), six at most; that number is the feature. A scene's mask is read only where those
     before it weren't usable, its bands only where it is. status 'ok', or 'none' with reason 'no scenes', 'not yet' (the summer goes on), or 'cloudy'. Means are
     null where fewer than half of a region's pixels are clear. Targets without a box have no scenes; repeated keys are expected to be one target.
+    Targets with the same box are worked out once.
     """
-    areas = materialize(areas_of(targets, ["key"]), "areas")
+    named = targets.select("key", *BOX).distinct()
+    sites = materialize(named.groupBy(*BOX).agg(F.min("key").alias("site")), "sites")
+    areas = materialize(areas_of(sites.withColumnRenamed("site", "key"), ["key"]), "areas")
     keys = ["key", "year", "scene_id"]
-    found = find_scenes(areas, scenes.select("scene_id", *BOX, "acquired_at", "cloud_cover", "epsg"), as_of, first_year)
+    found = find_scenes(areas, scenes.select("scene_id", *BOX, "acquired_at", "cloud_cover", "epsg"), as_of, first_year, most=raster.CANDIDATES)
     ranked = materialize(raster.candidates(found, ["key", "year"]).join(areas, "key").select(*keys, "rank", "epsg", "aoi", "site"), "candidates")
     left, chosen = ranked.select("key", "year").distinct(), []
     for rank in range(1, raster.CANDIDATES + 1):
@@ -141,8 +151,9 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
     means = cells.groupBy(*keys, "region").agg(*_means())
     regions = means.groupBy(*keys).agg(*[F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{p}{c}") for r, p in (("site", ""), ("ring", "ring_")) for c in ("ndvi", "valid_pct")])
     done = plans.select(*keys, "clear_pct").join(regions, keys, "left")
-    years = targets.select("key").distinct().withColumn("year", F.explode(periods.series_years(as_of, first_year)))
-    out = years.join(done, ["key", "year"], "left").join(ranked.select("key", "year", F.lit(True).alias("had")).distinct(), ["key", "year"], "left")
+    years = named.join(sites, list(BOX), "left").select("key", "site").withColumn("year", F.explode(periods.series_years(as_of, first_year)))
+    had = ranked.select(F.col("key").alias("site"), "year", F.lit(True).alias("had")).distinct()
+    out = years.join(done.withColumnRenamed("key", "site"), ["site", "year"], "left").join(had, ["site", "year"], "left")
     partial = periods.is_partial(F.col("year"), as_of)
     reason = F.when(F.col("scene_id").isNotNull(), F.lit(None)).when(F.col("had"), "cloudy").when(partial, "not yet").otherwise("no scenes")
     return out.select("key", "year", F.when(F.col("scene_id").isNotNull(), "ok").otherwise("none").alias("status"), reason.alias("reason"), "scene_id", "clear_pct", "ndvi", "valid_pct", "ring_ndvi", "ring_valid_pct", partial.alias("partial"))

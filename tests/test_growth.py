@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberlens.operators import context, incidents as I, spatial
+from emberlens.operators import context, incidents as I, raster, series, spatial
 
 
 def _watched(monkeypatch, module, name):
@@ -96,3 +96,34 @@ def test_observations_are_not_broadcast(spark, tmp_path):
     state = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 14), 399, 99.0, 59.0, 101.0, 61.0, 60.0)], f"incident_id long, first_seen timestamp, last_seen timestamp, max_hotspot_id long, {box}")
     for df in (static, *I.split_static(points, static), I.static_places(points, as_of), I.cluster(points), I.relabelled(state, points, points, as_of)):
         assert not [line for line in _plan(df).splitlines() if "BroadcastHashJoin [id#" in line or "BroadcastHashJoin [row#" in line]
+
+
+# ---- the yearly series
+SCENE = "scene_id long, w double, s double, e double, n double, acquired_at timestamp, cloud_cover double, epsg int"
+
+
+def _scenes(spark):
+    """400 scenes of two summers, of two boxes, each listed twice."""
+    rows = [(i, 104.0 + i % 2 * 0.3, 52.0, 104.6 + i % 2 * 0.3, 52.5, dt.datetime(2022 + i % 3 % 2, 7, 1 + i % 20), float(i * 37 % 90), 32648) for i in range(400)]
+    return spark.createDataFrame(rows * 2, SCENE)
+
+
+def test_scenes_of_one_box_are_cut_before_they_meet_targets(spark):
+    targets = spark.createDataFrame([(k, 104.02 + k * 0.2, 52.1, 104.1 + k * 0.2, 52.2) for k in range(3)], "key long, w double, s double, e double, n double")
+    areas, as_of = series.areas_of(targets, ["key"]), F.lit(dt.datetime(2023, 12, 1))
+    every = series.find_scenes(areas, _scenes(spark), as_of, 2022)
+    first = series.find_scenes(areas, _scenes(spark), as_of, 2022, most=raster.CANDIDATES)
+    ranked = lambda found: sorted((r.key, r.year, r.rank, r.scene_id) for r in raster.candidates(found, ["key", "year"]).collect())
+    assert ranked(first) == ranked(every) and len(ranked(first)) == 3 * 2 * raster.CANDIDATES
+    assert first.count() == 5 * 2 * raster.CANDIDATES < every.count()  # the second and third target meet both boxes
+
+
+def test_targets_with_one_box_are_worked_out_once(spark, monkeypatch):
+    box = (104.02, 52.1, 104.1, 52.2)
+    targets = spark.createDataFrame([(k, *box) for k in range(30)] + [(30, 104.3, 52.1, 104.4, 52.2), (31, None, 52.1, 104.1, 52.2)], "key long, w double, s double, e double, n double")
+    images = spark.createDataFrame([], "scene_id long, band string, image string, x0 double, y0 double, resolution double, width int, height int, scale double, offset double")
+    seen = _watched(monkeypatch, series, "find_scenes")
+    out = series.yearly_series(targets, _scenes(spark), images, spark.createDataFrame([], "image string, col long, row long, value double"), F.lit(dt.datetime(2023, 12, 1)), 2022, 1000.0)
+    got = {(r.key, r.year): (r.status, r.reason) for r in out.collect()}
+    assert [n for n, _ in seen] == [3]
+    assert len(got) == 64 and {got[k, y] for k in range(31) for y in (2022, 2023)} == {("none", "cloudy")} and got[31, 2022] == ("none", "no scenes")
