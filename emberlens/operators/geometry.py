@@ -76,18 +76,21 @@ def assemble_rings(ways: DataFrame) -> DataFrame:
     A hole goes to the first outer ring that has its first vertex inside; a hole without one is dropped.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        lines = {role: [[(p["lon"], p["lat"]) for p in points] for points in part["points"]] for role, part in pdf.groupby("role")}
-        polygons = [[ring] for ring in _join_ways(lines.get("outer", []))]
-        for hole in _join_ways(lines.get("inner", [])):
+    def assembled(ways) -> list[dict]:
+        lines = {role: [[(p["lon"], p["lat"]) for p in w["points"]] for w in ways if w["role"] == role] for role in ("outer", "inner")}
+        polygons = [[ring] for ring in _join_ways(lines["outer"])]
+        for hole in _join_ways(lines["inner"]):
             home = next((p for p in polygons if _inside(*hole[0], p[0])), None)
             if home:
                 home.append(hole)
-        rows = [(pdf["relation"].iloc[0], i, j, [{"lon": x, "lat": y} for x, y in ring]) for i, rings in enumerate(polygons) for j, ring in enumerate(rings)]
-        return pd.DataFrame(rows, columns=["relation", "polygon", "ring", "points"])
+        return [{"polygon": i, "ring": j, "points": [{"lon": x, "lat": y} for x, y in ring]} for i, rings in enumerate(polygons) for j, ring in enumerate(rings)]
 
-    return ways.groupBy("relation").applyInPandas(work, "relation long, polygon int, ring int, points array<struct<lon: double, lat: double>>")
+    @F.pandas_udf("array<struct<polygon: int, ring: int, points: array<struct<lon: double, lat: double>>>>")
+    def work(column: pd.Series) -> pd.Series:
+        return column.map(assembled)
+
+    held = ways.groupBy("relation").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "points"))).alias("ways"))
+    return held.select(F.col("relation").cast("long").alias("relation"), F.explode(work("ways")).alias("r")).select("relation", "r.polygon", "r.ring", "r.points")
 
 
 def _simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

@@ -63,21 +63,24 @@ def features(rows: DataFrame, regions: DataFrame, most: int = geometry.MOST_VERT
 
     A feature has a shape that passes the gate (points on the globe, closed rings, area above 0) before and after thinning out, a label point inside it that lies in one of
     the regions, and is likely the country's by place and name. area_ha is the tagged one, else that of the thinned shape to one decimal; points have none. Relations
-    without usable ways are no features and no problems. Repeated ids are expected to be one relation.
+    without usable ways are no features and no problems. Repeated ids are expected to be one relation. Steps are written, so that no task holds the sorts of all of them.
     """
-    tags = materialize(rows.select("id", "tags"), "relations")
+    rows = materialize(rows.select("id", "tags", "members"), "relations")
+    tags = rows.select("id", "tags")
     rings, points = shapes(rows)
     first = materialize(measured(rings), "measured")
     off = (F.abs("lat") > 90) | (F.abs("lon") > 180)
     good = rings.join(first.where("problem IS NULL").select("id"), "id", "left_semi")
-    labels = geometry.label_points(ring_edges(good)).withColumnRenamed("region", "id")
+    labels = materialize(geometry.label_points(ring_edges(good)).withColumnRenamed("region", "id"), "labels")
     thin = materialize(geometry.simplify_rings(good, most), "thin-rings")
     second = materialize(measured(thin), "measured")
     ha = second.where("problem IS NULL").select("id", N.js_round(F.col("km2") * 100, 1).alias("computed_ha"))
     placed = labels.join(ha, "id").select("id", "lat", "lon", "computed_ha", F.lit("polygon").alias("kind")).union(points.where(~off).select("id", "lat", "lon", F.lit(None).cast("double"), F.lit("point")))
+    placed = materialize(placed, "placed")
     named = placed.join(tags, "id")
     inside = territory.likely_inside("lat", "lon", F.col("tags")["name"], F.col("tags")["name:ru"])
-    held = spatial.regions_containing(placed.select("id", "lat", "lon"), regions).select("id").distinct()
+    held = spatial.regions_containing(placed.select("id", "lat", "lon"), regions)
+    held = materialize(held.select("id").distinct(), "held")
     out = named.where(inside).join(held, "id", "left_semi").select("id", "kind", *territory.area_features())
     bad = first.where("problem IS NOT NULL").select("id", "problem").union(second.where("problem IS NOT NULL").select("id", F.concat("problem", F.lit(" after simplification")))).union(points.where(off).select("id", F.lit("off the globe")))
     return out, thin, bad

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberlens.operators import context, incidents as I, raster, series, spatial
+from emberlens.operators import context, geometry, incidents as I, protected, raster, series, spatial
 
 
 def _watched(monkeypatch, module, name):
@@ -127,3 +127,18 @@ def test_targets_with_one_box_are_worked_out_once(spark, monkeypatch):
     got = {(r.key, r.year): (r.status, r.reason) for r in out.collect()}
     assert [n for n, _ in seen] == [3]
     assert len(got) == 64 and {got[k, y] for k in range(31) for y in (2022, 2023)} == {("none", "cloudy")} and got[31, 2022] == ("none", "no scenes")
+
+
+# ---- protected areas
+def test_features_are_found_in_small_steps(spark):
+    line = lambda *points: [{"lat": y, "lon": x} for x, y in points]
+    way = lambda *points, role="outer": {"type": "way", "role": role, "geometry": line(*points)}
+    rows = [(i, {"name": "Park"}, [way((100.0, 60.0), (100.2, 60.0), (100.2, 60.1)), way((100.2, 60.1), (100.0, 60.1), (100.0, 60.0)), way((100.05, 60.02), (100.1, 60.02), (100.1, 60.05), (100.05, 60.02), role="inner")]) for i in range(3)]
+    relations = spark.createDataFrame(rows, protected.MEMBERS)
+    rings, _ = protected.shapes(relations)
+    assert sorted((r.id, r.polygon, r.ring, len(r.points)) for r in rings.collect()) == [(i, 0, k, (5, 4)[k]) for i in range(3) for k in (0, 1)]
+    ways = spark.createDataFrame([(1, 0, "outer", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)])], "relation long, ord int, role string, points array<struct<lon: double, lat: double>>")
+    assert "FlatMapGroupsInPandas" not in _plan(geometry.assemble_rings(ways))  # a call of Python for each relation
+    land = spark.createDataFrame([("R", 0, [[[(90.0, 50.0), (110.0, 50.0), (110.0, 70.0), (90.0, 70.0), (90.0, 50.0)]]])], "region string, ord int, polygons array<array<array<struct<lon: double, lat: double>>>>")
+    out, _, bad = protected.features(relations, spatial.edges_of(land))
+    assert _plan(out).count("Sort [") < 10 and len(out.collect()) == 3 and bad.count() == 0
