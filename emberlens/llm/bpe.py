@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 
 from emberlens.llm.batches import slices
 
-#: Distinct pieces whose ids a Python worker keeps over its tasks; when there are more, it starts over. A bound on memory alone.
-CACHED_PIECES = 600_000
-#: Bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
-QUERY_BYTES, DECODE_TOKENS = 250_000, 500_000
+#: Distinct pieces whose ids a Python worker keeps over its tasks; when there are more, it goes on with the third that came most often. A bound on memory alone.
+CACHED_PIECES = 300_000
+#: Bytes of texts that are Python strings at a time, bytes of new pieces in one query, and tokens in one decoding query. Bounds on memory alone.
+SLICE_BYTES, QUERY_BYTES, DECODE_TOKENS = 2_000_000, 250_000, 100_000
 
 #: Pieces of more bytes are cut into parts, and parts of more bytes into windows of so many. The tokens don't depend on either.
 SHORT_PIECE, WINDOW = 64, 32
@@ -115,10 +115,15 @@ class Coder:
         # a byte is shown as the character of its number, so that string_agg can gather bytes
         shown = [t.decode("latin-1") for t in self.ranks]
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "shown": pa.array(shown, pa.string())}))
-        self._forget()
+        self.numbers, self.starts, self.sizes, self.uses, self.flat = Numbering(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _forget(self) -> None:
-        self.numbers, self.starts, self.sizes, self.flat = Numbering(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        """Keeps the pieces that came most often, those that came once not."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: CACHED_PIECES // 3])
+        kept, pieces = kept[self.uses[kept] > 1], list(self.numbers)
+        self.numbers = Numbering((pieces[i], n) for n, i in enumerate(kept))
+        self.flat, self.sizes, self.uses = gather(self.flat, self.starts[kept], self.sizes[kept]), self.sizes[kept], self.uses[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -247,6 +252,7 @@ class Coder:
         cut = [np.fromiter(map(number, self.split.findall(t)), np.int64) for t in texts]
         if len(self.numbers) > known:
             self._learn([p.encode() for p in islice(self.numbers, known, None)])
+        self.uses = np.bincount(np.concatenate([np.zeros(0, np.int64), *cut]), minlength=len(self.numbers)) + np.pad(self.uses, (0, len(self.numbers) - len(self.uses)))
         return [gather(self.flat, self.starts[n], self.sizes[n]) for n in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -287,10 +293,11 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str) -> DataFram
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, most=SLICE_BYTES):
                 coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -328,7 +335,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str] |
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for big in batches:
-            for batch in slices(big):
+            for batch in slices(big, most=SLICE_BYTES):
                 coder = coder or coder_of(ranks_file, pattern)
                 ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
                 back = coder.decode(ids)
@@ -339,6 +346,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str] |
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *kept_names],
                 )
+                pa.default_memory_pool().release_unused()  # else the pool holds what earlier batches took, beside a full JVM heap
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kind}" for c, kind in kept)
     return docs.select("doc_id", "text", *kept_names).mapInArrow(work, schema)

@@ -22,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from emberlens.llm.batches import slices
-from emberlens.llm.bpe import CACHED_PIECES, Numbering, gather
+from emberlens.llm.bpe import Numbering, gather
 
+#: Distinct words whose ids a Python worker keeps over its tasks; when there are more, it starts over. A bound on memory alone.
+CACHED_PIECES = 600_000
 #: Words of more characters are contracted anew each time. A bound on memory alone.
 LONGEST_KEPT = 256
 PLACE = (1 << 40) - 1

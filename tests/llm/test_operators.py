@@ -378,6 +378,20 @@ def test_bpe_long_pieces():
     assert coder.decode(ids) == [long.encode()] and ids[0][:1000].tolist() == enc.encode_ordinary(long[:8000])[:1000]
 
 
+def test_bpe_keeps_frequent_pieces_when_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 30)
+    coder = bpe.Coder(queries.ranks_file(), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    learnt, learn = [], coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    for n in range(12):
+        text = "zqfrequent zqoften " * 3 + " ".join(f"zq{chr(97 + n)}{chr(97 + k)}rare" for k in range(20))
+        (ids,) = coder.encode([text])
+        assert ids.tolist() == enc.encode_ordinary(text) and coder.decode([ids]) == [text.encode()]
+        assert len(coder.numbers) <= 30 + 25 and len(coder.uses) == len(coder.numbers) == len(coder.starts)
+    assert learnt.count(b" zqfrequent") == learnt.count(b" zqoften") == 1
+
+
 # ---- 9 Jaccard
 def slow_shingles(text):
     import re
