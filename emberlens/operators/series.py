@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from emberlens.functions import numeric as N, periods, projection as P, spectral as S
 from emberlens.operators import raster, spatial
-from emberlens.shared import materialize
+from emberlens.shared import materialize, whole_side
 
 # Pixels of the index grid, half a detection's pixel, and the cloud cover under which scenes are asked for.
 INDEX_PIXEL_M, SITE_PAD_KM, CLOUD_BELOW = 20.0, N.PIXEL_KM / 2, 80.0
@@ -30,7 +30,7 @@ def areas_of(targets: DataFrame, keys: list[str]) -> DataFrame:
 def plan_grids(areas: DataFrame, keys: list[str], pixel_m: float = INDEX_PIXEL_M) -> DataFrame:
     """(keys, epsg, aoi, site) -> also grid, and aoi_ring and site_ring: their corners on the grid (structs x, y in fractions of pixels). Areas that no zone has are left out."""
     boxes = raster.project_boxes(areas.select(*keys, "epsg", *[F.col(f"aoi.{k}").alias(k) for k in BOX]), [*keys, "epsg"], "epsg").where("box IS NOT NULL")
-    grids = areas.join(boxes.select(*keys, "epsg", P.plan_grid(F.col("box"), least_m=pixel_m).alias("grid")), [*keys, "epsg"])
+    grids = areas.join(whole_side(boxes.select(*keys, "epsg", P.plan_grid(F.col("box"), least_m=pixel_m).alias("grid"))), [*keys, "epsg"])
 
     def corners(b: str) -> Column:
         ends = [(f"{b}.w", f"{b}.s"), (f"{b}.e", f"{b}.s"), (f"{b}.e", f"{b}.n"), (f"{b}.w", f"{b}.n")]
@@ -63,7 +63,7 @@ def mask_spans(shapes: DataFrame, keys: list[str]) -> DataFrame:
     mean = lambda c: F.floor(F.aggregate(F.transform("ring", lambda p: p[c]), F.lit(0.0), lambda a, b: a + b) / F.nullif(n, F.lit(0)))
     centre = shapes.where(n > 0).select(*keys, "width", "height", mean("y").cast("long").alias("row"), mean("x").cast("long").alias("first"))
     centre = centre.where("row >= 0 AND first >= 0 AND row < height AND first < width").select(*keys, "row", "first", F.col("first").alias("last"))
-    return spans.union(centre.join(spans.select(*keys).distinct(), keys, "left_anti"))
+    return spans.union(centre.join(whole_side(spans.select(*keys).distinct()), keys, "left_anti"))
 
 
 def mask_pixels(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,23 +78,24 @@ def region_masks(plans: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys, "row", "col").agg(F.when(F.bool_or("site"), "site").otherwise("ring").alias("region"))
 
 
-def read_band(plans: DataFrame, images: DataFrame, pixels: DataFrame, band: str, keys: list[str], only: DataFrame | None = None) -> DataFrame:
-    """(keys, scene_id, grid) -> keys, row, col, value (0: no data): a band of the scene on the grid by nearest neighbour; of ``only`` (keys, row, col) where that is given.
+def read_band(plans: DataFrame, images: DataFrame, pixels: DataFrame, band: str, keys: list[str], only: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, scene_id, grid) -> keys, row, col, value (0: no data) and ``more`` columns of the images: a band of the scene on the grid by nearest neighbour; of ``only`` (keys, row, col)
+    where that is given.
 
     ``images``: (scene_id, band, image, x0, y0, resolution, width, height, scale, offset). A grid pixel asks for one image pixel, an equi-join."""
-    i = images.where(F.col("band") == band).select("scene_id", "image", "x0", "y0", "resolution", F.col("width").alias("wide"), F.col("height").alias("high"))
-    p = plans.select(*keys, *([] if "scene_id" in keys else ["scene_id"]), "grid").join(i, "scene_id")
+    i = images.where(F.col("band") == band).select("scene_id", "image", "x0", "y0", "resolution", F.col("width").alias("wide"), F.col("height").alias("high"), *more)
+    p = plans.select(*keys, *([] if "scene_id" in keys else ["scene_id"]), "grid").join(whole_side(i), "scene_id")
     if only is None:
         cells = p.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid.height").cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid.width").cast("long") - 1)))
     else:
-        cells = only.select(*keys, "row", "col").join(p, keys)
+        cells = only.select(*keys, "row", "col").join(whole_side(p), keys)
     g = F.col("grid")
     x, y = g["w"] + (F.col("col") + 0.5) * g["pixel"], g["n"] - (F.col("row") + 0.5) * g["pixel"]
-    at = cells.select(*keys, "row", "col", "image", "wide", "high", F.floor((x - F.col("x0")) / F.col("resolution")).alias("c"), F.floor((F.col("y0") - y) / F.col("resolution")).alias("r"))
+    at = cells.select(*keys, "row", "col", "image", "wide", "high", *more, F.floor((x - F.col("x0")) / F.col("resolution")).alias("c"), F.floor((F.col("y0") - y) / F.col("resolution")).alias("r"))
     held = pixels.select("image", F.col("col").cast("long").alias("c"), F.col("row").cast("long").alias("r"), F.col("value").cast("double").alias("value"))
     inside = (F.col("c") >= 0) & (F.col("r") >= 0) & (F.col("c") < F.col("wide")) & (F.col("r") < F.col("high"))
-    met = at.join(held, ["image", "c", "r"], "left")
-    return met.select(*keys, "row", "col", F.when(inside, F.coalesce("value", F.lit(0.0))).otherwise(F.lit(0.0)).alias("value"))
+    met = at.join(whole_side(held), ["image", "c", "r"], "left")
+    return met.select(*keys, "row", "col", F.when(inside, F.coalesce("value", F.lit(0.0))).otherwise(F.lit(0.0)).alias("value"), *more)
 
 
 def find_scenes(targets: DataFrame, scenes: DataFrame, as_of: Column, first_year: int = periods.FIRST_YEAR, size: float = 1.0, most: int | None = None) -> DataFrame:
@@ -112,7 +113,7 @@ def find_scenes(targets: DataFrame, scenes: DataFrame, as_of: Column, first_year
         once = s.groupBy(*BOX, "year", "scene_id").agg(*[F.first(c).alias(c) for c in scenes.columns if c not in (*BOX, "scene_id")])
         s = raster.candidates(once, [*BOX, "year"], most).drop("rank")
     s = s.withColumn("cell", F.explode(spatial._box_cells(*BOX, size)))
-    met = t.join(s, "cell").where(N.bboxes_meet({k: F.col(k) for k in BOX}, {k: F.col(f"aoi.{k}") for k in BOX}))
+    met = t.join(whole_side(s), "cell").where(N.bboxes_meet({k: F.col(k) for k in BOX}, {k: F.col(f"aoi.{k}") for k in BOX}))
     kept = [c for c in scenes.columns if c not in BOX]
     return met.groupBy("key", "year", "scene_id").agg(*[F.first(c).alias(c) for c in kept if c != "scene_id"]).select("key", "year", *kept)
 
@@ -130,30 +131,30 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
     areas = materialize(areas_of(sites.withColumnRenamed("site", "key"), ["key"]), "areas")
     keys = ["key", "year", "scene_id"]
     found = find_scenes(areas, scenes.select("scene_id", *BOX, "acquired_at", "cloud_cover", "epsg"), as_of, first_year, most=raster.CANDIDATES)
-    ranked = materialize(raster.candidates(found, ["key", "year"]).join(areas, "key").select(*keys, "rank", "epsg", "aoi", "site"), "candidates")
+    ranked = materialize(raster.candidates(found, ["key", "year"]).join(whole_side(areas), "key").select(*keys, "rank", "epsg", "aoi", "site"), "candidates")
+    images = materialize(images.join(whole_side(ranked.select("scene_id").distinct()), "scene_id", "left_semi"), "images")
     left, chosen = ranked.select("key", "year").distinct(), []
     for rank in range(1, raster.CANDIDATES + 1):
-        now = materialize(plan_grids(ranked.where(F.col("rank") == rank).join(left, ["key", "year"], "left_semi"), keys, pixel_m), "plans")
+        now = materialize(plan_grids(ranked.where(F.col("rank") == rank).join(whole_side(left), ["key", "year"], "left_semi"), keys, pixel_m), "plans")
         scl = materialize(read_band(now, images, pixels, "scl", keys).withColumnRenamed("value", "scl"), "scl")
         usable = raster.scl_stats(scl, keys).where("usable").select(*keys, F.floor(F.col("clear") / F.col("total") * 100).cast("long").alias("clear_pct"))
         usable = materialize(usable, "usable")
-        chosen.append((now.join(usable, keys), scl.join(usable.select(*keys), keys, "left_semi")))
-        left = materialize(left.join(usable.select("key", "year"), ["key", "year"], "left_anti"), "left")
+        chosen.append((now.join(whole_side(usable), keys), scl))
+        left = materialize(left.join(whole_side(usable.select("key", "year")), ["key", "year"], "left_anti"), "left")
         if not left.limit(1).count():
             break
     plans, scl = materialize(reduce(DataFrame.union, [p for p, _ in chosen]), "chosen"), reduce(DataFrame.union, [x for _, x in chosen])
     masks = materialize(region_masks(plans, keys), "masks")
-    cells = masks.join(scl, [*keys, "row", "col"])
+    cells = masks.join(whole_side(scl), [*keys, "row", "col"])  # scenes that weren't usable have no mask
     for band in ("red", "nir"):
-        scale = images.where(F.col("band") == band).select("scene_id", "scale", "offset")
-        values = read_band(plans, images, pixels, band, keys, masks).join(scale, "scene_id")
-        cells = cells.join(values.select(*keys, "row", "col", S.reflectance("value", F.col("scale"), F.col("offset")).alias(band)), [*keys, "row", "col"])
+        values = read_band(plans, images, pixels, band, keys, masks, ("scale", "offset"))
+        cells = cells.join(whole_side(values.select(*keys, "row", "col", S.reflectance("value", F.col("scale"), F.col("offset")).alias(band))), [*keys, "row", "col"])
     means = cells.groupBy(*keys, "region").agg(*_means())
     regions = means.groupBy(*keys).agg(*[F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{p}{c}") for r, p in (("site", ""), ("ring", "ring_")) for c in ("ndvi", "valid_pct")])
-    done = plans.select(*keys, "clear_pct").join(regions, keys, "left")
-    years = named.join(sites, list(BOX), "left").select("key", "site").withColumn("year", F.explode(periods.series_years(as_of, first_year)))
+    done = plans.select(*keys, "clear_pct").join(whole_side(regions), keys, "left")
+    years = named.join(whole_side(sites), list(BOX), "left").select("key", "site").withColumn("year", F.explode(periods.series_years(as_of, first_year)))
     had = ranked.select(F.col("key").alias("site"), "year", F.lit(True).alias("had")).distinct()
-    out = years.join(done.withColumnRenamed("key", "site"), ["site", "year"], "left").join(had, ["site", "year"], "left")
+    out = years.join(whole_side(done.withColumnRenamed("key", "site")), ["site", "year"], "left").join(whole_side(had), ["site", "year"], "left")
     partial = periods.is_partial(F.col("year"), as_of)
     reason = F.when(F.col("scene_id").isNotNull(), F.lit(None)).when(F.col("had"), "cloudy").when(partial, "not yet").otherwise("no scenes")
     return out.select("key", "year", F.when(F.col("scene_id").isNotNull(), "ok").otherwise("none").alias("status"), reason.alias("reason"), "scene_id", "clear_pct", "ndvi", "valid_pct", "ring_ndvi", "ring_valid_pct", partial.alias("partial"))

@@ -100,3 +100,17 @@ def test_candidates_without_a_mask_are_no_missing_ones(spark):
     asked = spark.createDataFrame([("a",), ("b",), ("c",)], "place string")
     got = {r.place: (r.scene_id, r.checked, r.reason) for r in raster.pick_scene(asked, ranked, stats, ["place"]).collect()}
     assert got == {"a": (2, 2, None), "b": (None, 1, "cloudy"), "c": (None, 0, "missing")}
+
+
+def test_no_table_of_the_series_is_broadcast(spark, tmp_path, monkeypatch):
+    """Files of masks and pixels are small, as their values repeat; the rows in them, broadcast by their files' size, don't fit the driver."""
+    day = lambda d: dt.datetime(2018, 7, d, 4)
+    for name, df in zip(("targets", "scenes", "images", "pixels"), world(spark, [(1.0, day(1), 9), (2.0, day(2), 4), (3.0, day(3), 4)])):
+        df.write.parquet(f"{tmp_path}/{name}")
+    plans, write = [], series.materialize
+    monkeypatch.setattr(series, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, tag))
+    out = series.yearly_series(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("targets", "scenes", "images", "pixels")], F.lit(dt.datetime(2018, 12, 1)), 2018, pixel_m=300.0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not [line for plan in plans for line in plan.splitlines() if "Broadcast" in line]
+    r = out.first()
+    assert (r.status, r.scene_id, r.clear_pct, r.ndvi, r.valid_pct, r.ring_ndvi, r.ring_valid_pct) == ("ok", 1, 100, 0.5, 100, 0.5, 100)
