@@ -67,8 +67,9 @@ def mask_spans(shapes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mask_pixels(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans -> keys, row, col, each pixel once."""
-    return spans.select(*keys, "row", F.explode(F.sequence("first", "last")).alias("col")).distinct()
+    """Spans -> keys, row, col, each pixel once. Rows are dealt out before spans become pixels: by the size of the spans alone, few tasks would get all of them."""
+    dealt = spans.repartition(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "row")
+    return dealt.select(*keys, "row", F.explode(F.sequence("first", "last")).alias("col")).distinct()
 
 
 def region_masks(plans: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,8 +80,8 @@ def region_masks(plans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_band(plans: DataFrame, images: DataFrame, pixels: DataFrame, band: str, keys: list[str], only: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, scene_id, grid) -> keys, row, col, value (0: no data) and ``more`` columns of the images: a band of the scene on the grid by nearest neighbour; of ``only`` (keys, row, col)
-    where that is given.
+    """(keys, scene_id, grid) -> keys, row, col, value (0: no data) and ``more`` columns of the images: a band of the scene on the grid by nearest neighbour; of ``only`` (keys, row, col, ...)
+    where that is given, whose other columns go along.
 
     ``images``: (scene_id, band, image, x0, y0, resolution, width, height, scale, offset). A grid pixel asks for one image pixel, an equi-join."""
     i = images.where(F.col("band") == band).select("scene_id", "image", "x0", "y0", "resolution", F.col("width").alias("wide"), F.col("height").alias("high"), *more)
@@ -88,7 +89,8 @@ def read_band(plans: DataFrame, images: DataFrame, pixels: DataFrame, band: str,
     if only is None:
         cells = p.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid.height").cast("long") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid.width").cast("long") - 1)))
     else:
-        cells = only.select(*keys, "row", "col").join(whole_side(p), keys)
+        cells = only.join(whole_side(p), keys)
+        more = (*more, *[c for c in only.columns if c not in (*keys, "row", "col")])
     g = F.col("grid")
     x, y = g["w"] + (F.col("col") + 0.5) * g["pixel"], g["n"] - (F.col("row") + 0.5) * g["pixel"]
     at = cells.select(*keys, "row", "col", "image", "wide", "high", *more, F.floor((x - F.col("x0")) / F.col("resolution")).alias("c"), F.floor((F.col("y0") - y) / F.col("resolution")).alias("r"))
@@ -124,7 +126,7 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
     Scenes of a summer are looked at from the least cloudy on (equal ones by time, then id), six at most; that number is the feature. A scene's mask is read only where those
     before it weren't usable, its bands only where it is. status 'ok', or 'none' with reason 'no scenes', 'not yet' (the summer goes on), or 'cloudy'. Means are
     null where fewer than half of a region's pixels are clear. Targets without a box have no scenes; repeated keys are expected to be one target.
-    Targets with the same box are worked out once.
+    Targets with the same box are worked out once, their grids and masks once for all scenes of a zone.
     """
     named = targets.select("key", *BOX).distinct()
     sites = materialize(named.groupBy(*BOX).agg(F.min("key").alias("site")), "sites")
@@ -133,22 +135,24 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
     found = find_scenes(areas, scenes.select("scene_id", *BOX, "acquired_at", "cloud_cover", "epsg"), as_of, first_year, most=raster.CANDIDATES)
     ranked = materialize(raster.candidates(found, ["key", "year"]).join(whole_side(areas), "key").select(*keys, "rank", "epsg", "aoi", "site"), "candidates")
     images = materialize(images.join(whole_side(ranked.select("scene_id").distinct()), "scene_id", "left_semi"), "images")
+    grids = materialize(plan_grids(ranked.select("key", "epsg", "aoi", "site").distinct(), ["key"], pixel_m), "grids")
+    planned = materialize(ranked.select(*keys, "rank", "epsg").join(whole_side(grids.select("key", "epsg", "grid")), ["key", "epsg"]), "planned")
     left, chosen = ranked.select("key", "year").distinct(), []
     for rank in range(1, raster.CANDIDATES + 1):
-        now = materialize(plan_grids(ranked.where(F.col("rank") == rank).join(whole_side(left), ["key", "year"], "left_semi"), keys, pixel_m), "plans")
+        now = materialize(planned.where(F.col("rank") == rank).join(whole_side(left), ["key", "year"], "left_semi"), "plans")
         scl = materialize(read_band(now, images, pixels, "scl", keys).withColumnRenamed("value", "scl"), "scl")
         usable = raster.scl_stats(scl, keys).where("usable").select(*keys, F.floor(F.col("clear") / F.col("total") * 100).cast("long").alias("clear_pct"))
         usable = materialize(usable, "usable")
-        chosen.append((now.join(whole_side(usable), keys), scl))
+        chosen.append((now.join(whole_side(usable), keys), scl.join(whole_side(usable.select(*keys)), keys, "left_semi")))
         left = materialize(left.join(whole_side(usable.select("key", "year")), ["key", "year"], "left_anti"), "left")
         if not left.limit(1).count():
             break
     plans, scl = materialize(reduce(DataFrame.union, [p for p, _ in chosen]), "chosen"), reduce(DataFrame.union, [x for _, x in chosen])
-    masks = materialize(region_masks(plans, keys), "masks")
-    cells = masks.join(whole_side(scl), [*keys, "row", "col"])  # scenes that weren't usable have no mask
+    masks = region_masks(grids.join(whole_side(plans.select("key", "epsg").distinct()), ["key", "epsg"], "left_semi"), ["key", "epsg"])
+    masks = plans.select(*keys, "epsg").join(whole_side(masks), ["key", "epsg"]).drop("epsg")
+    cells = materialize(masks.join(whole_side(scl), [*keys, "row", "col"]), "cells")
     for band in ("red", "nir"):
-        values = read_band(plans, images, pixels, band, keys, masks, ("scale", "offset"))
-        cells = cells.join(whole_side(values.select(*keys, "row", "col", S.reflectance("value", F.col("scale"), F.col("offset")).alias(band))), [*keys, "row", "col"])
+        cells = read_band(plans, images, pixels, band, keys, cells, ("scale", "offset")).withColumn(band, S.reflectance("value", F.col("scale"), F.col("offset"))).drop("value", "scale", "offset")
     means = cells.groupBy(*keys, "region").agg(*_means())
     regions = means.groupBy(*keys).agg(*[F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{p}{c}") for r, p in (("site", ""), ("ring", "ring_")) for c in ("ndvi", "valid_pct")])
     done = plans.select(*keys, "clear_pct").join(whole_side(regions), keys, "left")

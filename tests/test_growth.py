@@ -129,6 +129,24 @@ def test_targets_with_one_box_are_worked_out_once(spark, monkeypatch):
     assert len(got) == 64 and {got[k, y] for k in range(31) for y in (2022, 2023)} == {("none", "cloudy")} and got[31, 2022] == ("none", "no scenes")
 
 
+def test_grids_are_worked_out_once_for_all_scenes(spark, monkeypatch):
+    targets = spark.createDataFrame([(k, 104.02 + k * 0.3, 52.1, 104.1 + k * 0.3, 52.2) for k in range(2)], "key long, w double, s double, e double, n double")
+    images = spark.createDataFrame([], "scene_id long, band string, image string, x0 double, y0 double, resolution double, width int, height int, scale double, offset double")
+    seen, plan = [], series.plan_grids
+    monkeypatch.setattr(series, "plan_grids", lambda areas, *a: seen.append(areas.count()) or plan(areas, *a))
+    out = series.yearly_series(targets, _scenes(spark), images, spark.createDataFrame([], "image string, col long, row long, value double"), F.lit(dt.datetime(2023, 12, 1)), 2022, 1000.0)
+    assert seen == [2]  # of two summers with six candidates each
+    assert {(r.status, r.reason) for r in out.collect()} == {("none", "cloudy")}
+
+
+def test_mask_rows_are_dealt_out_before_they_become_pixels(spark):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    shapes = spark.range(40).select(F.col("id").alias("key"), F.array(corner(0.0, 0.0), corner(50.0, 0.0), corner(50.0, 50.0), corner(0.0, 50.0)).alias("ring"), F.lit(50).alias("width"), F.lit(50).alias("height"))
+    pixels = series.mask_pixels(series.mask_spans(shapes, ["key"]), ["key"])
+    by_task = [r["count"] for r in pixels.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(by_task) == 40 * 50 * 50 and max(by_task) < 40 * 50 * 50 / 2
+
+
 # ---- protected areas
 def test_features_are_found_in_small_steps(spark):
     line = lambda *points: [{"lat": y, "lon": x} for x, y in points]
