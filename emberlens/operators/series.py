@@ -143,18 +143,19 @@ def yearly_series(targets: DataFrame, scenes: DataFrame, images: DataFrame, pixe
         scl = materialize(read_band(now, images, pixels, "scl", keys).withColumnRenamed("value", "scl"), "scl")
         usable = raster.scl_stats(scl, keys).where("usable").select(*keys, F.floor(F.col("clear") / F.col("total") * 100).cast("long").alias("clear_pct"))
         usable = materialize(usable, "usable")
-        chosen.append((now.join(whole_side(usable), keys), scl.join(whole_side(usable.select(*keys)), keys, "left_semi")))
+        chosen.append((now.join(whole_side(usable), keys), materialize(scl.join(whole_side(usable.select(*keys)), keys, "left_semi"), "kept")))
         left = materialize(left.join(whole_side(usable.select("key", "year")), ["key", "year"], "left_anti"), "left")
         if not left.limit(1).count():
             break
     plans, scl = materialize(reduce(DataFrame.union, [p for p, _ in chosen]), "chosen"), reduce(DataFrame.union, [x for _, x in chosen])
-    masks = region_masks(grids.join(whole_side(plans.select("key", "epsg").distinct()), ["key", "epsg"], "left_semi"), ["key", "epsg"])
+    masks = materialize(region_masks(grids.join(whole_side(plans.select("key", "epsg").distinct()), ["key", "epsg"], "left_semi"), ["key", "epsg"]), "masks")
     masks = plans.select(*keys, "epsg").join(whole_side(masks), ["key", "epsg"]).drop("epsg")
     cells = materialize(masks.join(whole_side(scl), [*keys, "row", "col"]), "cells")
     for band in ("red", "nir"):
         cells = read_band(plans, images, pixels, band, keys, cells, ("scale", "offset")).withColumn(band, S.reflectance("value", F.col("scale"), F.col("offset"))).drop("value", "scale", "offset")
     means = cells.groupBy(*keys, "region").agg(*_means())
     regions = means.groupBy(*keys).agg(*[F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{p}{c}") for r, p in (("site", ""), ("ring", "ring_")) for c in ("ndvi", "valid_pct")])
+    regions = materialize(regions, "regions")
     done = plans.select(*keys, "clear_pct").join(whole_side(regions), keys, "left")
     years = named.join(whole_side(sites), list(BOX), "left").select("key", "site").withColumn("year", F.explode(periods.series_years(as_of, first_year)))
     had = ranked.select(F.col("key").alias("site"), "year", F.lit(True).alias("had")).distinct()
